@@ -41,18 +41,18 @@ def flagged(text: str, terms) -> str:
 
 
 def text_stats_cte(table: str = "documents", key: str = "doc_id", text: str = "text",
-                   terms=("the", "and", "und"), extra: str = "") -> str:
-    """CTE ``st`` with per-row counts used by the readability/diversity metrics."""
+                   terms=("the", "and", "und"), extra: str = "", name: str = "st") -> str:
+    """CTE ``name`` with per-row counts used by the readability/diversity metrics."""
     return f"""
-base AS (SELECT {key}, {text} AS text, {words(text)} AS w{extra} FROM {table}),
-st AS (
+{name}_base AS (SELECT {key}, {text} AS text, {words(text)} AS w{extra} FROM {table}),
+{name} AS (
   SELECT *, len(w) AS n, {sentences('text')} AS s,
          coalesce(list_sum(list_transform(w, lambda x: {syl(letters('x'))})), 0) AS syl,
          len(list_distinct(list_filter(list_transform(w, lambda x: {letters('x')}),
              lambda lw: {syl('lw')} >= 3))) AS hard,
          len(list_distinct(w)) AS d,
          {flagged('text', terms)} AS f
-  FROM base)"""
+  FROM {name}_base)"""
 
 
 FK = ("CASE WHEN n > 0 THEN 0.39 * n / s + 11.8 * syl / n - 15.59 ELSE 0.0 END")
@@ -120,3 +120,59 @@ senti AS (
   SELECT sw.k AS {key}, coalesce(sm.pol, 0.0) AS sentiment_score,
          coalesce(sm.subj, 0.0) AS subjectivity_score
   FROM sw LEFT JOIN sm ON sw.k = sm.k)"""
+
+
+QUERY_TERMS = ("the", "and", "und")
+
+
+def scored_cte() -> str:
+    """CTEs ending in ``sc(id, lang, source, n_chars, flesch_kincaid_grade,
+    vocabulary_diversity, profanity_check)`` over ``documents``."""
+    return text_stats_cte(terms=QUERY_TERMS, extra=", lang, source, n_chars") + f""",
+sc AS (SELECT doc_id AS id, lang, source, n_chars, {FK} AS flesch_kincaid_grade,
+              {DIV} AS vocabulary_diversity, {PROF} AS profanity_check FROM st)"""
+
+
+def missing(x: str) -> str:
+    return f"(CASE WHEN {x} IS NULL OR isnan({x}) THEN 1 ELSE 0 END)"
+
+
+def asc_key(x: str) -> str:
+    return f"{missing(x)}, {x}"
+
+
+def desc_key(x: str) -> str:
+    return f"{missing(x)}, {x} DESC"
+
+
+def curriculum_cte(name: str, order_sql: str, source: str = "sc", B: int = 8, G: int = 4,
+                   step: int = 5, metrics=("flesch_kincaid_grade", "vocabulary_diversity"),
+                   extra_mean: str = "") -> str:
+    """CTEs ``{name}_od`` (train rows with ``pos``), ``{name}_ck`` (checkpoints),
+    ``{name}_fc`` (first checkpoint per row) and ``{name}_mean`` (ckpt, n_rows,
+    metric means over the rows each checkpoint consumed)."""
+    means = ", ".join(f"avg(fc.{m}) AS {m}" for m in metrics)
+    return f"""
+{name}_sp AS (SELECT *, row_number() OVER (ORDER BY id) - 1 AS split_pos,
+                     count(*) OVER () AS n_all FROM {source}),
+{name}_tr AS (SELECT * FROM {name}_sp WHERE split_pos < CAST(floor(0.9 * n_all) AS BIGINT)),
+{name}_od AS (SELECT *, row_number() OVER (ORDER BY {order_sql}, id) - 1 AS pos,
+                     count(*) OVER () AS n_train FROM {name}_tr),
+{name}_ck AS (SELECT unnest(range({step}, (SELECT CAST(ceil(max(n_train) / {G * B}.0) AS BIGINT)
+                                          FROM {name}_od), {step})) AS ckpt),
+{name}_fc AS (SELECT *, greatest({step}, CAST(ceil(ceil(floor(pos / {B}) / {G}.0) / {step}.0)
+                                           * {step} AS BIGINT)) AS first_ckpt FROM {name}_od),
+{name}_mean AS (SELECT ck.ckpt, count(fc.id) AS n_rows, {means}{extra_mean}
+                FROM {name}_ck ck LEFT JOIN {name}_fc fc ON fc.first_ckpt <= ck.ckpt
+                GROUP BY ck.ckpt)"""
+
+
+def unpivot_metrics(src: str, keys: str, metrics) -> str:
+    return " UNION ALL ".join(
+        f"SELECT {keys}, '{m}' AS metric, CAST({m} AS DOUBLE) AS value FROM {src}" for m in metrics)
+
+
+def norm_sql(value: str, part: str) -> str:
+    lo, hi = f"min({value}) OVER ({part})", f"max({value}) OVER ({part})"
+    return (f"CASE WHEN {hi} = {lo} THEN (CASE WHEN {value} IS NOT NULL THEN 0.0 END) "
+            f"ELSE ({value} - {lo}) / ({hi} - {lo}) END")
