@@ -159,3 +159,18 @@ def assign_positions(df: DataFrame, keys: Sequence[SortKey] = (), id_col: str =
     out = with_b.withColumn(
         pos_col, F.element_at(off_arr, F.col("__b") + 1) + F.row_number().over(w) - 1)
     return out.drop("__t", "__b")
+
+
+def group_positions(df: DataFrame, group_cols: Sequence[str], keys: Sequence[SortKey] = (),
+                    id_col: str = "id", idx_col: str = "idx", buckets: int | None = None
+                    ) -> DataFrame:
+    """0-based index of each row inside its group, in ``keys`` order (then
+    ``id_col``). Built on the global positions, so a group holding a third of
+    all rows is still split over many tasks; the group start is a per-group
+    minimum (partial aggregation) joined back."""
+    from curio.operators._util import broadcast_if_small
+    gk = [asc(g) for g in group_cols] + list(keys)
+    p = assign_positions(df, gk, id_col, "__gp", buckets)
+    starts = p.groupBy(*group_cols).agg(F.min("__gp").alias("__start"))
+    return p.join(broadcast_if_small(starts), list(group_cols)) \
+        .withColumn(idx_col, F.col("__gp") - F.col("__start")).drop("__gp", "__start")
