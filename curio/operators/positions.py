@@ -71,9 +71,9 @@ def _sort_tuple(df: DataFrame, keys: Sequence[SortKey], id_col: str) -> tuple[Da
         missing = c.isNull().cast("int")
         if isinstance(dtype, T.StringType):
             value = F.coalesce(c, F.lit(""))
-        elif isinstance(dtype, (T.TimestampType, T.DateType)):
-            ts = c.cast("timestamp").cast("double")
-            value = F.coalesce(-ts if k.descending else ts, F.lit(0.0))
+        elif isinstance(dtype, (T.TimestampType, T.DateType, T.TimestampNTZType)):
+            ts = F.unix_micros(c.cast("timestamp"))
+            value = F.coalesce(-ts if k.descending else ts, F.lit(0).cast("bigint"))
         else:
             if isinstance(dtype, (T.DoubleType, T.FloatType)):
                 zero_type = "double"

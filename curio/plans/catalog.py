@@ -1,3 +1,3 @@
 """Imports every query module so that they register themselves."""
 
-from curio.plans import q_text, q_curriculum, q_vectors, q_ranking  # noqa: F401
+from curio.plans import q_text, q_curriculum, q_vectors, q_ranking, q_trainlog  # noqa: F401
