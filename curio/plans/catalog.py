@@ -1,3 +1,4 @@
 """Imports every query module so that they register themselves."""
 
-from curio.plans import q_text, q_curriculum, q_vectors, q_ranking, q_trainlog  # noqa: F401
+from curio.plans import (q_curriculum, q_quality, q_ranking, q_text, q_trainlog,  # noqa: F401
+                         q_vectors)
