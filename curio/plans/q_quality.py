@@ -125,8 +125,8 @@ def q_shift_pairs(spark, sf):
 
 
 @query("parse_token_string", f"""WITH {_TOK},
-s AS (SELECT doc_id, '[' || array_to_string(tokens, CASE WHEN lang = 'fr' THEN ', ' ELSE '  ' END) || ']' AS tstr
-      FROM tok)
+s AS (SELECT doc_id, '[' || CASE WHEN lang = 'fr' THEN array_to_string(tokens, ', ')
+                                   ELSE array_to_string(tokens, '  ') END || ']' AS tstr FROM tok)
 SELECT doc_id, CASE WHEN lang_bad THEN 0 ELSE n END AS n_parsed, CASE WHEN lang_bad THEN 0 ELSE sm END AS sum_parsed
 FROM (SELECT s.doc_id, (d.lang = 'fr' AND len(t.tokens) > 1) AS lang_bad, len(t.tokens) AS n,
              CAST(coalesce(list_sum(t.tokens), 0) AS BIGINT) AS sm
