@@ -47,18 +47,29 @@ def hypothesis_ngrams(w: Column, n: int) -> Column:
     ).otherwise(F.array().cast("array<string>"))
 
 
-def clipped_matches(w: Column, reference: str, n: int) -> Column:
-    """Clipped n-gram matches in one pass: keep the hypothesis n-grams that
-    occur in the reference, sort them, and count each run up to the
-    reference count (looked up in a literal map)."""
+def reference_hits(w: Column, reference: str = DEFAULT_REFERENCE) -> Column:
+    """1-based positions of the words that occur in the reference: only
+    n-grams starting there can match, so n-grams are built for those alone."""
+    vocab = F.array(*[F.lit(x) for x in sorted(set(reference.split()))])
+    return F.when(F.size(w) > 0, F.filter(F.sequence(F.lit(1), F.size(w)),
+                                          lambda i: F.array_contains(vocab, F.element_at(w, i)))
+                  ).otherwise(F.array().cast("array<int>"))
+
+
+def clipped_matches(w: Column, reference: str, n: int, hits: Column | None = None) -> Column:
+    """Clipped n-gram matches in one pass: the n-grams starting at reference
+    words, kept when they occur in the reference, sorted, each run counted
+    up to the reference count (a literal map)."""
     ref = reference_ngrams(reference, n)
     if not ref:
         return F.lit(0).cast("bigint")
+    hits = reference_hits(w, reference) if hits is None else hits
     grams = sorted(ref)
     ref_counts = F.map_from_arrays(F.array(*[F.lit(g) for g in grams]),
                                    F.array(*[F.lit(ref[g]) for g in grams]))
-    hits = F.array_sort(F.filter(hypothesis_ngrams(w, n),
-                                 lambda g: F.map_contains_key(ref_counts, g)))
+    starts = F.filter(hits, lambda i: i + (n - 1) <= F.size(w))
+    cand = F.transform(starts, lambda i: F.array_join(F.slice(w, i, n), GRAM_SEP))
+    found = F.array_sort(F.filter(cand, lambda g: F.map_contains_key(ref_counts, g)))
     zero = F.struct(F.lit("").alias("prev"), F.lit(0).alias("run"),
                     F.lit(0).cast("bigint").alias("total"))
 
@@ -68,12 +79,13 @@ def clipped_matches(w: Column, reference: str, n: int) -> Column:
         return F.struct(g.alias("prev"), run.alias("run"),
                         (acc["total"] + keep).cast("bigint").alias("total"))
 
-    return F.aggregate(hits, zero, step)["total"]
+    return F.aggregate(found, zero, step)["total"]
 
 
-def match_counts(w: Column, reference: str = DEFAULT_REFERENCE) -> Column:
+def match_counts(w: Column, reference: str = DEFAULT_REFERENCE,
+                 hits: Column | None = None) -> Column:
     """``array(m_1, ..., m_4)`` of clipped matches."""
-    return F.array(*[clipped_matches(w, reference, n) for n in range(1, MAX_ORDER + 1)])
+    return F.array(*[clipped_matches(w, reference, n, hits) for n in range(1, MAX_ORDER + 1)])
 
 
 def bleu_from_counts(m: Column, hyp_len: Column, reference: str = DEFAULT_REFERENCE) -> Column:
@@ -101,11 +113,13 @@ def bleu_score(text, reference: str = DEFAULT_REFERENCE, w: Column | None = None
 def with_bleu(df, text: str = "text", out: str = "bleu_score",
               reference: str = DEFAULT_REFERENCE):
     """Add ``out`` = sentence BLEU of ``text`` against ``reference``."""
-    staged = (df.withColumn("__w", words(text))
-                .withColumn("__m", match_counts(F.col("__w"), reference))
+    from curio.operators._util import spread_small_input
+    staged = (spread_small_input(df).withColumn("__w", words(text))
+                .withColumn("__h", reference_hits(F.col("__w"), reference))
+                .withColumn("__m", match_counts(F.col("__w"), reference, F.col("__h")))
                 .withColumn("__n", F.size("__w")))
     return staged.withColumn(out, bleu_from_counts(F.col("__m"), F.col("__n"), reference)) \
-                 .drop("__w", "__m", "__n")
+                 .drop("__w", "__h", "__m", "__n")
 
 
 def bleu_reference_value(hyp: str, reference: str = DEFAULT_REFERENCE) -> float:

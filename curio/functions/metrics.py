@@ -15,7 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from curio.functions import bleu, readability as rd, sentiment as se
-from curio.functions.text import (DEFAULT_FLAGGED_TERMS, flagged_term_count, words)
+from curio.functions.text import (DEFAULT_FLAGGED_TERMS, flagged_term_count, joined_words,
+                                  split_joined)
 
 # --- fixed values -----------------------------------------------------------
 METRIC_COLUMNS = (
@@ -54,38 +55,54 @@ def score_texts(df: DataFrame, text: str = "text", *,
                 terms: Iterable[str] = DEFAULT_FLAGGED_TERMS,
                 lexicon=None, easy_words: Iterable[str] = (),
                 round_outputs: bool = False,
-                metrics: Iterable[str] | None = None) -> DataFrame:
+                metrics: Iterable[str] | None = None, balance: bool = True) -> DataFrame:
     """Add the metric columns to ``df``. A metric that cannot be computed for a
-    row (null text, no words) is 0.0, as in the reference scorer."""
+    row (null text, no words) is 0.0, as in the reference scorer. ``balance``
+    spreads a small input over all task slots (no-op on large inputs)."""
+    if balance and not df.isStreaming:
+        from curio.operators._util import spread_small_input
+        df = spread_small_input(df)
     wanted = tuple(metrics) if metrics is not None else registered_metrics()
     t = F.col(text)
     lex = se.lexicon_map(lexicon) if {"sentiment_score", "subjectivity_score"} & set(wanted) \
         else None
-    s1 = df.withColumn("__w", words(t))
+    # stage 1: the text with words joined by a separator (one regex pass)
+    s1 = df.withColumn("__j", joined_words(t))
+    j = F.col("__j")
+    # stage 2: the word arrays (each a text-level rewrite, then a split)
+    st2 = {"__w": split_joined(j)}
+    if {"flesch_kincaid_grade", "gunning_fog"} & set(wanted):
+        st2["__lj"] = rd.letters_joined(j)
+    if lex is not None:
+        st2["__cw"] = split_joined(se.clean_joined(j))
+    s2 = s1.withColumns(st2)
     w = F.col("__w")
     stage = {"__n": F.size(w)}
     if "bleu_score" in wanted:
-        stage["__m"] = bleu.match_counts(w, reference)
+        stage["__h"] = bleu.reference_hits(w, reference)
     if {"flesch_kincaid_grade", "gunning_fog"} & set(wanted):
         stage["__s"] = rd.sentence_count(t)
-        lws = F.transform(w, rd.letters)
-        stage["__syl"] = F.aggregate(lws, F.lit(0).cast("bigint"),
-                                     lambda acc, lw: acc + rd.syllables_of_letters(lw).cast("bigint"))
-        easy = F.array(*[F.lit(e) for e in sorted({e.lower() for e in easy_words})]).cast(
-            "array<string>")
-        stage["__hard"] = F.size(F.array_distinct(F.filter(
-            lws, lambda lw: (rd.syllables_of_letters(lw) >= rd.FOG_DIFFICULT_SYLLABLES)
-            & ~F.array_contains(easy, lw))))
+        stage["__mk"] = rd.syllable_marks_joined(F.col("__lj"))
     if "vocabulary_diversity" in wanted:
         stage["__d"] = F.size(F.array_distinct(w))
     if "profanity_check" in wanted:
         stage["__f"] = flagged_term_count(t, terms)
     if lex is not None:
-        stage["__sc"] = se.matched_scores(w, lex)
+        stage["__sc"] = se.matched_scores(w, lex, F.col("__cw"))
     for name in wanted:
         if name in _EXTRA_METRICS:
             stage[f"__x_{name}"] = _EXTRA_METRICS[name](t, w)
-    s2 = s1.withColumns(stage)
+    s3 = s2.withColumns(stage)
+    st4 = {}
+    if "bleu_score" in wanted:
+        st4["__m"] = bleu.match_counts(w, reference, F.col("__h"))
+    if {"flesch_kincaid_grade", "gunning_fog"} & set(wanted):
+        st4["__syl"] = rd.syllable_total_joined(F.col("__mk"))
+    if "gunning_fog" in wanted:
+        easy = sorted({e.lower() for e in easy_words})
+        st4["__hard"] = rd.hard_word_count(split_joined(F.col("__lj")),
+                                           rd.syllable_array(F.col("__mk")), easy)
+    s2 = s3.withColumns(st4) if st4 else s3
 
     n = F.col("__n")
     out: dict[str, Column] = {}

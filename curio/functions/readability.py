@@ -14,7 +14,8 @@ from typing import Iterable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from curio.functions.text import NON_WS_RUN, SENTENCE_END, words, _col
+from curio.functions.text import (WORD_SEP, WS_LIST, joined_words, split_joined, words,
+                                  _col)
 
 # --- fixed values -----------------------------------------------------------
 # Flesch-Kincaid grade: 0.39 * words/sentences + 11.8 * syllables/words - 15.59
@@ -27,9 +28,45 @@ FOG_DIFFICULT_SYLLABLES = 3
 VOWEL_GROUP = "[aeiouy]+"
 SILENT_E = "[^aeiouyl]e$"
 NON_LETTER = "[^a-z]"
+# Stands for a sentence terminator in the text-level sentence count; it is
+# itself a whitespace character, which the same ``translate`` maps to a space,
+# so after the mapping it can only come from a terminator.
+SENTENCE_MARK = "\x1c"
 # ---------------------------------------------------------------------------
 
 
+def letters_joined(joined: Column) -> Column:
+    """``joined_words`` text lower-cased with everything but a-z removed:
+    word i of the result is ``letters(word i)``."""
+    return F.regexp_replace(F.lower(joined), f"[^a-z{WORD_SEP}]+", "")
+
+
+def syllable_marks_joined(lj: Column) -> Column:
+    """From ``letters_joined``: word i becomes one ``V`` per syllable, so its
+    length is its syllable count. A silent final e (after a consonant other
+    than l) is upper-cased so it no longer counts as a vowel; a word with
+    letters but no counted vowel group becomes a single ``V`` (at least one
+    syllable); a word without letters stays empty (0 syllables)."""
+    marked = F.regexp_replace(lj, f"([^aeiouyl{WORD_SEP}])e({WORD_SEP}|$)", "$1E$2")
+    lone = F.regexp_replace(marked, f"(?<=^|{WORD_SEP})[^aeiouy{WORD_SEP}]+(?={WORD_SEP}|$)", "V")
+    return F.regexp_replace(F.regexp_replace(lone, VOWEL_GROUP, "V"), f"[^V{WORD_SEP}]+", "")
+
+
+def syllable_total_joined(marks: Column) -> Column:
+    """Total syllables of a text from ``syllable_marks_joined``."""
+    return F.regexp_count(marks, F.lit("V")).cast("bigint")
+
+
+def syllable_array(marks: Column) -> Column:
+    """Syllables per word from ``syllable_marks_joined``."""
+    return F.transform(split_joined(marks), F.length)
+
+
+def _syllables_of(text) -> tuple[Column, Column]:
+    lj = letters_joined(joined_words(text))
+    return split_joined(lj), syllable_marks_joined(lj)
+
+
 def letters(word: Column) -> Column:
     return F.regexp_replace(F.lower(word), NON_LETTER, "")
 
@@ -46,24 +83,38 @@ def syllables(word) -> Column:
 
 
 def syllable_total(text) -> Column:
-    return F.aggregate(words(text), F.lit(0).cast("bigint"),
-                       lambda acc, w: acc + syllables(w).cast("bigint"))
+    _, marks = _syllables_of(text)
+    return syllable_total_joined(marks)
 
 
 def sentence_count(text) -> Column:
-    chunks = F.split(F.coalesce(_col(text), F.lit("")), SENTENCE_END)
-    n = F.size(F.filter(chunks, lambda c: F.regexp_count(c, F.lit(NON_WS_RUN)) > 2))
+    """Chunks between runs of ``.!?`` holding more than two words, at least 1.
+    Text-level: whitespace becomes a space and each terminator a mark (one
+    ``translate``, no regex), every word run one ``w``, spaces are dropped --
+    a chunk's length is its word count (consecutive marks give empty chunks,
+    which never count)."""
+    t = F.translate(F.coalesce(_col(text), F.lit("")), WS_LIST + ".!?",
+                    " " * len(WS_LIST) + SENTENCE_MARK * 3)
+    t = F.regexp_replace(t, f"[^ {SENTENCE_MARK}]+", "w")
+    t = F.replace(t, F.lit(" "), F.lit(""))
+    n = F.size(F.filter(F.split(t, SENTENCE_MARK), lambda c: F.length(c) > 2))
     return F.greatest(F.lit(1), n).cast("bigint")
 
 
 def difficult_words(text, easy_words: Iterable[str] = ()) -> Column:
     """Distinct lower-cased words with at least 3 syllables, not in ``easy_words``."""
-    lws = F.transform(words(text), lambda w: letters(w))
+    lw, marks = _syllables_of(text)
+    return hard_word_count(lw, syllable_array(marks), easy_words)
+
+
+def hard_word_count(lw: Column, syl: Column, easy_words: Iterable[str] = ()) -> Column:
+    """Distinct letters-words with at least 3 syllables, not easy. ``lw`` and
+    ``syl`` are per-word arrays of equal length."""
     easy = sorted({e.lower() for e in easy_words})
     easy_arr = F.array(*[F.lit(e) for e in easy]).cast("array<string>")
-    hard = F.filter(lws, lambda lw: (syllables_of_letters(lw) >= FOG_DIFFICULT_SYLLABLES)
-                    & ~F.array_contains(easy_arr, lw))
-    return F.size(F.array_distinct(hard)).cast("bigint")
+    hard = F.zip_with(lw, syl, lambda a, n: F.when(
+        (n >= FOG_DIFFICULT_SYLLABLES) & ~F.array_contains(easy_arr, a), a))
+    return F.size(F.array_distinct(F.filter(hard, lambda x: x.isNotNull()))).cast("bigint")
 
 
 def flesch_kincaid_grade(text, round_outputs: bool = False) -> Column:

@@ -17,7 +17,7 @@ from typing import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from curio.functions.text import words, _col
+from curio.functions.text import WORD_SEP, words, _col
 
 # --- fixed values -----------------------------------------------------------
 NEGATIONS = ("not", "no", "never")
@@ -70,11 +70,18 @@ def lexicon_map(lexicon: Mapping[str, tuple[float, float]] | DataFrame | None =
                              F.array(*vals))
 
 
-def matched_scores(w: Column, lex: Column) -> Column:
+def clean_joined(joined: Column) -> Column:
+    """``joined_words`` text lower-cased with non-word characters removed:
+    word i of the result is ``clean_word(word i)``."""
+    return F.regexp_replace(F.lower(joined), f"[^\\p{{L}}\\p{{N}}_{WORD_SEP}]+", "")
+
+
+def matched_scores(w: Column, lex: Column, cw: Column | None = None) -> Column:
     """Array of ``struct(pol, subj)`` for the words found in ``lex``, with the
     negation rule applied to ``pol``. Each word is paired with its predecessor
-    by ``zip_with`` (one pass), and looked up once."""
-    cw = F.transform(w, clean_word)
+    by ``zip_with`` (one pass), and looked up once. ``cw`` may pass the
+    cleaned words (``split_joined(clean_joined(...))``)."""
+    cw = F.transform(w, clean_word) if cw is None else cw
     prev = F.concat(F.array(F.lit(None).cast("string")),
                     F.slice(cw, 1, F.greatest(F.size(cw) - 1, F.lit(0))))
     neg = F.array(*[F.lit(x) for x in NEGATIONS])

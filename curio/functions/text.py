@@ -21,6 +21,10 @@ from pyspark.sql import functions as F
 WS_CHARS = (r"\t\n\x0B\f\r \x1C-\x1F\x85\xA0\x{1680}\x{2000}-\x{200A}"
             r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}")
 WS_RUN = f"[{WS_CHARS}]+"
+# The same whitespace set as literal characters (for ``translate``).
+WS_LIST = ("\t\n\x0b\x0c\r \x1c\x1d\x1e\x1f\x85\xa0\u1680"
+           + "".join(chr(c) for c in range(0x2000, 0x200B))
+           + "\u2028\u2029\u202f\u205f\u3000")
 NON_WS_RUN = f"[^{WS_CHARS}]+"
 # A "word character" as in a Unicode ``\w``: letters, numbers, underscore.
 WORD_CHAR_RUN = r"[\p{L}\p{N}_]+"
@@ -30,6 +34,10 @@ DEFAULT_FLAGGED_TERMS = ("prison", "hate")
 SENTENCE_END = r"[.!?]+"
 # ASCII control characters that are not whitespace.
 UNPRINTABLE = r"[\x00-\x08\x0E-\x1F\x7F]"
+# Joins the words of a text for text-level rewriting: words never contain
+# whitespace, so one ASCII space separates them unambiguously (and keeps
+# ASCII texts on Spark's fast ASCII paths).
+WORD_SEP = " "
 # Checkpoint file name pattern: the number between ``ckpt_`` and ``.pt``.
 CHECKPOINT_NAME = r"ckpt_(.*?)\.pt"
 # ---------------------------------------------------------------------------
@@ -46,6 +54,20 @@ def words(text) -> Column:
                       F.array().cast("array<string>"))
 
 
+def joined_words(text) -> Column:
+    """The text with its ends stripped and every whitespace run replaced by
+    ``WORD_SEP``: a per-word rewrite can then run as one regex over the text
+    instead of one regex call per word."""
+    spaced = F.translate(F.coalesce(_col(text), F.lit("")), WS_LIST, " " * len(WS_LIST))
+    return F.regexp_replace(F.trim(spaced), " {2,}", WORD_SEP)
+
+
+def split_joined(joined: Column) -> Column:
+    """Inverse of ``joined_words``: one element per word, in order."""
+    return F.when(joined == "", F.array().cast("array<string>")).otherwise(
+        F.split(joined, WORD_SEP))
+
+
 def word_count(text) -> Column:
     return F.size(words(text)).cast("bigint")
 

@@ -18,3 +18,12 @@ def broadcast_if_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> Dat
     """Broadcast hint only behind a checked row bound; otherwise leave the
     join strategy to the optimizer (sort-merge / shuffle hash, AQE)."""
     return F.broadcast(df) if row_count_at_most(df, max_rows) else df
+
+
+def spread_small_input(df: DataFrame) -> DataFrame:
+    """Round-robin a scan that has fewer partitions than the cluster has task
+    slots (a small file with few row groups), so CPU-heavy per-row work uses
+    every core. Large inputs already have many splits and are left as they are
+    -- no shuffle is added at scale."""
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(slots) if df.rdd.getNumPartitions() < slots else df

@@ -17,11 +17,24 @@ FK, DIV = "flesch_kincaid_grade", "vocabulary_diversity"
 N_FILES = 4
 
 
-def _source(df, name, order_col):
+def _source(df, name, order_col, cluster_col=None):
+    """Copy ``df`` to a file source as ``N_FILES`` appends in ``order_col``
+    order (the file source takes files by modification time, so the appends
+    arrive in the order a log is written). With ``cluster_col`` the files of
+    one append hold disjoint keys, so their relative order does not matter to
+    per-key state."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.repartitionByRange(N_FILES, order_col).sortWithinPartitions(order_col) \
-        .write.mode("overwrite").parquet(path)
+    cuts = df.approxQuantile(order_col, [i / N_FILES for i in range(1, N_FILES)], 0.0)
+    bounds = [None] + sorted(set(cuts)) + [None]
+    for lo, hi in zip(bounds[:-1], bounds[1:]):
+        part = df
+        if lo is not None:
+            part = part.filter(F.col(order_col) > lo)
+        if hi is not None:
+            part = part.filter(F.col(order_col) <= hi)
+        part = part.repartition(N_FILES, cluster_col) if cluster_col else part
+        part.sortWithinPartitions(order_col).write.mode("append").parquet(path)
     return path, df.schema
 
 
@@ -57,7 +70,7 @@ r AS (SELECT run, iter, loss AS e FROM ev WHERE iter = 5
 SELECT ev.run, ev.iter, round(r.e, 6) AS ema FROM ev LEFT JOIN r ON ev.run = r.run AND ev.iter = r.iter""")
 def q_stream_ema(spark, sf):
     ev = table(spark, sf, "events").select(F.col("user_id").alias("run"), "event_id", "ts", "value")
-    src, schema = _source(ev, "log-src", "event_id")
+    src, schema = _source(ev, "log-src", "event_id", "run")
     e = st.stream_ema(st.read_stream(spark, src, schema, 1), "run", "ts", "event_id", "value")
     sink = scratch_path(spark, "ema-stream")
     st.run_available_now(e, sink, scratch_path(spark, "ckpt-ema"))
