@@ -134,22 +134,23 @@ def ema(df: DataFrame, run_col: str, iter_col: str, value_col: str, decay: float
     live = live.withColumn("__a", F.when(F.col("__j") == 0, F.col(value_col))
                            .otherwise((1 - q) * F.col(value_col)))
     live = live.withColumn("__b", F.floor(F.col("__j") / block).cast("bigint")) \
-        .withColumn("__l", (F.col("__j") % block).cast("int"))
+        .withColumn("__loc", (F.col("__j") % block).cast("int"))
     w = Window.partitionBy(run_col, "__b").orderBy("__j").rowsBetween(Window.unboundedPreceding, 0)
     live = live.withColumn(
-        "__L", F.pow(F.lit(q), F.col("__l"))
-        * F.sum(F.pow(F.lit(q), -F.col("__l")) * F.col("__a")).over(w))
-    ends = live.groupBy(run_col, "__b").agg(F.max_by("__L", "__j").alias("__T"))
+        "__blk_sum", F.pow(F.lit(q), F.col("__loc"))
+        * F.sum(F.pow(F.lit(q), -F.col("__loc")) * F.col("__a")).over(w))
+    ends = live.groupBy(run_col, "__b").agg(F.max_by("__blk_sum", "__j").alias("__end"))
     look = max(1, math.ceil(20 * math.log(10) / (block * -math.log(q))))
     wk = Window.partitionBy(run_col).orderBy("__b").rowsBetween(-look + 1, 0)
-    carry = ends.withColumn("__hist", F.collect_list(F.struct("__b", "__T")).over(wk))
-    carry = carry.select(
-        run_col, (F.col("__b") + 1).alias("__b"),
-        F.aggregate("__hist", F.lit(0.0), lambda acc, h: acc + F.pow(
-            F.lit(q), F.lit(block) * (F.col("__b") - h["__b"])) * h["__T"]).alias("__E"))
+    carry = ends.withColumn("__hist", F.collect_list(F.struct("__b", "__end")).over(wk))
+    # (computed under another name first: a select-list alias named like an
+    # input column would be picked up inside the lambda)
+    carry = carry.withColumn("__carry", F.aggregate("__hist", F.lit(0.0), lambda acc, h: acc + F.pow(
+        F.lit(q), F.lit(block) * (F.col("__b") - h["__b"])) * h["__end"]))
+    carry = carry.select(run_col, (F.col("__b") + 1).alias("__b"), "__carry")
     res = live.join(broadcast_if_small(carry), [run_col, "__b"], "left").withColumn(
-        out, F.col("__L") + F.pow(F.lit(q), F.col("__l") + 1) * F.coalesce("__E", F.lit(0.0)))
-    res = res.drop("__j", "__a", "__b", "__l", "__L", "__E")
+        out, F.col("__blk_sum") + F.pow(F.lit(q), F.col("__loc") + 1) * F.coalesce("__carry", F.lit(0.0)))
+    res = res.drop("__j", "__a", "__b", "__loc", "__blk_sum", "__carry")
     early = src.filter(F.col("__j") < 0).drop("__j").withColumn(out, F.lit(None).cast("double"))
     return res.unionByName(early)
 
