@@ -16,7 +16,8 @@ Instead:
    a literal array of prefix sums.
 
 Cost: a count, a sample, a per-bucket count (each reads only the key columns)
-and one shuffle of the rows.
+and one shuffle of the rows. The input is read four times: pass a scan or a
+materialised table (``checkpoint()``), not an expensive un-materialised plan.
 """
 
 from __future__ import annotations

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from curio.operators import ranking as rk
 from curio.operators._util import broadcast_if_small
 from curio.plans.registry import query
+from curio.session import ensure_checkpoint_dir
 from curio.sources import table
 
 TOPP = 0.5
@@ -31,7 +32,12 @@ def revenue(spark, sf):
 
 
 def shares(spark, sf):
-    return rk.group_softmax(revenue(spark, sf), "nation", "logit", TEMPERATURE, "p")
+    """Softmax shares, materialised once (reliable checkpoint in the shared
+    checkpoint folder): the ranking operators make several passes over them,
+    which would otherwise each re-run the three-table revenue join."""
+    ensure_checkpoint_dir(spark)
+    rev = revenue(spark, sf).checkpoint(eager=True)
+    return rk.group_softmax(rev, "nation", "logit", TEMPERATURE, "p").checkpoint(eager=True)
 
 
 _REV = """

@@ -163,3 +163,23 @@ FROM n""")
 def q_checkpoint_number(spark, sf):
     n = checkpoint_names(spark, sf)
     return n.select("event_id", "name", tx.checkpoint_number("name").alias("ckpt"))
+
+
+@query("register_metric", f"""
+WITH b AS (SELECT doc_id, {S.words('text')} AS w FROM documents)
+SELECT doc_id, round(CASE WHEN len(w) > 0 THEN list_sum(list_transform(w, lambda x: length(x))) / len(w)
+                     ELSE 0.0 END, 6) AS mean_word_length,
+       round(CASE WHEN len(w) > 0 THEN len(list_distinct(w)) / len(w) ELSE 0.0 END, 6) AS vocabulary_diversity
+FROM b""")
+def q_register_metric(spark, sf):
+    """K2: a user metric (mean word length) computed next to a built-in one."""
+    from curio.functions.metrics import register_metric, unregister_metric
+    register_metric("mean_word_length", lambda text, w: F.when(
+        F.size(w) > 0, F.aggregate(w, F.lit(0).cast("bigint"), lambda a, x: a + F.length(x))
+        / F.size(w)).otherwise(F.lit(0.0)))
+    try:
+        d = docs(spark, sf).select("doc_id", "text")
+        return score_texts(d, "text", metrics=["mean_word_length", "vocabulary_diversity"]) \
+            .select("doc_id", "mean_word_length", "vocabulary_diversity")
+    finally:
+        unregister_metric("mean_word_length")
