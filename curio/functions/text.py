@@ -48,7 +48,14 @@ def _col(c) -> Column:
 
 
 def words(text) -> Column:
-    """Whitespace tokens, no empty strings; null or empty text gives ``[]``."""
+    """Whitespace tokens, no empty strings; null or empty text gives ``[]``
+    (Python ``str.split()``). Whitespace is mapped to a space with
+    ``translate`` and runs collapsed, then split on the space."""
+    return split_joined(joined_words(text))
+
+
+def words_regex(text) -> Column:
+    """The same tokens by a regex split (kept as a cross-check)."""
     t = _col(text)
     return F.coalesce(F.filter(F.split(t, WS_RUN), lambda w: w != F.lit("")),
                       F.array().cast("array<string>"))

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from curio.operators._util import broadcast_if_small
-from curio.operators.positions import SortKey, asc, assign_positions, desc
+from curio.operators.positions import SortKey, asc, assign_positions, desc, rank_cut
 
 
 def _c(c) -> Column:
@@ -107,13 +107,20 @@ def dispatch_order(df: DataFrame, method: str | None, column: str | None = None,
 
 def train_valid_split(df: DataFrame, split: str = "train", id_col: str = "id",
                       train_fraction: float = 0.9, buckets=None) -> DataFrame:
-    """The first ``int(0.9 * n)`` rows in table order are ``train``; any
-    other split name means validation. Adds ``split_pos`` (table position)."""
-    pos = assign_positions(df, [], id_col, "split_pos", buckets)
+    """The first ``int(0.9 * n)`` rows in table (id) order are ``train``;
+    any other split name means validation. The split is a filter ``id < cut``
+    -- the cut id is found from bucket counts and one bucket, the rows are
+    never globally ordered."""
     n = df.count()
-    cut = int(train_fraction * n)
-    cond = F.col("split_pos") < cut if split == "train" else F.col("split_pos") >= cut
-    return pos.filter(cond)
+    pred = rank_cut(df, [], id_col, int(train_fraction * n), buckets)
+    if pred is None:
+        return df if split == "train" else df.limit(0)
+    return df.filter(pred) if split == "train" else df.filter(~pred)
+
+
+def split_positions(df: DataFrame, id_col: str = "id", buckets=None) -> DataFrame:
+    """Table positions (``split_pos``) of every row, for reporting the split."""
+    return assign_positions(df, [], id_col, "split_pos", buckets)
 
 
 def lookup_by_id(df: DataFrame, ids, id_col: str = "id") -> DataFrame:

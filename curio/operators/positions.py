@@ -57,6 +57,13 @@ def desc(c) -> SortKey:
 
 
 def _sort_tuple(df: DataFrame, keys: Sequence[SortKey], id_col: str) -> tuple[DataFrame, list[str]]:
+    t, names = sort_tuple(df, keys, id_col)
+    return df.withColumn("__t", t), names
+
+
+def sort_tuple(df: DataFrame, keys: Sequence[SortKey], id_col: str) -> tuple[Column, list[str]]:
+    """The struct ``(missing_1, key_1, ..., id)`` whose ascending order is the
+    requested order (NaN/null last, ties on the id)."""
     fields: dict[str, Column] = {}
     names: list[str] = []
     for i, k in enumerate(keys):
@@ -89,8 +96,7 @@ def _sort_tuple(df: DataFrame, keys: Sequence[SortKey], id_col: str) -> tuple[Da
         names += [f"m{i}", f"v{i}"]
     fields["id"] = F.col(id_col).cast("bigint")
     names.append("id")
-    t = F.struct(*[v.alias(k) for k, v in fields.items()])
-    return df.withColumn("__t", t), names
+    return F.struct(*[v.alias(k) for k, v in fields.items()]), names
 
 
 def _bucket_expr(cuts: list, tuple_type: T.StructType) -> Column:
@@ -175,3 +181,50 @@ def group_positions(df: DataFrame, group_cols: Sequence[str], keys: Sequence[Sor
     starts = p.groupBy(*group_cols).agg(F.min("__gp").alias("__start"))
     return p.join(broadcast_if_small(starts), list(group_cols)) \
         .withColumn(idx_col, F.col("__gp") - F.col("__start")).drop("__gp", "__start")
+
+
+def rank_cut(df: DataFrame, keys: Sequence[SortKey], id_col: str, k: int,
+             buckets: int | None = None) -> Column | None:
+    """A predicate selecting the rows at positions ``< k`` in the order
+    ``keys`` (then ``id_col``), or ``None`` when ``k >= n`` (every row).
+
+    Finds the sort tuple at rank ``k`` without ordering all rows: the
+    per-bucket counts locate the bucket holding rank ``k`` and a window runs
+    over that one bucket only. The result is a plain filter on the sort tuple
+    (for an id-only order: ``id < cut``), which pushes down to the scan."""
+    if k <= 0:
+        return F.lit(False)
+    spark = df.sparkSession
+    keyed, names = _sort_tuple(df, list(keys), id_col)
+    tuple_type = keyed.schema["__t"].dataType
+    n = keyed.count()
+    if k >= n:
+        return None
+    nb = bucket_count(spark, n, buckets)
+    cuts: list = []
+    if nb > 1:
+        want = nb * SAMPLES_PER_BUCKET
+        sample = (keyed.select("__t").sample(False, min(1.0, want * 1.2 / n), seed=SAMPLE_SEED)
+                  .limit(want * 2).collect())
+        tuples = sorted(tuple(r["__t"]) for r in sample)
+        if tuples:
+            step = len(tuples) / nb
+            cuts = sorted(set(tuples[min(len(tuples) - 1, int(round(step * j)))]
+                              for j in range(1, nb)))
+    with_b = keyed.select("__t", _bucket_expr(cuts, tuple_type).cast("int").alias("__b"))
+    counts = {r["__b"]: r["count"] for r in with_b.groupBy("__b").count().collect()} \
+        if cuts else {0: n}
+    seen = 0
+    for b in range(len(cuts) + 1):
+        c = counts.get(b, 0)
+        if seen + c > k:
+            break
+        seen += c
+    w = Window.partitionBy("__b").orderBy(*[F.col(f"__t.{x}") for x in names])
+    row = (with_b.filter(F.col("__b") == b).withColumn("__r", F.row_number().over(w))
+           .filter(F.col("__r") == k - seen + 1).select("__t").first())
+    if not keys:
+        return F.col(id_col).cast("bigint") < F.lit(row["__t"]["id"])
+    cut = F.struct(*[F.lit(v).cast(f.dataType).alias(f.name)
+                     for v, f in zip(tuple(row["__t"]), tuple_type.fields)])
+    return sort_tuple(df, keys, id_col)[0] < cut

@@ -43,7 +43,7 @@ def scored_documents(spark: SparkSession, sf: str, metrics=FLAGSHIP_METRICS,
 
 
 def ordered_train(scored: DataFrame, key: SortKey) -> DataFrame:
-    train = train_valid_split(scored, "train", "id").drop("split_pos")
+    train = train_valid_split(scored, "train", "id")
     return assign_positions(train, [key], "id", "pos")
 
 

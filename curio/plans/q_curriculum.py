@@ -89,7 +89,7 @@ def q_train_valid_split(spark, sf):
     d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"))
     tr = od.train_valid_split(d, "train", "id").withColumn("split", F.lit("train"))
     va = od.train_valid_split(d, "valid", "id").withColumn("split", F.lit("valid"))
-    return tr.unionByName(va)
+    return od.split_positions(tr.unionByName(va), "id")
 
 
 @query("lookup_by_id", """

@@ -142,3 +142,16 @@ def test_normalize_and_saturation(spark):
     assert n[("m", 5)] == 0.0 and n[("m", 10)] == 1.0 and n[("k", 5)] == 0.0
     sp = {r["metric"]: r["saturation_ckpt"] for r in cv.saturation_point(c, 0.05).collect()}
     assert sp == {"m": 15, "k": 5}
+
+
+@pytest.mark.parametrize("buckets", [None, 1, 6])
+def test_rank_cut_matches_positions(metric_frame, buckets):
+    from curio.operators.positions import rank_cut
+    rows, df = metric_frame
+    for k in (0, 1, 1234, len(rows) - 1, len(rows)):
+        for keys in ([], [asc("k")], [desc("k")]):
+            pred = rank_cut(df, keys, "id", k, buckets)
+            got = sorted(r["id"] for r in (df.filter(pred) if pred is not None else df).collect())
+            exp = sorted(_expected(rows, bool(keys) and keys[0].descending)[:k]) if keys \
+                else sorted(r[0] for r in rows)[:k]
+            assert got == exp, (k, keys)
