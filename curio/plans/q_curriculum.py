@@ -174,7 +174,7 @@ def q_cumulative_checkpoint_means(spark, sf):
 
 
 @query("attach_metadata", """
-SELECT d.doc_id, d.lang, l.quality, l.toxic FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""")
+SELECT d.doc_id, d.lang, CAST(l.quality AS BIGINT) AS quality, CAST(l.toxic AS BIGINT) AS toxic FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""")
 def q_attach_metadata(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", "lang")
     lb = table(spark, sf, "labels").select("doc_id", "quality", "toxic")

@@ -98,7 +98,7 @@ def q_quality_report(spark, sf):
 
 
 @query("add_bos_eos", f"""WITH {_TOK}
-SELECT doc_id, len(tokens) + 2 AS n, 1 AS first_id, 2 AS last_id FROM tok""")
+SELECT doc_id, len(tokens) + 2 AS n, CAST(1 AS BIGINT) AS first_id, CAST(2 AS BIGINT) AS last_id FROM tok""")
 def q_add_bos_eos(spark, sf):
     t = token_docs(spark, sf).select("doc_id", tk.add_bos_eos("tokens", 1, 2).alias("t"))
     return t.select("doc_id", F.size("t").alias("n"), F.element_at("t", 1).alias("first_id"),

@@ -54,7 +54,7 @@ def q_read_legacy_csv(spark, sf):
 
 
 @query("write_table", """
-SELECT lang AS run, count(*) AS n, sum(n_chars) AS n_chars FROM documents GROUP BY lang""")
+SELECT lang AS run, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS n_chars FROM documents GROUP BY lang""")
 def q_write_table(spark, sf):
     d = table(spark, sf, "documents").select(F.col("lang").alias("run"), "doc_id", "n_chars")
     path = scratch_path(spark, "runs")

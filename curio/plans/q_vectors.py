@@ -68,14 +68,15 @@ def q_cosine_similarity(spark, sf):
 
 
 @query("pairwise_similarity", f"""WITH {_centroid_sql('label')}
-SELECT a.label AS i, b.label AS j, round(list_dot_product(a.u, b.u), 6) AS cos FROM unit a JOIN unit b ON true""")
+SELECT CAST(a.label AS BIGINT) AS i, CAST(b.label AS BIGINT) AS j, round(list_dot_product(a.u, b.u), 6) AS cos
+FROM unit a JOIN unit b ON true""")
 def q_pairwise_similarity(spark, sf):
     c = vo.centroids(emb(spark, sf), ["label"], "embedding")
     return vo.pairwise_similarity(c, "label", "centroid")
 
 
 @query("similarity_matrix", f"""WITH {_centroid_sql('ckpt, label')}
-SELECT a.ckpt, a.label AS i, b.label AS j, round(list_dot_product(a.u, b.u), 6) AS cos
+SELECT a.ckpt, CAST(a.label AS BIGINT) AS i, CAST(b.label AS BIGINT) AS j, round(list_dot_product(a.u, b.u), 6) AS cos
 FROM unit a JOIN unit b ON a.ckpt = b.ckpt""")
 def q_similarity_matrix(spark, sf):
     c = vo.centroids(emb(spark, sf), ["ckpt", "label"], "embedding")
@@ -86,7 +87,7 @@ def q_similarity_matrix(spark, sf):
 e AS (SELECT label, count(DISTINCT ckpt) AS n_checkpoints FROM cen GROUP BY label),
 p AS (SELECT a.label, sum(list_dot_product(a.u, b.u)) AS s
       FROM unit a JOIN unit b ON a.label = b.label AND a.ckpt < b.ckpt GROUP BY a.label)
-SELECT e.label, e.n_checkpoints, round(coalesce(p.s, 0.0) / (e.n_checkpoints * (e.n_checkpoints - 1) / 2.0), 6)
+SELECT CAST(e.label AS BIGINT) AS label, e.n_checkpoints, round(coalesce(p.s, 0.0) / (e.n_checkpoints * (e.n_checkpoints - 1) / 2.0), 6)
        AS mean_cosine
 FROM e LEFT JOIN p ON e.label = p.label""")
 def q_cross_checkpoint_similarity(spark, sf):
@@ -124,7 +125,7 @@ def q_quantize_groups(spark, sf):
 
 @query("quantization_error", f"""WITH {_QUANT_SQL},
 v AS (SELECT vec_id, label, max(max_err) AS e FROM err GROUP BY vec_id, label)
-SELECT label, count(*) AS n_vectors, round(max(e), 6) AS max_err FROM v GROUP BY label""")
+SELECT CAST(label AS BIGINT) AS label, count(*) AS n_vectors, round(max(e), 6) AS max_err FROM v GROUP BY label""")
 def q_quantization_error(spark, sf):
     e = table(spark, sf, "embeddings").select("vec_id", "label", "embedding")
     dim = len(e.select("embedding").first()[0])
@@ -144,7 +145,7 @@ def attention_rows(spark, sf):
 
 
 @query("attention_slice", """
-SELECT label AS layer, vec_id % 4 AS head, CAST(floor(vec_id / 4) AS BIGINT) AS q_pos,
+SELECT CAST(label AS BIGINT) AS layer, vec_id % 4 AS head, CAST(floor(vec_id / 4) AS BIGINT) AS q_pos,
        CAST(u.i - 1 AS BIGINT) AS k_pos, round(CAST(embedding[u.i] AS DOUBLE), 6) AS w
 FROM embeddings, LATERAL (SELECT unnest(range(1, len(embedding) + 1)) AS i) u""")
 def q_attention_slice(spark, sf):
@@ -152,7 +153,7 @@ def q_attention_slice(spark, sf):
 
 
 @query("has_artifact", """
-SELECT vec_id, label FROM embeddings WHERE embedding IS NOT NULL AND len(embedding) > 0""")
+SELECT vec_id, CAST(label AS BIGINT) AS label FROM embeddings WHERE embedding IS NOT NULL AND len(embedding) > 0""")
 def q_has_artifact(spark, sf):
     e = table(spark, sf, "embeddings").select("vec_id", "label", "embedding")
     return vo.has_artifact(e, "embedding").select("vec_id", "label")

@@ -98,7 +98,8 @@ bleu AS (
 
 
 def lexicon_values(lexicon: dict) -> str:
-    rows = ", ".join(f"({q(k)}, {float(v[0])!r}, {float(v[1])!r})" for k, v in sorted(lexicon.items()))
+    rows = ", ".join(f"({q(k)}, CAST({float(v[0])!r} AS DOUBLE), CAST({float(v[1])!r} AS DOUBLE))"
+                     for k, v in sorted(lexicon.items()))
     return f"(VALUES {rows}) lx(word, polarity, subjectivity)"
 
 
