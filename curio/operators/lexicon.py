@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from curio.functions.sentiment import (DEFAULT_LEXICON, NEGATION_FACTOR, NEGATIONS,
                                        clean_word)
 from curio.functions.text import words
-from curio.operators._util import broadcast_if_small
+from curio.operators._util import broadcast_if_small, spread_small_input
 
 LEXICON_SCHEMA = "word string, polarity double, subjectivity double"
 
@@ -29,7 +29,7 @@ def lexicon_join(df: DataFrame, lexicon: DataFrame, key: str = "doc_id",
                  text: str = "text") -> DataFrame:
     """One row per matched word: ``(key, word_pos, word, polarity, subjectivity)``;
     polarity carries the negation rule (previous word not/no/never)."""
-    w = df.select(key, words(text).alias("w"))
+    w = spread_small_input(df.select(key, text)).select(key, words(text).alias("w"))
     ex = w.select(key, F.posexplode("w").alias("word_pos", "raw"), "w")
     prev = F.when(F.col("word_pos") > 0, F.element_at("w", F.col("word_pos")))
     ex = ex.select(key, F.col("word_pos").cast("bigint").alias("word_pos"),
