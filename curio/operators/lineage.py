@@ -17,7 +17,7 @@ from typing import Iterable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from curio.operators._util import broadcast_if_small
+from curio.operators._util import broadcast_if_small, row_count_at_most
 
 
 def _batches_at(n_ckpt: Column, G: int, include_prefetched: bool) -> Column:
@@ -92,23 +92,42 @@ def checkpoint_means(scored: DataFrame, membership: DataFrame, ckpts: DataFrame,
         .withColumn("n_rows", F.coalesce("n_rows", F.lit(0)).cast("bigint"))
 
 
+MAX_LITERAL_BLOCKS = 100_000
+
+
 def running_totals(df: DataFrame, order_col: str, value_cols: Sequence[str],
                    partition_cols: Sequence[str] = (), block: int = 100_000) -> DataFrame:
     """Running sums of ``value_cols`` along ``order_col`` within
     ``partition_cols``, in two levels so no single task sees all rows:
-    per-block totals (few rows) get a running sum, each row adds its block's
-    offset to a running sum inside its block. ``order_col`` must be a dense
-    non-negative integer rank (e.g. a checkpoint index)."""
+    per-block totals (few rows) give each block an offset, each row adds its
+    block's offset to a running sum inside its block. ``order_col`` must be a
+    dense non-negative integer rank (e.g. a checkpoint index). Without
+    partition columns the block offsets are prefix sums of the (bounded,
+    checked) block totals, passed as literals -- no single-partition window."""
     pc = list(partition_cols)
     b = F.floor(F.col(order_col) / F.lit(block)).cast("bigint")
     withb = df.withColumn("__blk", b)
     totals = withb.groupBy(*pc, "__blk").agg(*[F.sum(c).alias(f"__t_{c}") for c in value_cols])
-    wb = Window.partitionBy(*pc).orderBy("__blk").rowsBetween(Window.unboundedPreceding, -1)
-    offs = totals.select(*pc, "__blk", *[F.coalesce(F.sum(f"__t_{c}").over(wb), F.lit(0))
-                                         .alias(f"__o_{c}") for c in value_cols])
     wr = Window.partitionBy(*pc, "__blk").orderBy(order_col).rowsBetween(
         Window.unboundedPreceding, 0)
     inner = withb.select("*", *[F.sum(c).over(wr).alias(f"__r_{c}") for c in value_cols])
+    if not pc and row_count_at_most(totals, MAX_LITERAL_BLOCKS):
+        rows = {int(r["__blk"]): r for r in totals.collect()}
+        out = inner
+        if rows:
+            lo, hi = min(rows), max(rows)
+            for c in value_cols:
+                offs, run = [], 0
+                for blk in range(lo, hi + 1):      # dense: blocks of a dense rank
+                    offs.append(run)
+                    run = run + ((rows[blk][f"__t_{c}"] or 0) if blk in rows else 0)
+                arr = F.array(*[F.lit(o) for o in offs])
+                out = out.withColumn(f"cum_{c}", F.col(f"__r_{c}")
+                                     + F.element_at(arr, (F.col("__blk") - lo + 1).cast("int")))
+        return out.drop("__blk", *[f"__r_{c}" for c in value_cols])
+    wb = Window.partitionBy(*pc).orderBy("__blk").rowsBetween(Window.unboundedPreceding, -1)
+    offs = totals.select(*pc, "__blk", *[F.coalesce(F.sum(f"__t_{c}").over(wb), F.lit(0))
+                                         .alias(f"__o_{c}") for c in value_cols])
     out = inner.join(offs, [*pc, "__blk"])
     for c in value_cols:
         out = out.withColumn(f"cum_{c}", F.col(f"__r_{c}") + F.col(f"__o_{c}"))

@@ -155,3 +155,18 @@ def test_rank_cut_matches_positions(metric_frame, buckets):
             exp = sorted(_expected(rows, bool(keys) and keys[0].descending)[:k]) if keys \
                 else sorted(r[0] for r in rows)[:k]
             assert got == exp, (k, keys)
+
+
+@pytest.mark.parametrize("block", [1, 3, 100])
+@pytest.mark.parametrize("parts", [[], ["g"]])
+def test_running_totals_two_level(spark, block, parts):
+    rows = [(g, i, float(i % 7) - 2.0) for g in ("a", "b") for i in range(25)]
+    df = spark.createDataFrame(rows, "g string, k long, v double")
+    if not parts:
+        df = df.filter(F.col("g") == "a")
+    got = {(r["g"], r["k"]): r["cum_v"] for r in ln.running_totals(df, "k", ["v"], parts, block).collect()}
+    for g in (["a", "b"] if parts else ["a"]):
+        run = 0.0
+        for i in range(25):
+            run += float(i % 7) - 2.0
+            assert got[(g, i)] == pytest.approx(run)
