@@ -17,7 +17,7 @@ from typing import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from curio.functions.text import WORD_SEP, words, _col
+from curio.functions.text import WORD_SEP, words
 
 # --- fixed values -----------------------------------------------------------
 NEGATIONS = ("not", "no", "never")

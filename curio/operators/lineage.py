@@ -20,10 +20,6 @@ from pyspark.sql import functions as F
 from curio.operators._util import broadcast_if_small, row_count_at_most
 
 
-def _batches_at(n_ckpt: Column, G: int, include_prefetched: bool) -> Column:
-    return n_ckpt * G + (1 if include_prefetched else 0)
-
-
 def checkpoint_schedule(spark: SparkSession, n_rows: int, batch_size: int, grad_accum: int,
                         step: int, max_iter: int | None = None) -> DataFrame:
     """``(ckpt)`` for every checkpoint the run writes; built with

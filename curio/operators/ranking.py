@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from curio.operators._util import broadcast_if_small
 from curio.operators.lineage import running_totals
-from curio.operators.positions import asc, desc, group_positions
+from curio.operators.positions import desc, group_positions
 
 SALT_BUCKETS = 64
 RUN_BLOCK = 100_000

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from curio.functions.vectors import as_double, dot, l2_norm, l2_normalize
+from curio.functions.vectors import as_double, dot, l2_normalize
 from curio.operators._util import broadcast_if_small, row_count_at_most
 
 MAX_MATRIX_ITEMS = 4096
@@ -84,7 +84,8 @@ def cross_checkpoint_similarity(df: DataFrame, layer: str, ckpt: str, vec: str,
                                 n_paths: int | None = None) -> DataFrame:
     """Per layer, the mean cosine over all checkpoint pairs i < j, divided
     by E(E-1)/2 where E counts every checkpoint (zero vectors contribute 0).
-    ``df`` holds one vector per (layer, checkpoint)."""
+    ``df`` holds one vector per (layer, checkpoint) -- the original vectors,
+    or with ``pca_space`` the per-checkpoint 2-D coordinates."""
     u = df.select(layer, ckpt, l2_normalize(vec).alias("u"))
     e = u.groupBy(layer).agg(F.countDistinct(ckpt).alias("E"))
     if n_paths is not None:
@@ -163,17 +164,22 @@ def pca_2d(df: DataFrame, group_col: str, vec: str, id_col: str, k: int = 2) ->
 
 
 def pca_wide(elements: DataFrame, item: str = "item", pos: str = "pos", value: str = "value",
-             k: int = 2, block: int = WIDE_BLOCK, max_items: int = MAX_WIDE_ITEMS) -> DataFrame:
+             k: int = 2, block: int = WIDE_BLOCK, max_items: int = MAX_WIDE_ITEMS,
+             group_cols: Sequence[str] = ()) -> DataFrame:
     """PCA of few, very long vectors given as elements ``(item, pos,
-    value)`` (missing positions are 0). Dual form: the n x n Gram matrix is
-    summed from per-block partial products (a block holds ``n`` items x
-    ``block`` positions), centred, and eigen-decomposed; coordinates are
-    ``U * sqrt(lambda)``. ``n`` is checked against ``max_items``."""
-    items = elements.select(item).distinct()
-    if not row_count_at_most(items, max_items):
-        raise ValueError(f"more than {max_items} items for the dual PCA")
+    value)`` (missing positions are 0), fitted separately per ``group_cols``
+    (e.g. one fit per checkpoint). Dual form: the n x n Gram matrix is summed
+    from per-block partial products (a block holds ``n`` items x ``block``
+    positions), centred, and eigen-decomposed; coordinates are
+    ``U * sqrt(lambda)``, each component's largest entry positive. The number
+    of items per group is checked against ``max_items``."""
+    g = list(group_cols)
+    counts = elements.select(*g, item).distinct().groupBy(*g).count()
+    if not row_count_at_most(counts.filter(F.col("count") > max_items), 0):
+        raise ValueError(f"more than {max_items} items in a group for the dual PCA")
     itype = elements.schema[item].dataType.simpleString()
-    blk = elements.select(F.col(item).alias("item"), F.col(pos).cast("bigint").alias("pos"),
+    gschema = "".join(f"{c} {elements.schema[c].dataType.simpleString()}, " for c in g)
+    blk = elements.select(*g, F.col(item).alias("item"), F.col(pos).cast("bigint").alias("pos"),
                           F.col(value).cast("double").alias("value")) \
         .withColumn("blk", F.floor(F.col("pos") / block).cast("bigint"))
 
@@ -181,40 +187,47 @@ def pca_wide(elements: DataFrame, item: str = "item", pos: str = "pos", value: s
         m = pdf.pivot_table(index="item", columns="pos", values="value", aggfunc="sum",
                             fill_value=0.0)
         x = m.to_numpy(dtype=np.float64)
-        g = x @ x.T
+        gm = x @ x.T
         ids = list(m.index)
         a, b = np.meshgrid(np.arange(len(ids)), np.arange(len(ids)), indexing="ij")
-        return pd.DataFrame({"a": [ids[i] for i in a.ravel()], "b": [ids[i] for i in b.ravel()],
-                             "g": g.ravel()})
+        out = pd.DataFrame({"a": [ids[i] for i in a.ravel()], "b": [ids[i] for i in b.ravel()],
+                            "g": gm.ravel()})
+        for c in g:
+            out.insert(0, c, pdf[c].iloc[0])
+        return out
 
-    gram = blk.groupBy("blk").applyInPandas(gram_part, f"a {itype}, b {itype}, g double") \
-        .groupBy("a", "b").agg(F.sum("g").alias("g"))
+    gram = blk.groupBy(*g, "blk").applyInPandas(gram_part, f"{gschema}a {itype}, b {itype}, g double") \
+        .groupBy(*g, "a", "b").agg(F.sum("g").alias("g"))
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         ids = sorted(set(pdf["a"]) | set(pdf["b"]))
         ix = {v: i for i, v in enumerate(ids)}
         n = len(ids)
-        g = np.zeros((n, n))
-        g[pdf["a"].map(ix).to_numpy(), pdf["b"].map(ix).to_numpy()] = pdf["g"].to_numpy()
+        gm = np.zeros((n, n))
+        gm[pdf["a"].map(ix).to_numpy(), pdf["b"].map(ix).to_numpy()] = pdf["g"].to_numpy()
         j = np.eye(n) - np.ones((n, n)) / n
-        gc = j @ g @ j
-        w, u = np.linalg.eigh(gc)
+        w, u = np.linalg.eigh(j @ gm @ j)
         order = np.argsort(w)[::-1][:k]
         coords = np.zeros((n, k))
         for c, i in enumerate(order):
             col = u[:, i] * np.sqrt(max(w[i], 0.0))
             top = np.argmax(np.abs(col))
             coords[:, c] = col if col[top] >= 0 else -col
-        out = {"item": ids}
+        out = pd.DataFrame({"item": ids})
         for c in range(k):
             out[f"pc{c + 1}"] = coords[:, c]
-        return pd.DataFrame(out)
+        for c in reversed(g):
+            out.insert(0, c, pdf[c].iloc[0])
+        return out
 
-    schema = f"item {itype}, " + ", ".join(f"pc{c + 1} double" for c in range(k))
-    return gram.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(
-        lambda pdf: solve(pdf.drop(columns=["one"])), schema) \
-        .withColumnRenamed("item", item)
+    schema = f"{gschema}item {itype}, " + ", ".join(f"pc{c + 1} double" for c in range(k))
+    src = gram if g else gram.withColumn("__one", F.lit(1))
+    fn = solve if g else (lambda pdf: solve(pdf.drop(columns=["__one"])))
+    return src.groupBy(*(g or ["__one"])).applyInPandas(fn, schema).withColumnRenamed("item", item)
 
 
-def norms(df: DataFrame, vec: str) -> DataFrame:
-    return df.withColumn("norm", l2_norm(vec))
+def pca_space(elements: DataFrame, layer: str, ckpt: str, pos: str, value: str) -> DataFrame:
+    """The reference's space for C6: each checkpoint's layers placed in 2-D
+    by a PCA fitted on that checkpoint alone -> ``(layer, ckpt, coords)``."""
+    p = pca_wide(elements, layer, pos, value, group_cols=[ckpt])
+    return p.select(layer, ckpt, F.array("pc1", "pc2").alias("coords"))

@@ -147,3 +147,27 @@ def test_pairwise_similarity_is_symmetric(spark):
     assert m[(0, 1)] == pytest.approx(1 / math.sqrt(2)) and m[(1, 0)] == m[(0, 1)]
     with pytest.raises(ValueError):
         vo.pairwise_similarity(df, "k", "v", max_items=2)
+
+
+def test_pca_wide_per_group_and_pca_space(spark):
+    rng = np.random.default_rng(5)
+    rows = []
+    xs = {}
+    for ck in range(3):
+        x = rng.normal(size=(4, 20))
+        xs[ck] = x
+        rows += [(ck, layer, p, float(x[layer, p])) for layer in range(4) for p in range(20)]
+    el = spark.createDataFrame(rows, "ckpt int, layer int, pos long, value double")
+    got = vo.pca_wide(el, "layer", "pos", "value", block=6, group_cols=["ckpt"]).collect()
+    for ck, x in xs.items():
+        xc = x - x.mean(0)
+        u, s, vt = np.linalg.svd(xc, full_matrices=False)
+        proj = u[:, :2] * s[:2]
+        for c in range(2):
+            if proj[np.argmax(np.abs(proj[:, c])), c] < 0:
+                proj[:, c] *= -1
+        mine = sorted((r["layer"], r["pc1"], r["pc2"]) for r in got if r["ckpt"] == ck)
+        assert np.allclose(np.array([[a, b] for _, a, b in mine]), proj, atol=1e-6)
+    sp = vo.pca_space(el, "layer", "ckpt", "pos", "value")
+    c6 = vo.cross_checkpoint_similarity(sp, "layer", "ckpt", "coords").collect()
+    assert len(c6) == 4 and all(-1.0 <= r["mean_cosine"] <= 1.0 for r in c6)
