@@ -121,6 +121,22 @@ def _bucket_expr(cuts: list, tuple_type: T.StructType) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(depth)), zero, step)["lo"]
 
 
+def bucket_sizes(df: DataFrame, keys: Sequence[SortKey], id_col: str, buckets: int) -> list[int]:
+    """Rows per bucket that ``assign_positions`` would use (for checking the
+    balance under skew)."""
+    keyed, _ = _sort_tuple(df, list(keys), id_col)
+    tuple_type = keyed.schema["__t"].dataType
+    n = keyed.count()
+    want = buckets * SAMPLES_PER_BUCKET
+    sample = keyed.select("__t").sample(False, min(1.0, want * 1.2 / n), seed=SAMPLE_SEED) \
+        .limit(want * 2).collect()
+    tuples = sorted(tuple(r["__t"]) for r in sample)
+    step = len(tuples) / buckets
+    cuts = sorted(set(tuples[min(len(tuples) - 1, int(round(step * j)))] for j in range(1, buckets)))
+    b = keyed.select(_bucket_expr(cuts, tuple_type).alias("b")).groupBy("b").count().collect()
+    return [r["count"] for r in b]
+
+
 def bucket_count(spark, n: int, buckets: int | None = None) -> int:
     if buckets is not None:
         return max(1, int(buckets))
