@@ -16,7 +16,12 @@ def row_count_at_most(df: DataFrame, max_rows: int) -> bool:
 
 def broadcast_if_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
     """Broadcast hint only behind a checked row bound; otherwise leave the
-    join strategy to the optimizer (sort-merge / shuffle hash, AQE)."""
+    join strategy to the optimizer (sort-merge / shuffle hash, AQE).
+
+    The check runs a (limited) job, so use it for scans and small literal
+    tables. For a side derived from an expensive plan, join plainly: adaptive
+    execution measures the shuffled side at run time and switches to a
+    broadcast join when it is small, without computing the side twice."""
     return F.broadcast(df) if row_count_at_most(df, max_rows) else df
 
 

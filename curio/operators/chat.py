@@ -11,7 +11,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from curio.operators._util import broadcast_if_small
 
 # --- fixed values -----------------------------------------------------------
 SYSTEM_TEMPLATE = "[INST] <<SYS>>\n%s\n<</SYS>>\n\n%s [/INST]"
@@ -26,7 +25,7 @@ def render_chat_prompt(chat: DataFrame, conv: str = "conv_id", turn: str = "turn
         F.min_by(F.when(F.col(role) == "system", F.col(text)),
                  F.when(F.col(role) == "system", F.col(turn))).alias("__sys"),
         F.min(F.when(F.col(role) == "user", F.col(turn))).alias("__first_user"))
-    users = chat.filter(F.col(role) == "user").join(broadcast_if_small(facts), conv, "left")
+    users = chat.filter(F.col(role) == "user").join(facts, conv, "left")
     with_sys = (F.col(turn) == F.col("__first_user")) & F.col("__sys").isNotNull() \
         & (F.col("__sys") != "")
     prompt = F.when(with_sys, F.format_string(SYSTEM_TEMPLATE, F.col("__sys"), F.col(text))) \

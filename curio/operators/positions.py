@@ -184,19 +184,47 @@ def assign_positions(df: DataFrame, keys: Sequence[SortKey] = (), id_col: str =
     return out.drop("__t", "__b")
 
 
+MAX_LITERAL_GROUPS = 1_000_000
+
+
+def _group_sort_key(values):
+    """Python order of group keys matching the sort tuple: missing (null or
+    NaN) last, then the value (UTF-8 byte order = code point order)."""
+    out = []
+    for v in values:
+        missing = v is None or (isinstance(v, float) and v != v)
+        out.append((missing, 0 if missing else v))
+    return tuple(out)
+
+
 def group_positions(df: DataFrame, group_cols: Sequence[str], keys: Sequence[SortKey] = (),
                     id_col: str = "id", idx_col: str = "idx", buckets: int | None = None
                     ) -> DataFrame:
     """0-based index of each row inside its group, in ``keys`` order (then
-    ``id_col``). Built on the global positions, so a group holding a third of
-    all rows is still split over many tasks; the group start is a per-group
-    minimum (partial aggregation) joined back."""
-    from curio.operators._util import broadcast_if_small
-    gk = [asc(g) for g in group_cols] + list(keys)
+    ``id_col``). Built on the global positions over ``(group, keys, id)``, so
+    a group holding a third of all rows is still split over many tasks. A
+    group's start is the number of rows in the groups before it: per-group
+    counts (a partial aggregate of the input) summed on the driver when the
+    number of groups is within a checked bound; otherwise the minimum position
+    per group."""
+    from curio.operators._util import row_count_at_most
+    gc = list(group_cols)
+    gk = [asc(g) for g in gc] + list(keys)
     p = assign_positions(df, gk, id_col, "__gp", buckets)
-    starts = p.groupBy(*group_cols).agg(F.min("__gp").alias("__start"))
-    return p.join(broadcast_if_small(starts), list(group_cols)) \
-        .withColumn(idx_col, F.col("__gp") - F.col("__start")).drop("__gp", "__start")
+    counts = df.groupBy(*gc).count()
+    if row_count_at_most(counts, MAX_LITERAL_GROUPS):
+        rows = sorted(counts.collect(), key=lambda r: _group_sort_key([r[g] for g in gc]))
+        data, run = [], 0
+        for r in rows:
+            data.append(tuple(r[g] for g in gc) + (run,))
+            run += r["count"]
+        schema = T.StructType([df.schema[g] for g in gc] + [T.StructField("__start", T.LongType())])
+        starts = F.broadcast(df.sparkSession.createDataFrame(data, schema))
+    else:
+        starts = p.groupBy(*gc).agg(F.min("__gp").alias("__start"))
+    cond = [p[g].eqNullSafe(starts[g]) for g in gc]
+    j = p.join(starts, cond).select(p["*"], starts["__start"])
+    return j.withColumn(idx_col, F.col("__gp") - F.col("__start")).drop("__gp", "__start")
 
 
 def rank_cut(df: DataFrame, keys: Sequence[SortKey], id_col: str, k: int,

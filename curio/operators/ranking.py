@@ -2,7 +2,7 @@
 
 Groups can be very uneven (one group may hold a third of all rows), so
 group-level statistics are ``groupBy`` aggregates (combined map-side) joined
-back behind a checked broadcast, and ordered running sums use the two-level
+back (adaptive execution broadcasts them when they are small), and ordered running sums use the two-level
 scheme of ``running_totals`` over global positions -- never a window that
 puts a whole group in one task.
 """
@@ -12,7 +12,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from curio.operators._util import broadcast_if_small
 from curio.operators.lineage import running_totals
 from curio.operators.positions import desc, group_positions
 
@@ -25,9 +24,9 @@ def group_softmax(df: DataFrame, group: str, score: str, temperature: float = 1.
     """``exp(x/t - max) / sum`` within each group."""
     x = F.col(score) / F.lit(float(temperature))
     mx = df.groupBy(group).agg(F.max(x).alias("__m"))
-    e = df.join(broadcast_if_small(mx), group).withColumn("__e", F.exp(x - F.col("__m")))
+    e = df.join(mx, group).withColumn("__e", F.exp(x - F.col("__m")))
     z = e.groupBy(group).agg(F.sum("__e").alias("__z"))
-    return e.join(broadcast_if_small(z), group).withColumn(out, F.col("__e") / F.col("__z")) \
+    return e.join(z, group).withColumn(out, F.col("__e") / F.col("__z")) \
         .drop("__m", "__e", "__z")
 
 
@@ -78,7 +77,7 @@ def nucleus_filter(df: DataFrame, group: str, item: str, p: str, topp: float,
     src = df
     if crop:
         n = df.groupBy(group).agg(F.count(F.lit(1)).alias("__n"))
-        src = df.join(broadcast_if_small(n), group).filter(
+        src = df.join(n, group).filter(
             (F.col("__n") <= 1) | (F.col(p) >= (1.0 - topp) / (F.col("__n") - 1))).drop("__n")
     c = ordered_cumsum(src, group, [desc(p)], item, p)
     return c.filter(F.col("cum") - F.col(p) <= F.lit(topp))
@@ -108,5 +107,5 @@ def nucleus_sample(df: DataFrame, group: str, item: str, p: str, topp: float,
     kept items in descending-share order."""
     kept = nucleus_filter(df, group, item, p, topp)
     mass = kept.groupBy(group).agg(F.max("cum").alias("__mass"))
-    k = kept.join(broadcast_if_small(mass), group)
+    k = kept.join(mass, group)
     return _first_where(k, group, item, F.col(coin) * F.col("__mass") < F.col("cum"))

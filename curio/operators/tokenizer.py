@@ -169,11 +169,11 @@ def encode_texts(spark: SparkSession, docs: DataFrame, vocab: DataFrame, key: st
                  text: str = "text", add_bos: bool = True) -> DataFrame:
     """``(key, ids)``: distinct words encoded once, joined back by word,
     concatenated in word order (the join is the skew-prone step: a frequent
-    word is one key -- the encoded side is broadcast when its size is checked,
-    else adaptive skew-join splitting applies)."""
+    word is one key -- adaptive execution broadcasts the encoded side when it
+    is small, else splits the skewed partitions)."""
     ex = docs.select(key, F.posexplode(words(text)).alias("pos", "word"))
     enc = encode_words(spark, ex.select("word").distinct(), vocab)
-    j = ex.join(broadcast_if_small(enc), "word")
+    j = ex.join(enc, "word")
     per = j.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("pos", "ids"))).alias("parts"))
     ids = F.flatten(F.transform("parts", lambda p: p["ids"]))
     if add_bos:

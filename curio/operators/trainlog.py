@@ -15,7 +15,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from curio.functions.text import checkpoint_number
-from curio.operators._util import broadcast_if_small
 from curio.operators.positions import SortKey, group_positions
 
 # --- fixed values -----------------------------------------------------------
@@ -99,7 +98,7 @@ def best_so_far(df: DataFrame, run_col: str, iter_col: str, loss_col: str,
     blocks = b.groupBy(run_col, "__b").agg(F.min(loss_col).alias("__bm"))
     wp = Window.partitionBy(run_col).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     prev = blocks.select(run_col, "__b", F.min("__bm").over(wp).alias("__pm"))
-    return inner.join(broadcast_if_small(prev), [run_col, "__b"]).withColumn(
+    return inner.join(prev, [run_col, "__b"]).withColumn(
         out, F.least(F.col("__m"), F.coalesce(F.col("__pm"), F.col("__m")))) \
         .drop("__b", "__m", "__pm")
 
@@ -148,7 +147,7 @@ def ema(df: DataFrame, run_col: str, iter_col: str, value_col: str, decay: float
     carry = carry.withColumn("__carry", F.aggregate("__hist", F.lit(0.0), lambda acc, h: acc + F.pow(
         F.lit(q), F.lit(block) * (F.col("__b") - h["__b"])) * h["__end"]))
     carry = carry.select(run_col, (F.col("__b") + 1).alias("__b"), "__carry")
-    res = live.join(broadcast_if_small(carry), [run_col, "__b"], "left").withColumn(
+    res = live.join(carry, [run_col, "__b"], "left").withColumn(
         out, F.col("__blk_sum") + F.pow(F.lit(q), F.col("__loc") + 1) * F.coalesce("__carry", F.lit(0.0)))
     res = res.drop("__j", "__a", "__b", "__loc", "__blk_sum", "__carry")
     early = src.filter(F.col("__j") < 0).drop("__j").withColumn(out, F.lit(None).cast("double"))

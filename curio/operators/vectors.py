@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from curio.functions.vectors import as_double, dot, l2_normalize
-from curio.operators._util import broadcast_if_small, row_count_at_most
+from curio.operators._util import row_count_at_most
 
 MAX_MATRIX_ITEMS = 4096
 MAX_WIDE_ITEMS = 2048
@@ -70,8 +70,8 @@ def pairwise_similarity(items: DataFrame, key: str, vec: str,
     u = items.select(*g, F.col(key).alias("i"), l2_normalize(vec).alias("u")) \
         .filter(F.col("u").isNotNull())
     a = u.alias("a")
-    b = broadcast_if_small(u.select(*g, F.col("i").alias("j"), F.col("u").alias("v")),
-                           max_items).alias("b")
+    # the item count was checked above: a proven bound
+    b = F.broadcast(u.select(*g, F.col("i").alias("j"), F.col("u").alias("v"))).alias("b")
     cond = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in g] + [F.col("a.i") <= F.col("b.j")]
     tri = a.join(b, cond).select(*[F.col(f"a.{c}").alias(c) for c in g], "i", "j",
                                  dot(F.col("u"), F.col("v")).alias("cos"))
@@ -147,7 +147,7 @@ def pca_2d(df: DataFrame, group_col: str, vec: str, id_col: str, k: int = 2) ->
     axes = moments.groupBy("g").applyInPandas(
         solve, f"g {gtype}, mean array<double>, comps array<array<double>>")
     j = df.select(F.col(group_col).alias("g"), F.col(id_col).alias("id"), as_double(vec).alias("v")) \
-        .join(broadcast_if_small(axes), "g")
+        .join(axes, "g")
     centred = F.zip_with(F.col("v"), F.col("mean"), lambda a, b: a - b)
     proj = j.select("g", "id", *[dot(centred, F.element_at("comps", i + 1)).alias(f"pc{i + 1}")
                                  for i in range(k)])
@@ -156,7 +156,7 @@ def pca_2d(df: DataFrame, group_col: str, vec: str, id_col: str, k: int = 2) ->
         F.max_by(F.signum(F.col(f"pc{i + 1}")),
                  F.struct(F.abs(F.col(f"pc{i + 1}")), -F.col("id"))).alias(f"s{i + 1}")
         for i in range(k)])
-    out = proj.join(broadcast_if_small(signs), "g").select(
+    out = proj.join(signs, "g").select(
         F.col("g").alias(group_col), F.col("id").alias(id_col),
         *[(F.col(f"pc{i + 1}") * F.when(F.col(f"s{i + 1}") < 0, -1.0).otherwise(1.0))
           .alias(f"pc{i + 1}") for i in range(k)])

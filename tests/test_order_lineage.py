@@ -182,3 +182,14 @@ def test_hot_key_is_split_across_buckets(spark):
     sizes = bucket_sizes(df, [asc("k")], "id", 16)
     assert sum(sizes) == n and len(sizes) >= 12
     assert max(sizes) < 3 * n / 16
+
+
+def test_group_positions_null_and_nan_groups(spark):
+    rows = [(i, None if i % 4 == 0 else ("b" if i % 4 == 1 else "a"), float(i)) for i in range(20)]
+    df = spark.createDataFrame(rows, "id long, g string, v double")
+    out = group_positions(df, ["g"], [desc("v")], "id", "idx").collect()
+    assert len(out) == 20
+    for g in (None, "a", "b"):
+        ids = [r["id"] for r in sorted((r for r in out if r["g"] == g), key=lambda r: r["idx"])]
+        assert ids == sorted((i for i, gg, _ in rows if gg == g), reverse=True)
+        assert sorted(r["idx"] for r in out if r["g"] == g) == list(range(len(ids)))
