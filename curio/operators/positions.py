@@ -30,6 +30,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from curio.functions.timeutil import epoch_micros
+
 ROWS_PER_BUCKET = 2_000_000
 MAX_BUCKETS = 8192
 MIN_ROWS_PER_BUCKET = 64
@@ -80,7 +82,7 @@ def sort_tuple(df: DataFrame, keys: Sequence[SortKey], id_col: str) -> tuple[Col
         if isinstance(dtype, T.StringType):
             value = F.coalesce(c, F.lit(""))
         elif isinstance(dtype, (T.TimestampType, T.DateType, T.TimestampNTZType)):
-            ts = F.unix_micros(c.cast("timestamp"))
+            ts = epoch_micros(c, dtype)
             value = F.coalesce(-ts if k.descending else ts, F.lit(0).cast("bigint"))
         else:
             if isinstance(dtype, (T.DoubleType, T.FloatType)):

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from curio.functions.text import checkpoint_number
+from curio.functions.timeutil import epoch_micros
 from curio.operators.positions import SortKey, group_positions
 
 # --- fixed values -----------------------------------------------------------
@@ -110,8 +111,8 @@ def step_durations(df: DataFrame, run_col: str, iter_col: str, ts_col: str,
     prev = df.select(F.col(run_col), (F.col(iter_col) + 1).alias(iter_col),
                      F.col(ts_col).alias("__prev_ts"))
     j = df.join(prev, [run_col, iter_col], "left")
-    secs = (F.unix_micros(F.col(ts_col).cast("timestamp"))
-            - F.unix_micros(F.col("__prev_ts").cast("timestamp"))) / 1e6
+    dtype = df.schema[ts_col].dataType
+    secs = (epoch_micros(F.col(ts_col), dtype) - epoch_micros(F.col("__prev_ts"), dtype)) / 1e6
     return j.withColumn(out, secs).drop("__prev_ts")
 
 

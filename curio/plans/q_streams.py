@@ -49,7 +49,7 @@ def q_score_stream(spark, sf):
 
 
 @query("windowed_metrics", """
-SELECT strftime(time_bucket(INTERVAL 1 DAY, ts), '%Y-%m-%d %H:%M:%S') AS window_start, event_type,
+SELECT CAST(epoch(time_bucket(INTERVAL 1 DAY, ts)) AS BIGINT) AS window_start, event_type,
        round(avg(value), 6) AS mean_value, count(*) AS n FROM events GROUP BY 1, 2""")
 def q_windowed_metrics(spark, sf):
     ev = table(spark, sf, "events").select("event_id", "ts", "event_type", "value")
@@ -59,7 +59,7 @@ def q_windowed_metrics(spark, sf):
     sink = scratch_path(spark, "windows")
     st.run_available_now(w, sink, scratch_path(spark, "ckpt-windows"), "complete")
     return spark.read.parquet(sink).select(
-        F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"),
+        F.unix_seconds("window_start").alias("window_start"),
         "event_type", "mean_value", "n")
 
 

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from curio.functions.metrics import score_texts
+from curio.functions.timeutil import utc_instant
 from curio.operators.trainlog import EMA_DECAY, EMA_START
 
 
@@ -45,7 +46,7 @@ def windowed_metrics(stream: DataFrame, ts: str, keys: Sequence[str], value: str
                      ) -> DataFrame:
     """``(window_start, window_end, *keys, mean_value, n)`` per event-time
     window."""
-    s = stream.withColumn("__ts", F.col(ts).cast("timestamp"))
+    s = stream.withColumn("__ts", utc_instant(F.col(ts), stream.schema[ts].dataType))
     if watermark:
         s = s.withWatermark("__ts", watermark)
     w = F.window("__ts", window, slide) if slide else F.window("__ts", window)
