@@ -183,3 +183,14 @@ def q_register_metric(spark, sf):
             .select("doc_id", "mean_word_length", "vocabulary_diversity")
     finally:
         unregister_metric("mean_word_length")
+
+
+@query("lexicon_sentiment", f"""
+WITH {S.sentiment_ctes(se.DEFAULT_LEXICON)}
+SELECT doc_id, round(sentiment_score, 6) AS sentiment_score, round(subjectivity_score, 6) AS subjectivity_score
+FROM senti""")
+def q_lexicon_sentiment(spark, sf):
+    """H7/H8 through the join route used for lexicons too large for an
+    in-row map lookup (explode + size-checked broadcast join + aggregate)."""
+    return lexop.lexicon_sentiment(docs(spark, sf).select("doc_id", "text"),
+                                   lexop.lexicon_table(spark), key="doc_id")

@@ -172,3 +172,18 @@ def q_pca_wide(spark, sf):
     el = e.select("ckpt", "k", F.posexplode(vf.as_double("embedding")).alias("d", "value"))
     el = el.select(F.col("ckpt").alias("item"), (F.col("k") * 64 + F.col("d")).alias("pos"), "value")
     return vo.pca_wide(el, "item", "pos", "value")
+
+
+@query("dequantize_groups", f"""WITH {_QUANT_SQL},
+d AS (SELECT vec_id, k, list_transform(qv, lambda x: x * scale) AS dq FROM err)
+SELECT vec_id, round(sum(list_sum(dq)), 6) AS sum_dequantized,
+       round(max(list_max(list_transform(dq, lambda x: abs(x)))), 6) AS max_abs_dequantized
+FROM d GROUP BY vec_id""")
+def q_dequantize_groups(spark, sf):
+    """H20 inverse: ``q * scale`` per group, summarised per vector."""
+    e = table(spark, sf, "embeddings").select("vec_id", "embedding")
+    dim = len(e.select("embedding").first()[0])
+    dq = e.select("vec_id", vf.dequantize_groups(
+        vf.quantize_groups("embedding", dim, QUANT_GROUP)).alias("dq"))
+    return dq.select("vec_id", F.aggregate("dq", F.lit(0.0), lambda a, x: a + x).alias("sum_dequantized"),
+                     F.array_max(F.transform("dq", F.abs)).alias("max_abs_dequantized"))
