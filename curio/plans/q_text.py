@@ -79,7 +79,7 @@ WITH {S.text_stats_cte(terms=QUERY_TERMS)}, {S.bleu_ctes()}, {S.sentiment_ctes(s
 SELECT st.doc_id, round(bleu.bleu_score, 6) AS bleu_score, round({S.FK}, 6) AS flesch_kincaid_grade,
        round({S.FOG}, 6) AS gunning_fog, round({S.DIV}, 6) AS vocabulary_diversity,
        round(senti.subjectivity_score, 6) AS subjectivity_score,
-       round(senti.sentiment_score, 6) AS sentiment_score, round({S.PROF}, 6) AS profanity_check
+       round(senti.sentiment_score, 6) + 0.0 AS sentiment_score, round({S.PROF}, 6) AS profanity_check
 FROM st JOIN bleu ON st.doc_id = bleu.doc_id JOIN senti ON st.doc_id = senti.doc_id"""
 
 
@@ -90,7 +90,7 @@ def q_score_texts(spark, sf):
 
 
 @query("sentiment_score", f"""
-WITH {S.sentiment_ctes(se.DEFAULT_LEXICON)} SELECT doc_id, round(sentiment_score, 6) AS sentiment_score FROM senti""")
+WITH {S.sentiment_ctes(se.DEFAULT_LEXICON)} SELECT doc_id, round(sentiment_score, 6) + 0.0 AS sentiment_score FROM senti""")
 def q_sentiment(spark, sf):
     return docs(spark, sf).select("doc_id", se.sentiment_score("text").alias("sentiment_score"))
 
@@ -187,7 +187,7 @@ def q_register_metric(spark, sf):
 
 @query("lexicon_sentiment", f"""
 WITH {S.sentiment_ctes(se.DEFAULT_LEXICON)}
-SELECT doc_id, round(sentiment_score, 6) AS sentiment_score, round(subjectivity_score, 6) AS subjectivity_score
+SELECT doc_id, round(sentiment_score, 6) + 0.0 AS sentiment_score, round(subjectivity_score, 6) AS subjectivity_score
 FROM senti""")
 def q_lexicon_sentiment(spark, sf):
     """H7/H8 through the join route used for lexicons too large for an
