@@ -60,7 +60,7 @@ def lexicon_map(lexicon: Mapping[str, tuple[float, float]] | DataFrame | None =
         lexicon = DEFAULT_LEXICON
     if isinstance(lexicon, DataFrame):
         rows = lexicon.select("word", "polarity", "subjectivity").limit(max_entries + 1).collect()
-        if len(rows) > max_entries:
+        if len(rows) > max_entries:  # checked bound, one job
             raise ValueError("lexicon too large for a map lookup; use operators.lexicon")
         lexicon = {r["word"]: (r["polarity"], r["subjectivity"]) for r in rows}
     keys = sorted(lexicon)

@@ -17,7 +17,7 @@ from typing import Iterable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from curio.operators._util import broadcast_if_small, row_count_at_most
+from curio.operators._util import broadcast_if_small, collect_bounded
 
 
 def checkpoint_schedule(spark: SparkSession, n_rows: int, batch_size: int, grad_accum: int,
@@ -107,8 +107,9 @@ def running_totals(df: DataFrame, order_col: str, value_cols: Sequence[str],
     wr = Window.partitionBy(*pc, "__blk").orderBy(order_col).rowsBetween(
         Window.unboundedPreceding, 0)
     inner = withb.select("*", *[F.sum(c).over(wr).alias(f"__r_{c}") for c in value_cols])
-    if not pc and row_count_at_most(totals, MAX_LITERAL_BLOCKS):
-        rows = {int(r["__blk"]): r for r in totals.collect()}
+    bounded = collect_bounded(totals, MAX_LITERAL_BLOCKS) if not pc else None
+    if bounded is not None:
+        rows = {int(r["__blk"]): r for r in bounded}
         out = inner
         if rows:
             lo, hi = min(rows), max(rows)

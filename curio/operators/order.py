@@ -106,13 +106,14 @@ def dispatch_order(df: DataFrame, method: str | None, column: str | None = None,
 
 
 def train_valid_split(df: DataFrame, split: str = "train", id_col: str = "id",
-                      train_fraction: float = 0.9, buckets=None) -> DataFrame:
+                      train_fraction: float = 0.9, buckets=None, n: int | None = None
+                      ) -> DataFrame:
     """The first ``int(0.9 * n)`` rows in table (id) order are ``train``;
     any other split name means validation. The split is a filter ``id < cut``
     -- the cut id is found from bucket counts and one bucket, the rows are
     never globally ordered."""
-    n = df.count()
-    pred = rank_cut(df, [], id_col, int(train_fraction * n), buckets)
+    n = df.count() if n is None else n
+    pred = rank_cut(df, [], id_col, int(train_fraction * n), buckets, n)
     if pred is None:
         return df if split == "train" else df.limit(0)
     return df.filter(pred) if split == "train" else df.filter(~pred)

@@ -151,13 +151,15 @@ def bucket_count(spark, n: int, buckets: int | None = None) -> int:
 
 
 def assign_positions(df: DataFrame, keys: Sequence[SortKey] = (), id_col: str = "id",
-                     pos_col: str = "pos", buckets: int | None = None) -> DataFrame:
+                     pos_col: str = "pos", buckets: int | None = None,
+                     n: int | None = None) -> DataFrame:
     """Add ``pos_col`` = 0-based position of each row in the order
-    ``keys`` (then ``id_col``). ``id_col`` must be unique."""
+    ``keys`` (then ``id_col``). ``id_col`` must be unique. Pass ``n`` when the
+    row count is already known (saves a pass)."""
     spark = df.sparkSession
     keyed, names = _sort_tuple(df, list(keys), id_col)
     tuple_type = keyed.schema["__t"].dataType
-    n = keyed.count()
+    n = keyed.count() if n is None else n
     nb = bucket_count(spark, n, buckets)
     cuts: list = []
     if nb > 1:
@@ -209,13 +211,14 @@ def group_positions(df: DataFrame, group_cols: Sequence[str], keys: Sequence[Sor
     counts (a partial aggregate of the input) summed on the driver when the
     number of groups is within a checked bound; otherwise the minimum position
     per group."""
-    from curio.operators._util import row_count_at_most
+    from curio.operators._util import collect_bounded
     gc = list(group_cols)
     gk = [asc(g) for g in gc] + list(keys)
-    p = assign_positions(df, gk, id_col, "__gp", buckets)
-    counts = df.groupBy(*gc).count()
-    if row_count_at_most(counts, MAX_LITERAL_GROUPS):
-        rows = sorted(counts.collect(), key=lambda r: _group_sort_key([r[g] for g in gc]))
+    counts = collect_bounded(df.groupBy(*gc).count(), MAX_LITERAL_GROUPS)
+    n = sum(r["count"] for r in counts) if counts is not None else None
+    p = assign_positions(df, gk, id_col, "__gp", buckets, n)
+    if counts is not None:
+        rows = sorted(counts, key=lambda r: _group_sort_key([r[g] for g in gc]))
         data, run = [], 0
         for r in rows:
             data.append(tuple(r[g] for g in gc) + (run,))
@@ -230,7 +233,7 @@ def group_positions(df: DataFrame, group_cols: Sequence[str], keys: Sequence[Sor
 
 
 def rank_cut(df: DataFrame, keys: Sequence[SortKey], id_col: str, k: int,
-             buckets: int | None = None) -> Column | None:
+             buckets: int | None = None, n: int | None = None) -> Column | None:
     """A predicate selecting the rows at positions ``< k`` in the order
     ``keys`` (then ``id_col``), or ``None`` when ``k >= n`` (every row).
 
@@ -243,7 +246,7 @@ def rank_cut(df: DataFrame, keys: Sequence[SortKey], id_col: str, k: int,
     spark = df.sparkSession
     keyed, names = _sort_tuple(df, list(keys), id_col)
     tuple_type = keyed.schema["__t"].dataType
-    n = keyed.count()
+    n = keyed.count() if n is None else n
     if k >= n:
         return None
     nb = bucket_count(spark, n, buckets)

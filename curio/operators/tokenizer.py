@@ -5,8 +5,8 @@
 * ``train_bpe_vocab``: byte-pair merges learned on that table. Each round is a
   Spark aggregation of adjacent symbol pairs weighted by word counts; the best
   pair (highest count, then smallest pair) is applied to every word with a
-  column expression. Lineage is cut with a reliable checkpoint every few
-  rounds. ``pairs_per_round=1`` is exact BPE.
+  column expression. Lineage is cut every round by writing the symbol table
+  to the shared checkpoint folder. ``pairs_per_round=1`` is exact BPE.
 * ``encode_texts``: pieces never cross whitespace, so each *distinct* word is
   encoded once (an Arrow ``mapInPandas`` with the vocabulary broadcast) and
   the ids are joined back by word and re-assembled in word order: the corpus
@@ -28,8 +28,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from curio.functions.text import words
-from curio.operators._util import broadcast_if_small, row_count_at_most, spread_small_input
-from curio.session import ensure_checkpoint_dir
+from curio.operators._util import collect_bounded, spread_small_input
+from curio.session import ensure_checkpoint_dir, materialize
 
 # --- fixed values -----------------------------------------------------------
 SPACE_MARK = "▁"
@@ -73,7 +73,7 @@ def train_bpe_vocab(spark: SparkSession, texts: DataFrame, n_merges: int,
     that share no symbol (fewer Spark jobs, an approximation of BPE)."""
     ensure_checkpoint_dir(spark)
     wf = word_frequencies(texts, text)
-    sym = wf.select(_symbols(F.col("word")).alias("syms"), "n").checkpoint(eager=True)
+    sym = materialize(wf.select(_symbols(F.col("word")).alias("syms"), "n"), "bpe-symbols")
     base = sym.select(F.explode("syms").alias("c"), "n").groupBy("c").agg(
         F.sum("n").alias("n")).orderBy(F.desc("n"), "c").collect()
     merges: list[tuple[str, str]] = []
@@ -102,7 +102,7 @@ def train_bpe_vocab(spark: SparkSession, texts: DataFrame, n_merges: int,
             col = _apply_merge(col, a, b)
         sym = sym.select(col.alias("syms"), "n")
         if (r + 1) % CHECKPOINT_EVERY == 0:
-            sym = sym.checkpoint(eager=True)
+            sym = materialize(sym, "bpe-symbols")
     rows = [(i, s, 0.0, len(s.encode())) for i, s in enumerate(SPECIALS)]
     rows += [(BYTE_OFFSET + v, f"<0x{v:02X}>", 0.0, 1) for v in range(256)]
     nid = BYTE_OFFSET + 256
@@ -149,11 +149,11 @@ def encode_words(spark: SparkSession, distinct_words: DataFrame, vocab: DataFram
                  word_col: str = "word") -> DataFrame:
     """``(word, ids)`` for each distinct word; the vocabulary (checked size)
     travels as a broadcast variable."""
-    if not row_count_at_most(vocab, 10 * MAX_LOOKUP_VOCAB):
+    rows = collect_bounded(vocab.select("token_id", "piece", "score"), 10 * MAX_LOOKUP_VOCAB)
+    if rows is None:
         raise ValueError("vocabulary too large to broadcast")
     table = {r["piece"]: (int(r["token_id"]), float(r["score"]))
-             for r in vocab.select("token_id", "piece", "score").collect()
-             if r["token_id"] >= BYTE_OFFSET + 256}
+             for r in rows if r["token_id"] >= BYTE_OFFSET + 256}
     bv = spark.sparkContext.broadcast(table)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -189,9 +189,9 @@ def decode_tokens(tokens: DataFrame, vocab: DataFrame, ids_col: str = "ids",
     """Ids -> text. Byte pieces become raw bytes, the space mark a space,
     one leading space (the dummy prefix) is removed, specials are dropped;
     with ``strip_pad`` the pad/unknown id 0 is dropped instead of decoded."""
-    if not row_count_at_most(vocab, MAX_LOOKUP_VOCAB):
+    rows = collect_bounded(vocab.select("token_id", "piece"), MAX_LOOKUP_VOCAB)
+    if rows is None:
         raise ValueError("vocabulary too large for the in-row lookup")
-    rows = vocab.select("token_id", "piece").collect()
     size = max(r["token_id"] for r in rows) + 1
     pieces = [b""] * size
     for r in rows:

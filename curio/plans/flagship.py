@@ -18,7 +18,7 @@ from curio.operators.curves import normalize_minmax, to_long
 from curio.operators.lineage import checkpoint_schedule, cumulative_checkpoint_means
 from curio.operators.order import train_valid_split
 from curio.operators.positions import SortKey, asc, assign_positions
-from curio.session import ensure_checkpoint_dir
+from curio.session import materialize as materialize_table
 from curio.sources import table
 
 # --- fixed values -----------------------------------------------------------
@@ -31,26 +31,29 @@ FLAGSHIP_METRICS = ("flesch_kincaid_grade", "vocabulary_diversity")
 
 def scored_documents(spark: SparkSession, sf: str, metrics=FLAGSHIP_METRICS,
                      extra=(), materialize: bool = True, **kw) -> DataFrame:
-    """``(id, *extra, *metrics)`` per document. Materialised with a reliable
-    checkpoint in the shared checkpoint folder so that the several passes of
-    the ordering read the small scored table instead of re-scoring text."""
+    """``(id, *extra, *metrics)`` per document, materialised as Parquet in the
+    shared checkpoint folder: the several passes of the ordering read the
+    small scored table (only the columns each pass needs) instead of
+    re-scoring text."""
     d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text", *extra)
     s = score_texts(d, "text", metrics=metrics, **kw).drop("text")
     if materialize:
-        ensure_checkpoint_dir(spark)
-        s = s.checkpoint(eager=True)
+        s = materialize_table(s, "scored")
     return s
 
 
-def ordered_train(scored: DataFrame, key: SortKey) -> DataFrame:
-    train = train_valid_split(scored, "train", "id")
-    return assign_positions(train, [key], "id", "pos")
+def ordered_train(scored: DataFrame, key: SortKey) -> tuple[DataFrame, int]:
+    """Train rows with their position in ``key`` order, and their count
+    (``int(0.9 * n)``, known from the split -- no extra pass)."""
+    n = scored.count()
+    train = train_valid_split(scored, "train", "id", n=n)
+    n_train = int(0.9 * n)
+    return assign_positions(train, [key], "id", "pos", n=n_train), n_train
 
 
 def curriculum_means(spark: SparkSession, scored: DataFrame, key: SortKey,
                      metrics=FLAGSHIP_METRICS) -> DataFrame:
-    ordered = ordered_train(scored, key)
-    n_train = ordered.count()
+    ordered, n_train = ordered_train(scored, key)
     ckpts = checkpoint_schedule(spark, n_train, BATCH_SIZE, GRAD_ACCUM, EVAL_INTERVAL)
     return cumulative_checkpoint_means(ordered, ckpts, list(metrics), BATCH_SIZE, GRAD_ACCUM,
                                        EVAL_INTERVAL)

@@ -71,3 +71,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
         return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     os.makedirs(base, exist_ok=True)
     return tempfile.mkdtemp(prefix=f"{name}-", dir=base)
+
+
+def materialize(df, name: str):
+    """Cut lineage by writing ``df`` as Parquet under the shared checkpoint
+    folder and reading it back. Unlike an RDD checkpoint the result is
+    columnar: later passes that need a few columns (sort keys, ids) read only
+    those, and filters push down to the files."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
