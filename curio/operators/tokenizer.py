@@ -5,8 +5,8 @@
 * ``train_bpe_vocab``: byte-pair merges learned on that table. Each round is a
   Spark aggregation of adjacent symbol pairs weighted by word counts; the best
   pair (highest count, then smallest pair) is applied to every word with a
-  column expression. Lineage is cut every round by writing the symbol table
-  to the shared checkpoint folder. ``pairs_per_round=1`` is exact BPE.
+  column expression. Lineage is cut every round with a reliable checkpoint of
+  the symbol table in the shared checkpoint folder. ``pairs_per_round=1`` is exact BPE.
 * ``encode_texts``: pieces never cross whitespace, so each *distinct* word is
   encoded once (an Arrow ``mapInPandas`` with the vocabulary broadcast) and
   the ids are joined back by word and re-assembled in word order: the corpus
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from curio.functions.text import words
 from curio.operators._util import collect_bounded, spread_small_input
-from curio.session import ensure_checkpoint_dir, materialize
+from curio.session import ensure_checkpoint_dir
 
 # --- fixed values -----------------------------------------------------------
 SPACE_MARK = "▁"
@@ -73,7 +73,7 @@ def train_bpe_vocab(spark: SparkSession, texts: DataFrame, n_merges: int,
     that share no symbol (fewer Spark jobs, an approximation of BPE)."""
     ensure_checkpoint_dir(spark)
     wf = word_frequencies(texts, text)
-    sym = materialize(wf.select(_symbols(F.col("word")).alias("syms"), "n"), "bpe-symbols")
+    sym = wf.select(_symbols(F.col("word")).alias("syms"), "n").checkpoint(eager=True)
     base = sym.select(F.explode("syms").alias("c"), "n").groupBy("c").agg(
         F.sum("n").alias("n")).orderBy(F.desc("n"), "c").collect()
     merges: list[tuple[str, str]] = []
@@ -102,7 +102,7 @@ def train_bpe_vocab(spark: SparkSession, texts: DataFrame, n_merges: int,
             col = _apply_merge(col, a, b)
         sym = sym.select(col.alias("syms"), "n")
         if (r + 1) % CHECKPOINT_EVERY == 0:
-            sym = materialize(sym, "bpe-symbols")
+            sym = sym.checkpoint(eager=True)
     rows = [(i, s, 0.0, len(s.encode())) for i, s in enumerate(SPECIALS)]
     rows += [(BYTE_OFFSET + v, f"<0x{v:02X}>", 0.0, 1) for v in range(256)]
     nid = BYTE_OFFSET + 256

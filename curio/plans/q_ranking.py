@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from curio.operators import ranking as rk
 from curio.operators._util import broadcast_if_small
 from curio.plans.registry import query
-from curio.session import materialize
+from curio.session import ensure_checkpoint_dir
 from curio.sources import table
 
 TOPP = 0.5
@@ -32,11 +32,13 @@ def revenue(spark, sf):
 
 
 def shares(spark, sf):
-    """Softmax shares, materialised once as Parquet in the shared checkpoint
-    folder: the ranking operators make several passes over them, which would
-    otherwise each re-run the three-table revenue join."""
-    rev = materialize(revenue(spark, sf), "revenue")
-    return materialize(rk.group_softmax(rev, "nation", "logit", TEMPERATURE, "p"), "shares")
+    """Softmax shares, materialised once (a reliable checkpoint in the shared
+    checkpoint folder; every pass reads all of its few columns): the ranking
+    operators make several passes over them, which would otherwise each re-run
+    the three-table revenue join."""
+    ensure_checkpoint_dir(spark)
+    rev = revenue(spark, sf).checkpoint(eager=True)
+    return rk.group_softmax(rev, "nation", "logit", TEMPERATURE, "p").checkpoint(eager=True)
 
 
 _REV = """
