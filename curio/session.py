@@ -12,7 +12,9 @@ import tempfile
 
 from pyspark.sql import SparkSession
 
-# Defaults applied only when the key is not already configured.
+# Settings for a session this module creates; an already running session (a
+# cluster job, the round driver) is used as it is. The checkpoint folder is never
+# set here unless the session has none (see ensure_checkpoint_dir).
 _DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
@@ -21,6 +23,8 @@ _DEFAULTS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    # remove reliable-checkpoint files once their DataFrame is unreachable
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
