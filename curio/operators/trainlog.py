@@ -11,8 +11,10 @@ from __future__ import annotations
 import math
 from typing import Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from curio.functions.text import checkpoint_number
 from curio.functions.timeutil import epoch_micros
@@ -26,7 +28,10 @@ ITER_LINE = r"^(\d+) \| loss ([-\d.eE+]+) \| lr ([-\d.eE+]+) \| ([-\d.eE+]+)ms \
 EVAL_LINE = r"^step (\d+): train loss ([-\d.eE+]+), val loss ([-\d.eE+]+)$"
 ITER_FORMAT = "%d | loss %.4f | lr %e | %.2fms | mfu %.2f%%"
 EVAL_FORMAT = "step %d: train loss %.4f, val loss %.4f"
+# running value: EMA_DECAY * previous + EMA_WEIGHT * new (written as two
+# constants: 1 - 0.9 is not 0.1 in floating point)
 EMA_DECAY = 0.9
+EMA_WEIGHT = 0.1
 EMA_START = 5          # the running value starts at the 6th iteration of a process
 EMA_BLOCK = 1024
 # ---------------------------------------------------------------------------
@@ -117,29 +122,31 @@ def step_durations(df: DataFrame, run_col: str, iter_col: str, ts_col: str,
 
 
 def ema(df: DataFrame, run_col: str, iter_col: str, value_col: str, decay: float = EMA_DECAY,
-        start: int = EMA_START, block: int = EMA_BLOCK, out: str = "ema") -> DataFrame:
-    """``e = decay * e + (1 - decay) * x`` from iteration ``start`` on,
+        start: int = EMA_START, block: int = EMA_BLOCK, out: str = "ema",
+        weight: float = EMA_WEIGHT) -> DataFrame:
+    """``e = decay * e + weight * x`` from iteration ``start`` on,
     seeded by the first value; null before ``start``.
 
-    With ``a_0 = x_0`` and ``a_j = (1-decay) x_j``, ``e_j = sum_i decay^(j-i) a_i``.
-    Inside a block of ``block`` rows that is ``decay^l * running_sum(decay^-l_i a_i)``
-    (exponents bounded by the block). Earlier blocks enter through their end
-    values ``T_b``: ``E_b = sum_b' decay^(block*(b-b')) T_b'``, summed over the
-    blocks whose weight is still above 1e-20 (older ones are below double
-    precision)."""
+    The run is cut into blocks of ``block`` rows. Each block's end value with
+    no carry, ``T_b``, is a closed form inside the block (a running sum over
+    ``decay^-l`` weighted terms, exponents bounded by the block); the value
+    entering block ``b`` is ``E_{b-1} = sum_b' decay^(block*(b-1-b')) T_b'`` over
+    the blocks whose weight is still above 1e-20. The values inside a block are
+    then evaluated in sequence from that carry (an Arrow batch per block, at
+    most ``block`` rows), so they follow the recursion's own rounding; the
+    first block of a run is exactly the recursion."""
     q = decay
-    j = F.col(iter_col) - start
-    src = df.withColumn("__j", j)
+    src = df.withColumn("__j", F.col(iter_col) - start)
     live = src.filter(F.col("__j") >= 0)
     live = live.withColumn("__a", F.when(F.col("__j") == 0, F.col(value_col))
-                           .otherwise((1 - q) * F.col(value_col)))
+                           .otherwise(F.lit(weight) * F.col(value_col)))
     live = live.withColumn("__b", F.floor(F.col("__j") / block).cast("bigint")) \
         .withColumn("__loc", (F.col("__j") % block).cast("int"))
-    w = Window.partitionBy(run_col, "__b").orderBy("__j").rowsBetween(Window.unboundedPreceding, 0)
-    live = live.withColumn(
-        "__blk_sum", F.pow(F.lit(q), F.col("__loc"))
-        * F.sum(F.pow(F.lit(q), -F.col("__loc")) * F.col("__a")).over(w))
-    ends = live.groupBy(run_col, "__b").agg(F.max_by("__blk_sum", "__j").alias("__end"))
+    # block end values without carry (closed form, JVM side)
+    ends = live.groupBy(run_col, "__b").agg(F.sum(
+        F.pow(F.lit(q), F.lit(block - 1) - F.col("__loc")) * F.col("__a")).alias("__s"),
+        F.max("__loc").alias("__last"))
+    ends = ends.withColumn("__end", F.col("__s") * F.pow(F.lit(q), F.col("__last") - (block - 1)))
     look = max(1, math.ceil(20 * math.log(10) / (block * -math.log(q))))
     wk = Window.partitionBy(run_col).orderBy("__b").rowsBetween(-look + 1, 0)
     carry = ends.withColumn("__hist", F.collect_list(F.struct("__b", "__end")).over(wk))
@@ -148,9 +155,22 @@ def ema(df: DataFrame, run_col: str, iter_col: str, value_col: str, decay: float
     carry = carry.withColumn("__carry", F.aggregate("__hist", F.lit(0.0), lambda acc, h: acc + F.pow(
         F.lit(q), F.lit(block) * (F.col("__b") - h["__b"])) * h["__end"]))
     carry = carry.select(run_col, (F.col("__b") + 1).alias("__b"), "__carry")
-    res = live.join(carry, [run_col, "__b"], "left").withColumn(
-        out, F.col("__blk_sum") + F.pow(F.lit(q), F.col("__loc") + 1) * F.coalesce("__carry", F.lit(0.0)))
-    res = res.drop("__j", "__a", "__b", "__loc", "__blk_sum", "__carry")
+    seq = live.join(carry, [run_col, "__b"], "left").fillna(0.0, subset=["__carry"])
+    keep = [c for c in df.columns]
+    schema = T.StructType([df.schema[c] for c in keep] + [T.StructField(out, T.DoubleType())])
+
+    def run_block(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("__j")
+        e = float(pdf["__carry"].iloc[0])
+        vals = []
+        for a in pdf["__a"].to_numpy(dtype=float):
+            e = q * e + a
+            vals.append(e)
+        res = pdf[keep].copy()
+        res[out] = vals
+        return res
+
+    res = seq.groupBy(run_col, "__b").applyInPandas(run_block, schema)
     early = src.filter(F.col("__j") < 0).drop("__j").withColumn(out, F.lit(None).cast("double"))
     return res.unionByName(early)
 

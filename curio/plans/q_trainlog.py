@@ -79,7 +79,7 @@ def q_best_so_far(spark, sf):
 @query("ema", f"""WITH RECURSIVE {_EV},
 r AS (SELECT run, iter, loss AS e FROM ev WHERE iter = {tl.EMA_START}
       UNION ALL
-      SELECT ev.run, ev.iter, {tl.EMA_DECAY} * r.e + {1 - tl.EMA_DECAY} * ev.loss
+      SELECT ev.run, ev.iter, {tl.EMA_DECAY} * r.e + {tl.EMA_WEIGHT} * ev.loss
       FROM r JOIN ev ON ev.run = r.run AND ev.iter = r.iter + 1)
 SELECT ev.run, ev.iter, round(r.e, 6) AS ema FROM ev LEFT JOIN r ON ev.run = r.run AND ev.iter = r.iter""")
 def q_ema(spark, sf):

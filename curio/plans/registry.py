@@ -31,6 +31,17 @@ def query(name: str, sql: str | None = None):
     return deco
 
 
+def round_digits(c, digits: int = 6):
+    """Round a double to ``digits`` places as ``sign * floor(|x * 10^d| + 0.5)
+    / 10^d``: half away from zero on the binary value, the rule the SQL oracle
+    engine applies, so ties at the next digit round the same way on both
+    sides. Negative zero becomes zero; huge values pass through."""
+    scale = float(10 ** digits)
+    v = c.cast("double") * F.lit(scale)
+    r = F.signum(v) * F.floor(F.abs(v) + F.lit(0.5)) / F.lit(scale) + F.lit(0.0)
+    return F.when(F.abs(v) < F.lit(1e15), r).otherwise(c.cast("double"))
+
+
 def finish(df: DataFrame, digits: int = 6) -> DataFrame:
     """Last projection of a registered query: integers as bigint, floating
     values rounded to ``digits`` places (float sums depend on order)."""
@@ -40,10 +51,10 @@ def finish(df: DataFrame, digits: int = 6) -> DataFrame:
         if isinstance(f.dataType, (T.IntegerType, T.ShortType, T.ByteType)):
             c = c.cast("bigint")
         elif isinstance(f.dataType, (T.DoubleType, T.FloatType, T.DecimalType)):
-            c = F.round(c.cast("double"), digits)
+            c = round_digits(c, digits)
         elif isinstance(f.dataType, T.ArrayType) and isinstance(
                 f.dataType.elementType, (T.DoubleType, T.FloatType)):
-            c = F.transform(c, lambda x: F.round(x.cast("double"), digits))
+            c = F.transform(c, lambda x: round_digits(x, digits))
         elif isinstance(f.dataType, T.ArrayType) and isinstance(
                 f.dataType.elementType, (T.IntegerType, T.ShortType, T.ByteType)):
             c = c.cast("array<bigint>")

@@ -25,7 +25,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from curio.functions.metrics import score_texts
 from curio.functions.timeutil import utc_instant
-from curio.operators.trainlog import EMA_DECAY, EMA_START
+from curio.operators.trainlog import EMA_DECAY, EMA_START, EMA_WEIGHT
 
 
 def read_stream(spark: SparkSession, path: str, schema, max_files_per_trigger: int | None = None
@@ -57,7 +57,8 @@ def windowed_metrics(stream: DataFrame, ts: str, keys: Sequence[str], value: str
 
 
 def stream_ema(stream: DataFrame, run: str, ts: str, id_col: str, value: str,
-               decay: float = EMA_DECAY, start: int = EMA_START) -> DataFrame:
+               decay: float = EMA_DECAY, start: int = EMA_START,
+               weight: float = EMA_WEIGHT) -> DataFrame:
     """``(run, iter, ema)`` per incoming row; ``iter`` counts the run's rows
     in (ts, id) order across micro-batches. Rows are expected in order across
     batches (a training log is appended in order)."""
@@ -69,7 +70,7 @@ def stream_ema(stream: DataFrame, run: str, ts: str, id_col: str, value: str,
         iters, emas = [], []
         for x in pdf[value].to_numpy():
             if it >= start:
-                e = x if not started else decay * e + (1 - decay) * x
+                e = x if not started else decay * e + weight * x
                 started = True
                 emas.append(e)
             else:

@@ -16,7 +16,7 @@ def python_ema(xs, start=5, q=0.9):
     out, e, started = [], None, False
     for i, x in enumerate(xs):
         if i >= start:
-            e = x if not started else q * e + (1 - q) * x
+            e = x if not started else q * e + 0.1 * x
             started = True
             out.append(e)
         else:
