@@ -11,7 +11,6 @@ from __future__ import annotations
 import math
 from typing import Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -132,9 +131,10 @@ def ema(df: DataFrame, run_col: str, iter_col: str, value_col: str, decay: float
     ``decay^-l`` weighted terms, exponents bounded by the block); the value
     entering block ``b`` is ``E_{b-1} = sum_b' decay^(block*(b-1-b')) T_b'`` over
     the blocks whose weight is still above 1e-20. The values inside a block are
-    then evaluated in sequence from that carry (an Arrow batch per block, at
-    most ``block`` rows), so they follow the recursion's own rounding; the
-    first block of a run is exactly the recursion."""
+    then evaluated in sequence from that carry (rows hash-partitioned by
+    ``(run, block)``, sorted, one Arrow pass per partition), so they follow the
+    recursion's own rounding; the first block of a run is exactly the
+    recursion."""
     q = decay
     src = df.withColumn("__j", F.col(iter_col) - start)
     live = src.filter(F.col("__j") >= 0)
@@ -159,18 +159,24 @@ def ema(df: DataFrame, run_col: str, iter_col: str, value_col: str, decay: float
     keep = [c for c in df.columns]
     schema = T.StructType([df.schema[c] for c in keep] + [T.StructField(out, T.DoubleType())])
 
-    def run_block(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("__j")
-        e = float(pdf["__carry"].iloc[0])
-        vals = []
-        for a in pdf["__a"].to_numpy(dtype=float):
-            e = q * e + a
-            vals.append(e)
-        res = pdf[keep].copy()
-        res[out] = vals
-        return res
-
-    res = seq.groupBy(run_col, "__b").applyInPandas(run_block, schema)
+    def run_blocks(batches):
+        # rows arrive sorted by (run, block, j); the recursion restarts from the
+        # block's carry whenever (run, block) changes -- also across batches
+        key, e = None, 0.0
+        for pdf in batches:
+            runs = pdf[run_col].tolist()
+            blocks = pdf["__b"].tolist()
+            carries = pdf["__carry"].tolist()
+            vals = []
+            for r, b, c, a in zip(runs, blocks, carries, pdf["__a"].tolist()):
+                if (r, b) != key:
+                    key, e = (r, b), c
+                e = q * e + a
+                vals.append(e)
+            yield pdf[keep].assign(**{out: vals})
+
+    res = seq.repartition(run_col, "__b").sortWithinPartitions(run_col, "__b", "__j") \
+        .mapInPandas(run_blocks, schema)
     early = src.filter(F.col("__j") < 0).drop("__j").withColumn(out, F.lit(None).cast("double"))
     return res.unionByName(early)
 
