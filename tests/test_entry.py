@@ -31,3 +31,18 @@ def test_oracle_matches_on_small_tables(spark):
         oc, orr = rows_of(con.execute(E.oracle_sql()[name]).df())
         assert sc == oc, name
         assert sr == orr, name
+
+
+def test_query_rounding_matches_oracle_engine_on_ties(spark):
+    """Values with a tie at the seventh decimal (k/128, k/640) round the same
+    way in the registered queries' last projection and in the SQL engine."""
+    import duckdb
+    from pyspark.sql import functions as F
+    from curio.plans.registry import round_digits
+    vals = [k / 128 for k in range(-300, 300)] + [k / 640 for k in range(1, 700)] + [-1e-9, 0.0]
+    df = spark.createDataFrame([(float(v),) for v in vals], "x double")
+    got = [r["r"] for r in df.select(round_digits(F.col("x")).alias("r")).collect()]
+    con = duckdb.connect()
+    exp = [r[0] for r in con.execute("SELECT round(x, 6) + 0.0 FROM (SELECT unnest(?::DOUBLE[]) AS x)",
+                                     [vals]).fetchall()]
+    assert got == exp
