@@ -32,3 +32,18 @@ def test_positions_and_rank_cut_match_python_sort(spark, keys, descending, bucke
     pred = rank_cut(df, [key], "id", k, buckets)
     got = sorted(r["id"] for r in (df.filter(pred) if pred is not None else df).collect())
     assert got == sorted(exp[:k])
+
+
+WORDS = st.sampled_from(["Once", "upon", "a", "time,", "there", "was", "little", "girl",
+                         "named", "Lily...", "Bob", "cat", "a"])
+
+
+@settings(max_examples=6, deadline=None, suppress_health_check=list(HealthCheck))
+@given(texts=st.lists(st.lists(WORDS, min_size=0, max_size=25), min_size=1, max_size=15))
+def test_bleu_expression_matches_python_rules(spark, texts):
+    from curio.functions.bleu import bleu_reference_value, with_bleu
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "id long, text string")
+    got = {r["id"]: r["bleu_score"] for r in with_bleu(df).collect()}
+    for i, t in rows:
+        assert math.isclose(got[i], bleu_reference_value(t), rel_tol=1e-12, abs_tol=1e-15)
