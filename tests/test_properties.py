@@ -47,3 +47,21 @@ def test_bleu_expression_matches_python_rules(spark, texts):
     got = {r["id"]: r["bleu_score"] for r in with_bleu(df).collect()}
     for i, t in rows:
         assert math.isclose(got[i], bleu_reference_value(t), rel_tol=1e-12, abs_tol=1e-15)
+
+
+@settings(max_examples=6, deadline=None, suppress_health_check=list(HealthCheck))
+@given(xs=st.lists(st.floats(-100, 100, allow_nan=False), min_size=1, max_size=80),
+       block=st.integers(1, 20))
+def test_blockwise_ema_matches_recursion(spark, xs, block):
+    from curio.operators.trainlog import ema
+    df = spark.createDataFrame([("r", i, x) for i, x in enumerate(xs)],
+                               "run string, iter long, x double")
+    got = {r["iter"]: r["ema"] for r in ema(df, "run", "iter", "x", block=block).collect()}
+    e, started = None, False
+    for i, x in enumerate(xs):
+        if i < 5:
+            assert got[i] is None
+            continue
+        e = x if not started else 0.9 * e + 0.1 * x
+        started = True
+        assert math.isclose(got[i], e, rel_tol=1e-9, abs_tol=1e-9)
