@@ -128,3 +128,14 @@ def test_bpe_round_trip(spark):
     # a merged piece is used: fewer ids than characters
     ids0 = [r["ids"] for r in enc.collect() if r["doc_id"] == 0][0]
     assert len(ids0) < len("the cat the hat") + 1
+
+
+def test_bpe_several_pairs_per_round_round_trips(spark):
+    docs = spark.createDataFrame([(0, "low lower lowest newer wider"), (1, "new newest low")],
+                                 "doc_id long, text string")
+    vocab = train_bpe_vocab(spark, docs, 6, pairs_per_round=3)
+    merged = [r["piece"] for r in vocab.filter("score < 0 AND token_id >= 259").orderBy(
+        "token_id").collect()]
+    assert len(merged) >= 6
+    dec = {r["doc_id"]: r["text"] for r in decode_tokens(encode_texts(spark, docs, vocab), vocab).collect()}
+    assert dec == {0: "low lower lowest newer wider", 1: "new newest low"}
