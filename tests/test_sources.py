@@ -43,3 +43,19 @@ def test_materialize_and_bounded_collect(spark):
     m = materialize(df, "t-mat")
     assert sorted(r["y"] for r in m.collect()) == [2 * i for i in range(10)]
     assert collect_bounded(df, 10) is not None and collect_bounded(df, 9) is None
+
+
+def test_quality_operators_on_fixture(spark):
+    from curio.operators import quality as ql
+    a = spark.createDataFrame([(1, 0.5, [1, 2, 3, 4, 5]), (2, float("nan"), [1]), (2, None, []),
+                               (3, 0.1, None)], "id long, m double, tokens array<int>")
+    b = spark.createDataFrame([(1,), (3,), (4,)], "id long")
+    r = ql.reconcile_ids(a, b, "id").first()
+    assert (r["n_a"], r["n_b"], r["only_in_a"], r["only_in_b"]) == (4, 3, 1, 1)
+    nulls = {x["column"]: x["n_null"] for x in ql.null_counts(a, ["id", "m", "tokens"]).collect()}
+    assert nulls == {"id": 0, "m": 2, "tokens": 1}
+    assert sorted(x["key"] for x in ql.duplicate_keys(a, "id").collect()) == [2]
+    rep = {x["check"]: x["n_bad"] for x in ql.quality_report({
+        "short": ql.short_sequences(a.filter("tokens IS NOT NULL")),
+        "missing": ql.missing_values(a, ["m", "tokens"])}).collect()}
+    assert rep == {"short": 2, "missing": 3}
