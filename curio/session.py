@@ -7,8 +7,8 @@ laptop test and a 1000-executor job build the same plans.
 
 from __future__ import annotations
 
-import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -50,39 +50,49 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    On a cluster this is set by the cluster (a shared file system path). Only
-    when it is unset -- a local test session -- do we pick a scratch folder.
+    On a cluster this is set by the cluster (a shared file system path); an
+    unset folder there is an error, since a folder of the driver's machine
+    cannot be read by the executors. Only a local session (tests, a laptop),
+    where driver and executors are one process, gets a scratch folder.
     """
     sc = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
         "spark.checkpoint.dir", None)
-    if configured:
-        if sc.getCheckpointDir() is None:
-            sc.setCheckpointDir(configured)
-        return configured
-    local = tempfile.mkdtemp(prefix="curio-ckpt-")
-    sc.setCheckpointDir(local)
-    spark.conf.set("spark.checkpoint.dir", local)
-    return local
+    if not configured:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        configured = tempfile.mkdtemp(prefix="curio-ckpt-")
+        spark.conf.set("spark.checkpoint.dir", configured)
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(configured)
+    return configured
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh folder under the shared checkpoint folder for written tables."""
-    base = ensure_checkpoint_dir(spark)
-    base = base[len("file:"):] if base.startswith("file:") else base
-    if "://" in base:
-        import uuid
-        return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    os.makedirs(base, exist_ok=True)
-    return tempfile.mkdtemp(prefix=f"{name}-", dir=base)
+    """A fresh folder name under the shared checkpoint folder for a written
+    table. Spark's writer makes the folder, on whatever store the path names."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def materialize(df, name: str):
     """Cut lineage by writing ``df`` as Parquet under the shared checkpoint
     folder and reading it back. Unlike an RDD checkpoint the result is
     columnar: later passes that need a few columns (sort keys, ids) read only
-    those, and filters push down to the files."""
+    those, and filters push down to the files. ``discard`` removes the files."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(df) -> None:
+    """Delete the files of a table that ``materialize`` wrote, once nothing
+    reads it any more. Paths outside the checkpoint folder are left alone."""
+    spark = df.sparkSession
+    base = ensure_checkpoint_dir(spark).rstrip("/").split(":", 1)[-1].lstrip("/")
+    jvm = spark._jvm
+    folders = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
+    for folder in folders:
+        if base and f"/{base}/" in folder.replace("///", "/"):
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
