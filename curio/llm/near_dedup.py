@@ -41,6 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from curio.llm.banding import confirm_by_sets, ends_of, linked
 from curio.llm.common import WordHash, list_array, ship, shingle_hashes, sliced, texts_of, word_hashes
 from curio.llm.components import connected_components
 from curio.session import discard, materialize
@@ -127,10 +128,6 @@ def shingle_rows(docs: DataFrame, width: int = WORDS) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, shingles array<long>")
 
 
-def _size_ok(n_a, n_b, percent: int):
-    return 100 * F.least(n_a, n_b) >= percent * F.greatest(n_a, n_b)
-
-
 def _likely(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     """Pairs whose registers don't rule the similarity out."""
     side = lambda x: sketches.select(F.col("rep").alias(x), F.col("n").alias(f"n_{x}"), F.col("registers").alias(f"r_{x}"))
@@ -149,15 +146,11 @@ def _likely(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, percent: int, width: int) -> DataFrame:
-    """Pairs whose full sets reach the similarity."""
-    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    texts = docs.join(ids, "doc_id", "left_semi")
-    sets = materialize(shingle_rows(texts, width).dropDuplicates(["doc_id"]), "shingle-sets")
-    side = lambda x: sets.select(F.col("doc_id").alias(x), F.col("shingles").alias(f"s_{x}"))
-    both = F.size(F.array_intersect("s_a", "s_b"))
-    union = F.size("s_a") + F.size("s_b") - both
-    links = materialize(pairs.join(side("a"), "a").join(side("b"), "b").where(100 * both >= percent * union)
-                        .select("a", "b"), "links")
+    """Pairs whose full sets reach the similarity; the sets are made anew from
+    the texts of just these documents."""
+    texts = docs.join(ends_of(pairs, "doc_id"), "doc_id", "left_semi")
+    sets = materialize(shingle_rows(texts, width).dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "rep"), "shingle-sets")
+    links = confirm_by_sets(pairs, sets, percent)
     discard(sets)
     return links
 
@@ -165,43 +158,10 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, percent: int, width: int) -> D
 def near_duplicate_links(docs: DataFrame, sketches: DataFrame, percent: int = PERCENT, width: int = WORDS) -> DataFrame:
     """Confirmed links ``(a, b)`` between representatives that give the same
     components as all links between them."""
-    bucket = F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(
-        i, F.substring(F.col("registers"), i * (2 * ROWS) + 1, F.lit(2 * ROWS))))).alias("bucket")
-    rows = sketches.select(bucket, F.col("rep"), F.col("n"))
-    counts = rows.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
-    items = materialize(rows.join(counts, "bucket"), "buckets")
-    meets = items.groupBy("rep").agg(F.sum("size").alias("meets"))
-    rank = F.struct("meets", F.negative("rep").alias("first"), "n")
-    pivots = items.join(meets, "rep").groupBy("bucket").agg(F.max(rank).alias("p")).select(
-        "bucket", F.negative("p.first").alias("pivot"), F.col("p.n").alias("n_pivot"))
-    pivots = materialize(pivots, "pivots")
-    tried = materialize(
-        items.join(pivots, "bucket").where(F.col("rep") != F.col("pivot")).where(_size_ok(F.col("n"), F.col("n_pivot"), percent))
-        .select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct(), "pivot-pairs")
-    likely = materialize(_likely(tried, sketches, percent), "pivot-likely")
-    links = _confirmed(likely, docs, percent, width)
-    discard(likely)
-
-    # members that a bucket's largest component has not taken in
-    parts = connected_components(links, "a", "b")
-    placed = materialize(items.join(parts, F.col("rep") == F.col("node"), "left").select(
-        "bucket", "rep", "n", F.coalesce("component", "rep").alias("part")), "placed")
-    discard(items)
-    sizes = placed.groupBy("bucket", "part").agg(F.count("*").alias("c"))
-    main = sizes.groupBy("bucket").agg(F.max(F.struct("c", "part")).alias("m"), F.count("*").alias("parts")).where(
-        "parts > 1").select("bucket", F.col("m.part").alias("main"))
-    split = placed.join(main, "bucket")
-    strangers = split.where("part <> main").select(
-        "bucket", F.col("rep").alias("x"), F.col("n").alias("n_x"), F.col("part").alias("part_x"))
-    rest = strangers.join(split, "bucket").where(
-        (F.col("part_x") != F.col("part")) & ((F.col("part") == F.col("main")) | (F.col("x") < F.col("rep")))
-        & _size_ok(F.col("n"), F.col("n_x"), percent)).select(
-        F.least("x", "rep").alias("a"), F.greatest("x", "rep").alias("b")).distinct()
-    likely = materialize(_likely(rest.join(tried, ["a", "b"], "left_anti"), sketches, percent), "rest-likely")
-    more = _confirmed(likely, docs, percent, width)
-    for done in (placed, pivots, tried, likely):
-        discard(done)
-    return links.unionByName(more)
+    buckets = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(
+        i, F.substring(F.col("registers"), i * (2 * ROWS) + 1, F.lit(2 * ROWS)))).alias("buckets")
+    return linked(sketches.select("rep", "n", buckets), percent, lambda p: _confirmed(p, docs, percent, width),
+                  lambda p: _likely(p, sketches, percent))
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = WORDS) -> DataFrame:

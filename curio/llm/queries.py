@@ -8,7 +8,7 @@ from typing import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curio.llm import bpe, near_dedup
+from curio.llm import bpe, near_dedup, substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -44,3 +44,9 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of near-duplicate documents; the smallest id of each is kept."""
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+@query
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paragraphs that repeat within or across documents and what is removed."""
+    return substring_dedup.repeated_paragraphs(table(spark, sf_dir, "documents", "doc_id", "text")).drop("text_key")
