@@ -8,7 +8,7 @@ from typing import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curio.llm import bpe, near_dedup, substring_dedup
+from curio.llm import bpe, near_dedup, quality_rules, substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -50,3 +50,12 @@ def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Paragraphs that repeat within or across documents and what is removed."""
     return substring_dedup.repeated_paragraphs(table(spark, sf_dir, "documents", "doc_id", "text")).drop("text_key")
+
+
+@query
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts of every text and the verdict of the learned decision list."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    rules = quality_rules.learn(docs, table(spark, sf_dir, "labels", "doc_id", "quality"))
+    return quality_rules.judge(docs, rules).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
