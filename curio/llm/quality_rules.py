@@ -32,11 +32,12 @@ from pyspark.sql import functions as F
 from curio.llm.common import SPACES
 
 SYMBOLS = "#*$%&|<>"
-WINDOW = 8
+WINDOW = 8  # made by doubling: 1, 2, 4, 8
 SAMPLE_ROWS = 20_000
 MIN_WORDS, MAX_REPEAT_PERCENT = 20, 30
+STATISTICS = ["n_words", "word_chars", "n_symbols", "n_upper", "n_end_marks", "n_lines", "n_dup_lines", "n_repeat_words"]
 FEATURES = ["n_words", "mean_word", "symbol_share", "dup_line_share", "repeat_share", "upper_share",
-            "digit_share", "stop_share", "lines_per_word", "end_mark_share"]
+            "stop_share", "lines_per_word", "end_mark_share"]
 
 
 def statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -47,18 +48,21 @@ def statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
     made once. Windows are compared by 64-bit hash within one text; the sorted
     (hash, place) list is only made for texts that do repeat a window."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    blank = F.translate(text, SPACES, " " * len(SPACES))
+    blank = reduce(lambda t, c: F.replace(t, F.lit(c), F.lit(" ")), SPACES[1:], text)
     out = docs.withColumn("__words", F.array_remove(F.split(blank, " ", -1), ""))
     out = out.withColumns({
-        "__windows": F.when(F.size("__words") >= WINDOW, _windows(F.col("__words"))),
-        "__lines": F.filter(F.split(text, "\n", -1), lambda x: F.length(F.translate(x, SPACES, "")) > 0),
+        "__hashes": F.transform("__words", lambda w: F.xxhash64(w)),
+        "__lines": F.filter(F.split(text, "\n", -1), lambda x: x.rlike(r"[^ \t\x0B\f\r]")),
+        # one pass leaves the few characters that are counted
+        "__marks": F.regexp_replace(text, f"[^A-Z.!?{SYMBOLS}]+", ""),
         "n_words": F.size("__words").cast("long"),
-        "word_chars": F.length(F.translate(text, SPACES, "")).cast("long"),
-        "n_symbols": (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long"),
-        "n_upper": (F.length(text) - F.length(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", ""))).cast("long"),
-        "n_digits": (F.length(text) - F.length(F.translate(text, "0123456789", ""))).cast("long"),
-        "n_end_marks": (F.length(text) - F.length(F.translate(text, ".!?", ""))).cast("long"),
+        "word_chars": F.length(F.array_join("__words", "")).cast("long"),
     })
+    count = lambda marks: F.length(F.regexp_replace("__marks", f"[^{marks}]+", "")).cast("long")
+    out = out.withColumns({"__windows": F.when(F.size("__hashes") >= WINDOW, _pairs(F.col("__hashes"), 1)),
+                           "n_symbols": count(SYMBOLS), "n_upper": count("A-Z"), "n_end_marks": count(".!?")})
+    for width in (2, 4):
+        out = out.withColumn("__windows", _pairs(F.col("__windows"), width))
     repeats = F.size("__windows") > F.size(F.array_distinct("__windows"))
     out = out.withColumns({
         "n_lines": F.size("__lines").cast("long"),
@@ -66,13 +70,17 @@ def statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
         "__sorted": F.when(F.coalesce(repeats, F.lit(False)), F.sort_array(F.transform(
             F.col("__windows"), lambda h, i: F.struct(h.alias("h"), i.alias("i"))))),
     })
-    return out.withColumn("n_repeat_words", F.coalesce(_covered(F.col("__sorted")), F.lit(0)).cast("long")).drop(
-        "__words", "__windows", "__lines", "__sorted")
+    out = out.withColumn("n_repeat_words", F.coalesce(_covered(F.col("__sorted")), F.lit(0)).cast("long"))
+    # A filter on the counts would be pushed below these projections, with their
+    # whole expressions evaluated again inside it; a generated row stops that.
+    row = F.explode(F.array(F.struct(*STATISTICS))).alias("__row")
+    return out.select(*[f"`{c}`" for c in docs.columns], row).select(*[f"`{c}`" for c in docs.columns], "__row.*")
 
 
-def _windows(words: Column) -> Column:
-    return F.transform(F.sequence(F.lit(1), F.size(words) - (WINDOW - 1)),
-                       lambda i: F.xxhash64(F.slice(words, i, WINDOW)))
+def _pairs(hashes: Column, width: int) -> Column:
+    """Hashes of windows of twice the width from those of windows of ``width``."""
+    n = F.size(hashes) - width
+    return F.zip_with(F.slice(hashes, 1, n), F.slice(hashes, 1 + width, n), lambda a, b: F.xxhash64(a, b))
 
 
 def _covered(ordered: Column) -> Column:
@@ -92,7 +100,7 @@ def features(stats: DataFrame) -> dict[str, Column]:
         "n_words": F.col("n_words").cast("double"), "mean_word": F.col("word_chars") / words,
         "symbol_share": F.col("n_symbols") / chars, "dup_line_share": F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1)),
         "repeat_share": F.col("n_repeat_words") / words, "upper_share": F.col("n_upper") / chars,
-        "digit_share": F.col("n_digits") / chars, "stop_share": F.col("n_end_marks") / words,
+        "stop_share": F.col("n_end_marks") / words,
         "lines_per_word": F.col("n_lines") / words, "end_mark_share": F.col("n_end_marks") / chars,
     }
 
