@@ -8,7 +8,7 @@ from typing import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curio.llm import bpe, near_dedup, quality_rules, substring_dedup
+from curio.llm import bpe, decontaminate, near_dedup, quality_rules, substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -59,3 +59,10 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = quality_rules.learn(docs, table(spark, sf_dir, "labels", "doc_id", "quality"))
     return quality_rules.judge(docs, rules).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+@query
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items that documents hold, with their places."""
+    return decontaminate.contaminated(table(spark, sf_dir, "documents", "doc_id", "text"),
+                                      table(spark, sf_dir, "benchmark", "item_id", "text"))
