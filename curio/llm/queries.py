@@ -8,7 +8,8 @@ from typing import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curio.llm import bpe, decontaminate, near_dedup, quality_rules, substring_dedup
+from curio.llm import (bpe, decontaminate, near_dedup, quality_rules, sharding, substring_dedup, toxicity,
+                       url_filter)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -73,3 +74,30 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of ``corpus_pipeline`` over ``documents``."""
     import corpus_pipeline
     return corpus_pipeline.run(spark, sf_dir)
+
+
+@query
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every text; learned from training rows only."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    model = toxicity.learn(docs, table(spark, sf_dir, "labels", "doc_id", "toxic"))
+    return toxicity.score(docs, model, ["doc_id"]).select(
+        "doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+# The rules of the query.
+URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"),
+             ("block", "net", "/es/"), ("block", "net", "/fr/")]
+
+
+@query
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict of every page's url."""
+    return url_filter.judge(table(spark, sf_dir, "pages", "page_id", "url", "html"), URL_RULES).drop("url")
+
+
+@query
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """24 contiguous shards of near-equal bytes."""
+    return sharding.assign(table(spark, sf_dir, "documents", "doc_id", "text"), 24).select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
