@@ -8,8 +8,9 @@ from typing import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curio.llm import (bpe, decontaminate, near_dedup, quality_rules, sharding, substring_dedup, toxicity,
-                       url_filter)
+from curio.llm import (bpe, decontaminate, html_text, near_dedup, quality_rules, sharding, substring_dedup,
+                       token_scan, toxicity, url_filter)
+from curio.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -101,3 +102,28 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """24 contiguous shards of near-equal bytes."""
     return sharding.assign(table(spark, sf_dir, "documents", "doc_id", "text"), 24).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+SEPARATOR = 50256
+
+
+@query
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of every document, read back from flat token files that are
+    written in scan order; the scan's own row numbers name the documents."""
+    path = scratch_path(spark, "token-files")
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    token_scan.write_token_files(docs, path, vocab_path(), SEPARATOR)
+    counts = token_scan.scan(spark, path, SEPARATOR)
+    part = F.regexp_extract("file", r"part-(\d+)", 1).cast("long")
+    # a row's number holds its partition above bit 33 and its place in it below
+    rows = docs.select("doc_id", F.monotonically_increasing_id().alias("row"))
+    return counts.select((F.shiftleft(part, 33) + F.col("document")).alias("row"), "n_tokens").join(rows, "row").select(
+        "doc_id", F.shiftright("row", 33).alias("file_no"), F.col("row").bitwiseAND((1 << 33) - 1).alias("document"), "n_tokens")
+
+
+@query
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Visible text of every page, with its layout."""
+    pages = table(spark, sf_dir, "pages", "page_id", "html")
+    return html_text.extract(pages).select("page_id", "text", F.length("text").cast("long").alias("n_chars"))
