@@ -95,3 +95,14 @@ def confirm_by_sets(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFram
 def ends_of(pairs: DataFrame, name: str) -> DataFrame:
     """The distinct ends of the pairs as column ``name``."""
     return pairs.select(F.col("a").alias(name)).unionByName(pairs.select(F.col("b").alias(name))).distinct()
+
+
+BROADCAST_ROWS = 4_000_000  # narrow rows; some 100 MB as a hash table
+
+
+def semi_join(big: DataFrame, few: DataFrame, on) -> DataFrame:
+    """Rows of ``big`` (with texts) that ``few`` (narrow, written) names. When
+    ``few`` is counted to be small it is broadcast, so texts that aren't wanted
+    never enter a shuffle; otherwise the plain join holds."""
+    few = F.broadcast(few) if few.count() <= BROADCAST_ROWS else few
+    return big.join(few, on(few) if callable(on) else on, "left_semi")

@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from curio.llm.banding import confirm_by_sets, ends_of, linked
+from curio.llm.banding import confirm_by_sets, ends_of, linked, semi_join
 from curio.llm.common import WordHash, list_array, ship, shingle_hashes, sliced, texts_of, word_hashes
 from curio.llm.components import connected_components
 from curio.session import discard, materialize
@@ -148,10 +148,12 @@ def _likely(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
 def _confirmed(pairs: DataFrame, docs: DataFrame, percent: int, width: int) -> DataFrame:
     """Pairs whose full sets reach the similarity; the sets are made anew from
     the texts of just these documents."""
-    texts = docs.join(ends_of(pairs, "doc_id"), "doc_id", "left_semi")
+    wanted = materialize(ends_of(pairs, "doc_id"), "wanted")
+    texts = semi_join(docs, wanted, "doc_id")
     sets = materialize(shingle_rows(texts, width).dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "rep"), "shingle-sets")
     links = confirm_by_sets(pairs, sets, percent)
     discard(sets)
+    discard(wanted)
     return links
 
 

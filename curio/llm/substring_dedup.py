@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from curio.llm.banding import confirm_by_sets, ends_of, linked, tune_bands
+from curio.llm.banding import confirm_by_sets, ends_of, linked, semi_join, tune_bands
 from curio.llm.common import SPACES, WordHash, list_array, mix64, shingle_hashes, ship, sliced, texts_of
 from curio.llm.components import connected_components
 from curio.session import discard, materialize
@@ -114,13 +114,14 @@ def repeated_paragraphs(docs: DataFrame, percent: int = PERCENT, min_words: int
     def confirm(pairs):
         # texts of the documents where a class is first
         ends = ends_of(pairs, "class_id")
-        wanted = classes.join(ends, "class_id", "left_semi").select(
-            F.col("where.doc_id").alias("i"), F.col("where.text_key").alias("k")).distinct()
-        texts = keyed.join(wanted, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("text_key") == F.col("k")), "left_semi")
+        wanted = materialize(classes.join(ends, "class_id", "left_semi").select(
+            F.col("where.doc_id").alias("i"), F.col("where.text_key").alias("k")).distinct(), "wanted")
+        texts = semi_join(keyed, wanted, lambda few: keyed["doc_id"].eqNullSafe(few["i"]) & (keyed["text_key"] == few["k"]))
         sets = materialize(_class_sets(texts, min_words).join(ends.withColumnRenamed("class_id", "rep"), "rep", "left_semi")
                            .dropDuplicates(["rep"]), "paragraph-sets")
         links = confirm_by_sets(pairs, sets, percent)
         discard(sets)
+        discard(wanted)
         return links
 
     links = linked(classes.select(F.col("class_id").alias("rep"), "n", "buckets"), percent, confirm)
