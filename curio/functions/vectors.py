@@ -51,7 +51,7 @@ def quantize_groups(v, dim: int, group_size: int = 64) -> Column:
     scale array<double>, group_size int)``."""
     g = group_size_for(dim, group_size)
     x = as_double(v)
-    n_groups = F.floor(F.size(x) / F.lit(g)).cast("int")
+    n_groups = F.ceil(F.size(x) / F.lit(g)).cast("int")  # the last group may be shorter
     groups = F.transform(F.sequence(F.lit(0), n_groups - 1),
                          lambda k: F.slice(x, k * g + 1, g))
     scales = F.transform(groups, lambda grp: F.array_max(F.transform(grp, F.abs)) / INT8_MAX)

@@ -7,11 +7,9 @@
   pair (highest count, then smallest pair) is applied to every word with a
   column expression. Lineage is cut every round with a reliable checkpoint of
   the symbol table in the shared checkpoint folder. ``pairs_per_round=1`` is exact BPE.
-* ``encode_texts``: pieces never cross whitespace, so each *distinct* word is
-  encoded once (an Arrow ``mapInPandas`` with the vocabulary broadcast) and
-  the ids are joined back by word and re-assembled in word order: the corpus
-  itself never passes through Python.
-* ``decode_tokens``: ids -> pieces by an index lookup inside the row.
+* ``encode_texts``: one Arrow pass with the vocabulary broadcast; joins are made
+  best score first from a heap over a linked list. No shuffle.
+* ``decode_tokens``: the byte labels of the ids, read as UTF-8 with replacement.
 
 Conventions: a word is encoded with the whitespace marker U+2581 in front
 (the dummy prefix); ids 0-2 are ``<unk> <s> </s>``, 3-258 the byte-fallback
@@ -21,14 +19,17 @@ back to their UTF-8 bytes.
 
 from __future__ import annotations
 
-from typing import Iterator
+import heapq
+import re
+import sys
 
-import pandas as pd
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from curio.functions.text import words
-from curio.operators._util import collect_bounded, spread_small_input
 from curio.session import ensure_checkpoint_dir
 
 # --- fixed values -----------------------------------------------------------
@@ -36,16 +37,18 @@ SPACE_MARK = "▁"
 SPECIALS = ("<unk>", "<s>", "</s>")
 BYTE_OFFSET = 3
 CHECKPOINT_EVERY = 1
-MAX_LOOKUP_VOCAB = 65536
 VOCAB_SCHEMA = "token_id int, piece string, score float, n_bytes int"
 # ---------------------------------------------------------------------------
 
 
+# tasks carry this module's functions by value: executors need no copy of it
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
 def word_frequencies(df: DataFrame, text: str = "text") -> DataFrame:
     """``(word, n)`` over whitespace words (a frequent word is combined
     map-side before the shuffle)."""
-    src = spread_small_input(df.select(text))
-    return src.select(F.explode(words(text)).alias("word")).groupBy("word").agg(
+    return df.select(F.explode(words(text)).alias("word")).groupBy("word").agg(
         F.count(F.lit(1)).alias("n"))
 
 
@@ -122,88 +125,128 @@ def train_bpe_vocab(spark: SparkSession, texts: DataFrame, n_merges: int,
     return spark.createDataFrame(rows, VOCAB_SCHEMA)
 
 
-def _encode_word(word: str, vocab: dict[str, tuple[int, float]]) -> list[int]:
-    """Greedy BPE on one pre-token: start from characters (bytes when a
-    character is unknown), merge the adjacent pair with the highest score
-    (leftmost on ties) until no pair is in the vocabulary."""
+class _Pieces:
+    """Lookup of a vocabulary: id and score of each piece. Byte pieces have no
+    text of their own, so nothing is ever merged across one."""
+
+    def __init__(self, rows):
+        first = BYTE_OFFSET + 256
+        self.entry = {p: (i, s) for i, p, s in rows if i >= first}
+        size = max([first - 1, *(i for i, _, _ in rows)]) + 1
+        self.label = [b""] * size
+        for i, piece, _ in rows:
+            if i >= first:
+                self.label[i] = piece.replace(SPACE_MARK, " ").encode()
+        for v in range(256):
+            self.label[BYTE_OFFSET + v] = bytes([v])
+
+
+def _merged_ids(segment: str, pieces: _Pieces) -> list[int]:
+    """BPE of one segment. Symbols are a linked list; a heap holds the joins
+    that the vocabulary knows, best score first, then leftmost. A join whose ends
+    have changed since it was pushed is stale and dropped when it comes up."""
+    entry = pieces.entry
+    texts: list[str | None] = []
     ids: list[int] = []
-    for ch in SPACE_MARK + word:
-        hit = vocab.get(ch)
-        if hit is not None:
-            ids.append(hit[0])
+    for ch in segment:
+        hit = None if ch == _LITERAL_MARK else entry.get(ch)
+        if hit is None:
+            raw = (SPACE_MARK if ch == _LITERAL_MARK else " " if ch == SPACE_MARK else ch).encode("utf-8", "replace")
+            texts += [None] * len(raw)
+            ids += [b + BYTE_OFFSET for b in raw]
         else:
-            ids.extend(b + BYTE_OFFSET for b in ch.encode("utf-8"))
-    pieces = {v[0]: k for k, v in vocab.items()}
-    while True:
-        best, best_i, best_id = None, -1, -1
-        for i in range(len(ids) - 1):
-            cand = vocab.get(pieces.get(ids[i], "") + pieces.get(ids[i + 1], ""))
-            if cand is not None and (best is None or cand[1] > best):
-                best, best_i, best_id = cand[1], i, cand[0]
-        if best_i < 0:
-            return ids
-        ids[best_i:best_i + 2] = [best_id]
-
-
-def encode_words(spark: SparkSession, distinct_words: DataFrame, vocab: DataFrame,
-                 word_col: str = "word") -> DataFrame:
-    """``(word, ids)`` for each distinct word; the vocabulary (checked size)
-    travels as a broadcast variable."""
-    rows = collect_bounded(vocab.select("token_id", "piece", "score"), 10 * MAX_LOOKUP_VOCAB)
-    if rows is None:
-        raise ValueError("vocabulary too large to broadcast")
-    table = {r["piece"]: (int(r["token_id"]), float(r["score"]))
-             for r in rows if r["token_id"] >= BYTE_OFFSET + 256}
-    bv = spark.sparkContext.broadcast(table)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        v = bv.value
-        for pdf in batches:
-            yield pd.DataFrame({"word": pdf[word_col],
-                                "ids": [_encode_word(w, v) for w in pdf[word_col]]})
-
-    return distinct_words.select(F.col(word_col)).mapInPandas(run, "word string, ids array<int>")
+            texts.append(ch)
+            ids.append(hit[0])
+    n = len(ids)
+    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+    heap: list[tuple] = []
+
+    def offer(left: int) -> None:
+        right = after[left] if left >= 0 else n
+        if right < n and texts[left] is not None and texts[right] is not None:
+            joined = texts[left] + texts[right]
+            hit = entry.get(joined)
+            if hit is not None:
+                heapq.heappush(heap, (-hit[1], left, right, joined, hit[0]))
+
+    for k in range(n - 1):
+        offer(k)
+    while heap:
+        _, left, right, joined, new_id = heapq.heappop(heap)
+        if ids[left] < 0 or after[left] != right or texts[left] + texts[right] != joined:
+            continue
+        texts[left], ids[left], ids[right] = joined, new_id, -1
+        after[left] = after[right]
+        if after[left] < n:
+            before[after[left]] = left
+        offer(before[left])
+        offer(left)
+    return [i for i in ids if i >= 0]
+
+
+# A space, then what is not white space; other white space stands alone. Pieces
+# never cross these segments. A literal mark in a text is set apart by a stand-in.
+_LITERAL_MARK = "\ue000"
+_SEGMENT = re.compile(f"{SPACE_MARK}?[^{SPACE_MARK}\\s]+|{SPACE_MARK}|\\s")
+
+
+def _piece_table(vocab: DataFrame) -> _Pieces:
+    """The vocabulary on the driver: a model table, whose size is that of the
+    model, not of the corpus."""
+    return _Pieces([(int(r[0]), r[1], float(r[2])) for r in vocab.select("token_id", "piece", "score").collect()])
 
 
 def encode_texts(spark: SparkSession, docs: DataFrame, vocab: DataFrame, key: str = "doc_id",
                  text: str = "text", add_bos: bool = True) -> DataFrame:
-    """``(key, ids)``: distinct words encoded once, joined back by word,
-    concatenated in word order (the join is the skew-prone step: a frequent
-    word is one key -- adaptive execution broadcasts the encoded side when it
-    is small, else splits the skewed partitions)."""
-    ex = docs.select(key, F.posexplode(words(text)).alias("pos", "word"))
-    enc = encode_words(spark, ex.select("word").distinct(), vocab)
-    j = ex.join(enc, "word")
-    per = j.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("pos", "ids"))).alias("parts"))
-    ids = F.flatten(F.transform("parts", lambda p: p["ids"]))
-    if add_bos:
-        ids = F.concat(F.array(F.lit(1)), ids)
-    out = per.select(key, ids.alias("ids"))
-    empty = docs.select(key).join(out.select(key), key, "left_anti").select(
-        key, (F.array(F.lit(1)) if add_bos else F.array()).cast("array<int>").alias("ids"))
-    return out.unionByName(empty)
+    """``(key, ids)`` of every row, in one Arrow pass without a shuffle: the
+    vocabulary is broadcast and each task keeps a bounded memo of segments. All
+    white space is kept and characters outside the vocabulary become their bytes,
+    so ``decode_tokens`` gives the text back exactly. Null texts are empty; rows
+    with equal keys stay apart. (A private-use character U+E000 in a text comes
+    back as U+2581.)"""
+    pieces = spark.sparkContext.broadcast(_piece_table(vocab))
+    schema = f"`{key}` {docs.schema[key].dataType.simpleString()}, ids array<int>"
+
+    def run(batches):
+        memo: dict[str, list[int]] = {}
+        for batch in batches:
+            out = []
+            for value in batch.column(1).to_pylist():
+                ids = [1] if add_bos else []
+                if value:
+                    marked = SPACE_MARK + value.replace(SPACE_MARK, _LITERAL_MARK).replace(" ", SPACE_MARK)
+                    for segment in _SEGMENT.findall(marked):
+                        got = memo.get(segment)
+                        if got is None:
+                            if len(memo) > 200_000:
+                                memo.clear()
+                            got = memo[segment] = _merged_ids(segment, pieces.value)
+                        ids += got
+                out.append(ids)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int32()))], names=[key, "ids"])
+
+    return docs.select(key, text).mapInArrow(run, schema)
 
 
 def decode_tokens(tokens: DataFrame, vocab: DataFrame, ids_col: str = "ids",
                   strip_pad: bool = True, out: str = "text") -> DataFrame:
     """Ids -> text. Byte pieces become raw bytes, the space mark a space,
     one leading space (the dummy prefix) is removed, specials are dropped;
-    with ``strip_pad`` the pad/unknown id 0 is dropped instead of decoded."""
-    rows = collect_bounded(vocab.select("token_id", "piece"), MAX_LOOKUP_VOCAB)
-    if rows is None:
-        raise ValueError("vocabulary too large for the in-row lookup")
-    size = max(r["token_id"] for r in rows) + 1
-    pieces = [b""] * size
-    for r in rows:
-        t, p = r["token_id"], r["piece"]
-        if t < len(SPECIALS):
-            pieces[t] = b"" if (t > 0 or strip_pad) else " ⁇ ".encode()
-        elif t < BYTE_OFFSET + 256:
-            pieces[t] = bytes([t - BYTE_OFFSET])
-        else:
-            pieces[t] = p.replace(SPACE_MARK, " ").encode()
-    lookup = F.array(*[F.lit(bytearray(p)) for p in pieces])
-    parts = F.transform(F.col(ids_col), lambda i: F.element_at(lookup, i + 1))
-    raw = F.aggregate(parts, F.lit(bytearray(b"")), lambda acc, p: F.concat(acc, p))
-    txt = F.decode(raw, "UTF-8")
-    return tokens.withColumn(out, F.regexp_replace(txt, "^ ", ""))
+    with ``strip_pad`` the pad/unknown id 0 is dropped instead of decoded. Bytes
+    that are no UTF-8 (a cut sequence) become U+FFFD. Unknown ids are dropped."""
+    pieces = tokens.sparkSession.sparkContext.broadcast(_piece_table(vocab))
+    kept = [c for c in tokens.columns if c.lower() != out.lower()]
+    schema = T.StructType([tokens.schema[c] for c in kept] + [T.StructField(out, T.StringType())])
+    at = tokens.columns.index(ids_col)
+
+    def run(batches):
+        for batch in batches:
+            label = list(pieces.value.label)
+            if not strip_pad:
+                label[0] = " \u2047 ".encode()
+            size = len(label)
+            texts = [None if ids is None else b"".join(label[i] for i in ids if i is not None and 0 <= i < size)
+                     .decode("utf-8", "replace").removeprefix(" ") for ids in batch.column(at).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in kept] + [pa.array(texts, pa.string())], names=schema.names)
+
+    return tokens.mapInArrow(run, schema)

@@ -33,14 +33,15 @@ def read_json_shards(spark: SparkSession, directory: str, max_shards: int | None
     """A1: ``(shard, pos, story)`` from files that each hold one JSON array of
     objects; shards in file-name order, ``pos`` = position in the array. One
     file is one row before the explode, so a shard must fit one task (shards
-    are bounded files; many shards spread over the cluster)."""
+    are bounded files; many shards spread over the cluster). A broken shard fails the
+    read instead of vanishing."""
     reader = spark.read.option("wholetext", "true").option("pathGlobFilter", glob) \
         .option("recursiveFileLookup", "true")
     raw = reader.text(directory).select("value", F.col("_metadata.file_path").alias("path"))
     if max_shards is not None:
         keep = list_files(spark, directory, glob)[:max_shards]
         raw = raw.filter(F.col("path").isin(keep))
-    parsed = raw.select("path", F.from_json("value", STORY_ARRAY).alias("arr"))
+    parsed = raw.select("path", F.from_json("value", STORY_ARRAY, {"mode": "FAILFAST"}).alias("arr"))
     return parsed.select(F.col("path").alias("shard"),
                          F.posexplode("arr").alias("pos", "obj")) \
         .select("shard", F.col("pos").cast("int").alias("pos"), F.col("obj.story").alias("story"))

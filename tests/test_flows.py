@@ -124,12 +124,26 @@ def test_bpe_round_trip(spark):
     assert pieces[:3] == ["<unk>", "<s>", "</s>"] and pieces[3] == "<0x00>"
     enc = encode_texts(spark, docs, vocab)
     dec = {r["doc_id"]: r["text"] for r in decode_tokens(enc, vocab).collect()}
-    assert dec == {0: "the cat the hat", 1: "that thin thing ünïcode 42", 2: "", 3: ""}
+    assert dec == {0: "the cat the hat", 1: "that thin thing  ünïcode 42", 2: "", 3: "   "}
     # a merged piece is used: fewer ids than characters
     ids0 = [r["ids"] for r in enc.collect() if r["doc_id"] == 0][0]
     assert len(ids0) < len("the cat the hat") + 1
 
 
+def test_bpe_unseen_characters_white_space_keys_and_cut_ids(spark):
+    vocab = train_bpe_vocab(spark, spark.createDataFrame([(0, "ab ab zab abab")], "doc_id long, text string"), 6)
+    texts = ["ab éab zab", "éab", "ab", " a\n\tb  漢\u2581 ", "ab", None]
+    docs = spark.createDataFrame([(1 if t == "ab" else i + 10, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    enc = encode_texts(spark, docs, vocab)
+    dec = decode_tokens(enc, vocab)
+    assert sorted(r["text"] for r in dec.collect()) == sorted(t or "" for t in texts)
+    assert [r["ids"] for r in enc.collect() if r["doc_id"] == 15] == [[1]]
+    cut = enc.filter("doc_id = 11").selectExpr("doc_id", "slice(ids, 1, 3) AS ids")
+    assert decode_tokens(cut, vocab).first()["text"] == "\ufffd"
+    many = spark.createDataFrame([(i, f"p{i}", 0.0, 1) for i in range(259, 70259)], "token_id int, piece string, score float, n_bytes int")
+    assert decode_tokens(spark.createDataFrame([(1, [70258, 99999999])], "k int, ids array<int>"), many).first()["text"] == "p70258"
+
+
 def test_bpe_several_pairs_per_round_round_trips(spark):
     docs = spark.createDataFrame([(0, "low lower lowest newer wider"), (1, "new newest low")],
                                  "doc_id long, text string")
