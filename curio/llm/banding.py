@@ -6,12 +6,19 @@ again, so a group of copies costs rows in proportion to its size. Members that
 the bucket's largest component has not taken in are then compared with every
 member of another component. Each pair that shares a bucket is so compared or
 already joined. Nothing is capped.
+
+This second comparison is a condition of the join: each member carries its
+sketch as packed marks, and a pair leaves the join only if enough marks agree. So
+the pairs that a sketch rules out are never rows, which matters in a group whose
+members are alike, but not enough to be linked.
 """
 
 from __future__ import annotations
 
+from math import comb
 from typing import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,12 +47,48 @@ def tune_bands(similarity: float, recall: float, unlike: float = 0.2, noise: flo
     return best
 
 
-def linked(members: DataFrame, percent: int, confirm: Callable[[DataFrame], DataFrame],
-           likely: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+LANES, LANE_BITS = 7, 9  # 63 bits: a sum of two lanes' low bits never reaches the sign
+_TOP = sum(1 << (LANE_BITS * k + LANE_BITS - 1) for k in range(LANES))
+_LOW = ((1 << (LANES * LANE_BITS)) - 1) ^ _TOP
+MISSED = 5e-6
+
+
+def packed_marks(sketch: np.ndarray) -> np.ndarray:
+    """The low 9 bits of each entry of a sketch, 7 to a 64-bit integer; the last
+    one is filled with zeros."""
+    marks = np.zeros(-(-len(sketch) // LANES) * LANES, np.int64)
+    marks[:len(sketch)] = sketch.astype(np.int64) & ((1 << LANE_BITS) - 1)
+    return (marks.reshape(-1, LANES) << (np.arange(LANES, dtype=np.int64) * LANE_BITS)).sum(axis=1)
+
+
+def least_agreeing(entries: int, similarity: float, missed: float = MISSED) -> int:
+    """The most agreeing entries that may be asked of a pair so that one at
+    ``similarity`` fails with probability ``missed`` at most."""
+    below = 0.0
+    for k in range(entries + 1):
+        below += comb(entries, k) * similarity ** k * (1 - similarity) ** (entries - k)
+        if below > missed:
+            return k
+    return entries
+
+
+def disagreeing(a: str, b: str, entries: int):
+    """How many of the entries differ, from two columns of packed marks."""
+    total = F.lit(0)
+    for k in range(-(-entries // LANES)):
+        x = F.col(a)[k].bitwiseXOR(F.col(b)[k])
+        # a lane's top bit is set if the lane isn't zero
+        total = total + F.bit_count((x.bitwiseAND(_LOW) + F.lit(_LOW)).bitwiseOR(x).bitwiseAND(_TOP))
+    return total
+
+
+def linked(members: DataFrame, percent: int, entries: int, confirm: Callable[[DataFrame], DataFrame],
+           likely: Callable[[DataFrame], DataFrame] | None = None, missed: float = MISSED) -> DataFrame:
     """Links ``(a, b)`` that give the components of all similar pairs which share
-    a bucket. ``members``: ``(rep, n, buckets array<long>)``, one row per distinct
-    set; ``likely`` may drop pairs, ``confirm`` returns the true ones as a written
-    table."""
+    a bucket. ``members``: ``(rep, n, buckets array<long>, marks array<long>)``, one
+    row per distinct set, the marks packed from a sketch of ``entries``; ``likely``
+    may drop pairs, ``confirm`` returns the true ones as a written table. A pair at
+    the similarity fails the test of the marks with probability ``missed`` at most."""
     likely = likely or (lambda pairs: pairs)
     rows = members.select(F.explode("buckets").alias("bucket"), "rep", "n")
     counts = rows.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
@@ -69,16 +112,17 @@ def linked(members: DataFrame, percent: int, confirm: Callable[[DataFrame], Data
     sizes = placed.groupBy("bucket", "part").agg(F.count("*").alias("c"))
     main = sizes.groupBy("bucket").agg(F.max(F.struct("c", "part")).alias("m"), F.count("*").alias("parts")).where(
         "parts > 1").select("bucket", F.col("m.part").alias("main"))
-    split = placed.join(main, "bucket")
+    split = materialize(placed.join(main, "bucket").join(members.select("rep", "marks"), "rep"), "split")
     strangers = split.where("part <> main").select(
-        "bucket", F.col("rep").alias("x"), F.col("n").alias("n_x"), F.col("part").alias("part_x"))
+        "bucket", F.col("rep").alias("x"), F.col("n").alias("n_x"), F.col("part").alias("part_x"), F.col("marks").alias("marks_x"))
+    alike = disagreeing("marks", "marks_x", entries) <= entries - least_agreeing(entries, percent / 100, missed)
     rest = strangers.join(split, "bucket").where(
         (F.col("part_x") != F.col("part")) & ((F.col("part") == F.col("main")) | (F.col("x") < F.col("rep")))
-        & size_ok(F.col("n"), F.col("n_x"), percent)).select(
+        & size_ok(F.col("n"), F.col("n_x"), percent) & alike).select(
         F.least("x", "rep").alias("a"), F.greatest("x", "rep").alias("b")).distinct()
     hopeful = materialize(likely(rest.join(tried, ["a", "b"], "left_anti")), "rest-likely")
     more = confirm(hopeful)
-    for done in (placed, tried, hopeful):
+    for done in (placed, split, tried, hopeful):
         discard(done)
     return links.unionByName(more)
 

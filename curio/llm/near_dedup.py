@@ -15,9 +15,11 @@ similarity. Then:
    the most others over all its buckets. Members that the links so far put into
    one component need no further comparison, whatever their number. The others,
    which neither the pivot nor a chain of links joins to the bucket's largest
-   component, are compared with every member of another component. So each
-   pair that shares a bucket is compared or already joined; nothing is capped,
-   and a group of copies costs rows in proportion to its size.
+   component, are compared with every member of another component, inside the
+   join: a pair leaves it only if so many registers agree (by 9 bits of each) that
+   a pair at the similarity falls short with a probability of 5e-6 at most. So each
+   pair that shares a bucket is compared or already joined; nothing is capped, and
+   neither copies nor members that are not linked make a row per pair.
 4. A pair goes on if its sizes allow the similarity, and if the joint likelihood
    of its registers (Ertl's SetSketch model, sizes known) at any similarity that
    would pass is at least e^-16 of its maximum.
@@ -41,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from curio.llm.banding import confirm_by_sets, ends_of, linked, semi_join
+from curio.llm.banding import confirm_by_sets, ends_of, linked, packed_marks, semi_join
 from curio.llm.common import WordHash, list_array, ship, shingle_hashes, sliced, texts_of, word_hashes
 from curio.llm.components import connected_components
 from curio.session import discard, materialize
@@ -57,7 +59,8 @@ _ADD = np.random.default_rng(76).integers(0, 1 << 63, REGISTERS, dtype=np.uint64
 
 SKETCH_SCHEMA = T.StructType([
     T.StructField("doc_id", T.LongType()), T.StructField("n_shingles", T.LongType()),
-    T.StructField("set_id", T.BinaryType()), T.StructField("registers", T.BinaryType())])
+    T.StructField("set_id", T.BinaryType()), T.StructField("registers", T.BinaryType()),
+    T.StructField("marks", T.ArrayType(T.LongType()))])
 
 
 def shingle_set(text: str, memo: WordHash, width: int = WORDS) -> np.ndarray:
@@ -98,8 +101,8 @@ def log_likelihoods(over: np.ndarray, under: np.ndarray, n_a: np.ndarray, n_b: n
 
 
 def sketch(docs: DataFrame, width: int = WORDS) -> DataFrame:
-    """One row per document: set size, set digest and registers (null for an
-    empty set)."""
+    """One row per document: set size, set digest, registers and their packed
+    marks (null for an empty set)."""
     def run(batches):
         memo = WordHash()
         for batch in sliced(batches):
@@ -108,10 +111,13 @@ def sketch(docs: DataFrame, width: int = WORDS) -> DataFrame:
             known: dict = {}
             for d, s in zip(digests, sets):
                 if d is not None and d not in known:
-                    known[d] = registers(s).tobytes()
+                    regs = registers(s)
+                    known[d] = regs.tobytes(), packed_marks(regs)
+            found = [known.get(d, (None, None)) for d in digests]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()),
-                 pa.array([known.get(d) for d in digests], pa.binary())], names=SKETCH_SCHEMA.names)
+                 pa.array([r for r, _ in found], pa.binary()), pa.array([m for _, m in found], pa.list_(pa.int64()))],
+                names=SKETCH_SCHEMA.names)
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SKETCH_SCHEMA)
 
@@ -162,7 +168,7 @@ def near_duplicate_links(docs: DataFrame, sketches: DataFrame, percent: int = PE
     components as all links between them."""
     buckets = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(
         i, F.substring(F.col("registers"), i * (2 * ROWS) + 1, F.lit(2 * ROWS)))).alias("buckets")
-    return linked(sketches.select("rep", "n", buckets), percent, lambda p: _confirmed(p, docs, percent, width),
+    return linked(sketches.select("rep", "n", buckets, "marks"), percent, REGISTERS, lambda p: _confirmed(p, docs, percent, width),
                   lambda p: _likely(p, sketches, percent))
 
 
@@ -172,9 +178,10 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = WORDS)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = materialize(sketch(docs, width), "sketches")
     classes = rows.where("set_id is not null and doc_id is not null").groupBy("set_id").agg(
-        F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("registers").alias("registers"))
+        F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("registers").alias("registers"),
+        F.first("marks").alias("marks"))
     sketches = materialize(classes, "classes")
-    links = near_duplicate_links(docs, sketches.select("rep", "n", "registers"), percent, width)
+    links = near_duplicate_links(docs, sketches.select("rep", "n", "registers", "marks"), percent, width)
     parts = connected_components(links, "a", "b")
     of_class = sketches.select("set_id", "rep").join(parts, F.col("rep") == F.col("node"), "left").select(
         "set_id", F.coalesce("component", "rep").alias("group_id"))

@@ -4,7 +4,9 @@ A paragraph is a line (``\\n``) with at least ``min_words`` words. Paragraphs wi
 equal lower-cased word sequences (128-bit digest) form a class. The MinHash of a
 class's 5-word shingles is cut into bands that ``tune_bands`` sizes for a recall of
 0.9995 at the similarity; classes that collide in a band are compared on their full
-shingle sets (exact Jaccard, by ``banding.linked``, so no group's pairs are emitted).
+shingle sets (exact Jaccard, by ``banding.linked``, so no group's pairs are emitted);
+a pair is left out beforehand only if its minima agree so seldom that one at the
+similarity does so with a probability of 1e-4.
 Components of the confirmed pairs are the clusters. In each cluster the first
 paragraph by (doc_id, place) stays and all others are removed.
 
@@ -22,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from curio.llm.banding import confirm_by_sets, ends_of, linked, semi_join, tune_bands
+from curio.llm.banding import confirm_by_sets, ends_of, linked, packed_marks, semi_join, tune_bands
 from curio.llm.common import SPACES, WordHash, list_array, mix64, shingle_hashes, ship, sliced, texts_of
 from curio.llm.components import connected_components
 from curio.session import discard, materialize
@@ -48,12 +50,17 @@ def shingle_set(words: list[bytes], memo: WordHash) -> np.ndarray:
     return np.unique(shingle_hashes(np.fromiter(map(memo.__getitem__, words), np.uint64, len(words)), WORDS))
 
 
-def buckets(shingles: np.ndarray) -> np.ndarray:
-    """One 64-bit bucket for each band of the MinHash."""
+def minima(shingles: np.ndarray) -> np.ndarray:
+    """The MinHash of a set."""
     least = np.full(ROWS * BANDS, np.iinfo(np.uint64).max, np.uint64)
     for at in range(0, len(shingles), 1024):
         block = shingles[at:at + 1024, None] * _ODD + _ADD
         np.minimum(least, block.min(axis=0), out=least)
+    return least
+
+
+def buckets(least: np.ndarray) -> np.ndarray:
+    """One 64-bit bucket for each band of the MinHash."""
     parts = (least.reshape(BANDS, ROWS) * _PART).sum(axis=1, dtype=np.uint64)
     return mix64(parts + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
 
@@ -64,26 +71,28 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def paragraph_rows(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """One row for each paragraph that counts: where it is, its class and the
-    buckets of its shingle set."""
+    """One row for each paragraph that counts: where it is, its class, the
+    buckets of its shingle set and the marks of its MinHash."""
     def run(batches):
         memo = WordHash()
         for batch in sliced(batches, rows=256):
-            rows: list[list] = [[], [], [], [], [], []]
+            rows: list[list] = [[], [], [], [], [], [], []]
             for i, text in enumerate(texts_of(batch.column(2))):
                 for place, words in paragraphs_of(text, min_words):
                     shingles = shingle_set(words, memo)
+                    least = minima(shingles)
                     for column, x in zip(rows, (i, place, len(words), xxhash.xxh3_128_digest(b" ".join(words)),
-                                                len(shingles), buckets(shingles))):
+                                                len(shingles), buckets(least), packed_marks(mix64(least)))):
                         column.append(x)
             at = pa.array(rows[0], pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(at), batch.column(1).take(at), pa.array(rows[1], pa.int32()), pa.array(rows[2], pa.int32()),
-                 pa.array(rows[3], pa.binary()), pa.array(rows[4], pa.int64()), list_array(rows[5], pa.int64())],
-                names=["doc_id", "text_key", "paragraph", "n_words", "class_id", "n", "buckets"])
+                 pa.array(rows[3], pa.binary()), pa.array(rows[4], pa.int64()), list_array(rows[5], pa.int64()),
+                 list_array(rows[6], pa.int64())],
+                names=["doc_id", "text_key", "paragraph", "n_words", "class_id", "n", "buckets", "marks"])
 
     return _keyed(docs).mapInArrow(
-        run, "doc_id long, text_key long, paragraph int, n_words int, class_id binary, n long, buckets array<long>")
+        run, "doc_id long, text_key long, paragraph int, n_words int, class_id binary, n long, buckets array<long>, marks array<long>")
 
 
 def _class_sets(docs: DataFrame, min_words: int) -> DataFrame:
@@ -108,7 +117,7 @@ def repeated_paragraphs(docs: DataFrame, percent: int = PERCENT, min_words: int
     keyed = _keyed(docs)
     rows = materialize(paragraph_rows(docs, min_words), "paragraphs")
     classes = materialize(rows.groupBy("class_id").agg(
-        F.first("n").alias("n"), F.first("buckets").alias("buckets"),
+        F.first("n").alias("n"), F.first("buckets").alias("buckets"), F.first("marks").alias("marks"),
         F.min(F.struct("doc_id", "text_key")).alias("where")), "paragraph-classes")
 
     def confirm(pairs):
@@ -124,7 +133,7 @@ def repeated_paragraphs(docs: DataFrame, percent: int = PERCENT, min_words: int
         discard(wanted)
         return links
 
-    links = linked(classes.select(F.col("class_id").alias("rep"), "n", "buckets"), percent, confirm)
+    links = linked(classes.select(F.col("class_id").alias("rep"), "n", "buckets", "marks"), percent, ROWS * BANDS, confirm, missed=1e-4)
     parts = connected_components(links, "a", "b")
     discard(classes)
     cluster = F.coalesce("component", "class_id").alias("cluster")

@@ -100,3 +100,15 @@ def test_components(spark):
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "x long, y long"), "x", "y").collect()}
     assert got == {**{i: 0 for i in range(61)}, **{i: 200 for i in range(200, 260)}}
     assert connected_components(spark.createDataFrame([], "x long, y long"), "x", "y").count() == 0
+
+
+def test_packed_marks_count_disagreeing_entries(spark):
+    from curio.llm.banding import disagreeing, least_agreeing, packed_marks
+    rng = np.random.default_rng(4)
+    a, b = rng.integers(0, 512, (2, 200, N.REGISTERS))
+    b = np.where(rng.random(b.shape) < 0.6, a, b)
+    a[0], b[0], a[1], b[1] = 511, 511, 511, 0
+    df = spark.createDataFrame([(packed_marks(x).tolist(), packed_marks(y).tolist()) for x, y in zip(a, b)], "a array<long>, b array<long>")
+    assert [r.d for r in df.select(disagreeing("a", "b", N.REGISTERS).alias("d")).collect()] == (a != b).sum(axis=1).tolist()
+    agree = rng.random((200_000, N.REGISTERS)) < 0.75
+    assert (agree.sum(axis=1) < least_agreeing(N.REGISTERS, 0.75)).mean() < 1e-4
