@@ -8,9 +8,11 @@ member of another component. Each pair that shares a bucket is so compared or
 already joined. Nothing is capped.
 
 This second comparison is a condition of the join: each member carries its
-sketch as packed marks, and a pair leaves the join only if enough marks agree. So
-the pairs that a sketch rules out are never rows, which matters in a group whose
-members are alike, but not enough to be linked.
+sketch as packed marks, and the number of its set's elements that any other of
+these members holds. A pair leaves the join only if enough marks agree, and if the
+smaller of the two numbers, which the intersection can't exceed, allows the
+similarity. So the pairs that these rule out are never rows, which matters in a
+group whose members are alike, but not enough to be linked.
 """
 
 from __future__ import annotations
@@ -82,13 +84,24 @@ def disagreeing(a: str, b: str, entries: int):
     return total
 
 
-def linked(members: DataFrame, percent: int, entries: int, confirm: Callable[[DataFrame], DataFrame],
+def held_by_others(sets: DataFrame) -> DataFrame:
+    """``(rep, held)``: how many elements of each set ``(rep, shingles)`` are in
+    another of the sets. An element is counted with partial sums before the shuffle."""
+    key = F.xxhash64("rep").alias("key")
+    alone = sets.select(key, F.explode("shingles").alias("shingle")).groupBy("shingle").agg(
+        F.min("key").alias("key"), F.max("key").alias("last")).where("key = last").groupBy("key").agg(F.count("*").alias("alone"))
+    return sets.select("rep", key, F.size("shingles").alias("n")).join(alone, "key", "left").select(
+        "rep", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("held"))
+
+
+def linked(members: DataFrame, percent: int, entries: int, sets_of: Callable[[DataFrame], DataFrame],
            likely: Callable[[DataFrame], DataFrame] | None = None, missed: float = MISSED) -> DataFrame:
     """Links ``(a, b)`` that give the components of all similar pairs which share
     a bucket. ``members``: ``(rep, n, buckets array<long>, marks array<long>)``, one
     row per distinct set, the marks packed from a sketch of ``entries``; ``likely``
-    may drop pairs, ``confirm`` returns the true ones as a written table. A pair at
-    the similarity fails the test of the marks with probability ``missed`` at most."""
+    may drop pairs, ``sets_of`` writes the full sets ``(rep, shingles)`` of a table of
+    reps. A pair at the similarity fails the test of the marks with probability
+    ``missed`` at most."""
     likely = likely or (lambda pairs: pairs)
     rows = members.select(F.explode("buckets").alias("bucket"), "rep", "n")
     counts = rows.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
@@ -102,8 +115,10 @@ def linked(members: DataFrame, percent: int, entries: int, confirm: Callable[[Da
         items.join(pivots, "bucket").where(F.col("rep") != F.col("pivot")).where(size_ok(F.col("n"), F.col("n_pivot"), percent))
         .select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct(), "pivot-pairs")
     hopeful = materialize(likely(tried), "pivot-likely")
-    links = confirm(hopeful)
-    discard(hopeful)
+    sets = sets_of(ends_of(hopeful, "rep"))
+    links = confirm_by_sets(hopeful, sets, percent)
+    for done in (hopeful, sets):
+        discard(done)
 
     parts = connected_components(links, "a", "b")
     placed = materialize(items.join(parts, F.col("rep") == F.col("node"), "left").select(
@@ -112,17 +127,22 @@ def linked(members: DataFrame, percent: int, entries: int, confirm: Callable[[Da
     sizes = placed.groupBy("bucket", "part").agg(F.count("*").alias("c"))
     main = sizes.groupBy("bucket").agg(F.max(F.struct("c", "part")).alias("m"), F.count("*").alias("parts")).where(
         "parts > 1").select("bucket", F.col("m.part").alias("main"))
-    split = materialize(placed.join(main, "bucket").join(members.select("rep", "marks"), "rep"), "split")
+    written = materialize(placed.join(main, "bucket"), "split")
+    sets = sets_of(written.select("rep").distinct())
+    facts = materialize(members.select("rep", "marks").join(held_by_others(sets), "rep"), "facts")
+    split = written.join(facts, "rep")
     strangers = split.where("part <> main").select(
-        "bucket", F.col("rep").alias("x"), F.col("n").alias("n_x"), F.col("part").alias("part_x"), F.col("marks").alias("marks_x"))
+        "bucket", F.col("rep").alias("x"), F.col("n").alias("n_x"), F.col("part").alias("part_x"),
+        F.col("marks").alias("marks_x"), F.col("held").alias("held_x"))
     alike = disagreeing("marks", "marks_x", entries) <= entries - least_agreeing(entries, percent / 100, missed)
+    enough = (100 + percent) * F.least("held", "held_x") >= percent * (F.col("n") + F.col("n_x"))
     rest = strangers.join(split, "bucket").where(
         (F.col("part_x") != F.col("part")) & ((F.col("part") == F.col("main")) | (F.col("x") < F.col("rep")))
-        & size_ok(F.col("n"), F.col("n_x"), percent) & alike).select(
+        & size_ok(F.col("n"), F.col("n_x"), percent) & enough & alike).select(
         F.least("x", "rep").alias("a"), F.greatest("x", "rep").alias("b")).distinct()
     hopeful = materialize(likely(rest.join(tried, ["a", "b"], "left_anti")), "rest-likely")
-    more = confirm(hopeful)
-    for done in (placed, split, tried, hopeful):
+    more = confirm_by_sets(hopeful, sets, percent)
+    for done in (placed, written, tried, hopeful, sets, facts):
         discard(done)
     return links.unionByName(more)
 

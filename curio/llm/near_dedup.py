@@ -17,7 +17,8 @@ similarity. Then:
    which neither the pivot nor a chain of links joins to the bucket's largest
    component, are compared with every member of another component, inside the
    join: a pair leaves it only if so many registers agree (by 9 bits of each) that
-   a pair at the similarity falls short with a probability of 5e-6 at most. So each
+   a pair at the similarity falls short with a probability of 5e-6 at most, and if
+   the shingles of each that any other such document holds are enough. So each
    pair that shares a bucket is compared or already joined; nothing is capped, and
    neither copies nor members that are not linked make a row per pair.
 4. A pair goes on if its sizes allow the similarity, and if the joint likelihood
@@ -43,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from curio.llm.banding import confirm_by_sets, ends_of, linked, packed_marks, semi_join
+from curio.llm.banding import linked, packed_marks, semi_join
 from curio.llm.common import WordHash, list_array, ship, shingle_hashes, sliced, texts_of, word_hashes
 from curio.llm.components import connected_components
 from curio.session import discard, materialize
@@ -151,16 +152,14 @@ def _likely(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     return joined.mapInArrow(run, "a long, b long")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, percent: int, width: int) -> DataFrame:
-    """Pairs whose full sets reach the similarity; the sets are made anew from
-    the texts of just these documents."""
-    wanted = materialize(ends_of(pairs, "doc_id"), "wanted")
+def _sets_of(reps: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """The full sets of ``reps``, made anew from the texts of just these
+    documents, as a written table."""
+    wanted = materialize(reps.withColumnRenamed("rep", "doc_id"), "wanted")
     texts = semi_join(docs, wanted, "doc_id")
     sets = materialize(shingle_rows(texts, width).dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "rep"), "shingle-sets")
-    links = confirm_by_sets(pairs, sets, percent)
-    discard(sets)
     discard(wanted)
-    return links
+    return sets
 
 
 def near_duplicate_links(docs: DataFrame, sketches: DataFrame, percent: int = PERCENT, width: int = WORDS) -> DataFrame:
@@ -168,8 +167,8 @@ def near_duplicate_links(docs: DataFrame, sketches: DataFrame, percent: int = PE
     components as all links between them."""
     buckets = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(
         i, F.substring(F.col("registers"), i * (2 * ROWS) + 1, F.lit(2 * ROWS)))).alias("buckets")
-    return linked(sketches.select("rep", "n", buckets, "marks"), percent, REGISTERS, lambda p: _confirmed(p, docs, percent, width),
-                  lambda p: _likely(p, sketches, percent))
+    return linked(sketches.select("rep", "n", buckets, "marks"), percent, REGISTERS,
+                  lambda reps: _sets_of(reps, docs, width), lambda p: _likely(p, sketches, percent))
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = WORDS) -> DataFrame:

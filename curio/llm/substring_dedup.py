@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from curio.llm.banding import confirm_by_sets, ends_of, linked, packed_marks, semi_join, tune_bands
+from curio.llm.banding import linked, packed_marks, semi_join, tune_bands
 from curio.llm.common import SPACES, WordHash, list_array, mix64, shingle_hashes, ship, sliced, texts_of
 from curio.llm.components import connected_components
 from curio.session import discard, materialize
@@ -120,20 +120,19 @@ def repeated_paragraphs(docs: DataFrame, percent: int = PERCENT, min_words: int
         F.first("n").alias("n"), F.first("buckets").alias("buckets"), F.first("marks").alias("marks"),
         F.min(F.struct("doc_id", "text_key")).alias("where")), "paragraph-classes")
 
-    def confirm(pairs):
+    def sets_of(reps):
         # texts of the documents where a class is first
-        ends = ends_of(pairs, "class_id")
-        wanted = materialize(classes.join(ends, "class_id", "left_semi").select(
+        named = materialize(reps, "named")
+        wanted = materialize(classes.join(named, F.col("class_id") == F.col("rep"), "left_semi").select(
             F.col("where.doc_id").alias("i"), F.col("where.text_key").alias("k")).distinct(), "wanted")
         texts = semi_join(keyed, wanted, lambda few: keyed["doc_id"].eqNullSafe(few["i"]) & (keyed["text_key"] == few["k"]))
-        sets = materialize(_class_sets(texts, min_words).join(ends.withColumnRenamed("class_id", "rep"), "rep", "left_semi")
+        sets = materialize(_class_sets(texts, min_words).join(named, "rep", "left_semi")
                            .dropDuplicates(["rep"]), "paragraph-sets")
-        links = confirm_by_sets(pairs, sets, percent)
-        discard(sets)
+        discard(named)
         discard(wanted)
-        return links
+        return sets
 
-    links = linked(classes.select(F.col("class_id").alias("rep"), "n", "buckets", "marks"), percent, ROWS * BANDS, confirm, missed=1e-4)
+    links = linked(classes.select(F.col("class_id").alias("rep"), "n", "buckets", "marks"), percent, ROWS * BANDS, sets_of, missed=1e-4)
     parts = connected_components(links, "a", "b")
     discard(classes)
     cluster = F.coalesce("component", "class_id").alias("cluster")
