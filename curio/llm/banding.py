@@ -8,10 +8,10 @@ member of another component. Each pair that shares a bucket is so compared or
 already joined. Nothing is capped.
 
 This second comparison is a condition of the join: each member carries its
-sketch as packed marks, and the number of its set's elements that any other of
-these members holds. A pair leaves the join only if enough marks agree, and if the
-smaller of the two numbers, which the intersection can't exceed, allows the
-similarity. So the pairs that these rule out are never rows, which matters in a
+sketch as packed marks, and the numbers of its set's elements that any other of
+these members holds, one for each of 16 parts of the hash space. A pair leaves the
+join only if enough marks agree, and if the smaller numbers, whose sum the
+intersection can't exceed, allow the similarity. So the pairs that these rule out are never rows, which matters in a
 group whose members are alike, but not enough to be linked.
 """
 
@@ -84,14 +84,20 @@ def disagreeing(a: str, b: str, entries: int):
     return total
 
 
+PARTS = 16
+
+
 def held_by_others(sets: DataFrame) -> DataFrame:
     """``(rep, held)``: how many elements of each set ``(rep, shingles)`` are in
-    another of the sets. An element is counted with partial sums before the shuffle."""
+    another of the sets, one count for each part of the hash space. All counts have
+    partial sums before the shuffle."""
     key = F.xxhash64("rep").alias("key")
-    alone = sets.select(key, F.explode("shingles").alias("shingle")).groupBy("shingle").agg(
-        F.min("key").alias("key"), F.max("key").alias("last")).where("key = last").groupBy("key").agg(F.count("*").alias("alone"))
-    return sets.select("rep", key, F.size("shingles").alias("n")).join(alone, "key", "left").select(
-        "rep", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("held"))
+    rows = sets.select(key, F.explode("shingles").alias("shingle"))
+    alone = rows.groupBy("shingle").agg(F.min("key").alias("key"), F.max("key").alias("last")).where("key = last")
+    signed = rows.withColumn("c", F.lit(1)).unionByName(alone.select("key", "shingle", F.lit(-1).alias("c")))
+    part = F.pmod("shingle", F.lit(PARTS))
+    held = signed.groupBy("key").agg(*[F.sum(F.when(part == k, F.col("c")).otherwise(0)).alias(f"p{k}") for k in range(PARTS)])
+    return sets.select("rep", key).join(held.select("key", F.array(*[f"p{k}" for k in range(PARTS)]).alias("held")), "key").drop("key")
 
 
 def linked(members: DataFrame, percent: int, entries: int, sets_of: Callable[[DataFrame], DataFrame],
@@ -135,7 +141,8 @@ def linked(members: DataFrame, percent: int, entries: int, sets_of: Callable[[Da
         "bucket", F.col("rep").alias("x"), F.col("n").alias("n_x"), F.col("part").alias("part_x"),
         F.col("marks").alias("marks_x"), F.col("held").alias("held_x"))
     alike = disagreeing("marks", "marks_x", entries) <= entries - least_agreeing(entries, percent / 100, missed)
-    enough = (100 + percent) * F.least("held", "held_x") >= percent * (F.col("n") + F.col("n_x"))
+    common = sum((F.least(F.col("held")[k], F.col("held_x")[k]) for k in range(1, PARTS)), F.least(F.col("held")[0], F.col("held_x")[0]))
+    enough = (100 + percent) * common >= percent * (F.col("n") + F.col("n_x"))
     rest = strangers.join(split, "bucket").where(
         (F.col("part_x") != F.col("part")) & ((F.col("part") == F.col("main")) | (F.col("x") < F.col("rep")))
         & size_ok(F.col("n"), F.col("n_x"), percent) & enough & alike).select(

@@ -112,3 +112,15 @@ def test_packed_marks_count_disagreeing_entries(spark):
     assert [r.d for r in df.select(disagreeing("a", "b", N.REGISTERS).alias("d")).collect()] == (a != b).sum(axis=1).tolist()
     agree = rng.random((200_000, N.REGISTERS)) < 0.75
     assert (agree.sum(axis=1) < least_agreeing(N.REGISTERS, 0.75)).mean() < 1e-4
+
+
+def test_held_by_others_bounds_the_intersection(spark):
+    from curio.llm.banding import PARTS, held_by_others
+    rng = np.random.default_rng(9)
+    sets = {i: np.unique(rng.integers(-30, 30, rng.integers(1, 25)) * 7919).tolist() for i in range(20)}
+    sets[20] = [10 ** 9 + k for k in range(5)]  # held by no other
+    got = {r.rep: r.held for r in held_by_others(spark.createDataFrame(list(sets.items()), "rep long, shingles array<long>")).collect()}
+    for a, x in sets.items():
+        others = set().union(*(y for b, y in sets.items() if b != a))
+        assert got[a] == [sum(s % PARTS == k and s in others for s in x) for k in range(PARTS)]
+        assert all(len(set(x) & set(y)) <= sum(map(min, got[a], got[b])) for b, y in sets.items() if b != a)
