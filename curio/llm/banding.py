@@ -11,7 +11,8 @@ This second comparison is a condition of the join: each member carries its
 sketch as packed marks, and the numbers of its set's elements that any other of
 these members holds, one for each of 16 parts of the hash space. A pair leaves the
 join only if enough marks agree, and if the smaller numbers, whose sum the
-intersection can't exceed, allow the similarity. So the pairs that these rule out are never rows, which matters in a
+intersection can't exceed, allow the similarity; and only in the first bucket that
+the two share. So the pairs that these rule out are never rows, which matters in a
 group whose members are alike, but not enough to be linked.
 """
 
@@ -104,7 +105,7 @@ def linked(members: DataFrame, percent: int, entries: int, sets_of: Callable[[Da
            likely: Callable[[DataFrame], DataFrame] | None = None, missed: float = MISSED) -> DataFrame:
     """Links ``(a, b)`` that give the components of all similar pairs which share
     a bucket. ``members``: ``(rep, n, buckets array<long>, marks array<long>)``, one
-    row per distinct set, the marks packed from a sketch of ``entries``; ``likely``
+    row per distinct set, the buckets in the order of the bands, the marks packed from a sketch of ``entries``; ``likely``
     may drop pairs, ``sets_of`` writes the full sets ``(rep, shingles)`` of a table of
     reps. A pair at the similarity fails the test of the marks with probability
     ``missed`` at most."""
@@ -135,17 +136,19 @@ def linked(members: DataFrame, percent: int, entries: int, sets_of: Callable[[Da
         "parts > 1").select("bucket", F.col("m.part").alias("main"))
     written = materialize(placed.join(main, "bucket"), "split")
     sets = sets_of(written.select("rep").distinct())
-    facts = materialize(members.select("rep", "marks").join(held_by_others(sets), "rep"), "facts")
+    facts = materialize(members.select("rep", "marks", "buckets").join(held_by_others(sets), "rep"), "facts")
     split = written.join(facts, "rep")
     strangers = split.where("part <> main").select(
         "bucket", F.col("rep").alias("x"), F.col("n").alias("n_x"), F.col("part").alias("part_x"),
-        F.col("marks").alias("marks_x"), F.col("held").alias("held_x"))
+        F.col("marks").alias("marks_x"), F.col("held").alias("held_x"), F.col("buckets").alias("buckets_x"))
     alike = disagreeing("marks", "marks_x", entries) <= entries - least_agreeing(entries, percent / 100, missed)
     common = sum((F.least(F.col("held")[k], F.col("held_x")[k]) for k in range(1, PARTS)), F.least(F.col("held")[0], F.col("held_x")[0]))
     enough = (100 + percent) * common >= percent * (F.col("n") + F.col("n_x"))
+    # every shared bucket shows a pair of two parts once; the first of them speaks for all
+    first = F.element_at(F.array_intersect("buckets", "buckets_x"), 1) == F.col("bucket")
     rest = strangers.join(split, "bucket").where(
         (F.col("part_x") != F.col("part")) & ((F.col("part") == F.col("main")) | (F.col("x") < F.col("rep")))
-        & size_ok(F.col("n"), F.col("n_x"), percent) & enough & alike).select(
+        & size_ok(F.col("n"), F.col("n_x"), percent) & enough & alike & first).select(
         F.least("x", "rep").alias("a"), F.greatest("x", "rep").alias("b")).distinct()
     hopeful = materialize(likely(rest.join(tried, ["a", "b"], "left_anti")), "rest-likely")
     more = confirm_by_sets(hopeful, sets, percent)
