@@ -1,5 +1,5 @@
 """The corpus pipeline: quality rules, near-dedup, substring dedup, benchmark
-decontamination, BPE encoding.
+decontamination, repeated passages, BPE encoding.
 
 Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame that is written
 as Parquet and read again as the next stage's ``docs``. All but the last return
@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curio.llm import bpe, decontaminate, near_dedup, quality_rules, substring_dedup
+from curio.llm import bpe, decontaminate, near_dedup, passages, quality_rules, substring_dedup
 from curio.llm.queries import table, vocab_path
 from curio.session import materialize
 
@@ -43,6 +43,13 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return decontaminate.remove_contaminated(docs, table(spark, sf_dir, "benchmark", "item_id", "text"))
 
 
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the runs of 50 words or more that stand before, inside
+    lines or across them. This comes after decontamination, so that no passage goes
+    whose first document is dropped there."""
+    return passages.remove_passages(docs)
+
+
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with their token ids, and whether these decode to the text."""
     both = bpe.decode(bpe.encode(docs, vocab_path(), ids_col="token_ids"), vocab_path(), ids_col="token_ids", text_col="__decoded")
@@ -55,6 +62,7 @@ STAGES = [
     ("near_dedup", near_duplicates),
     ("substring_dedup", repeats),
     ("decontamination", decontamination),
+    ("passages", repeated_passages),
     ("bpe", tokens),
 ]
 

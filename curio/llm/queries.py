@@ -8,7 +8,7 @@ from typing import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curio.llm import (bpe, decontaminate, html_text, near_dedup, quality_rules, sharding, substring_dedup,
+from curio.llm import (bpe, decontaminate, html_text, near_dedup, passages, quality_rules, sharding, substring_dedup,
                        token_scan, toxicity, url_filter)
 from curio.session import scratch_path
 
@@ -54,6 +54,12 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.repeated_paragraphs(table(spark, sf_dir, "documents", "doc_id", "text")).drop("text_key")
 
 
+@query
+def op2_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of 50 words or more that stand before, inside lines or across them."""
+    return passages.repeated_passages(table(spark, sf_dir, "documents", "doc_id", "text")).drop("text_key")
+
+
 @query
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts of every text and the verdict of the learned decision list."""
