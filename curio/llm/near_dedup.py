@@ -29,10 +29,11 @@ similarity. Then:
 
 Defined results: null or empty text and text without words: empty set, linked with
 nothing, its own component, kept. Fewer words than a shingle: the whole sequence
-is one shingle. Repeated rows with one id get the same group. Rows with a null id
-belong to the class of their text but name no group: ``component_id`` is null if
-they alone hold the text, and they are not kept. Extra columns don't matter; an
-empty table gives an empty table.
+is one shingle. Classes are named by their digest, so rows that share an id but not
+the text are told apart; ``component_id`` is the least id of the group. Rows with a
+null id belong to the class of their text but name no group: ``component_id`` is
+null if no row of the group has an id, and they are not ``kept``; ``keep`` keeps one
+row of such a group too. Extra columns don't matter; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -59,7 +60,7 @@ _ODD = np.random.default_rng(75).integers(1, 1 << 63, REGISTERS, dtype=np.uint64
 _ADD = np.random.default_rng(76).integers(0, 1 << 63, REGISTERS, dtype=np.uint64) * np.uint64(2)
 
 SKETCH_SCHEMA = T.StructType([
-    T.StructField("doc_id", T.LongType()), T.StructField("n_shingles", T.LongType()),
+    T.StructField("doc_id", T.LongType()), T.StructField("text_key", T.LongType()), T.StructField("n_shingles", T.LongType()),
     T.StructField("set_id", T.BinaryType()), T.StructField("registers", T.BinaryType()),
     T.StructField("marks", T.ArrayType(T.LongType()))])
 
@@ -101,13 +102,18 @@ def log_likelihoods(over: np.ndarray, under: np.ndarray, n_a: np.ndarray, n_b: n
     return over[:, None] * np.log(up) + under[:, None] * np.log(down) + equal * np.log(same)
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
+
+
 def sketch(docs: DataFrame, width: int = WORDS) -> DataFrame:
-    """One row per document: set size, set digest, registers and their packed
-    marks (null for an empty set)."""
+    """One row per document: key of the text, set size, set digest, registers and
+    their packed marks (null for an empty set)."""
     def run(batches):
         memo = WordHash()
         for batch in sliced(batches):
-            sets = [shingle_set(t, memo, width) for t in texts_of(batch.column(1))]
+            sets = [shingle_set(t, memo, width) for t in texts_of(batch.column(2))]
             digests = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
             known: dict = {}
             for d, s in zip(digests, sets):
@@ -116,23 +122,24 @@ def sketch(docs: DataFrame, width: int = WORDS) -> DataFrame:
                     known[d] = regs.tobytes(), packed_marks(regs)
             found = [known.get(d, (None, None)) for d in digests]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()),
+                [batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()),
                  pa.array([r for r, _ in found], pa.binary()), pa.array([m for _, m in found], pa.list_(pa.int64()))],
                 names=SKETCH_SCHEMA.names)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SKETCH_SCHEMA)
+    return _keyed(docs).mapInArrow(run, SKETCH_SCHEMA)
 
 
 def shingle_rows(docs: DataFrame, width: int = WORDS) -> DataFrame:
-    """``(doc_id, shingles)``, the full set of every document."""
+    """``(rep, shingles)``, digest and full set of every text."""
     def run(batches):
         memo = WordHash()
         for batch in sliced(batches):
-            sets = [shingle_set(t, memo, width).view(np.int64) for t in texts_of(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), list_array(sets, pa.int64())],
-                                             names=["doc_id", "shingles"])
+            sets = [shingle_set(t, memo, width).view(np.int64) for t in texts_of(batch.column(0))]
+            digests = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
+            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), list_array(sets, pa.int64())],
+                                             names=["rep", "shingles"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, shingles array<long>")
+    return docs.select("text").mapInArrow(run, "rep binary, shingles array<long>")
 
 
 def _likely(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
@@ -149,15 +156,19 @@ def _likely(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
             keep = fit[:, 40:].max(axis=1) >= fit.max(axis=1) - 16
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep))
 
-    return joined.mapInArrow(run, "a long, b long")
+    return joined.mapInArrow(run, "a binary, b binary")
 
 
-def _sets_of(reps: DataFrame, docs: DataFrame, width: int) -> DataFrame:
-    """The full sets of ``reps``, made anew from the texts of just these
-    documents, as a written table."""
-    wanted = materialize(reps.withColumnRenamed("rep", "doc_id"), "wanted")
-    texts = semi_join(docs, wanted, "doc_id")
-    sets = materialize(shingle_rows(texts, width).dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "rep"), "shingle-sets")
+def _sets_of(reps: DataFrame, classes: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """The full sets of ``reps``, made anew from the texts of just the documents
+    where these classes are first, as a written table."""
+    named = materialize(reps, "named")
+    wanted = materialize(classes.join(named, "rep", "left_semi").select(
+        F.col("where.doc_id").alias("i"), F.col("where.text_key").alias("k")).distinct(), "wanted")
+    keyed = _keyed(docs)
+    texts = semi_join(keyed, wanted, lambda few: keyed["doc_id"].eqNullSafe(few["i"]) & (keyed["text_key"] == few["k"]))
+    sets = materialize(shingle_rows(texts, width).join(named, "rep", "left_semi").dropDuplicates(["rep"]), "shingle-sets")
+    discard(named)
     discard(wanted)
     return sets
 
@@ -168,22 +179,42 @@ def near_duplicate_links(docs: DataFrame, sketches: DataFrame, percent: int = PE
     buckets = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(
         i, F.substring(F.col("registers"), i * (2 * ROWS) + 1, F.lit(2 * ROWS)))).alias("buckets")
     return linked(sketches.select("rep", "n", buckets, "marks"), percent, REGISTERS,
-                  lambda reps: _sets_of(reps, docs, width), lambda p: _likely(p, sketches, percent))
+                  lambda reps: _sets_of(reps, sketches, docs, width), lambda p: _likely(p, sketches, percent))
+
+
+def groups(docs: DataFrame, percent: int = PERCENT, width: int = WORDS) -> DataFrame:
+    """``(doc_id, text_key, n_shingles, group_id)`` for every row of ``docs``
+    (columns ``doc_id``, ``text``); the group is null for a text without words."""
+    rows = materialize(sketch(docs, width), "sketches")
+    classes = materialize(rows.where("set_id is not null").groupBy(F.col("set_id").alias("rep")).agg(
+        F.first("n_shingles").alias("n"), F.first("registers").alias("registers"), F.first("marks").alias("marks"),
+        F.min(F.struct("doc_id", "text_key")).alias("where")), "classes")
+    links = near_duplicate_links(docs, classes, percent, width)
+    parts = connected_components(links, "a", "b")
+    return rows.select("doc_id", "text_key", "n_shingles", "set_id").join(parts, F.col("set_id") == F.col("node"), "left").select(
+        "doc_id", "text_key", "n_shingles", F.coalesce("component", "set_id").alias("group_id"))
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, width: int = WORDS) -> DataFrame:
     """``(doc_id, n_shingles, component_id, kept)`` for every row of ``docs``
     (columns ``doc_id``, ``text``)."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = materialize(sketch(docs, width), "sketches")
-    classes = rows.where("set_id is not null and doc_id is not null").groupBy("set_id").agg(
-        F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("registers").alias("registers"),
-        F.first("marks").alias("marks"))
-    sketches = materialize(classes, "classes")
-    links = near_duplicate_links(docs, sketches.select("rep", "n", "registers", "marks"), percent, width)
-    parts = connected_components(links, "a", "b")
-    of_class = sketches.select("set_id", "rep").join(parts, F.col("rep") == F.col("node"), "left").select(
-        "set_id", F.coalesce("component", "rep").alias("group_id"))
-    return rows.select("doc_id", "n_shingles", "set_id").join(of_class, "set_id", "left").select(
-        "doc_id", "n_shingles", F.when(F.col("set_id").isNull(), F.col("doc_id")).otherwise(F.col("group_id")).alias("component_id")
+    rows = groups(docs, percent, width)
+    least = rows.where("group_id is not null").groupBy("group_id").agg(F.min("doc_id").alias("least_id"))
+    return rows.join(least, "group_id", "left").select(
+        "doc_id", "n_shingles", F.when(F.col("group_id").isNull(), F.col("doc_id")).otherwise(F.col("least_id")).alias("component_id")
     ).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+
+
+def keep(docs: DataFrame, percent: int = PERCENT, width: int = WORDS) -> DataFrame:
+    """One row of each group of ``docs``, the first by (doc_id, text), a null id
+    last. Rows without words stay; of those with one id and one text, one."""
+    rows = groups(docs, percent, width)
+    firsts = rows.where("group_id is not null").groupBy("group_id").agg(
+        F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "text_key")).alias("first"))
+    kept = materialize(firsts.select("first.doc_id", "first.text_key").unionByName(
+        rows.where("group_id is null").select("doc_id", "text_key").distinct()).select(
+        F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")), "kept")
+    key = F.xxhash64(F.col("text").cast("string"))
+    found = docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(kept["__id"]) & (key == kept["__key"]), "left_semi")
+    bare = F.col("doc_id").isNull() & ~F.coalesce(F.col("text").cast("string"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    return found.where(bare).unionByName(found.where(~bare).withColumn("__key", key).dropDuplicates(["doc_id", "__key"]).drop("__key"))

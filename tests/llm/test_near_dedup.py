@@ -124,3 +124,16 @@ def test_held_by_others_bounds_the_intersection(spark):
         others = set().union(*(y for b, y in sets.items() if b != a))
         assert got[a] == [sum(s % PARTS == k and s in others for s in x) for k in range(PARTS)]
         assert all(len(set(x) & set(y)) <= sum(map(min, got[a], got[b])) for b, y in sets.items() if b != a)
+
+
+def test_null_ids_and_two_texts_under_one_id(spark):
+    long = lambda x, n=40: " ".join(f"{x}{i}" for i in range(n))
+    rows = [(None, long("u")), (None, long("v")), (None, long("v")), (None, long("v") + " w"), (None, None), (None, ""),
+            (3, long("a")), (3, long("b")), (3, long("a")), (5, long("b") + " x"), (None, long("a") + " y"), (9, None), (9, None)]
+    df = spark.createDataFrame([(i, t, "k") for i, t in rows], "doc_id long, text string, kept string").repartition(3)
+    got = sorted((str(r.doc_id), str(r.text)[:2]) for r in N.keep(df).collect())
+    assert got == sorted([("None", "u0"), ("None", "v0"), ("None", "No"), ("None", ""), ("3", "a0"), ("3", "b0"), ("9", "No")])
+    out = N.near_duplicates(df).collect()
+    assert len(out) == len(rows)
+    assert sorted((str(r.doc_id), str(r.component_id), r.kept) for r in out if r.n_shingles) == sorted(
+        [("None", "None", False)] * 4 + [("3", "3", True)] * 3 + [("5", "3", False), ("None", "3", False)])
