@@ -4,8 +4,7 @@ decontamination, repeated passages, BPE encoding.
 Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame that is written
 as Parquet and read again as the next stage's ``docs``. All but the last return
 the columns of ``documents``. Nulls in any column are allowed; a row with a null
-id is judged by its text (near-dedup keeps it only where the text has no words,
-since no group can be named after it). An empty table gives an empty table.
+id is judged by its text. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -25,12 +24,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates. Of several rows with the
-    kept id, one is kept."""
-    judged = near_dedup.near_duplicates(docs)
-    kept = judged.where(F.col("kept") | (F.col("n_shingles") == 0)).select(F.col("doc_id").alias("__kept")).distinct()
-    rows = docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(kept["__kept"]), "left_semi")
-    return rows.where("doc_id is null").unionByName(rows.where("doc_id is not null").dropDuplicates(["doc_id"]))
+    """One document of each group of near-duplicates; rows that share an id but
+    not the text are told apart."""
+    return near_dedup.keep(docs)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
