@@ -2,9 +2,13 @@
 
 ``Tree`` builds elements from the tags with the implied end tags of HTML (a new ``li``
 ends the open one, a block ends an open ``p``, table parts end each other, the end
-of an element ends what is open in it); a stray end tag is ignored. ``render`` walks the tree without recursion and
+of an element ends what is open in it); a stray end tag is ignored. The first content
+that is none of the head's ends an open head. A cell without a row gets one; text and
+other elements that stand in a table outside its cells come before the table, and a
+form there owns nothing, as in browsers. ``render`` walks the tree without recursion and
 emits all visible text: scripts, styles, templates, hidden and ``display:none``
-elements are not visible. Blocks stand on lines of their own, paragraphs and headings
+elements are not visible, nor are frames, titles and the definitions in a drawing; the
+text of ``svg`` and ``math`` and what an ``object`` holds in place of itself are. Blocks stand on lines of their own, paragraphs and headings
 with an empty line around them, ``br`` breaks a line, list items are marked ``-`` or
 numbered and indented by depth, ``pre`` keeps its spaces, and table cells are padded
 to the width of their column. Character references are resolved.
@@ -29,7 +33,7 @@ ship(__name__)
 
 # Element kinds of HTML.
 VOID = set("area base br col embed hr img input link meta source track wbr".split())
-UNSEEN = set("script style template noscript head title iframe object svg math datalist".split())
+UNSEEN = set("script style template noscript head title iframe datalist".split())
 BLOCKS = set("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form "
              "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody tfoot thead "
              "tr caption ul".split())
@@ -37,9 +41,13 @@ SPACED = set("p h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre figure".split())
 ENDS_P = BLOCKS - set("html body tbody tfoot thead tr caption li dd dt".split())
 # a start tag ends the open elements on the right, unless one of the walls is nearer
 IMPLIED = {"li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "option": ("option", "select"),
-           "tr": ("tr td th", "table"), "td": ("td th", "tr table"), "th": ("td th", "tr table"),
+           "tr": ("tr td th caption", "table"), "td": ("td th caption", "tr table"), "th": ("td th caption", "tr table"),
            "tbody": ("tbody thead tfoot tr td th caption", "table"), "thead": ("tbody thead tfoot tr td th caption", "table"),
            "tfoot": ("tbody thead tfoot tr td th caption", "table")}
+PARTS = set("table tbody thead tfoot tr".split())  # where only parts of a table may stand
+IN_TABLE = set("caption colgroup col tbody thead tfoot tr td th script style template".split())
+IN_HEAD = set("base link meta title style script noscript template".split())
+FOREIGN_UNSEEN = {"svg": set("desc metadata defs symbol".split()), "math": {"annotation", "annotation-xml"}}
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 SPACE = re.compile(r"[ \t\n\r\f\v]+")
 
@@ -73,29 +81,64 @@ class Tree(HTMLParser):
                 if len(tags) == 1:
                     return
 
+    def _within(self, tags) -> str | None:
+        """The nearest open element of ``tags``."""
+        return next((n.tag for n in reversed(self.open) if n.tag in tags), None)
+
+    def _place(self, item) -> None:
+        """Adds to the open element; what may not stand in a table's parts goes
+        before the table, which is the last child so far."""
+        if self.open[-1].tag in PARTS and (isinstance(item, str) or item.tag not in IN_TABLE):
+            for at in range(len(self.open) - 1, 0, -1):
+                if self.open[at].tag == "table":
+                    siblings = self.open[at - 1].children
+                    siblings[-1:-1] = [" ", item]
+                    return
+        self.open[-1].children.append(item)
+
     def handle_starttag(self, tag, attrs):
+        if tag in IN_TABLE and tag not in UNSEEN and self._within(PARTS | {"td", "th", "caption"}) in PARTS:
+            while self.open[-1].tag not in PARTS:  # what came before the table ends
+                self.open.pop()
         if tag in IMPLIED:
             tags, walls = IMPLIED[tag]
             self._end(set(tags.split()), set(walls.split()))
         elif tag in ENDS_P:
             self._end({"p"}, {"td", "th", "li", "table", "button"})
-        if self.open[-1].tag in ("head",) and tag in BLOCKS:
+        if self.open[-1].tag == "head" and tag not in IN_HEAD:
             self.open.pop()
+        if tag == "table" and self.open[-1].tag in PARTS:
+            self._end({"table"}, set())
+        if tag in ("td", "th") and self.open[-1].tag in PARTS - {"tr"}:
+            self.handle_starttag("tr", [])
         node = Node(tag, dict(attrs))
-        self.open[-1].children.append(node)
+        if any(tag in unseen and self._within({outer}) for outer, unseen in FOREIGN_UNSEEN.items()):
+            node.attrs["hidden"] = ""
+        if tag == "form" and self.open[-1].tag in PARTS:
+            return
+        if tag == "text":
+            self._place(" ")
+        self._place(node)
         if tag not in VOID:
             self.open.append(node)
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
-        if tag not in VOID and tag in ("svg", "path", "rect", "circle"):
-            self.handle_endtag(tag)
+        if tag not in VOID and self.open[-1].tag == tag and self._within({"svg", "math"}):
+            self.open.pop()
 
     def handle_endtag(self, tag):
         self._end({tag}, {"table"} if tag in ("p", "li", "div", "span", "a", "b", "i") else set())
+        if tag == "text":
+            self._place(" ")
 
     def handle_data(self, data):
-        self.open[-1].children.append(data)
+        if not SPACE.sub("", data):
+            self.open[-1].children.append(data)
+            return
+        if self.open[-1].tag == "head":
+            self.open.pop()
+        self._place(data)
 
 
 class Lines:

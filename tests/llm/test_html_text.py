@@ -39,3 +39,20 @@ def test_query_emits_all_visible_words(spark):
         words = [w for w in H.unescape(seen).split()]
         mine = [w for w in r.text.split() if w != "-" and not re.fullmatch(r"\d+\.", w)]
         assert sorted("".join(mine)) == sorted("".join(w for w in words if w != "-" and not re.fullmatch(r"\d+\.", w)))
+
+
+def test_no_word_is_lost_in_tables_heads_and_drawings():
+    for html, words in [
+            ("<table><tr><form><td>x</td><td>y</td></form></tr></table>after", "x y after"), ("<table><tbody><td>x</td><td>y</table>z", "x y z"),
+            ("<table><td>x<tr><td>y</table>", "x y"), ("<table><tr>one<td>x</td></tr>two<tbody>three<tr><td>y</table>z", "one two three x y z"),
+            ("a<table><tr><b>one<tr><td>x</b></table>b", "a one x b"), ("<table><tr><div>d<p>e</div><td>x</table>", "d e x"),
+            ("<table><form><tr><td>x</form><tr><td>y</table>z", "x y z"), ("<table><tr><td>a<table>s<tr><td>b</table>c</table>d", "a s b c d"),
+            ("<table>a<table><tr><td>b</table>c", "a b c"), ("<table><caption>c<tr><td>x</table>", "c x"),
+            ("<table><tbody><tr><img alt=pic><select><option>o</select><td>x</table>", "pic o x"), ("<tr>a <td>b", "a b"),
+            ("<head><title>t</title><span>x</span><p>y", "x y"), ("<head><b>x <i>y<p>z", "x y z"), ("<head><meta charset=u>x <a>y", "x y"),
+            ("<head>x</head><body>y", "x y"), ("<svg><title>t</title><defs/><g><text>a</text><text>b</text></g></svg>c", "a b c"),
+            ("<svg><defs><text>no</text></defs><text>a</text></svg>", "a"), ("<math><mi>x</mi><annotation>no</annotation></math> y", "x y"),
+            ("<object data=f>held</object> y", "held y")]:
+        assert sorted(text_of(html).split()) == sorted(words.split()), (html, text_of(html))
+    assert text_of("<table><tr>" + "w <b>v</b> " * 3000 + "<td>x").split().count("w") == 3000
+    assert text_of("<table><tr><td>a<td>b<tr><form><td>long<td>d</form></table>") == "a     b\nlong  d"
