@@ -9,8 +9,8 @@ Design points for scale:
   ``sum_{i<j} u_i.u_j = (|sum u|^2 - sum |u|^2) / 2`` for unit vectors ``u``:
   linear in the rows, no pairs are generated.
 * The similarity matrices (C5/I3) compare *group-level* vectors (one per
-  layer / checkpoint); their number is checked against ``MAX_MATRIX_ITEMS``
-  before the triangular self join.
+  layer / checkpoint) by an equi-join on the group and blocks of items; their
+  number is not bounded.
 * PCA: per-partition moment sums (numpy inside ``mapInPandas``), merged per
   group (a group holds one partial per partition, not the rows), a d x d
   eigen-solve per group, then the projection as a JVM expression.
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from curio.functions.vectors import as_double, dot, l2_normalize
 from curio.operators._util import row_count_at_most
 
-MAX_MATRIX_ITEMS = 4096
+MATRIX_BLOCKS = 16
 MAX_WIDE_ITEMS = 2048
 WIDE_BLOCK = 4096
 
@@ -58,21 +58,26 @@ def centroids(df: DataFrame, keys: Sequence[str], vec: str = "embedding",
 
 def pairwise_similarity(items: DataFrame, key: str, vec: str,
                         group_cols: Sequence[str] = (),
-                        max_items: int = MAX_MATRIX_ITEMS) -> DataFrame:
+                        max_items: int | None = None) -> DataFrame:
     """Cosine matrix between group-level vectors, long form
     ``(*group_cols, i, j, cos)``; zero vectors are dropped. Computed on the
-    triangle ``i <= j`` and mirrored. The number of items is checked first:
-    this is a matrix of layers or checkpoints, not of corpus rows."""
-    if not row_count_at_most(items, max_items):
+    triangle ``i <= j`` and mirrored. Items are dealt into blocks by a hash of
+    their key, and a pair of blocks of a group is one key of the join, so any
+    number of items is spread over tasks. A caller may bound the items
+    (``max_items``); more are then an error."""
+    if max_items is not None and not row_count_at_most(items, max_items):
         raise ValueError(f"more than {max_items} items; similarity matrices are for "
                          "group-level vectors (aggregate first)")
     g = list(group_cols)
     u = items.select(*g, F.col(key).alias("i"), l2_normalize(vec).alias("u")) \
         .filter(F.col("u").isNotNull())
-    a = u.alias("a")
-    # the item count was checked above: a proven bound
-    b = F.broadcast(u.select(*g, F.col("i").alias("j"), F.col("u").alias("v"))).alias("b")
-    cond = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in g] + [F.col("a.i") <= F.col("b.j")]
+    block = F.pmod(F.xxhash64("i"), F.lit(MATRIX_BLOCKS)).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.lit(MATRIX_BLOCKS - 1)))
+    a = u.select("*", block.alias("block_i"), every.alias("block_j")).alias("a")
+    b = u.select(*g, F.col("i").alias("j"), F.col("u").alias("v"), block.alias("block_j"),
+                 every.alias("block_i")).alias("b")
+    cond = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in [*g, "block_i", "block_j"]] + [
+        F.col("a.i") <= F.col("b.j")]
     tri = a.join(b, cond).select(*[F.col(f"a.{c}").alias(c) for c in g], "i", "j",
                                  dot(F.col("u"), F.col("v")).alias("cos"))
     mirror = tri.filter(F.col("i") != F.col("j")).select(*g, F.col("j").alias("i"),
