@@ -8,8 +8,8 @@ from typing import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curio.llm import (bpe, decontaminate, html_text, near_dedup, passages, quality_rules, sharding, substring_dedup,
-                       token_scan, toxicity, url_filter)
+from curio.llm import (bpe, decontaminate, html_text, line_dedup, near_dedup, passages, quality_rules, sharding,
+                       substring_dedup, token_scan, toxicity, url_filter)
 from curio.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -133,3 +133,24 @@ def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Visible text of every page, with its layout."""
     pages = table(spark, sf_dir, "pages", "page_id", "html")
     return html_text.extract(pages).select("page_id", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+@query
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that an earlier document holds, and the digest of what stays."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    kept = line_dedup.apply_bitmaps(docs, line_dedup.keep_bitmaps(docs))
+    return kept.select("doc_id", "n_lines", "n_dropped",
+                       F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
+ORACLE["op12_line_dedup"] = r"""
+WITH texts AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS line FROM documents),
+lines AS (SELECT doc_id, unnest(line) AS line, generate_subscripts(line, 1) AS place FROM texts),
+keyed AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+          'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM lines),
+least AS (SELECT key, min(doc_id) AS first_doc FROM keyed WHERE length(key) >= 10 GROUP BY key),
+judged AS (SELECT k.*, coalesce(k.doc_id > l.first_doc, false) AS gone FROM keyed k LEFT JOIN least l USING (key))
+SELECT doc_id, count(*)::BIGINT AS n_lines, sum(gone::INT)::BIGINT AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM judged GROUP BY doc_id"""
