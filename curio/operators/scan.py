@@ -1,5 +1,5 @@
-"""Segmented prefix scans: an index, running sums and seeded exponential means
-of the rows of each group, in an order.
+"""Segmented prefix scans: an index, running sums (or exclusive-ors) and seeded
+exponential means of the rows of each group, in an order.
 
 One range shuffle on ``(group, order)`` sorts the rows, so a group of any size
 lies over as many neighbouring partitions as it needs and a million small groups
@@ -11,7 +11,7 @@ group, and whether both are one group. An exclusive scan of these (as many rows
 as there are partitions, whatever the data) gives what enters each partition, and
 only rows of a partition's first group take it in.
 
-Results: a null value adds nothing to a sum and passes a mean on unchanged; before
+Results: a null value adds nothing to a sum or exclusive-or and passes a mean on unchanged; before
 a group's first value the mean is null. Null and NaN group keys are groups like
 any other (as in ``groupBy``). Rows that tie in the whole order may stand in either
 order; give an id as the last key. An empty table gives an empty table.
@@ -44,6 +44,12 @@ class RunningSum:
     col: str
 
 
+@dataclass(frozen=True)
+class RunningXor:
+    """Inclusive running exclusive-or of the long column ``col``."""
+    col: str
+
+
 @dataclass(frozen=True)
 class RunningMean:
     """``e = decay * e + weight * x``, seeded by the group's first value."""
@@ -83,6 +89,11 @@ def _sums(x: np.ndarray, place: np.ndarray) -> np.ndarray:
     return x
 
 
+def _xors(x: np.ndarray, place: np.ndarray) -> np.ndarray:
+    total = np.bitwise_xor.accumulate(x)
+    return total ^ (total ^ x)[np.arange(len(x)) - place]
+
+
 def _means(x: np.ndarray, known: np.ndarray, decay: float, weight: float, place: np.ndarray):
     """Composed maps inside segments: ``(a, b)`` for a mean that enters the
     segment, ``s`` for none (defined where ``has``)."""
@@ -145,10 +156,12 @@ class _Part:
             if kind == "index":
                 x = np.ones(n, np.int64)
             else:
-                x = pc.fill_null(batch.column(at).cast(pa.int64() if kind == "whole" else pa.float64()), 0).to_numpy(
+                x = pc.fill_null(batch.column(at).cast(pa.float64() if kind == "real" else pa.int64()), 0).to_numpy(
                     zero_copy_only=False)
-            y = _sums(x, place)
-            if went_on:
+            y = _xors(x, place) if kind == "xor" else _sums(x, place)
+            if went_on and kind == "xor":
+                y[:went_on] ^= before
+            elif went_on:
                 y[:went_on] += before
             out.append(pa.array(y))
             self.state[k] = y[-1]
@@ -174,7 +187,9 @@ def _entering(parts, groups: list[str], scans: list[tuple]) -> list[tuple]:
         end = [p["tail"][f"y{k}"] for k in range(len(scans))]
         if came is not None and p["single"]:
             for k, (kind, *_) in enumerate(scans):
-                if kind != "mean":
+                if kind == "xor":
+                    end[k] ^= came[k]
+                elif kind != "mean":
                     end[k] += came[k]
                 elif came[k] is not None:
                     end[k] = p["tail"][f"a{k}"] * came[k] + p["tail"][f"b{k}"]
@@ -183,7 +198,7 @@ def _entering(parts, groups: list[str], scans: list[tuple]) -> list[tuple]:
 
 
 def segmented_scan(df: DataFrame, groups: Sequence[str], order: Sequence[Column],
-                   scans: dict[str, RunningSum | RunningMean] | None = None,
+                   scans: dict[str, RunningSum | RunningXor | RunningMean] | None = None,
                    idx_col: str | None = None) -> DataFrame:
     """``df`` with one column per scan and, if named, the 0-based index of each
     row in its group. ``order`` are sort expressions (``col.asc_nulls_last()``,
@@ -192,7 +207,7 @@ def segmented_scan(df: DataFrame, groups: Sequence[str], order: Sequence[Column]
     asked: list[tuple] = [("index", None, 0.0, 0.0)] if idx_col else []
     names = [idx_col] if idx_col else []
     for name, s in (scans or {}).items():
-        kind = "mean" if isinstance(s, RunningMean) else (
+        kind = "mean" if isinstance(s, RunningMean) else "xor" if isinstance(s, RunningXor) else (
             "whole" if isinstance(df.schema[s.col].dataType, _WHOLE) else "real")
         asked.append((kind, s.col, getattr(s, "decay", 0.0), getattr(s, "weight", 0.0)))
         names.append(name)
@@ -242,6 +257,6 @@ def segmented_scan(df: DataFrame, groups: Sequence[str], order: Sequence[Column]
         if kind == "mean":
             out.append(F.when(late, F.col(f"__a{k}") * c + F.col(f"__b{k}")).otherwise(y).alias(names[k]))
         else:
-            full = F.when(late, y + c).otherwise(y)
+            full = F.when(late, y.bitwiseXOR(c) if kind == "xor" else y + c).otherwise(y)
             out.append((full - 1 if kind == "index" else full).alias(names[k]))
     return joined.select(*kept, *out)

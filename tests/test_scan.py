@@ -6,17 +6,17 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from curio.operators.scan import RunningMean, RunningSum, segmented_scan
+from curio.operators.scan import RunningMean, RunningSum, RunningXor, segmented_scan
 
 
 def plain(rows, decay, weight):
     out, state = {}, {}
     for g, k, w, x in sorted(rows, key=lambda r: (r[0] is None, r[0] or "", r[1])):
         key = "nan" if g != g else g
-        i, whole, real, mean = state.get(key, (-1, 0, 0.0, None))
+        i, whole, real, mean, xor = state.get(key, (-1, 0, 0.0, None, 0))
         if x is not None:
             mean = x if mean is None else decay * mean + weight * x
-        state[key] = now = (i + 1, whole + (w or 0), real + (x or 0.0), mean)
+        state[key] = now = (i + 1, whole + (w or 0), real + (x or 0.0), mean, xor ^ (w or 0))
         out[k] = now
     return out
 
@@ -36,7 +36,7 @@ def test_scans_with_a_hot_group_nulls_and_many_groups(spark, parts):
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
     try:
         got = segmented_scan(df, ["g"], [F.col("k").asc()], {"s": RunningSum("w"), "r": RunningSum("x"),
-                                                             "e": RunningMean("x", 0.9, 0.1)}, "i").collect()
+                                                             "e": RunningMean("x", 0.9, 0.1), "o": RunningXor("w")}, "i").collect()
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
@@ -44,8 +44,8 @@ def test_scans_with_a_hot_group_nulls_and_many_groups(spark, parts):
     want = plain(rows, 0.9, 0.1)
     assert len(got) == len(rows)
     for r in got:
-        i, s, x, e = want[r["k"]]
-        assert (r["i"], r["s"]) == (i, s)
+        i, s, x, e, o = want[r["k"]]
+        assert (r["i"], r["s"], r["o"]) == (i, s, o)
         assert math.isclose(r["r"], x, rel_tol=1e-12, abs_tol=1e-9)
         assert (r["e"] is None) == (e is None) and (e is None or math.isclose(r["e"], e, rel_tol=1e-12))
 
