@@ -8,8 +8,8 @@ from typing import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curio.llm import (bpe, decontaminate, html_text, line_dedup, near_dedup, passages, quality_rules, sharding,
-                       substring_dedup, token_scan, toxicity, url_filter)
+from curio.llm import (bpe, decontaminate, html_text, line_dedup, near_dedup, passages, prefix_trie, quality_rules,
+                       sharding, substring_dedup, token_scan, toxicity, url_filter)
 from curio.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -154,3 +154,36 @@ judged AS (SELECT k.*, coalesce(k.doc_id > l.first_doc, false) AS gone FROM keye
 SELECT doc_id, count(*)::BIGINT AS n_lines, sum(gone::INT)::BIGINT AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (WHERE NOT gone), '')) AS kept_sha256
 FROM judged GROUP BY doc_id"""
+
+
+@query
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prefix trie of the rebuilt conversations."""
+    turns = prefix_trie.turns_of(table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"))
+    return prefix_trie.build(*prefix_trie.grafted(turns))
+
+
+ORACLE["op11_prefix_trie"] = r"""
+WITH t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (
+             PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS pos FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, xor(4294967295::BIGINT, list_reduce(list_concat([4294967295::BIGINT],
+        list_transform(string_split(conv_id::VARCHAR, ''), lambda s: ascii(s)::BIGINT)), lambda crc, b:
+        list_reduce(list_concat([xor(crc, b)], range(8)), lambda x, i: xor(x >> 1, 3988292384::BIGINT * (x & 1))))) % 9 AS h
+      FROM (SELECT DISTINCT conv_id FROM t)),
+r AS (SELECT c.conv_id, 0 AS part, pos, role, text FROM c JOIN t ON t.conv_id = c.conv_id - c.conv_id % 5 AND pos < h
+      UNION ALL SELECT c.conv_id, 1, pos, role, text FROM c JOIN t ON t.conv_id = c.conv_id AND pos >= h),
+s AS (SELECT c.conv_id, coalesce(list({'r': role, 't': text} ORDER BY part, pos) FILTER (WHERE pos IS NOT NULL), []) AS seq
+      FROM c LEFT JOIN r USING (conv_id) GROUP BY c.conv_id),
+m AS (SELECT conv_id, d, len(seq) = d AS ends, md5(seq[1:d]::VARCHAR) AS key, CASE WHEN d = 0 THEN NULL ELSE md5(seq[1:d - 1]::VARCHAR) END AS up,
+             CASE WHEN d = 0 THEN 0 ELSE strlen(seq[d].t) END AS bytes
+      FROM (SELECT conv_id, seq, unnest(range(len(seq) + 1)) AS d FROM s)),
+n AS (SELECT key, d, any_value(up) AS up, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(bytes) AS bytes,
+             sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE ends), '')) AS ends_sha256
+      FROM m GROUP BY key, d),
+k AS (SELECT n.*, (SELECT count(*) FROM n AS o WHERE o.up = n.key AND o.d = n.d + 1) AS n_children FROM n),
+pairs AS (SELECT DISTINCT a.key AS top, a.d AS top_d, b.key, b.d FROM m a JOIN m b ON a.conv_id = b.conv_id AND a.d <= b.d),
+sums AS (SELECT top, top_d, sum((n_children = 0)::INT) AS n_leaves, sum((n_convs - 1) * bytes) AS saved_tokens
+         FROM pairs JOIN k ON k.key = pairs.key AND k.d = pairs.d GROUP BY top, top_d)
+SELECT k.conv_id, k.d::BIGINT AS depth, p.conv_id AS parent_conv_id, k.n_convs::BIGINT AS n_convs, k.n_children::BIGINT AS n_children,
+       n_leaves::BIGINT AS n_leaves, saved_tokens::BIGINT AS saved_tokens, k.ends_sha256
+FROM k JOIN sums ON sums.top = k.key AND sums.top_d = k.d LEFT JOIN k AS p ON p.key = k.up AND p.d = k.d - 1"""
