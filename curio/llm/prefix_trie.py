@@ -118,7 +118,8 @@ def _nodes(blocks: DataFrame) -> DataFrame:
         F.count("*").alias("n_convs"), F.min("conv_id").alias("conv_id")), "trie-blocks")
     # the first blocks are all siblings; later ones are counted under their prefix
     alone = kinds.where("k > 0").groupBy(*prefix).agg(F.count("*").alias("n")).where("n = 1").select(*prefix, F.lit(True).alias("alone"))
-    marked = kinds.join(alone, prefix, "left")
+    later = kinds.where("k > 0").join(alone, prefix, "left")
+    marked = later.unionByName(kinds.where("k = 0").withColumn("alone", F.lit(None).cast("boolean")))
     j = F.col("j")
     turned = marked.withColumn("j", F.explode(F.sequence(F.lit(1), F.size("hi")))).select(
         _inside(j).alias("node"),
@@ -249,17 +250,14 @@ def build(turns: DataFrame, convs: DataFrame) -> DataFrame:
     known = materialize(nodes.join(children, "node", "left").na.fill(0, ["n_children"]), "trie-children")
     valued = known.select("node", "parent", (F.col("n_children") == 0).cast("long").alias("n_leaves"),
                           ((F.col("n_convs") - 1) * F.col("bytes")).alias("saved_tokens"))
-    depth = known.agg(F.max("depth")).first()[0] or 0
-    sums = _subtree_sums(valued, ["n_leaves", "saved_tokens"], depth)
+    depth, top = known.agg(F.max("depth"), F.min(F.when(F.col("depth") == 0, F.col("conv_id")))).first()
+    sums = _subtree_sums(valued, ["n_leaves", "saved_tokens"], depth or 0)
     last = blocks.groupBy("conv_id").agg(F.max_by(F.struct("k", "before_hi", "before_lo", "shi", "slo", "hi", "lo"), "k").alias("b"))
     named = last.select("conv_id", "b.*").select("conv_id", _inside(F.size("hi")).alias("node"))
     ends = convs.join(named, "conv_id", "left").select("conv_id", F.coalesce("node", _root()).alias("node"))
     above = known.select(F.col("node").alias("parent"), F.col("conv_id").alias("parent_conv_id"))
-    top = known.where("depth = 0").select("conv_id").limit(1)      # the root: one row
-    parents = known.where("depth > 1").join(above, "parent").unionByName(
-        known.where("depth = 1").join(F.broadcast(top.select(F.col("conv_id").alias("parent_conv_id"), F.lit(1).cast("long").alias("depth"))), "depth")
-        .select(*known.columns, "parent_conv_id"), allowMissingColumns=True).unionByName(
-        known.where("depth = 0").withColumn("parent_conv_id", F.lit(None).cast("long")))
+    parents = known.where("depth > 1").join(above, "parent").unionByName(known.where("depth < 2").withColumn(
+        "parent_conv_id", F.when(F.col("depth") == 1, F.lit(top).cast("long"))))
     return parents.join(sums, "node").join(_end_digests(ends), "node", "left").select(
         "conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens",
         F.coalesce("ends_sha256", F.lit(EMPTY_SHA)).alias("ends_sha256"))
