@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from curio.llm import (bpe, decontaminate, html_text, line_dedup, near_dedup, passages, prefix_trie, quality_rules,
-                       sharding, substring_dedup, token_scan, toxicity, url_filter)
+                       sharding, substring_dedup, token_align, token_scan, toxicity, url_filter)
 from curio.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -187,3 +187,10 @@ sums AS (SELECT top, top_d, sum((n_children = 0)::INT) AS n_leaves, sum((n_convs
 SELECT k.conv_id, k.d::BIGINT AS depth, p.conv_id AS parent_conv_id, k.n_convs::BIGINT AS n_convs, k.n_children::BIGINT AS n_children,
        n_leaves::BIGINT AS n_leaves, saved_tokens::BIGINT AS saved_tokens, k.ends_sha256
 FROM k JOIN sums ON sums.top = k.key AND sums.top_d = k.d LEFT JOIN k AS p ON p.key = k.up AND p.d = k.d - 1"""
+
+
+@query
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alignment of the byte-level and the piece tokenizer on every text."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return token_align.align(docs, vocab_path(), vocab_path("piece_bpe_32k.model"))
