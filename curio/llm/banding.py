@@ -57,11 +57,12 @@ MISSED = 5e-6
 
 
 def packed_marks(sketch: np.ndarray) -> np.ndarray:
-    """The low 9 bits of each entry of a sketch, 7 to a 64-bit integer; the last
-    one is filled with zeros."""
-    marks = np.zeros(-(-len(sketch) // LANES) * LANES, np.int64)
-    marks[:len(sketch)] = sketch.astype(np.int64) & ((1 << LANE_BITS) - 1)
-    return (marks.reshape(-1, LANES) << (np.arange(LANES, dtype=np.int64) * LANE_BITS)).sum(axis=1)
+    """The low 9 bits of each entry of a sketch (or of each sketch of a matrix),
+    7 to a 64-bit integer; the last one is filled with zeros."""
+    groups = -(-sketch.shape[-1] // LANES)
+    marks = np.zeros((*sketch.shape[:-1], groups * LANES), np.int64)
+    marks[..., :sketch.shape[-1]] = sketch.astype(np.int64) & ((1 << LANE_BITS) - 1)
+    return (marks.reshape(*sketch.shape[:-1], groups, LANES) << (np.arange(LANES, dtype=np.int64) * LANE_BITS)).sum(axis=-1)
 
 
 def least_agreeing(entries: int, similarity: float, missed: float = MISSED) -> int:

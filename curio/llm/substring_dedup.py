@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from curio.llm.banding import linked, packed_marks, semi_join, tune_bands
-from curio.llm.common import SPACES, WordHash, list_array, mix64, shingle_hashes, ship, sliced, texts_of
+from curio.llm.common import SPACES, WordHash, mix64, shingle_hashes, ship, sliced, texts_of
 from curio.llm.components import connected_components
 from curio.session import discard, materialize
 
@@ -38,33 +38,64 @@ _ADD = np.random.default_rng(32).integers(0, 1 << 63, ROWS * BANDS, dtype=np.uin
 _PART = np.random.default_rng(33).integers(1, 1 << 63, (BANDS, ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def paragraphs_of(text: str, min_words: int):
-    """``(place, words)`` of every paragraph that counts."""
-    for place, line in enumerate(text.split("\n")):
-        words = line.encode("utf-8", "replace").lower().split()
-        if len(words) >= min_words:
-            yield place, words
-
-
-def shingle_set(words: list[bytes], memo: WordHash) -> np.ndarray:
-    return np.unique(shingle_hashes(np.fromiter(map(memo.__getitem__, words), np.uint64, len(words)), WORDS))
-
-
-def minima(shingles: np.ndarray) -> np.ndarray:
-    """The MinHash of a set."""
-    least = np.full(ROWS * BANDS, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(shingles), 1024):
-        block = shingles[at:at + 1024, None] * _ODD + _ADD
-        np.minimum(least, block.min(axis=0), out=least)
-    return least
+class Paragraphs:
+    """The paragraphs of a batch of texts and, in flat arrays, their shingle
+    sets: ``rows`` (number of the text), ``places``, ``sizes`` (words), ``ids``
+    (digests), ``shingles`` (each set sorted, one after the other), ``counts``."""
+
+    def __init__(self, texts: list[str], min_words: int, memo: WordHash):
+        rows, places, sizes, ids, words = [], [], [], [], []
+        digest = xxhash.xxh3_128_digest
+        for row, text in enumerate(texts):
+            for place, line in enumerate(text.encode("utf-8", "replace").lower().split(b"\n")):
+                found = line.split()
+                if len(found) >= min_words:
+                    rows.append(row)
+                    places.append(place)
+                    sizes.append(len(found))
+                    ids.append(digest(b" ".join(found)))
+                    words += found
+        self.rows, self.places, self.ids = rows, places, ids
+        self.sizes = np.array(sizes, np.int64)
+        hashes = np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
+        if not rows:
+            self.shingles, self.counts = hashes, self.sizes
+            return
+        if self.sizes.min() < WORDS:
+            parts = [shingle_hashes(h, WORDS) for h in np.split(hashes, np.cumsum(self.sizes)[:-1])]
+            flat, each = np.concatenate(parts), np.array([len(x) for x in parts])
+        else:
+            # windows over the whole batch; those that cross an edge are skipped
+            each = self.sizes - (WORDS - 1)
+            flat = shingle_hashes(hashes, WORDS)[np.arange(each.sum()) + (WORDS - 1) * np.repeat(np.arange(len(each)), each)]
+        owner = np.repeat(np.arange(len(each)), each)
+        order = np.lexsort((flat, owner))
+        flat = flat[order]
+        new = np.r_[True, (flat[1:] != flat[:-1]) | (owner[1:] != owner[:-1])]
+        self.shingles, self.counts = flat[new], np.bincount(owner[new], minlength=len(each))
+
+    def minima(self) -> np.ndarray:
+        """The MinHash of each set, one row each."""
+        least = np.empty((ROWS * BANDS, len(self.rows)), np.uint64)
+        if len(self.rows):
+            begins = np.cumsum(self.counts) - self.counts
+            for k in range(ROWS * BANDS):
+                least[k] = np.minimum.reduceat(self.shingles * _ODD[k] + _ADD[k], begins)
+        return np.ascontiguousarray(least.T)
 
 
 def buckets(least: np.ndarray) -> np.ndarray:
-    """One 64-bit bucket for each band of the MinHash."""
-    parts = (least.reshape(BANDS, ROWS) * _PART).sum(axis=1, dtype=np.uint64)
+    """One 64-bit bucket for each band of each MinHash."""
+    parts = (least.reshape(-1, BANDS, ROWS) * _PART).sum(axis=2, dtype=np.uint64)
     return mix64(parts + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
 
 
+def _matrix(rows: np.ndarray) -> pa.Array:
+    """An Arrow list column of the rows of a matrix."""
+    offsets = np.arange(rows.shape[0] + 1, dtype=np.int32) * rows.shape[1]
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(rows.reshape(-1), pa.int64()))
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
     text = F.col("text").cast("string")
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
@@ -76,19 +107,12 @@ def paragraph_rows(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     def run(batches):
         memo = WordHash()
         for batch in sliced(batches, rows=256):
-            rows: list[list] = [[], [], [], [], [], [], []]
-            for i, text in enumerate(texts_of(batch.column(2))):
-                for place, words in paragraphs_of(text, min_words):
-                    shingles = shingle_set(words, memo)
-                    least = minima(shingles)
-                    for column, x in zip(rows, (i, place, len(words), xxhash.xxh3_128_digest(b" ".join(words)),
-                                                len(shingles), buckets(least), packed_marks(mix64(least)))):
-                        column.append(x)
-            at = pa.array(rows[0], pa.int64())
+            found = Paragraphs(texts_of(batch.column(2)), min_words, memo)
+            least, at = found.minima(), pa.array(found.rows, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(at), batch.column(1).take(at), pa.array(rows[1], pa.int32()), pa.array(rows[2], pa.int32()),
-                 pa.array(rows[3], pa.binary()), pa.array(rows[4], pa.int64()), list_array(rows[5], pa.int64()),
-                 list_array(rows[6], pa.int64())],
+                [batch.column(0).take(at), batch.column(1).take(at), pa.array(found.places, pa.int32()),
+                 pa.array(found.sizes, pa.int32()), pa.array(found.ids, pa.binary()), pa.array(found.counts, pa.int64()),
+                 _matrix(buckets(least)), _matrix(packed_marks(mix64(least)))],
                 names=["doc_id", "text_key", "paragraph", "n_words", "class_id", "n", "buckets", "marks"])
 
     return _keyed(docs).mapInArrow(
@@ -100,12 +124,10 @@ def _class_sets(docs: DataFrame, min_words: int) -> DataFrame:
     def run(batches):
         memo = WordHash()
         for batch in sliced(batches, rows=256):
-            ids, sets = [], []
-            for text in texts_of(batch.column(0)):
-                for _, words in paragraphs_of(text, min_words):
-                    ids.append(xxhash.xxh3_128_digest(b" ".join(words)))
-                    sets.append(shingle_set(words, memo).view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), list_array(sets, pa.int64())], names=["rep", "shingles"])
+            found = Paragraphs(texts_of(batch.column(0)), min_words, memo)
+            offsets = np.r_[0, np.cumsum(found.counts)].astype(np.int32)
+            sets = pa.ListArray.from_arrays(pa.array(offsets), pa.array(found.shingles.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array(found.ids, pa.binary()), sets], names=["rep", "shingles"])
 
     return docs.select("text").mapInArrow(run, "rep binary, shingles array<long>")
 
