@@ -57,38 +57,54 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
+def read(path: str) -> dict:
+    """Ids, byte labels and merges of a byte-level BPE file (JSON), as plain
+    data that can be broadcast to workers without this package."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    alphabet = byte_alphabet()
+    ids = spec["model"]["vocab"]
+    special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
+    pairs = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
+    labels = {i: bytes(alphabet[c] for c in t) for t, i in ids.items() if t not in special}
+    return {"special": special, "labels": labels | {i: t.encode() for t, i in special.items()},
+            "byte_ids": [ids[c] for c, _ in sorted(alphabet.items(), key=lambda x: x[1])],
+            "merges": [(ids[a], ids[b], ids[a + b]) for a, b in pairs]}
+
+
 class Vocabulary:
-    """Ids, byte labels and merges of a byte-level BPE file (JSON)."""
-
-    def __init__(self, path: str):
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
-        alphabet = byte_alphabet()
-        ids = spec["model"]["vocab"]
-        special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
-        pairs = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
-        self.special = special
+    """A vocabulary file or what ``read`` made of it."""
+
+    def __init__(self, source: str | dict):
+        plain = read(source) if isinstance(source, str) else source
+        self.special, self.labels = plain["special"], plain["labels"]
+        self.byte_ids, self.merges = plain["byte_ids"], plain["merges"]
         self.encoders: dict[bool, Encoder] = {}
-        self.labels = {i: bytes(alphabet[c] for c in t) for t, i in ids.items() if t not in special}
-        self.labels |= {i: t.encode() for t, i in special.items()}
-        self.byte_ids = [ids[c] for c, _ in sorted(alphabet.items(), key=lambda x: x[1])]
-        self.merges = [(ids[a], ids[b], ids[a + b]) for a, b in pairs]
         made: dict[int, int] = {}
         for rank, (a, b, ab) in enumerate(self.merges):
             if max(made.get(a, -1), made.get(b, -1)) >= rank or ab in made:
                 raise ValueError("a merge reads a symbol that a later merge makes")
             made[ab] = rank
-        reads = {x for a, b, _ in self.merges for x in (a, b)}
-        if any(x not in made and x not in set(self.byte_ids) for x in reads):
+        reads, single = {x for a, b, _ in self.merges for x in (a, b)}, set(self.byte_ids)
+        if any(x not in made and x not in single for x in reads):
             raise ValueError("a merge reads a symbol that nothing makes")
 
+    @staticmethod
+    def of(plain: dict) -> Vocabulary:
+        """The vocabulary that a worker builds once and keeps with its copy of
+        the broadcast data, so that its tables serve all tasks of that worker."""
+        if "built" not in plain:
+            plain["built"] = Vocabulary(plain)
+        return plain["built"]
+
 
 class Automaton:
     """The composed gadgets as a transition table, filled on demand. Tables
-    are emptied at their limits; results don't depend on what they hold."""
+    are emptied at their limits (states, arcs, words; at most some 300 MB a worker
+    together); results don't depend on what they hold."""
 
-    def __init__(self, vocab: Vocabulary, max_states: int = 250_000, max_words: int = 600_000):
-        self.vocab, self.max_states, self.max_words = vocab, max_states, max_words
+    def __init__(self, vocab: Vocabulary, max_states: int = 200_000, max_words: int = 500_000, max_arcs: int = 400_000):
+        self.vocab, self.max_states, self.max_words, self.max_arcs = vocab, max_states, max_words, max_arcs
         self.ranks: dict[int, list[int]] = {}
         for rank, (a, _, _) in enumerate(vocab.merges):
             self.ranks.setdefault(a, []).append(rank)
@@ -201,7 +217,7 @@ class Automaton:
                 out += arc[1]
         last = self.final[state]
         out += self._end(state) if last is None else last
-        if len(self.held) > self.max_states:
+        if len(self.held) > self.max_states or len(self.arcs) > self.max_arcs:
             self._empty()
         return tuple(out)
 
@@ -218,15 +234,15 @@ class Encoder:
 
     def plain(self, text: str) -> np.ndarray:
         words, known = (self.split_ascii if text.isascii() else self.split)(text), self.automaton.words
-        if len(known) > self.automaton.max_words:
-            known.clear()
         ids = list(map(known.get, words))
         if not all(ids):
-            word = self.automaton.word
+            word, most = self.automaton.word, self.automaton.max_words
             for k, w in enumerate(words):
                 if ids[k] is None:
                     ids[k] = known.get(w) or word(w)
                     if len(w) <= 64:
+                        if len(known) >= most:
+                            known.clear()
                         known[w] = ids[k]
         return np.fromiter(chain.from_iterable(ids), np.int32)
 
@@ -236,11 +252,9 @@ class Encoder:
         return np.concatenate([np.array([self.special[p]], np.int32) if p in self.special else self.plain(p)
                                for p in self.cut(text)])
 
-
     @staticmethod
     def of(vocab: Vocabulary, special: bool) -> Encoder:
-        """The encoder that a worker keeps with its copy of the vocabulary, so
-        that its tables serve all tasks of that worker."""
+        """The vocabulary's encoder, made once."""
         if special not in vocab.encoders:
             vocab.encoders[special] = Encoder(vocab, special)
         return vocab.encoders[special]
@@ -268,41 +282,67 @@ class Decoder:
         return self.labels(ids).decode("utf-8", "replace")
 
 
-def encode(df: DataFrame, vocab_path: str, text_col: str = "text", ids_col: str = "ids",
-           special: bool = True) -> DataFrame:
-    """``df`` with the token ids of every whole text as ``ids_col`` (array of
-    int). ``special``: the vocabulary's special strings in a text are their own
-    ids; otherwise they are ordinary text. The vocabulary file (a few MB, its
-    size known) is read on the driver and broadcast."""
-    vocab = df.sparkSession.sparkContext.broadcast(Vocabulary(vocab_path))
-    schema = with_fields(df, [T.StructField(ids_col, T.ArrayType(T.IntegerType(), False), False)])
-    keep, at = schema.names[:-1], df.columns.index(text_col)
+def _encoded(encoder: Encoder, texts: pa.Array) -> pa.Array:
+    return list_array([encoder(t) for t in texts_of(texts)], pa.int32())
+
+
+def _decoded(decoder: Decoder, lists: pa.Array) -> pa.Array:
+    flat = lists.values.fill_null(-1).to_numpy(zero_copy_only=False)
+    ends, valid = lists.offsets.to_numpy(), lists.is_valid().to_pylist()
+    return pa.array([decoder(flat[ends[i]:ends[i + 1]]) if valid[i] else "" for i in range(len(lists))], pa.string())
+
+
+def _mapped(df: DataFrame, vocab_path: str, source: str, new: list[T.StructField], make) -> DataFrame:
+    """``df`` with columns that ``make(vocabulary)`` gives a function for. The
+    vocabulary file (a few MB, its size known) is read on the driver and broadcast
+    as plain data."""
+    plain = df.sparkSession.sparkContext.broadcast(read(vocab_path))
+    schema = with_fields(df, new)
+    keep, at = schema.names[:-len(new)], df.columns.index(source)
 
     def run(batches):
-        encoder = Encoder.of(vocab.value, special)
+        columns = make(Vocabulary.of(plain.value))
         for batch in sliced(batches):
-            ids = [encoder(t) for t in texts_of(batch.column(at))]
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + [list_array(ids, pa.int32())],
-                                             names=schema.names)
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + columns(batch.column(at)), names=schema.names)
 
     return df.mapInArrow(run, schema)
 
 
+def _ids_field(name: str) -> T.StructField:
+    return T.StructField(name, T.ArrayType(T.IntegerType(), False), False)
+
+
+def encode(df: DataFrame, vocab_path: str, text_col: str = "text", ids_col: str = "ids",
+           special: bool = True) -> DataFrame:
+    """``df`` with the token ids of every whole text as ``ids_col`` (array of
+    int). ``special``: the vocabulary's special strings in a text are their own
+    ids; otherwise they are ordinary text."""
+    def make(vocab):
+        encoder = Encoder.of(vocab, special)
+        return lambda texts: [_encoded(encoder, texts)]
+
+    return _mapped(df, vocab_path, text_col, [_ids_field(ids_col)], make)
+
+
 def decode(df: DataFrame, vocab_path: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
     """``df`` with the text of ``ids_col`` as ``text_col``."""
-    vocab = df.sparkSession.sparkContext.broadcast(Vocabulary(vocab_path))
-    schema = with_fields(df, [T.StructField(text_col, T.StringType(), False)])
-    keep, at = schema.names[:-1], df.columns.index(ids_col)
+    def make(vocab):
+        decoder = Decoder(vocab)
+        return lambda lists: [_decoded(decoder, lists)]
 
-    def run(batches):
-        decoder = Decoder(vocab.value)
-        for batch in sliced(batches):
-            lists = batch.column(at)
-            flat = lists.values.fill_null(-1).to_numpy(zero_copy_only=False)
-            ends = lists.offsets.to_numpy()
-            valid = lists.is_valid().to_pylist()
-            texts = [decoder(flat[ends[i]:ends[i + 1]]) if valid[i] else "" for i in range(len(lists))]
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + [pa.array(texts, pa.string())],
-                                             names=schema.names)
+    return _mapped(df, vocab_path, ids_col, [T.StructField(text_col, T.StringType(), False)], make)
 
-    return df.mapInArrow(run, schema)
+
+def encode_decode(df: DataFrame, vocab_path: str, text_col: str = "text", ids_col: str = "ids",
+                  decoded_col: str = "decoded", special: bool = True) -> DataFrame:
+    """``encode`` and then ``decode`` of its ids, in one pass and by one worker,
+    so that the vocabulary and the tables are held once."""
+    def make(vocab):
+        encoder, decoder = Encoder.of(vocab, special), Decoder(vocab)
+
+        def both(texts):
+            ids = _encoded(encoder, texts)
+            return [ids, _decoded(decoder, ids)]
+        return both
+
+    return _mapped(df, vocab_path, text_col, [_ids_field(ids_col), T.StructField(decoded_col, T.StringType(), False)], make)

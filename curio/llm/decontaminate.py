@@ -17,8 +17,12 @@ Items go to the tasks in blocks of at most ``BLOCK_BYTES`` of text, each broadca
 and held against all documents: the benchmark is the stated query set, its size
 per pass is bounded, and nothing is shuffled.
 
-Defined results: null or empty texts hold nothing; items with fewer than
-``MIN_ITEM_WORDS`` words, null items included, match nothing. Repeated items are
+Items with fewer than ``MIN_ITEM_WORDS`` words allow no edit, so they are found by
+a hash of their whole word sequence instead, and compared word by word.
+
+Defined results: null or empty texts hold nothing; items without words, null items
+included, match nothing. Rows that share an id (null too) but not the text are
+judged apart. Repeated items are
 reported each; repeated rows each. An empty table on either side gives no rows.
 """
 
@@ -107,17 +111,31 @@ def best_match(item: list[bytes], text: list[bytes], anchored: bool = False) ->
     return best
 
 
+def _sequences(hashes: np.ndarray, width: int) -> np.ndarray:
+    """One hash for each run of ``width`` words."""
+    total = np.zeros(max(0, len(hashes) - width + 1), np.uint64)
+    for k in range(width):
+        total = total * np.uint64(0xC2B2AE3D27D4EB4F) + hashes[k:len(total) + k]
+    return mix64(total + np.uint64(width))
+
+
 class Index:
-    """Blocks, LSH keys and words of a bounded set of items."""
+    """Blocks, LSH keys and words of a bounded set of items; short items by
+    the hash of their words, per length."""
 
     def __init__(self, items: list[tuple[int, str | None]]):
         memo = WordHash()
         self.items, anchors, keys = [], [], {}
+        self.short: dict[int, dict[int, list]] = {}
         for item_id, text in items:
             words = words_of(text)
-            if len(words) < MIN_ITEM_WORDS:
+            if not words:
                 continue
             hashes = np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
+            if len(words) < MIN_ITEM_WORDS:
+                whole = int(_sequences(hashes, len(words))[0])
+                self.short.setdefault(len(words), {}).setdefault(whole, []).append((item_id, words))
+                continue
             k, width, number = edits_allowed(len(words)), length_class(len(words)), len(self.items)
             grams = _grams(hashes)
             anchors += [(int(grams[s]), s, k, width) for s in range(0, len(words) - BLOCK + 1, BLOCK)]
@@ -131,13 +149,33 @@ class Index:
         self.points = [sorted(points[g]) for g in self.grams.tolist()]
         self.keys = np.array(sorted(keys), np.uint64)
         self.of_key = [sorted(keys[k]) for k in self.keys.tolist()]
+        self.short_keys = {width: np.array(sorted(found), np.uint64) for width, found in self.short.items()}
+
+    @staticmethod
+    def of(block: dict) -> Index:
+        """The index that a worker builds once from its copy of the items."""
+        if "index" not in block:
+            block["index"] = Index(block["items"])
+        return block["index"]
+
+    def _short_matches(self, words: list[bytes], hashes: np.ndarray):
+        for width, keys in self.short_keys.items():
+            have = _sequences(hashes, width)
+            spot = np.minimum(np.searchsorted(keys, have), len(keys) - 1)
+            done: dict[tuple, int] = {}
+            for at in np.flatnonzero(keys[spot] == have).tolist():
+                for number, (item_id, item) in enumerate(self.short[width][int(have[at])]):
+                    if words[at:at + width] == item and at >= done.get((int(have[at]), number), 0):
+                        done[int(have[at]), number] = at + width
+                        yield item_id, at, at + width, 0
 
     def matches(self, text: str, memo: WordHash):
         """``(item_id, start_word, end_word, edits)`` of the items in a text."""
         words = words_of(text)
+        hashes = np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
+        yield from self._short_matches(words, hashes)
         if not len(self.grams) or len(words) < BLOCK:
             return
-        hashes = np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
         grams = _grams(hashes)
         where = np.minimum(np.searchsorted(self.grams, grams), len(self.grams) - 1)
         hits = np.flatnonzero(self.grams[where] == grams)
@@ -185,22 +223,28 @@ def _item_blocks(benchmark: DataFrame, block_bytes: int):
 def contaminated(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``(doc_id, item_id, start_word, end_word, edits)`` for every item that a
     text of ``docs`` (``doc_id``, ``text``) holds."""
+    return _matches(docs, benchmark, block_bytes).drop("text_key")
+
+
+def _matches(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """``contaminated`` with the hash of the text that holds the item."""
     spark = docs.sparkSession
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    text = F.col("text").cast("string")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_key"))
     parts = []
     for block in _item_blocks(benchmark, block_bytes):
-        index = spark.sparkContext.broadcast(Index(block))
+        index = spark.sparkContext.broadcast({"items": block})
 
         def run(batches, index=index):
             memo = WordHash()
             for batch in sliced(batches):
-                rows = [(i, *m) for i, t in enumerate(texts_of(batch.column(1))) for m in index.value.matches(t, memo)]
+                rows = [(i, *m) for i, t in enumerate(texts_of(batch.column(1))) for m in Index.of(index.value).matches(t, memo)]
                 at = pa.array([r[0] for r in rows], pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(at)] + [pa.array([r[c] for r in rows], pa.int64()) for c in range(1, 5)],
-                    names=["doc_id", "item_id", "start_word", "end_word", "edits"])
+                    [batch.column(0).take(at), batch.column(2).take(at)] + [pa.array([r[c] for r in rows], pa.int64()) for c in range(1, 5)],
+                    names=["doc_id", "text_key", "item_id", "start_word", "end_word", "edits"])
 
-        parts.append(texts.mapInArrow(run, "doc_id long, item_id long, start_word long, end_word long, edits long"))
+        parts.append(texts.mapInArrow(run, "doc_id long, text_key long, item_id long, start_word long, end_word long, edits long"))
     while len(parts) > 1:  # a benchmark of many blocks: one written pass each, so no plan holds them all
         parts = [materialize(p, "matches") for p in parts]
         parts = [parts[0]] if len(parts) == 1 else [a.unionByName(b) for a, b in zip(parts[::2], parts[1::2])] + (
@@ -209,7 +253,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose text holds an item. A null id is judged
-    with the other rows of null id."""
-    found = materialize(contaminated(docs, benchmark).select(F.col("doc_id").alias("__held")).distinct(), "contaminated")
-    return docs.join(found, docs["doc_id"].cast("long").eqNullSafe(found["__held"]), "left_anti")
+    """``docs`` without the rows whose text holds an item; a row is judged by
+    its own text, so other rows of its id (null too) stay."""
+    found = materialize(_matches(docs, benchmark).select(
+        F.col("doc_id").alias("__held"), F.col("text_key").alias("__text")).distinct(), "contaminated")
+    return docs.join(found, docs["doc_id"].cast("long").eqNullSafe(found["__held"])
+                     & (F.xxhash64(docs["text"].cast("string")) == found["__text"]), "left_anti")

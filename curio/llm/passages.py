@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from curio.llm.banding import semi_join
 from curio.llm.common import WordHash, list_array, mix64, ship, sliced, texts_of, word_hashes
@@ -71,9 +72,10 @@ def _runs(text: str, memo: WordHash):
     return names[starts], starts, np.append(starts[1:], len(names))[:len(starts)], hashes
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
+def _keyed(docs: DataFrame, key_col: str | None) -> DataFrame:
     text = F.col("text").cast("string")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
+    key = F.col(key_col) if key_col else F.xxhash64(text)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), key.alias("text_key"), text.alias("text"))
 
 
 def _names(keyed: DataFrame) -> DataFrame:
@@ -118,12 +120,13 @@ def _merged(windows: DataFrame) -> DataFrame:
         F.col("o.first_doc_id").alias("first_doc_id"), F.col("o.first_word").alias("first_word"))
 
 
-def repeated_passages(docs: DataFrame) -> DataFrame:
+def repeated_passages(docs: DataFrame, key_col: str | None = None) -> DataFrame:
     """``(doc_id, text_key, start_word, end_word, first_doc_id, first_word)`` of
     every span of ``docs`` (``doc_id``, ``text``) that only repeats; the words are
     counted from 0, the end is not part of it, and the first place is the one of
-    the span's first window."""
-    keyed = _keyed(docs)
+    the span's first window. ``key_col``: a long column that tells rows of one id
+    apart, if that isn't to be the hash of the text."""
+    keyed = _keyed(docs, key_col)
     often = materialize(_names(keyed).groupBy("name").agg(F.sum("times").alias("times")).where("times > 1").select("name"), "window-names")
     runs = materialize(semi_join(_window_rows(keyed), often, "name"), "windows")
     rows = runs.select("doc_id", "text_key", "name", "start", F.posexplode("hashes").alias("i", "hash")).select(
@@ -164,8 +167,18 @@ def remove_passages(docs: DataFrame) -> DataFrame:
         F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), "__gone")
     joined = docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("__key")),
                        "left").select(*docs.columns, "__gone")
-    cut_text = F.udf(lambda text, spans: without(text, [(s[0], s[1]) for s in spans]), "string")
-    cut = joined.where("__gone is not null").withColumn("text", cut_text("text", "__gone")).where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    hit, at, names = joined.where("__gone is not null"), docs.columns.index("text"), docs.columns
+    schema = T.StructType([T.StructField(f.name, T.StringType()) if k == at else f for k, f in enumerate(docs.schema.fields)])
+
+    def run(batches):
+        for batch in sliced(batches):
+            spans = batch.column(len(names)).to_pylist()
+            texts = [without(t, [(x["start_word"], x["end_word"]) for x in found]) for t, found in zip(texts_of(batch.column(at)), spans)]
+            columns = batch.columns[:len(names)]
+            columns[at] = pa.array(texts, pa.string())
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    cut = hit.mapInArrow(run, schema).where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     if "n_chars" in docs.columns:
         cut = cut.withColumn("n_chars", F.length("text").cast("long"))
     return joined.where("__gone is null").select(*docs.columns).unionByName(cut.select(*docs.columns))

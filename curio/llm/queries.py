@@ -33,9 +33,7 @@ def vocab_path(name: str = "byte_bpe_50k.json") -> str:
 @query
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode and decode every text with the published 50k vocabulary."""
-    docs = table(spark, sf_dir, "documents", "doc_id", "text")
-    ids = bpe.encode(docs, vocab_path()).select("doc_id", "ids")
-    both = bpe.decode(ids, vocab_path())
+    both = bpe.encode_decode(table(spark, sf_dir, "documents", "doc_id", "text"), vocab_path())
     return both.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
@@ -50,8 +48,9 @@ def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Paragraphs that repeat within or across documents and what is removed."""
-    return substring_dedup.repeated_paragraphs(table(spark, sf_dir, "documents", "doc_id", "text")).drop("text_key")
+    """Paragraphs that repeat within or across documents, passages that do in
+    what is left of them, and what is removed."""
+    return substring_dedup.repeats(table(spark, sf_dir, "documents", "doc_id", "text")).drop("text_key")
 
 
 @query

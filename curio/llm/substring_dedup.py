@@ -1,6 +1,8 @@
-"""Operator 2, substring dedup by MinHash banding of paragraphs.
+"""Operator 2, substring dedup by MinHash banding of paragraphs and windows.
 
-A paragraph is a line (``\\n``) with at least ``min_words`` words. Paragraphs with
+Two kinds of units go through bands: whole paragraphs, and windows of 50 words of
+what is left without the repeated paragraphs, inside lines or across them. A
+paragraph is a line (``\\n``) with at least ``min_words`` words. Paragraphs with
 equal lower-cased word sequences (128-bit digest) form a class. The MinHash of a
 class's 5-word shingles is cut into bands that ``tune_bands`` sizes for a recall of
 0.9995 at the similarity; classes that collide in a band are compared on their full
@@ -8,7 +10,10 @@ shingle sets (exact Jaccard, by ``banding.linked``, so no group's pairs are emit
 a pair is left out beforehand only if its minima agree so seldom that one at the
 similarity does so with a probability of 1e-4.
 Components of the confirmed pairs are the clusters. In each cluster the first
-paragraph by (doc_id, place) stays and all others are removed.
+paragraph by (doc_id, place) stays and all others are removed. A window is named by
+the least hash of its 25-word runs, a band of one MinHash that equal windows
+always share (``passages``); windows that collide are compared whole, and all but
+the first of equal ones are removed.
 
 Defined results: null and empty texts and shorter paragraphs are in no cluster and
 stay as they are. Rows with equal id and equal text are one document. A null id sorts
@@ -27,6 +32,7 @@ from pyspark.sql import functions as F
 from curio.llm.banding import linked, packed_marks, semi_join, tune_bands
 from curio.llm.common import SPACES, WordHash, mix64, shingle_hashes, ship, sliced, texts_of
 from curio.llm.components import connected_components
+from curio.llm.passages import remove_passages, repeated_passages
 from curio.session import discard, materialize
 
 ship(__name__)
@@ -167,15 +173,47 @@ def repeated_paragraphs(docs: DataFrame, percent: int = PERCENT, min_words: int
         F.col("first.paragraph").alias("first_paragraph"), (place != F.col("first")).alias("removed"))
 
 
-def remove_repeats(docs: DataFrame, percent: int = PERCENT, min_words: int = MIN_WORDS) -> DataFrame:
-    """``docs`` without the repeated paragraphs; a document that loses its last
-    word goes. All columns stay; ``n_chars``, if there is one, follows the text."""
-    gone = repeated_paragraphs(docs, percent, min_words).where("removed").groupBy("doc_id", "text_key").agg(
+def remove_paragraphs(docs: DataFrame, percent: int = PERCENT, min_words: int = MIN_WORDS, found: DataFrame | None = None,
+                      key_col: str | None = None) -> DataFrame:
+    """``docs`` without the repeated paragraphs (``found``, if they are known
+    already; ``key_col`` then names the column with their ``text_key``); a document
+    that loses its last word goes. All columns stay; ``n_chars``, if there is one,
+    follows the text."""
+    found = repeated_paragraphs(docs, percent, min_words) if found is None else found
+    gone = found.where("removed").groupBy("doc_id", "text_key").agg(
         F.collect_set("paragraph").alias("__gone")).select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), "__gone")
     kept_lines = F.filter(F.split("text", "\n", -1), lambda line, i: ~F.array_contains(F.col("__gone"), i))
-    out = docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__key")), "left")
+    key = F.col(key_col) if key_col else F.xxhash64("text")
+    out = docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (key == F.col("__key")), "left")
     new = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(kept_lines, "\n"))
     out = out.withColumn("text", new).where(F.col("__gone").isNull() | (F.length(F.translate("text", SPACES, "")) > 0))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("__gone").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
     return out.select(*docs.columns)
+
+
+def repeats(docs: DataFrame, percent: int = PERCENT, min_words: int = MIN_WORDS) -> DataFrame:
+    """Both kinds of repeats in one table ``(unit, doc_id, text_key, paragraph,
+    start_word, end_word, n_words, first_doc_id, first_paragraph, first_word,
+    removed)``: the rows of ``repeated_paragraphs`` (unit ``paragraph``) and, in what
+    is left without the removed ones, the passages that stand before (unit
+    ``passage``; words are counted in that rest)."""
+    found = materialize(repeated_paragraphs(docs, percent, min_words), "repeated-paragraphs")
+    rest = materialize(remove_paragraphs(_keyed(docs), found=found, key_col="text_key"), "paragraphs-left")
+    none = F.lit(None).cast("int")
+    spans = repeated_passages(rest, "text_key")
+    discard(rest)
+    return found.select(
+        F.lit("paragraph").alias("unit"), "doc_id", "text_key", "paragraph", none.alias("start_word"), none.alias("end_word"),
+        "n_words", "first_doc_id", "first_paragraph", none.alias("first_word"), "removed").unionByName(spans.select(
+            F.lit("passage").alias("unit"), "doc_id", "text_key", none.alias("paragraph"), "start_word", "end_word",
+            (F.col("end_word") - F.col("start_word")).alias("n_words"), "first_doc_id", none.alias("first_paragraph"),
+            "first_word", F.lit(True).alias("removed")))
+
+
+def remove_repeats(docs: DataFrame, percent: int = PERCENT, min_words: int = MIN_WORDS) -> DataFrame:
+    """``docs`` without repeated paragraphs, and then without the passages that
+    stand before in what is left; a document that loses its last word goes. All
+    columns stay; ``n_chars``, if there is one, follows the text."""
+    rest = materialize(remove_paragraphs(docs, percent, min_words), "paragraphs-left")
+    return remove_passages(rest)

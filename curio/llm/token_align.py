@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from curio.llm.bpe import PRESPLIT, Vocabulary
+from curio.llm.bpe import PRESPLIT, read
 from curio.llm.common import list_array, ship, sliced, texts_of
 from curio.session import materialize
 
@@ -53,12 +53,12 @@ def load(a_path: str, b_path: str) -> dict:
     """The two vocabularies as plain data: token bytes by id, and B's model file.
     Vocabulary files are a few MB; they are read on the driver."""
     from sentencepiece import SentencePieceProcessor
-    a = Vocabulary(a_path)
-    size = max(a.labels) + 1
+    a = read(a_path)
+    size = max(a["labels"]) + 1
     with open(b_path, "rb") as f:
         model = f.read()
     b = SentencePieceProcessor(model_proto=model)
-    return {"a": [a.labels.get(i, b"") for i in range(size)], "special": sorted(a.special.values()), "model": model,
+    return {"a": [a["labels"].get(i, b"") for i in range(size)], "special": sorted(a["special"].values()), "model": model,
             "b": [b"" if b.IsControl(i) or b.IsUnknown(i) else piece_bytes(b.IdToPiece(i)) for i in range(b.GetPieceSize())]}
 
 

@@ -27,9 +27,10 @@ def test_automaton_equals_library(library):
 
 def test_tables_at_their_limit_change_nothing(library):
     encode = bpe.Encoder(bpe.Vocabulary(vocab_path()))
-    encode.automaton.max_states, encode.automaton.max_words = 10, 3
-    for text in ["the others were thinking", "international banana", "x" * 5000, ""]:
-        assert encode(text).tolist() == library.encode(text).ids
+    for limits in ((10, 3, 400_000), (10**6, 10**6, 5)):
+        encode.automaton.max_states, encode.automaton.max_words, encode.automaton.max_arcs = limits
+        for text in ["the others were thinking", "international banana", "x" * 5000, ""]:
+            assert encode(text).tolist() == library.encode(text).ids
 
 
 def test_edge_rows(spark, library):
@@ -39,6 +40,8 @@ def test_edge_rows(spark, library):
     out = bpe.decode(bpe.encode(df, vocab_path()), vocab_path()).collect()
     assert sorted((r.doc_id or 0, r.decoded) for r in out) == sorted((r[0] or 0, r[1] or "") for r in rows)
     assert all(r.ids == library.encode(r.text or "").ids for r in out)
+    same = bpe.encode_decode(df, vocab_path()).collect()
+    assert sorted(map(repr, same)) == sorted(map(repr, out))
     plain = bpe.encode(df.where("doc_id = 5"), vocab_path(), special=False).first().ids
     assert 50256 not in plain
     assert bpe.encode(df.limit(0), vocab_path()).count() == 0

@@ -85,3 +85,23 @@ def test_edges(spark):
     clean = D.remove_contaminated(docs, bench)
     assert clean.columns == docs.columns and sorted(r.doc_id for r in clean.collect()) == [1, 2, 4]
     assert D.contaminated(docs.limit(0), bench).count() == 0 and D.contaminated(docs, bench.limit(0)).count() == 0
+
+
+def test_rows_that_share_an_id_are_judged_apart(spark):
+    item = " ".join(f"i{k}" for k in range(12))
+    clean = [(None, "clean one"), (None, None), (7, "clean two"), (7, ""), (8, "clean three")]
+    dirty = [(None, "x " + item), (7, item + " y"), (7, item + " y"), (9, item)]
+    docs = spark.createDataFrame([(i, t, 1) for i, t in clean + dirty], "doc_id long, text string, text_key int")
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    assert sorted((str(r.doc_id), str(r.text)) for r in D.remove_contaminated(docs, bench).collect()) == sorted(
+        (str(i), str(t)) for i, t in clean)
+
+
+def test_short_items_word_for_word(spark):
+    bench = [(1, "What is it?"), (2, "seven words make up this short item"), (3, ""), (4, "what IS it?"), (5, "yes")]
+    rows = [(1, "so what is it? what is it?"), (2, "what is"), (3, "it? what is"), (4, "a seven words make up this short item b"),
+            (5, "seven words make up the short item"), (6, "yes"), (7, "yes yes, no"), (8, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = D.contaminated(docs, spark.createDataFrame(bench, "item_id long, text string")).collect()
+    assert sorted((r.doc_id, r.item_id, r.start_word, r.end_word, r.edits) for r in got) == [
+        (1, 1, 1, 4, 0), (1, 1, 4, 7, 0), (1, 4, 1, 4, 0), (1, 4, 4, 7, 0), (4, 2, 1, 8, 0), (6, 5, 0, 1, 0), (7, 5, 0, 1, 0)]

@@ -3,7 +3,9 @@ import sys
 
 sys.path.insert(0, os.path.dirname(__file__))
 
+from test_decontaminate import nearest  # noqa: E402
 from test_near_dedup import brute as near_groups  # noqa: E402
+from test_passages import brute as passages_of  # noqa: E402
 from test_substring_dedup import brute as repeats
 
 import corpus_pipeline as P
@@ -30,13 +32,20 @@ def test_stages(spark):
         if name == "substring_dedup":
             found = repeats([(i, r.text) for i, r in before.items()])
             gone = {k for k, first in found.items() if k != first}
-            for i, r in before.items():
-                want = "\n".join(x for p, x in enumerate(r.text.split("\n")) if (i, p) not in gone)
-                assert (after[i].text if i in after else "").strip() == want.strip()
+            rest = {i: "\n".join(x for p, x in enumerate(r.text.split("\n")) if (i, p) not in gone) for i, r in before.items()}
+            cut = passages_of(list(rest.items()))
+            for i, text in rest.items():
+                words = [w for k, w in enumerate(text.encode().split()) if k not in cut.get(i, ())]
+                assert (after[i].text if i in after else "").encode().split() == words
+                if i not in cut:
+                    assert (after[i].text if i in after else "").strip() == text.strip()
         if name == "decontamination":
             items = [" ".join(r.text.lower().split()) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
             for i, r in after.items():
                 assert not any(x in " ".join(r.text.lower().split()) for x in items)
+            for i in set(before) - set(after):  # clean rows stay
+                words = D.words_of(before[i].text)
+                assert len(words) >= 400 or any(nearest(D.words_of(x), words) <= D.edits_allowed(len(x.split())) for x in items)
     from tokenizers import Tokenizer
     library = Tokenizer.from_file(vocab_path())
     assert all(r.round_trip and r.token_ids == library.encode(r.text).ids for r in after.values())
@@ -47,6 +56,7 @@ def test_odd_rows(spark):
             (4, " ".join(f"w{i}" for i in range(50)), "en"), (5, " ".join(f"w{i}" for i in range(50)) + " x", "en")]
     docs = spark.createDataFrame([(*r, "s", 1, 1, "k") for r in rows],
                                  "doc_id long, text string, lang string, source string, n_chars long, kept int, rep string")
+    docs = docs.selectExpr("*", "1 as token_ids", "2 as n_tokens", "3 as round_trip")
     out = docs
     for name, stage in P.STAGES:
         out = P.materialize(stage(spark, out, SF), name)

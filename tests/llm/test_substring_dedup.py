@@ -1,6 +1,13 @@
+import os
 import random
+import sys
 from collections import defaultdict
 
+sys.path.insert(0, os.path.dirname(__file__))
+
+from test_passages import brute as passages_of
+from test_passages import places
+
 from curio.llm import substring_dedup as S
 from curio.llm.banding import tune_bands
 from curio.llm.queries import QUERIES
@@ -45,8 +52,15 @@ def as_dict(df):
 
 def test_query_against_brute_force(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
-    out = QUERIES["op2_substring_dedup"](spark, SF)
-    assert as_dict(out) == brute(rows)
+    both = QUERIES["op2_substring_dedup"](spark, SF)
+    out = both.where("unit = 'paragraph'")
+    want = brute(rows)
+    assert as_dict(out) == want
+    rest = [(i, "\n".join(x for p, x in enumerate((t or "").split("\n")) if want.get((i, p), (i, p)) == (i, p))) for i, t in rows]
+    passages = both.where("unit = 'passage'")
+    assert places(passages) == passages_of(rest)
+    assert all(r.removed and r.n_words == r.end_word - r.start_word and (r.first_doc_id, r.first_word) < (r.doc_id, r.start_word)
+               for r in passages.collect())
     assert all(r.removed == ((r.doc_id, r.paragraph) != (r.first_doc_id, r.first_paragraph)) for r in out.collect())
 
 
