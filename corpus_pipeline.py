@@ -1,5 +1,5 @@
 """The corpus pipeline: quality rules, near-dedup, substring dedup, benchmark
-decontamination, repeated passages, BPE encoding.
+decontamination, BPE encoding.
 
 Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame that is written
 as Parquet and read again as the next stage's ``docs``. All but the last return
@@ -12,9 +12,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curio.llm import bpe, decontaminate, near_dedup, passages, quality_rules, substring_dedup
+from curio.llm import bpe, decontaminate, near_dedup, quality_rules, substring_dedup
 from curio.llm.queries import table, vocab_path
-from curio.session import materialize
+from curio.session import discard, materialize
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,7 +30,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the paragraphs that an earlier document holds."""
+    """Documents without the paragraphs and the runs of 50 words or more that
+    stand before."""
     return substring_dedup.remove_repeats(docs)
 
 
@@ -39,18 +40,14 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return decontaminate.remove_contaminated(docs, table(spark, sf_dir, "benchmark", "item_id", "text"))
 
 
-def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the runs of 50 words or more that stand before, inside
-    lines or across them. This comes after decontamination, so that no passage goes
-    whose first document is dropped there."""
-    return passages.remove_passages(docs)
-
-
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with their token ids, and whether these decode to the text."""
-    both = bpe.decode(bpe.encode(docs, vocab_path(), ids_col="token_ids"), vocab_path(), ids_col="token_ids", text_col="__decoded")
+    """Documents with their token ids, and whether these decode to the text. A
+    column of ``docs`` with the name of a new one gives way to it."""
+    new = ("token_ids", "n_tokens", "round_trip")
+    kept = docs.drop(*new)
+    both = bpe.encode_decode(kept, vocab_path(), ids_col="token_ids", decoded_col="__decoded")
     same = F.col("__decoded") == F.coalesce(F.col("text"), F.lit(""))
-    return both.select(*docs.columns, "token_ids", F.size("token_ids").cast("long").alias("n_tokens"), same.alias("round_trip"))
+    return both.select(*kept.columns, "token_ids", F.size("token_ids").cast("long").alias("n_tokens"), same.alias("round_trip"))
 
 
 STAGES = [
@@ -58,7 +55,6 @@ STAGES = [
     ("near_dedup", near_duplicates),
     ("substring_dedup", repeats),
     ("decontamination", decontamination),
-    ("passages", repeated_passages),
     ("bpe", tokens),
 ]
 
@@ -66,8 +62,12 @@ ORACLE_SQL = None  # learned rules, near-duplicate groups and BPE are beyond SQL
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
+    """All stages over ``documents``. What a stage has written goes once the next
+    one's result is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    for k, (name, stage) in enumerate(STAGES):
+        done = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if k:
+            discard(docs)
+        docs = done
     return docs
