@@ -9,7 +9,7 @@ already joined. Nothing is capped.
 
 This second comparison is a condition of the join: each member carries its
 sketch as packed marks, and the numbers of its set's elements that any other of
-these members holds, one for each of 16 parts of the hash space. A pair leaves the
+these members holds, one for each of ``PARTS`` parts of the hash space. A pair leaves the
 join only if enough marks agree, and if the smaller numbers, whose sum the
 intersection can't exceed, allow the similarity; and only in the first bucket that
 the two share. So the pairs that these rule out are never rows, which matters in a
@@ -86,7 +86,7 @@ def disagreeing(a: str, b: str, entries: int):
     return total
 
 
-PARTS = 16
+PARTS = 48
 
 
 def held_by_others(sets: DataFrame) -> DataFrame:
@@ -149,7 +149,7 @@ def linked(members: DataFrame, percent: int, entries: int, sets_of: Callable[[Da
     first = F.element_at(F.array_intersect("buckets", "buckets_x"), 1) == F.col("bucket")
     rest = strangers.join(split, "bucket").where(
         (F.col("part_x") != F.col("part")) & ((F.col("part") == F.col("main")) | (F.col("x") < F.col("rep")))
-        & size_ok(F.col("n"), F.col("n_x"), percent) & enough & alike & first).select(
+        & size_ok(F.col("n"), F.col("n_x"), percent) & alike & enough & first).select(
         F.least("x", "rep").alias("a"), F.greatest("x", "rep").alias("b")).distinct()
     hopeful = materialize(likely(rest.join(tried, ["a", "b"], "left_anti")), "rest-likely")
     more = confirm_by_sets(hopeful, sets, percent)

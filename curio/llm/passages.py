@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from curio.llm.banding import semi_join
-from curio.llm.common import WordHash, list_array, mix64, ship, sliced, texts_of, word_hashes
+from curio.llm.common import WordHash, mix64, ship, sliced, texts_of, word_hashes
 from curio.session import discard, materialize
 
 ship(__name__)
@@ -56,20 +56,30 @@ def _over(h: np.ndarray, width: int, join) -> np.ndarray:
         power, size = join(power[:len(power) - size], power[size:]), size * 2
 
 
-def windows_of(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Name and hash of each window of a text's word hashes."""
-    if len(hashes) < WINDOW:
-        return np.empty(0, np.uint64), np.empty(0, np.uint64)
-    halves = _over(hashes, HALF, _joined)
-    return _over(halves, HALF + 1, np.minimum), _joined(halves[:-HALF], halves[HALF:])
-
-
-def _runs(text: str, memo: WordHash):
-    """``(names, starts, ends, hashes)``: consecutive windows of one name."""
-    names, hashes = windows_of(word_hashes(text, memo))
-    cuts = np.flatnonzero(names[1:] != names[:-1]) + 1 if len(names) else np.empty(0, np.int64)
-    starts = np.concatenate([np.zeros(min(1, len(names)), np.int64), cuts])
-    return names[starts], starts, np.append(starts[1:], len(names))[:len(starts)], hashes
+class Runs:
+    """The runs of consecutive windows of one name in a batch of texts, in flat
+    arrays: ``owner`` (number of the text), ``names``, ``starts`` (first window's
+    word), ``sizes`` (windows), and the ``hashes`` of all windows one after the other."""
+
+    def __init__(self, texts: list[str], memo: WordHash):
+        parts = [word_hashes(t, memo) for t in texts]
+        words = np.array([len(p) for p in parts], np.int64)
+        flat = np.concatenate(parts) if parts else np.empty(0, np.uint64)
+        windows = np.maximum(words - WINDOW + 1, 0)
+        total = int(windows.sum())
+        self.owner = self.starts = self.sizes = np.empty(0, np.int64)
+        self.names = self.hashes = np.empty(0, np.uint64)
+        if not total:
+            return
+        # windows over the whole batch; those that cross from one text to the next are skipped
+        halves = _over(flat, HALF, _joined)
+        owner = np.repeat(np.arange(len(words)), windows)
+        start = np.arange(total) - (np.cumsum(windows) - windows)[owner]
+        at = start + (np.cumsum(words) - words)[owner]
+        names, self.hashes = _over(halves, HALF + 1, np.minimum)[at], _joined(halves[:-HALF], halves[HALF:])[at]
+        begins = np.flatnonzero(np.r_[True, (names[1:] != names[:-1]) | (owner[1:] != owner[:-1])])
+        self.owner, self.names, self.starts = owner[begins], names[begins], start[begins]
+        self.sizes = np.diff(np.append(begins, total))
 
 
 def _keyed(docs: DataFrame, key_col: str | None) -> DataFrame:
@@ -84,9 +94,8 @@ def _names(keyed: DataFrame) -> DataFrame:
     def run(batches):
         memo = WordHash()
         for batch in sliced(batches):
-            found = [_runs(t, memo) for t in texts_of(batch.column(0))]
-            names, times = [r[0].view(np.int64) for r in found], [1 + (r[2] - r[1] > HALF + 1) for r in found]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(names), pa.int64()), pa.array(np.concatenate(times), pa.int64())],
+            found = Runs(texts_of(batch.column(0)), memo)
+            yield pa.RecordBatch.from_arrays([pa.array(found.names.view(np.int64)), pa.array(1 + (found.sizes > HALF + 1).astype(np.int64))],
                                              names=["name", "times"])
 
     return keyed.select("text").mapInArrow(run, "name long, times long")
@@ -97,12 +106,11 @@ def _window_rows(keyed: DataFrame) -> DataFrame:
     def run(batches):
         memo = WordHash()
         for batch in sliced(batches):
-            found = [_runs(t, memo) for t in texts_of(batch.column(2))]
-            at = pa.array(np.repeat(np.arange(len(found)), [len(r[0]) for r in found]), pa.int64())
-            hashes = [r[3][a:b].view(np.int64) for r in found for a, b in zip(r[1].tolist(), r[2].tolist())]
+            found = Runs(texts_of(batch.column(2)), memo)
+            at, ends = pa.array(found.owner), np.r_[0, np.cumsum(found.sizes)].astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(at), batch.column(1).take(at), pa.array(np.concatenate([r[0].view(np.int64) for r in found]), pa.int64()),
-                 pa.array(np.concatenate([r[1] for r in found]), pa.int32()), list_array(hashes, pa.int64())],
+                [batch.column(0).take(at), batch.column(1).take(at), pa.array(found.names.view(np.int64)),
+                 pa.array(found.starts, pa.int32()), pa.ListArray.from_arrays(pa.array(ends), pa.array(found.hashes.view(np.int64)))],
                 names=["doc_id", "text_key", "name", "start", "hashes"])
 
     return keyed.mapInArrow(run, "doc_id long, text_key long, name long, start int, hashes array<long>")
@@ -132,14 +140,16 @@ def repeated_passages(docs: DataFrame, key_col: str | None = None) -> DataFrame:
     rows = runs.select("doc_id", "text_key", "name", "start", F.posexplode("hashes").alias("i", "hash")).select(
         "doc_id", "text_key", "name", "hash", (F.col("start") + F.col("i")).alias("start"))
     place = F.struct("doc_id", "text_key", "start")
-    firsts = rows.groupBy("name", "hash").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").drop("last")
+    # written, so that the join below may be split where a window has very many places
+    firsts = materialize(rows.groupBy("name", "hash").agg(F.min(place).alias("first"), F.max(place).alias("last"))
+                         .where("first <> last").drop("last"), "window-firsts")
     near = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_key") == F.col("first.text_key")) & (
         F.col("start") < F.col("first.start") + WINDOW)
     gone = rows.join(firsts, ["name", "hash"]).where(~near).select(
         "doc_id", "text_key", "start", F.col("first.doc_id").alias("first_doc_id"), F.col("first.start").alias("first_word"))
     spans = materialize(_merged(gone), "passages")
-    discard(often)
-    discard(runs)
+    for done in (often, runs, firsts):
+        discard(done)
     return spans
 
 

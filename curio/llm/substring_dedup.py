@@ -47,7 +47,7 @@ _PART = np.random.default_rng(33).integers(1, 1 << 63, (BANDS, ROWS), dtype=np.u
 class Paragraphs:
     """The paragraphs of a batch of texts and, in flat arrays, their shingle
     sets: ``rows`` (number of the text), ``places``, ``sizes`` (words), ``ids``
-    (digests), ``shingles`` (each set sorted, one after the other), ``counts``."""
+    (digests), ``shingles`` (one set after the other), ``counts``."""
 
     def __init__(self, texts: list[str], min_words: int, memo: WordHash):
         rows, places, sizes, ids, words = [], [], [], [], []
@@ -74,11 +74,20 @@ class Paragraphs:
             # windows over the whole batch; those that cross an edge are skipped
             each = self.sizes - (WORDS - 1)
             flat = shingle_hashes(hashes, WORDS)[np.arange(each.sum()) + (WORDS - 1) * np.repeat(np.arange(len(each)), each)]
+        # a sort of the owners with the hashes' upper bits shows which sets have repeats
         owner = np.repeat(np.arange(len(each)), each)
-        order = np.lexsort((flat, owner))
-        flat = flat[order]
-        new = np.r_[True, (flat[1:] != flat[:-1]) | (owner[1:] != owner[:-1])]
-        self.shingles, self.counts = flat[new], np.bincount(owner[new], minlength=len(each))
+        bits = max(1, int(len(each)).bit_length())
+        mixed = np.sort((owner.astype(np.uint64) << np.uint64(64 - bits)) | (flat >> np.uint64(bits)))
+        again = np.unique((mixed[1:][mixed[1:] == mixed[:-1]] >> np.uint64(64 - bits)).astype(np.int64))
+        self.shingles, self.counts = flat, each
+        if len(again):
+            ends = np.cumsum(each)
+            parts = np.split(flat, np.ravel(np.column_stack((ends[again] - each[again], ends[again]))))
+            for k in range(1, len(parts), 2):
+                parts[k] = np.unique(parts[k])
+            self.counts = each.copy()
+            self.counts[again] = [len(parts[k]) for k in range(1, len(parts), 2)]
+            self.shingles = np.concatenate(parts)
 
     def minima(self) -> np.ndarray:
         """The MinHash of each set, one row each."""
@@ -167,7 +176,9 @@ def repeated_paragraphs(docs: DataFrame, percent: int = PERCENT, min_words: int
     place = F.struct("doc_id", "text_key", "paragraph")
     placed = rows.select("doc_id", "text_key", "paragraph", "n_words", "class_id").join(
         parts, F.col("class_id") == F.col("node"), "left").select("doc_id", "text_key", "paragraph", "n_words", cluster)
-    firsts = placed.groupBy("cluster").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last")
+    # written, so that the join below may be split where a cluster has very many paragraphs
+    firsts = materialize(placed.groupBy("cluster").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last"),
+                         "cluster-firsts")
     return placed.join(firsts, "cluster").select(
         "doc_id", "text_key", "paragraph", "n_words", F.col("first.doc_id").alias("first_doc_id"),
         F.col("first.paragraph").alias("first_paragraph"), (place != F.col("first")).alias("removed"))
