@@ -2,11 +2,19 @@
 
 * ``word_frequencies``: the corpus reduced to distinct pre-tokens with counts
   (one big aggregate, combined map-side).
-* ``train_bpe_vocab``: byte-pair merges learned on that table. Each round is a
-  Spark aggregation of adjacent symbol pairs weighted by word counts; the best
-  pair (highest count, then smallest pair) is applied to every word with a
-  column expression. Lineage is cut every round with a reliable checkpoint of
-  the symbol table in the shared checkpoint folder. ``pairs_per_round=1`` is exact BPE.
+* ``train_bpe_vocab``: byte-pair merges learned on that table, many to a round.
+  A round counts all adjacent pairs (an aggregation) and makes the most frequent
+  ones active; let T be the count of the best pair that is not. Words fall apart
+  where two symbols are no active pair: no pair across such a gap, nor any pair that
+  a merge makes there, can be more frequent than T. So every merge that comes up
+  before the best count has sunk to T is decided by the active segments alone.
+  Equal segments are added up by a second aggregation; their number is bounded
+  (a round with too many tries fewer active pairs), and the driver replays the merges
+  on them, with an index from pairs to segments whose counts are kept up by
+  deltas. The words then take the round's merges in one pass over the word table.
+  Where more pairs tie at the top than a round may hold, their longest run without
+  a pair that begins where another ends is merged instead, as such pairs can't
+  touch each other's counts. Both give the merges of plain one-at-a-time BPE.
 * ``encode_texts``: one Arrow pass with the vocabulary broadcast; joins are made
   best score first from a heap over a linked list. No shuffle.
 * ``decode_tokens``: the byte labels of the ids, read as UTF-8 with replacement.
@@ -23,6 +31,7 @@ import heapq
 import re
 import sys
 
+import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
@@ -30,13 +39,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from curio.functions.text import words
-from curio.session import ensure_checkpoint_dir
+from curio.session import discard, ensure_checkpoint_dir, materialize
 
 # --- fixed values -----------------------------------------------------------
 SPACE_MARK = "▁"
 SPECIALS = ("<unk>", "<s>", "</s>")
 BYTE_OFFSET = 3
-CHECKPOINT_EVERY = 1
 VOCAB_SCHEMA = "token_id int, piece string, score float, n_bytes int"
 # ---------------------------------------------------------------------------
 
@@ -52,76 +60,231 @@ def word_frequencies(df: DataFrame, text: str = "text") -> DataFrame:
         F.count(F.lit(1)).alias("n"))
 
 
-def _symbols(word_col) -> F.Column:
-    return F.regexp_extract_all(F.concat(F.lit(SPACE_MARK), word_col), F.lit("(?s)."), 0)
+_PAIR = 32                    # bits of a pair's right symbol
 
 
-def _apply_merge(syms: F.Column, a: str, b: str) -> F.Column:
-    """Merge every left-to-right occurrence of the pair (a, b)."""
-    ab = a + b
+def _flat(batch):
+    """Symbols of a batch of words one after the other, the words' ends, and
+    the adjacent pairs: place of the left symbol, code, weight."""
+    lists, n = batch.column(0), batch.column(1).to_numpy()
+    flat = lists.flatten().to_numpy().astype(np.int64)
+    sizes = np.diff(lists.offsets.to_numpy())
+    inner = np.ones(len(flat), bool)
+    inner[(np.cumsum(sizes) - 1)[sizes > 0]] = False
+    at = np.flatnonzero(inner)
+    return flat, sizes, at, flat[at] << _PAIR | flat[at + 1], np.repeat(n, sizes)[at]
 
-    def step(acc, s):
-        hit = (s == F.lit(b)) & (F.size(acc) > 0) & (F.element_at(acc, -1) == F.lit(a))
-        return F.when(hit, F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.lit(ab)))) \
-            .otherwise(F.concat(acc, F.array(s)))
 
-    return F.aggregate(syms, F.array().cast("array<string>"), step)
+def _pair_counts(words_now: DataFrame, apart) -> DataFrame:
+    """``(a, b, n)`` of the adjacent symbols; ``apart``: symbols never merged."""
+    def run(batches):
+        fixed = np.array(apart.value, bool)
+        for batch in batches:
+            _, _, _, code, n = _flat(batch)
+            free = ~(fixed[code >> _PAIR] | fixed[code & ((1 << _PAIR) - 1)])
+            pairs, at = np.unique(code[free], return_inverse=True)
+            total = np.zeros(len(pairs), np.int64)
+            np.add.at(total, at, n[free])
+            yield pa.RecordBatch.from_arrays([pa.array(pairs), pa.array(total)], names=["code", "n"])
+
+    return words_now.mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).select(
+        F.shiftright("code", _PAIR).cast("int").alias("a"), F.col("code").bitwiseAND((1 << _PAIR) - 1).cast("int").alias("b"), "n")
+
+
+def _segments(words_now: DataFrame, active) -> DataFrame:
+    """``(segment, n)``: runs of symbols that active pairs join, in bytes."""
+    def run(batches):
+        codes = np.array(active.value, np.int64)
+        for batch in batches:
+            flat, _, at, code, n = _flat(batch)
+            hit = codes[np.minimum(np.searchsorted(codes, code), len(codes) - 1)] == code
+            joined = at[hit]
+            weight = n[hit]
+            first = np.flatnonzero(np.r_[True, np.diff(joined) != 1]) if len(joined) else np.empty(0, np.int64)
+            last = np.append(first[1:], len(joined)) - 1 if len(first) else first
+            symbols = flat.astype(np.int32)
+            found: dict[bytes, int] = {}
+            for a, b, w in zip(joined[first].tolist(), joined[last].tolist(), weight[first].tolist()):
+                key = symbols[a:b + 2].tobytes()
+                found[key] = found.get(key, 0) + w
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.int64())],
+                                             names=["segment", "n"])
+
+    return words_now.mapInArrow(run, "segment binary, n long").groupBy("segment").agg(F.sum("n").alias("n"))
+
+
+def _merged(word: list[int], merges: dict) -> list[int]:
+    """The word after merges ``(a, b) -> (rank, symbol)`` in the order of their ranks."""
+    while len(word) > 1:
+        best = min((merges[p] for p in zip(word, word[1:]) if p in merges), default=None)
+        if best is None:
+            break
+        rank, symbol, a, b = best
+        out, k = [], 0
+        while k < len(word):
+            if k + 1 < len(word) and word[k] == a and word[k + 1] == b:
+                out.append(symbol)
+                k += 2
+            else:
+                out.append(word[k])
+                k += 1
+        word = out
+    return word
+
+
+def _apply(words_now: DataFrame, merges) -> DataFrame:
+    """The word table after a round's merges ``(a, b, symbol)``, in order."""
+    def run(batches):
+        table = {(a, b): (rank, symbol, a, b) for rank, (a, b, symbol) in enumerate(merges.value)}
+        for batch in batches:
+            out = [_merged(w, table) for w in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.int32())), batch.column(1)], names=["syms", "n"])
+
+    return words_now.mapInArrow(run, "syms array<int>, n long")
+
+
+class _Replay:
+    """One-at-a-time BPE on weighted segments."""
+
+    def __init__(self, segments: list[tuple[list[int], int]]):
+        self.segments = [s for s, _ in segments]
+        self.weight = [n for _, n in segments]
+        self.count: dict[tuple, int] = {}
+        self.where: dict[tuple, set] = {}
+        for k in range(len(segments)):
+            self._add(k, 1)
+        self.heap = [(-n, max(p), p) for p, n in self.count.items()]
+        heapq.heapify(self.heap)
+
+    def _add(self, k: int, sign: int, changed: set | None = None) -> None:
+        word, n = self.segments[k], sign * self.weight[k]
+        for p in zip(word, word[1:]):
+            self.count[p] = self.count.get(p, 0) + n
+            if sign > 0:
+                self.where.setdefault(p, set()).add(k)
+            if changed is not None:
+                changed.add(p)
+
+    def best(self, above: int):
+        """The most frequent pair, if its count is over ``above``; ties go to
+        the pair whose newer symbol is the oldest, then to the smaller symbols."""
+        while self.heap:
+            n, newer, p = self.heap[0]
+            if -n == self.count.get(p, 0):
+                return p if -n > above else None
+            heapq.heappop(self.heap)
+        return None
+
+    def merge(self, p: tuple, symbol: int) -> None:
+        changed: set = set()
+        for k in self.where.pop(p):
+            self._add(k, -1, changed)
+            self.segments[k] = _merged(self.segments[k], {p: (0, symbol, *p)})
+            self._add(k, 1, changed)
+        for c in changed:
+            if self.count.get(c, 0) > 0:
+                heapq.heappush(self.heap, (-self.count[c], max(c), c))
+            else:
+                self.count.pop(c, None)
+
+
+def _independent(pairs: list[tuple]) -> list[tuple]:
+    """The longest run of ranked pairs of which none begins where another, or
+    itself, ends. None of them changes the count of another, and what they make is
+    newer than all of them, so it loses every tie."""
+    begins, ends, out = set(), set(), []
+    for a, b in pairs:
+        if a in ends or b in begins or (a == b and out):
+            break
+        begins.add(a)
+        ends.add(b)
+        out.append((a, b))
+        if a == b:
+            break
+    return out
 
 
 def train_bpe_vocab(spark: SparkSession, texts: DataFrame, n_merges: int,
                     text: str = "text", split_digits: bool = True,
-                    pairs_per_round: int = 1) -> DataFrame:
-    """I4: vocabulary table ``(token_id, piece, score, n_bytes)``. With
-    ``pairs_per_round > 1`` each round applies up to that many of the top pairs
-    that share no symbol (fewer Spark jobs, an approximation of BPE)."""
+                    pairs_per_round: int = 2048, segments_per_round: int = 100_000) -> DataFrame:
+    """I4: vocabulary table ``(token_id, piece, score, n_bytes)`` of plain BPE:
+    ``n_merges`` times (or until nothing is left to merge) the most frequent pair;
+    ties go to the pair whose newer symbol is older (symbols count from the most
+    frequent character), then to the smaller symbols. A pair whose piece is there
+    already makes that piece. With ``split_digits`` digits (0-9) are never merged.
+    ``pairs_per_round`` and ``segments_per_round`` bound what a round brings to the
+    driver; they change the number of rounds, not the vocabulary."""
     ensure_checkpoint_dir(spark)
-    wf = word_frequencies(texts, text)
-    sym = wf.select(_symbols(F.col("word")).alias("syms"), "n").checkpoint(eager=True)
-    base = sym.select(F.explode("syms").alias("c"), "n").groupBy("c").agg(
-        F.sum("n").alias("n")).orderBy(F.desc("n"), "c").collect()
-    merges: list[tuple[str, str]] = []
-    for r in range(n_merges):
-        n = F.size("syms")
-        pairs = sym.filter(n > 1).select(
-            F.explode(F.arrays_zip(F.slice("syms", 1, n - 1).alias("a"),
-                                   F.slice("syms", 2, n - 1).alias("b"))).alias("p"), "n")
-        pairs = pairs.select(F.col("p.a").alias("a"), F.col("p.b").alias("b"), "n")
-        if split_digits:
-            pairs = pairs.filter(~F.col("a").rlike(r"\d") & ~F.col("b").rlike(r"\d"))
-        top = pairs.groupBy("a", "b").agg(F.sum("n").alias("cnt")) \
-            .orderBy(F.desc("cnt"), "a", "b").limit(4 * pairs_per_round).collect()
-        if not top or len(merges) >= n_merges:
+    wf = materialize(word_frequencies(texts, text).where("word is not null"), "bpe-words")
+    mark = F.concat(F.lit(SPACE_MARK), "word")
+    # characters: as many rows as the alphabet has
+    base = sorted(wf.select(F.explode(F.regexp_extract_all(mark, F.lit("(?s)."), 0)).alias("c"), "n").groupBy("c").agg(
+        F.sum("n").alias("n")).collect(), key=lambda r: (-r["n"], r["c"]))
+    pieces = [r["c"] for r in base]
+    symbol_of = {c: k for k, c in enumerate(pieces)}
+    plain = spark.sparkContext.broadcast(dict(symbol_of))
+
+    def split(batches):
+        for batch in batches:
+            out = [[plain.value[c] for c in w] for w in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.int32())), batch.column(1)], names=["syms", "n"])
+
+    now = materialize(wf.select(mark.alias("word"), "n").mapInArrow(split, "syms array<int>, n long"), "bpe-state")
+    discard(wf)
+    merges: list[tuple[int, int, int]] = []
+    most = pairs_per_round
+    while len(merges) < n_merges:
+        apart = [split_digits and any("0" <= c <= "9" for c in p) for p in pieces]
+        ranked = _pair_counts(now, spark.sparkContext.broadcast(apart)).orderBy(
+            F.desc("n"), F.greatest("a", "b"), "a", "b").limit(pairs_per_round + 1).collect()
+        ranked = [((r["a"], r["b"]), r["n"]) for r in ranked]
+        if not ranked:
             break
-        used: set = set()
-        col = F.col("syms")
-        for row in top:
-            a, b = row["a"], row["b"]
-            if len(merges) >= n_merges or len(used) >= 2 * pairs_per_round:
+        done = len(merges)
+
+        def merge(a, b):
+            """Record a merge; whether its piece is new."""
+            piece = pieces[a] + pieces[b]
+            new = piece not in symbol_of
+            if new:
+                symbol_of[piece] = len(pieces)
+                pieces.append(piece)
+            merges.append((a, b, symbol_of[piece]))
+            return new
+
+        while len(merges) == done:
+            below = ranked[most][1] if len(ranked) > most else 0    # with 0 pairs: all of the top are left
+            active = [p for p, n in ranked[:most] if n > below]
+            if not active or most == 0:
+                tied = [p for p, n in ranked if n == ranked[0][1]]
+                for a, b in _independent(tied)[:n_merges - done]:
+                    if not merge(a, b):
+                        break
                 break
-            if a in used or b in used:
+            codes = sorted(a << _PAIR | b for a, b in active)
+            rows = _segments(now, spark.sparkContext.broadcast(codes)).limit(segments_per_round + 1).collect()
+            if len(rows) > segments_per_round:
+                most //= 4
                 continue
-            used.update((a, b))
-            merges.append((a, b))
-            col = _apply_merge(col, a, b)
-        sym = sym.select(col.alias("syms"), "n")
-        if (r + 1) % CHECKPOINT_EVERY == 0:
-            sym = sym.checkpoint(eager=True)
+            replay = _Replay([(np.frombuffer(r["segment"], np.int32).tolist(), r["n"]) for r in rows])
+            while len(merges) < n_merges and (best := replay.best(below)) is not None:
+                new = merge(*best)
+                replay.merge(best, merges[-1][2])
+                # the same piece by another way: its pairs may lie outside the segments
+                if not new:
+                    break
+            if len(rows) < segments_per_round // 4:
+                most = min(pairs_per_round, most * 2)
+        most = max(most, 1)
+        after = materialize(_apply(now, spark.sparkContext.broadcast(merges[done:])), "bpe-state")
+        discard(now)
+        now = after
+    discard(now)
     rows = [(i, s, 0.0, len(s.encode())) for i, s in enumerate(SPECIALS)]
     rows += [(BYTE_OFFSET + v, f"<0x{v:02X}>", 0.0, 1) for v in range(256)]
-    nid = BYTE_OFFSET + 256
-    seen = set()
-    for i, (a, b) in enumerate(merges):
-        piece = a + b
-        if piece in seen:
-            continue
-        seen.add(piece)
-        rows.append((nid, piece, float(-(i + 1)), len(piece.encode())))
-        nid += 1
-    for k, row in enumerate(base):
-        if row["c"] in seen:
-            continue
-        rows.append((nid, row["c"], float(-(len(merges) + 1 + k)), len(row["c"].encode())))
-        nid += 1
+    ordered = list(dict.fromkeys(pieces[symbol] for _, _, symbol in merges))
+    ordered += [r["c"] for r in base]
+    rows += [(BYTE_OFFSET + 256 + k, p, float(-(k + 1)), len(p.encode())) for k, p in enumerate(ordered)]
     return spark.createDataFrame(rows, VOCAB_SCHEMA)
 
 
@@ -129,6 +292,13 @@ class _Pieces:
     """Lookup of a vocabulary: id and score of each piece. Byte pieces have no
     text of their own, so nothing is ever merged across one."""
 
+    @staticmethod
+    def of(plain: dict) -> _Pieces:
+        """The lookup that a worker builds once from the broadcast rows."""
+        if "built" not in plain:
+            plain["built"] = _Pieces(plain["rows"])
+        return plain["built"]
+
     def __init__(self, rows):
         first = BYTE_OFFSET + 256
         self.entry = {p: (i, s) for i, p, s in rows if i >= first}
@@ -149,13 +319,15 @@ def _merged_ids(segment: str, pieces: _Pieces) -> list[int]:
     texts: list[str | None] = []
     ids: list[int] = []
     for ch in segment:
-        hit = None if ch == _LITERAL_MARK else entry.get(ch)
+        # a space is the space mark; a mark that stands in the text itself is bytes
+        shown = SPACE_MARK if ch == " " else ch
+        hit = None if ch == SPACE_MARK else entry.get(shown)
         if hit is None:
-            raw = (SPACE_MARK if ch == _LITERAL_MARK else " " if ch == SPACE_MARK else ch).encode("utf-8", "replace")
+            raw = ch.encode("utf-8", "replace")
             texts += [None] * len(raw)
             ids += [b + BYTE_OFFSET for b in raw]
         else:
-            texts.append(ch)
+            texts.append(shown)
             ids.append(hit[0])
     n = len(ids)
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))
@@ -185,15 +357,14 @@ def _merged_ids(segment: str, pieces: _Pieces) -> list[int]:
 
 
 # A space, then what is not white space; other white space stands alone. Pieces
-# never cross these segments. A literal mark in a text is set apart by a stand-in.
-_LITERAL_MARK = "\ue000"
-_SEGMENT = re.compile(f"{SPACE_MARK}?[^{SPACE_MARK}\\s]+|{SPACE_MARK}|\\s")
+# never cross these segments.
+_SEGMENT = re.compile(r" ?\S+|\s")
 
 
-def _piece_table(vocab: DataFrame) -> _Pieces:
-    """The vocabulary on the driver: a model table, whose size is that of the
-    model, not of the corpus."""
-    return _Pieces([(int(r[0]), r[1], float(r[2])) for r in vocab.select("token_id", "piece", "score").collect()])
+def _piece_table(vocab: DataFrame) -> dict:
+    """The vocabulary on the driver as plain rows: a model table, whose size is
+    that of the model, not of the corpus."""
+    return {"rows": [(int(r[0]), r[1], float(r[2])) for r in vocab.select("token_id", "piece", "score").collect()]}
 
 
 def encode_texts(spark: SparkSession, docs: DataFrame, vocab: DataFrame, key: str = "doc_id",
@@ -202,25 +373,24 @@ def encode_texts(spark: SparkSession, docs: DataFrame, vocab: DataFrame, key: st
     vocabulary is broadcast and each task keeps a bounded memo of segments. All
     white space is kept and characters outside the vocabulary become their bytes,
     so ``decode_tokens`` gives the text back exactly. Null texts are empty; rows
-    with equal keys stay apart. (A private-use character U+E000 in a text comes
-    back as U+2581.)"""
-    pieces = spark.sparkContext.broadcast(_piece_table(vocab))
+    with equal keys stay apart."""
+    plain = spark.sparkContext.broadcast(_piece_table(vocab))
     schema = f"`{key}` {docs.schema[key].dataType.simpleString()}, ids array<int>"
 
     def run(batches):
         memo: dict[str, list[int]] = {}
+        pieces = _Pieces.of(plain.value)
         for batch in batches:
             out = []
             for value in batch.column(1).to_pylist():
                 ids = [1] if add_bos else []
                 if value:
-                    marked = SPACE_MARK + value.replace(SPACE_MARK, _LITERAL_MARK).replace(" ", SPACE_MARK)
-                    for segment in _SEGMENT.findall(marked):
+                    for segment in _SEGMENT.findall(" " + value):
                         got = memo.get(segment)
                         if got is None:
                             if len(memo) > 200_000:
                                 memo.clear()
-                            got = memo[segment] = _merged_ids(segment, pieces.value)
+                            got = memo[segment] = _merged_ids(segment, pieces)
                         ids += got
                 out.append(ids)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int32()))], names=[key, "ids"])
@@ -234,14 +404,14 @@ def decode_tokens(tokens: DataFrame, vocab: DataFrame, ids_col: str = "ids",
     one leading space (the dummy prefix) is removed, specials are dropped;
     with ``strip_pad`` the pad/unknown id 0 is dropped instead of decoded. Bytes
     that are no UTF-8 (a cut sequence) become U+FFFD. Unknown ids are dropped."""
-    pieces = tokens.sparkSession.sparkContext.broadcast(_piece_table(vocab))
+    plain = tokens.sparkSession.sparkContext.broadcast(_piece_table(vocab))
     kept = [c for c in tokens.columns if c.lower() != out.lower()]
     schema = T.StructType([tokens.schema[c] for c in kept] + [T.StructField(out, T.StringType())])
     at = tokens.columns.index(ids_col)
 
     def run(batches):
         for batch in batches:
-            label = list(pieces.value.label)
+            label = list(_Pieces.of(plain.value).label)
             if not strip_pad:
                 label[0] = " \u2047 ".encode()
             size = len(label)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from curio.functions import tokens as tk
 from curio.functions.text import words
 from curio.operators import quality as ql
-from curio.operators.tokenizer import (decode_tokens, encode_texts, train_bpe_vocab,
+from curio.operators.tokenizer import (SPACE_MARK, decode_tokens, encode_texts, train_bpe_vocab,
                                       word_frequencies)
 from curio.plans import sql as S
 from curio.plans.registry import query
@@ -159,7 +159,7 @@ def q_word_frequencies(spark, sf):
     return word_frequencies(table(spark, sf, "documents"), "text")
 
 
-BPE_MERGES = 16
+BPE_MERGES = 8000
 
 
 def _vocab(spark, sf):
@@ -171,10 +171,19 @@ def q_train_bpe_vocab(spark, sf):
     return _vocab(spark, sf)
 
 
-@query("encode_texts")
+@query("encode_texts", """
+SELECT doc_id, 1::BIGINT AS n_bos, (CASE WHEN text = '' THEN 0 ELSE strlen(text) + 1 END)::BIGINT AS n_bytes FROM documents""")
 def q_encode_texts(spark, sf):
-    enc = encode_texts(spark, table(spark, sf, "documents"), _vocab(spark, sf))
-    return enc.select("doc_id", F.size("ids").alias("n_tokens"))
+    """Whole texts in pieces of the trained vocabulary: the bytes of a text's
+    pieces add up to the text and the space in front."""
+    vocab = _vocab(spark, sf)
+    enc = encode_texts(spark, table(spark, sf, "documents"), vocab)
+    n_bytes = F.when(F.col("token_id") < 3, 0).when(F.col("token_id") < 259, 1).otherwise(
+        F.octet_length(F.replace("piece", F.lit(SPACE_MARK), F.lit(" "))))
+    # a model table: its size is that of the vocabulary
+    sizes = F.broadcast(vocab.select("token_id", n_bytes.alias("n_bytes")))
+    return enc.select("doc_id", F.explode("ids").alias("token_id")).join(sizes, "token_id").groupBy("doc_id").agg(
+        F.count(F.when(F.col("token_id") == 1, 1)).alias("n_bos"), F.sum("n_bytes").cast("bigint").alias("n_bytes"))
 
 
 @query("decode_tokens", "SELECT doc_id, true AS round_trip_ok FROM documents")
