@@ -206,7 +206,7 @@ def _independent(pairs: list[tuple]) -> list[tuple]:
 
 def train_bpe_vocab(spark: SparkSession, texts: DataFrame, n_merges: int,
                     text: str = "text", split_digits: bool = True,
-                    pairs_per_round: int = 2048, segments_per_round: int = 100_000) -> DataFrame:
+                    pairs_per_round: int = 1024, segments_per_round: int = 50_000) -> DataFrame:
     """I4: vocabulary table ``(token_id, piece, score, n_bytes)`` of plain BPE:
     ``n_merges`` times (or until nothing is left to merge) the most frequent pair;
     ties go to the pair whose newer symbol is older (symbols count from the most
