@@ -21,9 +21,9 @@ def _c(c) -> Column:
 
 
 def _ordered(df: DataFrame, keys: Sequence[SortKey], id_col: str, buckets=None) -> DataFrame:
-    cols = [id_col] + [k.column for k in keys]
-    return assign_positions(df.select(*cols), keys, id_col, "pos", buckets) \
-        .select(F.col(id_col).alias("id"), "pos")
+    thin = df.select(F.col(id_col).alias("id"), *[k.column.alias(f"k{i}") for i, k in enumerate(keys)])
+    return assign_positions(thin, [SortKey(f"k{i}", k.descending) for i, k in enumerate(keys)], "id", "pos", buckets) \
+        .select("id", "pos")
 
 
 def above_threshold(column, threshold: float) -> Column:

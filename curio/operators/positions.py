@@ -1,47 +1,37 @@
 """Global positions (0..n-1) in a chosen order, without a single-partition
-exchange.
+exchange, and positions inside groups.
 
 ``row_number()`` over an un-partitioned window moves every row to one task.
-Instead:
-
-1. Each row gets a sort tuple ``(missing_1, key_1, ..., id)``: NaN and null
-   sort last in both directions, the id breaks ties, so the tuple is unique.
-2. A bounded sample of tuples (about ``SAMPLES_PER_BUCKET`` per bucket, hard
-   row cap) gives ``nb - 1`` cut points. Because the tuple contains the id,
-   even a key value held by a third of all rows is split across many buckets.
-3. ``bucket`` = number of cut points <= tuple, by binary search inside the row
-   (deterministic: a re-run task after an executor loss gets the same bucket).
-4. ``row_number`` inside each bucket (a shuffle on ``bucket`` + sort), plus
-   the bucket's offset: the per-bucket counts are ``nb`` numbers, turned into
-   a literal array of prefix sums.
-
-Cost: a count, a sample, a per-bucket count (each reads only the key columns)
-and one shuffle of the rows. The input is read four times: pass a scan or a
-materialised table (``checkpoint()``), not an expensive un-materialised plan.
+Instead the rows go through one range shuffle on ``(keys, id)`` and are sorted
+inside their partitions, so the partitions are consecutive stretches of the order.
+The rows are written once with their index in their partition; the counts of the
+partitions, one number each, are added up to offsets. Because the id is part of the
+range key, a key value held by a third of all rows is still split over many
+partitions. Sorting never looks at a column's type: strings, dates and numbers
+may be ascending or descending; NaN and null sort last in both directions.
+
+The input is read twice (once for the sample of the range shuffle): pass a scan
+or a written table, not an expensive plan.
 """
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 from typing import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from curio.functions.timeutil import epoch_micros
+from curio.operators.scan import segmented_scan
+from curio.session import materialize
 
-ROWS_PER_BUCKET = 2_000_000
-MAX_BUCKETS = 8192
-MIN_ROWS_PER_BUCKET = 64
-SAMPLES_PER_BUCKET = 32
-SAMPLE_SEED = 17
+PARTITION_BITS = 33       # monotonically_increasing_id: the index is below, the partition above
 
 
 @dataclass(frozen=True)
 class SortKey:
-    """One sort key. ``descending`` keys must be numeric; NaN/null sort last."""
+    """One sort key; NaN/null sort last in both directions."""
     col: Column | str
     descending: bool = False
 
@@ -58,178 +48,73 @@ def desc(c) -> SortKey:
     return SortKey(c, True)
 
 
-def _sort_tuple(df: DataFrame, keys: Sequence[SortKey], id_col: str) -> tuple[DataFrame, list[str]]:
-    t, names = sort_tuple(df, keys, id_col)
-    return df.withColumn("__t", t), names
-
-
-def sort_tuple(df: DataFrame, keys: Sequence[SortKey], id_col: str) -> tuple[Column, list[str]]:
-    """The struct ``(missing_1, key_1, ..., id)`` whose ascending order is the
-    requested order (NaN/null last, ties on the id)."""
-    fields: dict[str, Column] = {}
-    names: list[str] = []
-    for i, k in enumerate(keys):
-        c = k.column
-        dtype = df.select(c.alias("x")).schema["x"].dataType
-        if isinstance(dtype, (T.DoubleType, T.FloatType)):
-            c = F.nanvl(c.cast("double"), F.lit(None).cast("double"))
-        elif isinstance(dtype, T.BooleanType):
-            c = c.cast("int")
-        elif k.descending and not isinstance(dtype, (T.LongType, T.IntegerType, T.ShortType,
-                                                     T.ByteType, T.DecimalType)):
-            raise TypeError(f"descending order needs a numeric key, got {dtype}")
-        missing = c.isNull().cast("int")
-        if isinstance(dtype, T.StringType):
-            value = F.coalesce(c, F.lit(""))
-        elif isinstance(dtype, (T.TimestampType, T.DateType, T.TimestampNTZType)):
-            ts = epoch_micros(c, dtype)
-            value = F.coalesce(-ts if k.descending else ts, F.lit(0).cast("bigint"))
-        else:
-            if isinstance(dtype, (T.DoubleType, T.FloatType)):
-                zero_type = "double"
-            elif isinstance(dtype, T.DecimalType):
-                zero_type = dtype.simpleString()
-            else:
-                zero_type = "bigint"
-                c = c.cast("bigint")
-            value = F.coalesce(-c if k.descending else c, F.lit(0).cast(zero_type))
-        fields[f"m{i}"] = missing
-        fields[f"v{i}"] = value
-        names += [f"m{i}", f"v{i}"]
-    fields["id"] = F.col(id_col).cast("bigint")
-    names.append("id")
-    return F.struct(*[v.alias(k) for k, v in fields.items()]), names
+def _value(df: DataFrame, key: SortKey) -> Column:
+    """The key with NaN as null."""
+    c = key.column
+    real = isinstance(df.select(c.alias("x")).schema["x"].dataType, (T.DoubleType, T.FloatType))
+    return F.nanvl(c, F.lit(None)) if real else c
 
 
-def _bucket_expr(cuts: list, tuple_type: T.StructType) -> Column:
-    """Number of cut points <= ``__t`` by binary search (O(log nb) per row)."""
-    if not cuts:
-        return F.lit(0)
-    lits = [F.struct(*[F.lit(v).cast(f.dataType).alias(f.name)
-                       for v, f in zip(c, tuple_type.fields)]) for c in cuts]
-    arr = F.array(*lits)
-    depth = math.ceil(math.log2(len(cuts) + 1)) + 1
-    t = F.col("__t")
-    zero = F.struct(F.lit(0).alias("lo"), F.lit(len(cuts)).alias("hi"))
+def order_columns(df: DataFrame, keys: Sequence[SortKey], id_col: str) -> list[Column]:
+    """Sort expressions of the order ``keys`` (then ``id_col``)."""
+    values = [(_value(df, k), k.descending) for k in keys]
+    return [v.desc_nulls_last() if down else v.asc_nulls_last() for v, down in values] + [F.col(id_col).asc_nulls_last()]
 
-    def step(acc, _i):
-        lo, hi = acc["lo"], acc["hi"]
-        mid = F.floor((lo + hi) / 2).cast("int")
-        go_right = F.element_at(arr, mid + 1) <= t
-        return F.when(lo >= hi, acc).otherwise(F.when(
-            go_right, F.struct((mid + 1).alias("lo"), hi.alias("hi"))).otherwise(
-            F.struct(lo.alias("lo"), mid.alias("hi"))))
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(depth)), zero, step)["lo"]
+def _ranged(df: DataFrame, order: list[Column], buckets: int | None) -> DataFrame:
+    return df.repartitionByRange(buckets, *order) if buckets else df.repartitionByRange(*order)
 
 
 def bucket_sizes(df: DataFrame, keys: Sequence[SortKey], id_col: str, buckets: int) -> list[int]:
-    """Rows per bucket that ``assign_positions`` would use (for checking the
-    balance under skew)."""
-    keyed, _ = _sort_tuple(df, list(keys), id_col)
-    tuple_type = keyed.schema["__t"].dataType
-    n = keyed.count()
-    want = buckets * SAMPLES_PER_BUCKET
-    sample = keyed.select("__t").sample(False, min(1.0, want * 1.2 / n), seed=SAMPLE_SEED) \
-        .limit(want * 2).collect()
-    tuples = sorted(tuple(r["__t"]) for r in sample)
-    step = len(tuples) / buckets
-    cuts = sorted(set(tuples[min(len(tuples) - 1, int(round(step * j)))] for j in range(1, buckets)))
-    b = keyed.select(_bucket_expr(cuts, tuple_type).alias("b")).groupBy("b").count().collect()
-    return [r["count"] for r in b]
-
-
-def bucket_count(spark, n: int, buckets: int | None = None) -> int:
-    if buckets is not None:
-        return max(1, int(buckets))
-    if n <= 0:
-        return 1
-    par = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    nb = max(par, math.ceil(n / ROWS_PER_BUCKET))
-    nb = min(nb, MAX_BUCKETS, max(1, n // MIN_ROWS_PER_BUCKET))
-    return max(1, nb)
+    """Rows per range partition that ``assign_positions`` would use (for
+    checking the balance under skew)."""
+    rows = _ranged(df, order_columns(df, keys, id_col), buckets)
+    return [r["count"] for r in rows.groupBy(F.spark_partition_id().alias("b")).count().collect()]
 
 
 def assign_positions(df: DataFrame, keys: Sequence[SortKey] = (), id_col: str = "id",
                      pos_col: str = "pos", buckets: int | None = None,
                      n: int | None = None) -> DataFrame:
     """Add ``pos_col`` = 0-based position of each row in the order
-    ``keys`` (then ``id_col``). ``id_col`` must be unique. Pass ``n`` when the
-    row count is already known (saves a pass)."""
+    ``keys`` (then ``id_col``). ``id_col`` must be unique. ``buckets``: the number
+    of range partitions, if it isn't to be the session's. (``n``, the number of
+    rows, is no longer needed and has no effect.)"""
     spark = df.sparkSession
-    keyed, names = _sort_tuple(df, list(keys), id_col)
-    tuple_type = keyed.schema["__t"].dataType
-    n = keyed.count() if n is None else n
-    nb = bucket_count(spark, n, buckets)
-    cuts: list = []
-    if nb > 1:
-        want = nb * SAMPLES_PER_BUCKET
-        frac = min(1.0, want * 1.2 / n)
-        sample = (keyed.select("__t").sample(False, frac, seed=SAMPLE_SEED)
-                  .limit(want * 2).collect())
-        tuples = sorted(tuple(r["__t"]) for r in sample)
-        if tuples:
-            step = len(tuples) / nb
-            raw = [tuples[min(len(tuples) - 1, int(round(step * k)))] for k in range(1, nb)]
-            cuts = sorted(set(raw))
-    bucket = _bucket_expr(cuts, tuple_type)
-    with_b = keyed.withColumn("__b", bucket.cast("int"))
-    offsets = [0] * (len(cuts) + 1)
-    if cuts:
-        counts = {r["__b"]: r["count"] for r in with_b.groupBy("__b").count().collect()}
-        run = 0
-        for b in range(len(cuts) + 1):
-            offsets[b] = run
-            run += counts.get(b, 0)
-    off_arr = F.array(*[F.lit(o).cast("bigint") for o in offsets])
-    w = Window.partitionBy("__b").orderBy(*[F.col(f"__t.{x}") for x in names])
-    out = with_b.withColumn(
-        pos_col, F.element_at(off_arr, F.col("__b") + 1) + F.row_number().over(w) - 1)
-    return out.drop("__t", "__b")
-
-
-MAX_LITERAL_GROUPS = 1_000_000
-
-
-def _group_sort_key(values):
-    """Python order of group keys matching the sort tuple: missing (null or
-    NaN) last, then the value (UTF-8 byte order = code point order)."""
-    out = []
-    for v in values:
-        missing = v is None or (isinstance(v, float) and v != v)
-        out.append((missing, 0 if missing else v))
-    return tuple(out)
+    order = order_columns(df, list(keys), id_col)
+    kept = [c for c in df.columns if c != pos_col]
+    rows = _ranged(df, order, buckets).sortWithinPartitions(*order).select(*kept, F.monotonically_increasing_id().alias("__m"))
+    done = materialize(rows, "positions")
+    part, index = F.shiftright("__m", PARTITION_BITS), F.col("__m").bitwiseAND((1 << PARTITION_BITS) - 1)
+    counts = sorted(done.groupBy(part.alias("p")).count().collect())
+    offsets, run = [], 0
+    for p, count in counts:
+        offsets.append((p, run))
+        run += count
+    if len(offsets) <= 1:
+        return done.select(*kept, index.alias(pos_col))
+    # one row a partition, whatever the data
+    before = F.broadcast(spark.createDataFrame(offsets, "__p long, __before long"))
+    return done.join(before, part == F.col("__p")).select(*kept, (F.col("__before") + index).alias(pos_col))
 
 
 def group_positions(df: DataFrame, group_cols: Sequence[str], keys: Sequence[SortKey] = (),
-                    id_col: str = "id", idx_col: str = "idx", buckets: int | None = None
-                    ) -> DataFrame:
+                    id_col: str = "id", idx_col: str = "idx") -> DataFrame:
     """0-based index of each row inside its group, in ``keys`` order (then
-    ``id_col``). Built on the global positions over ``(group, keys, id)``, so
-    a group holding a third of all rows is still split over many tasks. A
-    group's start is the number of rows in the groups before it: per-group
-    counts (a partial aggregate of the input) summed on the driver when the
-    number of groups is within a checked bound; otherwise the minimum position
-    per group."""
-    from curio.operators._util import collect_bounded
-    gc = list(group_cols)
-    gk = [asc(g) for g in gc] + list(keys)
-    counts = collect_bounded(df.groupBy(*gc).count(), MAX_LITERAL_GROUPS)
-    n = sum(r["count"] for r in counts) if counts is not None else None
-    p = assign_positions(df, gk, id_col, "__gp", buckets, n)
-    if counts is not None:
-        rows = sorted(counts, key=lambda r: _group_sort_key([r[g] for g in gc]))
-        data, run = [], 0
-        for r in rows:
-            data.append(tuple(r[g] for g in gc) + (run,))
-            run += r["count"]
-        schema = T.StructType([df.schema[g] for g in gc] + [T.StructField("__start", T.LongType())])
-        starts = F.broadcast(df.sparkSession.createDataFrame(data, schema))
-    else:
-        starts = p.groupBy(*gc).agg(F.min("__gp").alias("__start"))
-    cond = [p[g].eqNullSafe(starts[g]) for g in gc]
-    j = p.join(starts, cond).select(p["*"], starts["__start"])
-    return j.withColumn(idx_col, F.col("__gp") - F.col("__start")).drop("__gp", "__start")
+    ``id_col``): a segmented scan, so a group holding a third of all rows is split
+    over many tasks and the number of groups doesn't matter."""
+    return segmented_scan(df, group_cols, order_columns(df, list(keys), id_col), idx_col=idx_col)
+
+
+def _before(values: list[tuple[Column, bool]], cut: Sequence) -> Column:
+    """Whether a row stands before the row with the key values ``cut``."""
+    out = F.lit(False)
+    for (c, down), v in reversed(list(zip(values, cut))):
+        if v is None:
+            less, same = c.isNotNull(), c.isNull()
+        else:
+            less, same = (c > F.lit(v)) if down else (c < F.lit(v)), c == F.lit(v)
+        out = F.coalesce(less, F.lit(False)) | (F.coalesce(same, F.lit(False)) & out)
+    return out
 
 
 def rank_cut(df: DataFrame, keys: Sequence[SortKey], id_col: str, k: int,
@@ -237,43 +122,19 @@ def rank_cut(df: DataFrame, keys: Sequence[SortKey], id_col: str, k: int,
     """A predicate selecting the rows at positions ``< k`` in the order
     ``keys`` (then ``id_col``), or ``None`` when ``k >= n`` (every row).
 
-    Finds the sort tuple at rank ``k`` without ordering all rows: the
-    per-bucket counts locate the bucket holding rank ``k`` and a window runs
-    over that one bucket only. The result is a plain filter on the sort tuple
-    (for an id-only order: ``id < cut``), which pushes down to the scan."""
+    Only the key columns are ordered, to read the keys at rank ``k``; the result
+    is a plain filter (for an id-only order: ``id < cut``), which pushes down to
+    the scan."""
     if k <= 0:
         return F.lit(False)
-    spark = df.sparkSession
-    keyed, names = _sort_tuple(df, list(keys), id_col)
-    tuple_type = keyed.schema["__t"].dataType
-    n = keyed.count() if n is None else n
+    n = df.count() if n is None else n
     if k >= n:
         return None
-    nb = bucket_count(spark, n, buckets)
-    cuts: list = []
-    if nb > 1:
-        want = nb * SAMPLES_PER_BUCKET
-        sample = (keyed.select("__t").sample(False, min(1.0, want * 1.2 / n), seed=SAMPLE_SEED)
-                  .limit(want * 2).collect())
-        tuples = sorted(tuple(r["__t"]) for r in sample)
-        if tuples:
-            step = len(tuples) / nb
-            cuts = sorted(set(tuples[min(len(tuples) - 1, int(round(step * j)))]
-                              for j in range(1, nb)))
-    with_b = keyed.select("__t", _bucket_expr(cuts, tuple_type).cast("int").alias("__b"))
-    counts = {r["__b"]: r["count"] for r in with_b.groupBy("__b").count().collect()} \
-        if cuts else {0: n}
-    seen = 0
-    for b in range(len(cuts) + 1):
-        c = counts.get(b, 0)
-        if seen + c > k:
-            break
-        seen += c
-    w = Window.partitionBy("__b").orderBy(*[F.col(f"__t.{x}") for x in names])
-    row = (with_b.filter(F.col("__b") == b).withColumn("__r", F.row_number().over(w))
-           .filter(F.col("__r") == k - seen + 1).select("__t").first())
-    if not keys:
-        return F.col(id_col).cast("bigint") < F.lit(row["__t"]["id"])
-    cut = F.struct(*[F.lit(v).cast(f.dataType).alias(f.name)
-                     for v, f in zip(tuple(row["__t"]), tuple_type.fields)])
-    return sort_tuple(df, keys, id_col)[0] < cut
+    values = [(_value(df, key), key.descending) for key in keys] + [(F.col(id_col), False)]
+    names = [f"k{i}" for i in range(len(values))]
+    thin = df.select(*[v.alias(name) for (v, _), name in zip(values, names)])
+    order = [SortKey(name, down) for name, (_, down) in zip(names[:-1], values[:-1])]
+    row = assign_positions(thin, order, names[-1], "pos", buckets).where(F.col("pos") == k).first()
+    if len(values) == 1:
+        return F.col(id_col) < F.lit(row["k0"])
+    return _before(values, [row[name] for name in names])

@@ -2,9 +2,8 @@
 
 Groups can be very uneven (one group may hold a third of all rows), so
 group-level statistics are ``groupBy`` aggregates (combined map-side) joined
-back (adaptive execution broadcasts them when they are small), and ordered running sums use the two-level
-scheme of ``running_totals`` over global positions -- never a window that
-puts a whole group in one task.
+back (adaptive execution broadcasts them when they are small), and ordered running
+sums are segmented scans -- never a window that puts a whole group in one task.
 """
 
 from __future__ import annotations
@@ -12,11 +11,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from curio.operators.lineage import running_totals
-from curio.operators.positions import desc, group_positions
+from curio.operators.positions import desc, order_columns
+from curio.operators.scan import RunningSum, segmented_scan
 
 SALT_BUCKETS = 64
-RUN_BLOCK = 100_000
 
 
 def group_softmax(df: DataFrame, group: str, score: str, temperature: float = 1.0,
@@ -58,10 +56,8 @@ def top_k_per_group(df: DataFrame, group: str, score: str, k: int, item: str,
 def ordered_cumsum(df: DataFrame, group: str, keys, item: str, value: str,
                    idx_col: str = "idx", out: str = "cum") -> DataFrame:
     """Index in ``keys`` order and inclusive running sum of ``value`` inside
-    each group."""
-    gp = group_positions(df, [group], keys, item, idx_col)
-    rt = running_totals(gp, idx_col, [value], [group], RUN_BLOCK)
-    return rt.withColumnRenamed(f"cum_{value}", out)
+    each group, by one segmented scan."""
+    return segmented_scan(df, [group], order_columns(df, keys, item), {out: RunningSum(value)}, idx_col)
 
 
 def nucleus_filter(df: DataFrame, group: str, item: str, p: str, topp: float,

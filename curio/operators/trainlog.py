@@ -1,23 +1,22 @@
 """Training-log analytics.
 
 A run's log is one long ordered sequence. Every sequential operator here
-works on a per-run index (``group_positions``: no task sees a whole run) and
-on blocks of that index: a window inside a block, plus a carry from earlier
-blocks computed on the small table of block summaries.
+works on a per-run index (``group_positions``: no task sees a whole run), on
+blocks of that index (a window inside a block, plus a carry from earlier blocks),
+or by a segmented scan of the runs.
 """
 
 from __future__ import annotations
 
-import math
 from typing import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from curio.functions.text import checkpoint_number
 from curio.functions.timeutil import epoch_micros
 from curio.operators.positions import SortKey, group_positions
+from curio.operators.scan import RunningMean, segmented_scan
 
 # --- fixed values -----------------------------------------------------------
 # Log line formats written by the training loop:
@@ -32,7 +31,6 @@ EVAL_FORMAT = "step %d: train loss %.4f, val loss %.4f"
 EMA_DECAY = 0.9
 EMA_WEIGHT = 0.1
 EMA_START = 5          # the running value starts at the 6th iteration of a process
-EMA_BLOCK = 1024
 # ---------------------------------------------------------------------------
 
 
@@ -121,64 +119,19 @@ def step_durations(df: DataFrame, run_col: str, iter_col: str, ts_col: str,
 
 
 def ema(df: DataFrame, run_col: str, iter_col: str, value_col: str, decay: float = EMA_DECAY,
-        start: int = EMA_START, block: int = EMA_BLOCK, out: str = "ema",
+        start: int = EMA_START, block: int | None = None, out: str = "ema",
         weight: float = EMA_WEIGHT) -> DataFrame:
     """``e = decay * e + weight * x`` from iteration ``start`` on,
-    seeded by the first value; null before ``start``.
-
-    The run is cut into blocks of ``block`` rows. Each block's end value with
-    no carry, ``T_b``, is a closed form inside the block (a running sum over
-    ``decay^-l`` weighted terms, exponents bounded by the block); the value
-    entering block ``b`` is ``E_{b-1} = sum_b' decay^(block*(b-1-b')) T_b'`` over
-    the blocks whose weight is still above 1e-20. The values inside a block are
-    then evaluated in sequence from that carry (rows hash-partitioned by
-    ``(run, block)``, sorted, one Arrow pass per partition), so they follow the
-    recursion's own rounding; the first block of a run is exactly the
-    recursion."""
-    q = decay
-    src = df.withColumn("__j", F.col(iter_col) - start)
-    live = src.filter(F.col("__j") >= 0)
-    live = live.withColumn("__a", F.when(F.col("__j") == 0, F.col(value_col))
-                           .otherwise(F.lit(weight) * F.col(value_col)))
-    live = live.withColumn("__b", F.floor(F.col("__j") / block).cast("bigint")) \
-        .withColumn("__loc", (F.col("__j") % block).cast("int"))
-    # block end values without carry (closed form, JVM side)
-    ends = live.groupBy(run_col, "__b").agg(F.sum(
-        F.pow(F.lit(q), F.lit(block - 1) - F.col("__loc")) * F.col("__a")).alias("__s"),
-        F.max("__loc").alias("__last"))
-    ends = ends.withColumn("__end", F.col("__s") * F.pow(F.lit(q), F.col("__last") - (block - 1)))
-    look = max(1, math.ceil(20 * math.log(10) / (block * -math.log(q))))
-    wk = Window.partitionBy(run_col).orderBy("__b").rowsBetween(-look + 1, 0)
-    carry = ends.withColumn("__hist", F.collect_list(F.struct("__b", "__end")).over(wk))
-    # (computed under another name first: a select-list alias named like an
-    # input column would be picked up inside the lambda)
-    carry = carry.withColumn("__carry", F.aggregate("__hist", F.lit(0.0), lambda acc, h: acc + F.pow(
-        F.lit(q), F.lit(block) * (F.col("__b") - h["__b"])) * h["__end"]))
-    carry = carry.select(run_col, (F.col("__b") + 1).alias("__b"), "__carry")
-    seq = live.join(carry, [run_col, "__b"], "left").fillna(0.0, subset=["__carry"])
-    keep = [c for c in df.columns]
-    schema = T.StructType([df.schema[c] for c in keep] + [T.StructField(out, T.DoubleType())])
-
-    def run_blocks(batches):
-        # rows arrive sorted by (run, block, j); the recursion restarts from the
-        # block's carry whenever (run, block) changes -- also across batches
-        key, e = None, 0.0
-        for pdf in batches:
-            runs = pdf[run_col].tolist()
-            blocks = pdf["__b"].tolist()
-            carries = pdf["__carry"].tolist()
-            vals = []
-            for r, b, c, a in zip(runs, blocks, carries, pdf["__a"].tolist()):
-                if (r, b) != key:
-                    key, e = (r, b), c
-                e = q * e + a
-                vals.append(e)
-            yield pdf[keep].assign(**{out: vals})
-
-    res = seq.repartition(run_col, "__b").sortWithinPartitions(run_col, "__b", "__j") \
-        .mapInPandas(run_blocks, schema)
-    early = src.filter(F.col("__j") < 0).drop("__j").withColumn(out, F.lit(None).cast("double"))
-    return res.unionByName(early)
+    seeded by the first value; null before it. A null value leaves the running value
+    as it is.
+
+    Every step is a map ``e -> a * e + b`` and such maps compose associatively, a
+    null is the identity: the running values are a segmented scan over the runs,
+    which looks back over a whole run, whatever its length. (``block`` has no
+    effect: the result doesn't depend on how the rows are cut.)"""
+    live = df.withColumn("__x", F.when(F.col(iter_col) >= start, F.col(value_col).cast("double")))
+    return segmented_scan(live, [run_col], [F.col(iter_col).asc_nulls_last()],
+                          {out: RunningMean("__x", decay, weight)}).drop("__x")
 
 
 def token_budget(batches: DataFrame, batch_col: str, n_tokens_col: str, grad_accum: int,

@@ -86,6 +86,20 @@ def q_ema(spark, sf):
     return tl.ema(runs(spark, sf), "run", "iter", "loss").select("run", "iter", "ema")
 
 
+@query("ema_with_gaps", f"""WITH RECURSIVE {_EV},
+g AS (SELECT run, iter, CASE WHEN split <> 'error' THEN loss END AS loss FROM ev),
+r AS (SELECT run, iter, loss AS e FROM g WHERE iter = {tl.EMA_START}
+      UNION ALL
+      SELECT g.run, g.iter, CASE WHEN g.loss IS NULL THEN r.e WHEN r.e IS NULL THEN g.loss
+             ELSE {tl.EMA_DECAY} * r.e + {tl.EMA_WEIGHT} * g.loss END
+      FROM r JOIN g ON g.run = r.run AND g.iter = r.iter + 1)
+SELECT g.run, g.iter, round(r.e, 6) AS ema FROM g LEFT JOIN r ON g.run = r.run AND g.iter = r.iter""")
+def q_ema_with_gaps(spark, sf):
+    """The running value where failed steps ('error' events) log no loss."""
+    logged = runs(spark, sf).withColumn("loss", F.when(F.col("split") != "error", F.col("loss")))
+    return tl.ema(logged, "run", "iter", "loss").select("run", "iter", "ema")
+
+
 @query("step_durations", f"""WITH {_EV}
 SELECT run, iter, round(epoch_us(ts) / 1e6 - epoch_us(lag(ts) OVER (PARTITION BY run ORDER BY iter)) / 1e6, 6) AS dt_s
 FROM ev""")

@@ -59,3 +59,46 @@ def test_empty_and_two_keys(spark):
     got = {r["k"]: (r["i"], r["s"]) for r in
            segmented_scan(df, ["g", "h"], [F.col("k").desc()], {"s": RunningSum("w")}, "i").collect()}
     assert got == {1: (1, 3), 2: (0, 2), 3: (0, 4), 4: (0, 8), 5: (0, 16)}
+
+
+def test_ema_with_nulls_whatever_the_partitions(spark):
+    from curio.operators.trainlog import ema
+    rnd = random.Random(3)
+    rows = [(r, i, None if rnd.random() < .2 else rnd.uniform(0, 1e6)) for r in range(3) for i in range(400 if r else 4000)]
+    want, state = {}, {}
+    for r, i, x in rows:
+        if i >= 5 and x is not None:
+            state[r] = x if r not in state else 0.9 * state[r] + 0.1 * x
+        want[r, i] = state.get(r)
+    for parts in (1, 23):
+        df = spark.createDataFrame(rows, "run int, iter long, x double").repartition(parts)
+        got = {(v["run"], v["iter"]): v["ema"] for v in ema(df, "run", "iter", "x", block=parts).collect()}
+        assert set(got) == set(want)
+        for k, e in want.items():
+            assert (got[k] is None) == (e is None) and (e is None or math.isclose(got[k], e, rel_tol=1e-11))
+
+
+def test_positions_of_strings_dates_and_string_ids_both_ways(spark):
+    import datetime as dt
+
+    from curio.operators.order import order_custom, sort_descending
+    from curio.operators.positions import asc, desc, group_positions, rank_cut
+    rows = [(f"id{k:03d}", None if k % 11 == 0 else f"w{k * 7 % 13}", None if k % 7 == 0 else dt.date(2020, 1, 1 + k % 20), k % 3)
+            for k in range(200)]
+    df = spark.createDataFrame(rows, "id string, w string, d date, g int").repartition(5)
+
+    def plain(column, down, rest=rows):
+        known = [r for r in rest if r[column] is not None]
+        known = sorted(sorted(known, key=lambda r: r[0]), key=lambda r: r[column], reverse=down)
+        return [r[0] for r in known + sorted(r for r in rest if r[column] is None)]
+
+    for column, name in ((1, "w"), (2, "d")):
+        got = [r["id"] for r in sort_descending(df, name, "id", 4).orderBy("pos").collect()]
+        assert got == plain(column, True)
+        for down, key in ((True, desc(name)), (False, asc(name))):
+            assert [r["id"] for r in order_custom(df, [key], "id", 3).orderBy("pos").collect()] == plain(column, down)
+            for k in (1, 57, 185, 199):
+                assert {r["id"] for r in df.where(rank_cut(df, [key], "id", k)).collect()} == set(plain(column, down)[:k])
+        by = group_positions(df, ["g"], [desc(name)], "id").orderBy("g", "idx").collect()
+        for g in range(3):
+            assert [r["id"] for r in by if r["g"] == g] == plain(column, True, [r for r in rows if r[3] == g])
