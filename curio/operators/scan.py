@@ -111,6 +111,26 @@ def _means(x: np.ndarray, known: np.ndarray, decay: float, weight: float, place:
     return a, b, s, has
 
 
+STEPS = 64
+
+
+def _first_steps(s, has, x, known, decay: float, weight: float, begins: np.ndarray, entering: float | None) -> None:
+    """The first ``STEPS`` values of every segment, one step at a time over all
+    segments at once, so that short runs have the recursion's own rounding.
+    ``entering``: the mean that goes into the first segment."""
+    sizes = np.diff(np.append(begins, len(x)))
+    now, there = np.zeros(len(begins)), np.zeros(len(begins), bool)
+    if entering is not None:
+        now[0], there[0] = entering, True
+    for t in range(min(STEPS, int(sizes.max()))):
+        go = np.flatnonzero(sizes > t)
+        at = begins[go] + t
+        new = np.where(known[at], np.where(there[go], decay * now[go] + weight * x[at], x[at]), now[go])
+        there[go] |= known[at]
+        now[go] = new
+        s[at], has[at] = new, there[go]
+
+
 class _Part:
     """The scan of one partition, batch after batch. The state of a sum is its
     value; that of a mean is ``(a, b, s)``, with ``s`` None before a value."""
@@ -150,6 +170,7 @@ class _Part:
                         has[cut] = True
                     b[cut] += a[cut] * before[1]
                     a[cut] *= before[0]
+                _first_steps(s, has, x, known, decay, weight, np.flatnonzero(begins), before[2] if went_on else None)
                 out += [pa.array(s, mask=~has), pa.array(a), pa.array(b)]
                 self.state[k] = (float(a[-1]), float(b[-1]), float(s[-1]) if has[-1] else None)
                 continue
