@@ -174,6 +174,48 @@ def q_pca_wide(spark, sf):
     return vo.pca_wide(el, "item", "pos", "value")
 
 
+@query("pca_2d_spread", f"""
+WITH e AS (SELECT vec_id, vec_id % 10 AS ckpt, u.d, ({_E})[u.d + 1] AS x FROM embeddings,
+           LATERAL (SELECT unnest(range(0, len(embedding))) AS d) u),
+m AS (SELECT *, x - avg(x) OVER (PARTITION BY ckpt, d) AS dev FROM e)
+SELECT CAST(ckpt AS BIGINT) AS ckpt, vec_id, round(sum(dev * dev), 6) AS spread FROM m GROUP BY 1, 2""")
+def q_pca_2d_spread(spark, sf):
+    """Coordinates on all axes: their squares add up to the squared distance
+    from the checkpoint's mean, whatever the axes are."""
+    e = emb(spark, sf)
+    dim = e.agg(F.max(F.size("embedding"))).first()[0]
+    p = vo.pca_2d(e, "ckpt", "embedding", "vec_id", k=dim)
+    return p.select(F.col("ckpt").cast("bigint").alias("ckpt"), "vec_id",
+                    sum((F.col(f"pc{i + 1}") ** 2 for i in range(dim)), F.lit(0.0)).alias("spread"))
+
+
+@query("pca_wide_spread", f"""
+WITH e AS (SELECT vec_id % 10 AS item, CAST(vec_id // 10 AS BIGINT) * 64 + u.d AS pos, ({_E})[u.d + 1] AS value FROM embeddings,
+           LATERAL (SELECT unnest(range(0, len(embedding))) AS d) u),
+n AS (SELECT count(DISTINCT item) AS n FROM e),
+m AS (SELECT pos, sum(value) / any_value(n.n) AS mean FROM e, n GROUP BY pos),
+i AS (SELECT DISTINCT item FROM e)
+SELECT CAST(i.item AS BIGINT) AS item, round(sum((coalesce(e.value, 0) - m.mean) ** 2), 6) AS spread
+FROM i CROSS JOIN m LEFT JOIN e ON e.item = i.item AND e.pos = m.pos GROUP BY 1""")
+def q_pca_wide_spread(spark, sf):
+    """The checkpoints' long vectors on all nine axes that ten items have: the
+    squares add up to the squared distance from the mean."""
+    e = emb(spark, sf)
+    el = e.select("ckpt", "k", F.posexplode(vf.as_double("embedding")).alias("d", "value"))
+    el = el.select(F.col("ckpt").alias("item"), (F.col("k") * 64 + F.col("d")).alias("pos"), "value")
+    p = vo.pca_wide(el, "item", "pos", "value", k=9)
+    return p.select(F.col("item").cast("bigint").alias("item"), sum((F.col(f"pc{i + 1}") ** 2 for i in range(9)), F.lit(0.0)).alias("spread"))
+
+
+@query("cross_checkpoint_pca_space")
+def q_cross_checkpoint_pca_space(spark, sf):
+    """C6 in the space of the plots: every checkpoint's layer centroids placed
+    in 2-D by a PCA of that checkpoint, then the mean cosine over checkpoint pairs."""
+    c = vo.centroids(emb(spark, sf), ["ckpt", "label"], "embedding")
+    el = c.select("label", "ckpt", F.posexplode("centroid").alias("pos", "value"))
+    return vo.cross_checkpoint_similarity(vo.pca_space(el, "label", "ckpt", "pos", "value"), "label", "ckpt", "coords")
+
+
 @query("dequantize_groups", f"""WITH {_QUANT_SQL},
 d AS (SELECT vec_id, k, list_transform(qv, lambda x: x * scale) AS dq FROM err)
 SELECT vec_id, round(sum(list_sum(dq)), 6) AS sum_dequantized,

@@ -201,3 +201,32 @@ def test_hot_group_ranking_matches_brute_force(spark):
             keep.add((g, it))
             cum += -negp
         assert {k for k in nf if k[0] == g} == keep
+
+
+def test_pca_2d_with_a_large_mean_many_partitions_and_nulls(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(900, 4)) * [5, 3, 1, .5] + 1e6
+    rows = [(None if i % 3 else "hot", i, x[i].tolist()) for i in range(900)] + [("hot", 1000, None)]
+    df = spark.createDataFrame(rows, "g string, id long, v array<double>").repartition(40)
+    out = vo.pca_2d(df, "g", "v", "id").collect()
+    assert len(out) == 901 and [r["pc1"] for r in out if r["id"] == 1000] == [None]
+    for g in (None, "hot"):
+        part = np.array([i for i in range(900) if rows[i][0] == g])
+        xc = x[part] - x[part].mean(0)
+        proj = xc @ np.linalg.svd(xc, full_matrices=False)[2][:2].T
+        proj *= np.sign(proj[np.abs(proj).argmax(0), [0, 1]])
+        got = np.array([[r["pc1"], r["pc2"]] for r in sorted((r for r in out if r["g"] == g and r["id"] < 900), key=lambda r: r["id"])])
+        assert np.allclose(got, proj, atol=1e-6)
+
+
+def test_pca_wide_with_more_items_than_directions(spark):
+    rng = np.random.default_rng(7)
+    n = 3000
+    x = rng.normal(size=(n, 12)) * np.array([20, 12, 3, 2, 2, 1, 1, 1, 1, 1, 1, 1])
+    el = spark.createDataFrame([(i, int(p), float(x[i, p])) for i in range(n) for p in range(12)], "item int, pos long, value double")
+    out = sorted((r["item"], r["pc1"], r["pc2"]) for r in vo.pca_wide(el, spare=4).collect())
+    xc = x - x.mean(0)
+    u, s, _ = np.linalg.svd(xc, full_matrices=False)
+    proj = u[:, :2] * s[:2]
+    proj *= np.sign(proj[np.abs(proj).argmax(0), [0, 1]])
+    assert np.allclose(np.array([r[1:] for r in out]), proj, atol=1e-4)
