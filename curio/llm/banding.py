@@ -86,7 +86,7 @@ def disagreeing(a: str, b: str, entries: int):
     return total
 
 
-PARTS = 48
+PARTS = 32
 
 
 def held_by_others(sets: DataFrame) -> DataFrame:

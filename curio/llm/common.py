@@ -9,6 +9,7 @@ need no copy of this package on their path.
 
 from __future__ import annotations
 
+import re
 import sys
 
 import numpy as np
@@ -57,6 +58,50 @@ def word_hashes(text: str, memo: WordHash) -> np.ndarray:
     return np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
 
 
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_rng = np.random.default_rng(20240502)
+_BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_BYTE[_SPACE] = 0
+_SPOT = _rng.integers(1, 1 << 63, 4096, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_BREAK = re.compile(rb"[\x20\x09-\x0D]")
+CHUNK = 1 << 20
+
+
+def hashed_words(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of ``raw`` and where they begin: for each word
+    the sum of a random number per byte value times one per place in the word,
+    mixed. Works through pieces of about ``CHUNK`` bytes that end at white space."""
+    data, at = np.frombuffer(raw, np.uint8), 0
+    hashes, starts = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+    while at < len(data):
+        end = at + CHUNK
+        if end < len(data):
+            stop = _BREAK.search(raw, end)
+            end = stop.start() if stop else len(data)
+        piece = data[at:end]
+        space = _SPACE[piece]
+        begin = np.flatnonzero(~space & np.r_[True, space[:-1]])
+        if len(begin):
+            spot = np.arange(begin[0], len(piece)) - np.repeat(begin, np.diff(np.append(begin, len(piece))))
+            weight = _SPOT[np.minimum(spot, 4095)]
+            if spot.max() >= 4096:
+                far = np.flatnonzero(spot >= 4096)
+                weight[far] = mix64(spot[far].astype(np.uint64)) | np.uint64(1)
+            hashes.append(mix64(np.add.reduceat(_BYTE[piece[begin[0]:]] * weight, begin - begin[0])))
+            starts.append(begin + at)
+        at = end
+    return np.concatenate(hashes), np.concatenate(starts)
+
+
+def joined_texts(texts: list[str]) -> tuple[bytes, np.ndarray]:
+    """The lower-cased (A-Z) texts, one after the other with a line break after
+    each, and where each begins."""
+    raw = [t.encode("utf-8", "replace").lower() for t in texts]
+    sizes = np.fromiter(map(len, raw), np.int64, len(raw)) + 1
+    return b"\n".join([*raw, b""]), np.cumsum(sizes) - sizes
+
+
 # odd multipliers from one generator, in order of the word's place in a shingle
 _PLACE = np.random.default_rng(20240501).integers(1, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 

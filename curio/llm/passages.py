@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from curio.llm.banding import semi_join
-from curio.llm.common import WordHash, mix64, ship, sliced, texts_of, word_hashes
+from curio.llm.common import hashed_words, joined_texts, mix64, ship, sliced, texts_of
 from curio.session import discard, materialize
 
 ship(__name__)
@@ -61,10 +61,10 @@ class Runs:
     arrays: ``owner`` (number of the text), ``names``, ``starts`` (first window's
     word), ``sizes`` (windows), and the ``hashes`` of all windows one after the other."""
 
-    def __init__(self, texts: list[str], memo: WordHash):
-        parts = [word_hashes(t, memo) for t in texts]
-        words = np.array([len(p) for p in parts], np.int64)
-        flat = np.concatenate(parts) if parts else np.empty(0, np.uint64)
+    def __init__(self, texts: list[str]):
+        raw, begin = joined_texts(texts)
+        flat, spots = hashed_words(raw)
+        words = np.diff(np.append(np.searchsorted(spots, begin), len(spots)))
         windows = np.maximum(words - WINDOW + 1, 0)
         total = int(windows.sum())
         self.owner = self.starts = self.sizes = np.empty(0, np.int64)
@@ -92,9 +92,8 @@ def _names(keyed: DataFrame) -> DataFrame:
     """``(name, times)`` of every run of windows; one that holds two windows
     apart counts twice."""
     def run(batches):
-        memo = WordHash()
         for batch in sliced(batches):
-            found = Runs(texts_of(batch.column(0)), memo)
+            found = Runs(texts_of(batch.column(0)))
             yield pa.RecordBatch.from_arrays([pa.array(found.names.view(np.int64)), pa.array(1 + (found.sizes > HALF + 1).astype(np.int64))],
                                              names=["name", "times"])
 
@@ -104,9 +103,8 @@ def _names(keyed: DataFrame) -> DataFrame:
 def _window_rows(keyed: DataFrame) -> DataFrame:
     """``(doc_id, text_key, name, start, hashes)`` of every run of windows."""
     def run(batches):
-        memo = WordHash()
         for batch in sliced(batches):
-            found = Runs(texts_of(batch.column(2)), memo)
+            found = Runs(texts_of(batch.column(2)))
             at, ends = pa.array(found.owner), np.r_[0, np.cumsum(found.sizes)].astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(at), batch.column(1).take(at), pa.array(found.names.view(np.int64)),

@@ -25,12 +25,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from curio.llm.banding import linked, packed_marks, semi_join, tune_bands
-from curio.llm.common import SPACES, WordHash, mix64, shingle_hashes, ship, sliced, texts_of
+from curio.llm.common import SPACES, hashed_words, joined_texts, mix64, shingle_hashes, ship, sliced, texts_of
 from curio.llm.components import connected_components
 from curio.llm.passages import remove_passages, repeated_passages
 from curio.session import discard, materialize
@@ -49,26 +48,31 @@ class Paragraphs:
     sets: ``rows`` (number of the text), ``places``, ``sizes`` (words), ``ids``
     (digests), ``shingles`` (one set after the other), ``counts``."""
 
-    def __init__(self, texts: list[str], min_words: int, memo: WordHash):
-        rows, places, sizes, ids, words = [], [], [], [], []
-        digest = xxhash.xxh3_128_digest
-        for row, text in enumerate(texts):
-            for place, line in enumerate(text.encode("utf-8", "replace").lower().split(b"\n")):
-                found = line.split()
-                if len(found) >= min_words:
-                    rows.append(row)
-                    places.append(place)
-                    sizes.append(len(found))
-                    ids.append(digest(b" ".join(found)))
-                    words += found
-        self.rows, self.places, self.ids = rows, places, ids
-        self.sizes = np.array(sizes, np.int64)
-        hashes = np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
-        if not rows:
-            self.shingles, self.counts = hashes, self.sizes
+    def __init__(self, texts: list[str], min_words: int):
+        raw, begin = joined_texts(texts)
+        hashes, spots = hashed_words(raw)
+        breaks = np.flatnonzero(np.frombuffer(raw, np.uint8) == 10)       # the end of each line
+        lines = np.r_[0, breaks[:-1] + 1] if len(breaks) else breaks
+        first = np.searchsorted(spots, lines)
+        words = np.diff(np.append(first, len(spots)))
+        chosen = np.flatnonzero(words >= max(1, min_words))
+        top = np.searchsorted(lines, begin)                               # the first line of each text
+        row = np.searchsorted(top, chosen, side="right") - 1
+        self.rows, self.places, self.sizes = row, chosen - top[row] if len(top) else chosen, words[chosen]
+        self.ids, self.shingles, self.counts = [], np.empty(0, np.uint64), self.sizes
+        if not len(chosen):
             return
+        starts = np.cumsum(self.sizes) - self.sizes
+        number = np.arange(self.sizes.sum()) - np.repeat(starts, self.sizes)
+        hashes = hashes[number + np.repeat(first[chosen], self.sizes)]
+        place = mix64(number.astype(np.uint64) + np.uint64(1))
+        # two independent sums over words and their places name the word sequence
+        lanes = [mix64(np.add.reduceat(mix64(hashes ^ np.uint64(k)) * (place | np.uint64(1)), starts) + self.sizes.astype(np.uint64))
+                 for k in (0x51ED270B, 0xA54FF53A5F1D36F1)]
+        packed = np.column_stack(lanes).astype(">u8").tobytes()
+        self.ids = [packed[k:k + 16] for k in range(0, len(packed), 16)]
         if self.sizes.min() < WORDS:
-            parts = [shingle_hashes(h, WORDS) for h in np.split(hashes, np.cumsum(self.sizes)[:-1])]
+            parts = [shingle_hashes(h, WORDS) for h in np.split(hashes, starts[1:])]
             flat, each = np.concatenate(parts), np.array([len(x) for x in parts])
         else:
             # windows over the whole batch; those that cross an edge are skipped
@@ -120,9 +124,8 @@ def paragraph_rows(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """One row for each paragraph that counts: where it is, its class, the
     buckets of its shingle set and the marks of its MinHash."""
     def run(batches):
-        memo = WordHash()
         for batch in sliced(batches, rows=256):
-            found = Paragraphs(texts_of(batch.column(2)), min_words, memo)
+            found = Paragraphs(texts_of(batch.column(2)), min_words)
             least, at = found.minima(), pa.array(found.rows, pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(at), batch.column(1).take(at), pa.array(found.places, pa.int32()),
@@ -137,9 +140,8 @@ def paragraph_rows(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 def _class_sets(docs: DataFrame, min_words: int) -> DataFrame:
     """``(rep, shingles)`` of every paragraph of ``docs``."""
     def run(batches):
-        memo = WordHash()
         for batch in sliced(batches, rows=256):
-            found = Paragraphs(texts_of(batch.column(0)), min_words, memo)
+            found = Paragraphs(texts_of(batch.column(0)), min_words)
             offsets = np.r_[0, np.cumsum(found.counts)].astype(np.int32)
             sets = pa.ListArray.from_arrays(pa.array(offsets), pa.array(found.shingles.view(np.int64)))
             yield pa.RecordBatch.from_arrays([pa.array(found.ids, pa.binary()), sets], names=["rep", "shingles"])

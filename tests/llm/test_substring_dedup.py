@@ -96,3 +96,31 @@ def test_repeated_rows_null_ids_empty(spark):
 def test_tuned_bands():
     rows, bands = tune_bands(0.75, 0.9995)
     assert 1 - (1 - 0.75 ** rows) ** bands >= 0.9995 > 1 - (1 - 0.75 ** rows) ** (bands - 1)
+
+
+def test_word_hashes_and_paragraphs_of_a_batch(monkeypatch):
+    from curio.llm import common
+    rnd = random.Random(9)
+    alpha = "aAbZ é漢 \t\n\x0b\x0c\r\x1c\xa0"
+    texts = ["", "\n", " x", "a" * 9000 + " b", *("".join(rnd.choice(alpha) for _ in range(rnd.randrange(200))) for _ in range(300))]
+    for chunk in (7, 1 << 20):
+        monkeypatch.setattr(common, "CHUNK", chunk)
+        raw, begin = common.joined_texts(texts)
+        hashes, spots = common.hashed_words(raw)
+        words = [w for t in texts for w in t.encode().lower().split()]
+        assert len(words) == len(hashes) == len(spots)
+        assert all(raw[s:s + len(w)] == w for s, w in zip(spots.tolist(), words))
+        name = dict(zip(words, hashes.tolist()))
+        assert [name[w] for w in words] == hashes.tolist() and len(set(name.values())) == len(name)
+        for least in (1, 3):
+            got = S.Paragraphs(texts, least)
+            want = [(i, p, line.encode().lower().split()) for i, t in enumerate(texts) for p, line in enumerate(t.split("\n"))]
+            want = [x for x in want if len(x[2]) >= least]
+            assert [(i, p, n) for i, p, n in zip(got.rows.tolist(), got.places.tolist(), got.sizes.tolist())] == [
+                (i, p, len(w)) for i, p, w in want]
+            sets = [{tuple(w[k:k + 5]) for k in range(max(1, len(w) - 4))} for _, _, w in want]
+            assert got.counts.tolist() == [len(x) for x in sets] and len(got.shingles) == sum(map(len, sets))
+            same = {}
+            for key, (_, _, w) in zip(got.ids, want):
+                assert same.setdefault(key, w) == w
+            assert len(same) == len({tuple(w) for _, _, w in want})
