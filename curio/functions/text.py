@@ -6,6 +6,7 @@ inside the JVM and is distributed with the scan.
 
 from __future__ import annotations
 
+import re
 from typing import Iterable
 
 from pyspark.sql import Column
@@ -92,16 +93,35 @@ def vocabulary_diversity(text) -> Column:
                   F.size(F.array_distinct(w)) / F.size(w)).otherwise(F.lit(0.0))
 
 
+def _phrase_pattern(terms: list[str]) -> str:
+    """A case-insensitive alternation of ``terms`` between word boundaries. A
+    boundary stands between a word character and what is none, so what must be
+    next to a term depends on its own first and last character."""
+    def bounded(term: str) -> str:
+        first, last = (re.match(r"\w", c) is not None for c in (term[0], term[-1]))
+        before = r"(?<![\p{L}\p{N}_])" if first else r"(?<=[\p{L}\p{N}_])"
+        after = r"(?![\p{L}\p{N}_])" if last else r"(?=[\p{L}\p{N}_])"
+        return before + re.sub(r"([^\w\s])", r"\\\1", term) + after
+    return "(?iu)(?:" + "|".join(bounded(t) for t in terms) + ")"
+
+
 def flagged_term_count(text, terms: Iterable[str] = DEFAULT_FLAGGED_TERMS) -> Column:
-    """Number of whole-word, case-insensitive occurrences of ``terms``.
+    """Number of whole-word, case-insensitive occurrences of ``terms``, which
+    may be phrases or hold hyphens and other marks. Occurrences don't overlap: at
+    each place the first term of the list that fits counts, as in an alternation.
+    Empty terms are left out.
 
     A whole-word match of a term made of word characters is exactly a maximal
-    run of word characters equal to the term, so we extract the runs once and
-    test membership -- one pass over the text whatever the number of terms.
+    run of word characters equal to the term, so where all terms are such, the runs
+    are extracted once and tested for membership, whatever the number of terms;
+    otherwise the text is matched with the alternation.
     """
-    lowered = sorted({t.lower() for t in terms})
-    term_arr = F.array(*[F.lit(t) for t in lowered]).cast("array<string>")
-    runs = F.regexp_extract_all(F.coalesce(_col(text), F.lit("")), F.lit(WORD_CHAR_RUN), 0)
+    listed = [t for t in dict.fromkeys(t.lower() for t in terms) if t]
+    source = F.coalesce(_col(text), F.lit(""))
+    if any(not re.fullmatch(r"\w+", t) for t in listed):
+        return F.regexp_count(source, F.lit(_phrase_pattern(listed))).cast("bigint")
+    term_arr = F.array(*[F.lit(t) for t in sorted(listed)]).cast("array<string>")
+    runs = F.regexp_extract_all(source, F.lit(WORD_CHAR_RUN), 0)
     return F.size(F.filter(runs, lambda r: F.array_contains(term_arr, F.lower(r)))).cast("bigint")
 
 

@@ -65,6 +65,16 @@ def checkpoint_membership(positions: DataFrame, ckpts: DataFrame, batch_size: in
                   "left_semi")
 
 
+def consumed_by(positions: DataFrame, ckpt, batch_size: int, grad_accum: int, step: int,
+                include_prefetched: bool = True, pos_col: str = "pos") -> DataFrame:
+    """Rows that checkpoint ``ckpt`` (a number or column) has consumed: those
+    whose first checkpoint is not after it. A filter on the position, so no row is
+    repeated per checkpoint; no checkpoint (null), no rows."""
+    ckpt = F.lit(ckpt) if ckpt is None or isinstance(ckpt, int) else ckpt
+    first = first_checkpoint(F.col(pos_col), batch_size, grad_accum, step, include_prefetched)
+    return positions.filter(first <= ckpt.cast("bigint"))
+
+
 def attach_metadata(tokens: DataFrame, metadata: DataFrame, id_col: str = "id") -> DataFrame:
     """Left equi-join on the id (duplicate ids on the right fan out)."""
     return tokens.join(metadata, id_col, "left")

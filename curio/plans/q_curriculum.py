@@ -145,9 +145,7 @@ def q_checkpoint_membership(spark, sf):
 SELECT doc_id, lang FROM documents WHERE doc_id IN (SELECT id FROM mem WHERE ckpt = (SELECT max(ckpt) FROM ck))""")
 def q_filter_consumed(spark, sf):
     p = _identity_positions(spark, sf)
-    ck = _ckpts(spark, p.count())
-    mem = ln.checkpoint_membership(p, ck, B, G, STEP)
-    last = mem.filter(F.col("ckpt") == ck.agg(F.max("ckpt")).first()[0])
+    last = ln.consumed_by(p, _ckpts(spark, p.count()).agg(F.max("ckpt")).first()[0], B, G, STEP)
     d = table(spark, sf, "documents").select("doc_id", "lang")
     return ln.filter_consumed(d, last.select(F.col("id").alias("doc_id")), "doc_id")
 

@@ -47,6 +47,17 @@ def q_profanity(spark, sf):
         tx.profanity_check("text", QUERY_TERMS).alias("profanity_check"))
 
 
+PHRASE_TERMS = ("of the", "the", "in-the", "and", "and the")
+
+
+@query("profanity_phrases", f"""
+SELECT doc_id, len(regexp_extract_all(lower(regexp_replace(coalesce(text, ''), '[À-ÖØ-öø-ɏͰ-῿぀-퟿]', 'x', 'g')),
+           '\\b(?:{"|".join(PHRASE_TERMS)})\\b'))::BIGINT AS n_flagged FROM documents""")
+def q_profanity_phrases(spark, sf):
+    """Phrases and hyphenated terms among the flagged ones."""
+    return docs(spark, sf).select("doc_id", tx.flagged_term_count("text", PHRASE_TERMS).alias("n_flagged"))
+
+
 @query("bleu_score", f"""
 WITH {S.bleu_ctes()} SELECT doc_id, round(bleu_score, 6) AS bleu_score FROM bleu""")
 def q_bleu(spark, sf):

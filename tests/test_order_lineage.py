@@ -193,3 +193,14 @@ def test_group_positions_null_and_nan_groups(spark):
         ids = [r["id"] for r in sorted((r for r in out if r["g"] == g), key=lambda r: r["idx"])]
         assert ids == sorted((i for i, gg, _ in rows if gg == g), reverse=True)
         assert sorted(r["idx"] for r in out if r["g"] == g) == list(range(len(ids)))
+
+
+def test_consumed_by_is_the_listing_of_one_checkpoint(spark):
+    p = spark.range(500).selectExpr("id", "id as pos")
+    ck = ln.checkpoint_schedule(spark, 500, 7, 3, 5)
+    for pre in (True, False):
+        listed = ln.checkpoint_membership(p, ck, 7, 3, 5, pre).collect()
+        for c in (5, 10, 20):
+            want = {r["id"] for r in listed if r["ckpt"] == c}
+            assert {r["id"] for r in ln.consumed_by(p, c, 7, 3, 5, pre).collect()} == want and want
+    assert ln.consumed_by(p, None, 7, 3, 5).count() == 0

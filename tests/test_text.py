@@ -129,3 +129,14 @@ def test_register_metric(spark):
 
 def test_bleu_reference_python_matches_math():
     assert math.isclose(bleu.bleu_reference_value(REF), 1.0)
+
+
+def test_flagged_phrases_and_hyphens_as_an_alternation(spark):
+    import re
+    texts = ["Damn it, damn  it; DAMN IT", "her mother-in-law and the mother in law", "mother-in-lawyer", "c++ or c++x, a-damn it",
+             "damn itß damn it_ damn it!", "damn damn it damn", "", None, "édamn it", "in law in-law"]
+    for terms in (["damn it", "mother-in-law"], ["damn", "damn it"], ["damn it", "damn"], ["c++", "in-law", "law"], ["it"]):
+        pattern = re.compile(r"\b(?:" + "|".join(map(re.escape, terms)) + r")\b", re.IGNORECASE)
+        df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string")
+        got = {r["k"]: r["n"] for r in df.select("k", tx.flagged_term_count("t", terms).alias("n")).collect()}
+        assert got == {k: len(pattern.findall(t or "")) for k, t in enumerate(texts)}, terms
