@@ -86,20 +86,22 @@ def disagreeing(a: str, b: str, entries: int):
     return total
 
 
-PARTS = 32
+PARTS, COARSE = 32, 8
 
 
 def held_by_others(sets: DataFrame) -> DataFrame:
-    """``(rep, held)``: how many elements of each set ``(rep, shingles)`` are in
-    another of the sets, one count for each part of the hash space. All counts have
-    partial sums before the shuffle."""
+    """``(rep, held, coarse)``: how many elements of each set ``(rep, shingles)`` are in
+    another of the sets, one count for each part of the hash space (and for ``COARSE``
+    unions of parts, a quicker and weaker bound). All counts have partial sums before the shuffle."""
     key = F.xxhash64("rep").alias("key")
     rows = sets.select(key, F.explode("shingles").alias("shingle"))
     alone = rows.groupBy("shingle").agg(F.min("key").alias("key"), F.max("key").alias("last")).where("key = last")
     signed = rows.withColumn("c", F.lit(1)).unionByName(alone.select("key", "shingle", F.lit(-1).alias("c")))
     part = F.pmod("shingle", F.lit(PARTS))
     held = signed.groupBy("key").agg(*[F.sum(F.when(part == k, F.col("c")).otherwise(0)).alias(f"p{k}") for k in range(PARTS)])
-    return sets.select("rep", key).join(held.select("key", F.array(*[f"p{k}" for k in range(PARTS)]).alias("held")), "key").drop("key")
+    coarse = [sum((F.col(f"p{k}") for k in range(i, PARTS, COARSE)), F.lit(0)) for i in range(COARSE)]
+    return sets.select("rep", key).join(held.select(
+        "key", F.array(*[f"p{k}" for k in range(PARTS)]).alias("held"), F.array(*coarse).alias("coarse")), "key").drop("key")
 
 
 def linked(members: DataFrame, percent: int, entries: int, sets_of: Callable[[DataFrame], DataFrame],
@@ -141,15 +143,19 @@ def linked(members: DataFrame, percent: int, entries: int, sets_of: Callable[[Da
     split = written.join(facts, "rep")
     strangers = split.where("part <> main").select(
         "bucket", F.col("rep").alias("x"), F.col("n").alias("n_x"), F.col("part").alias("part_x"),
-        F.col("marks").alias("marks_x"), F.col("held").alias("held_x"), F.col("buckets").alias("buckets_x"))
+        F.col("marks").alias("marks_x"), F.col("held").alias("held_x"), F.col("coarse").alias("coarse_x"), F.col("buckets").alias("buckets_x"))
     alike = disagreeing("marks", "marks_x", entries) <= entries - least_agreeing(entries, percent / 100, missed)
-    common = sum((F.least(F.col("held")[k], F.col("held_x")[k]) for k in range(1, PARTS)), F.least(F.col("held")[0], F.col("held_x")[0]))
-    enough = (100 + percent) * common >= percent * (F.col("n") + F.col("n_x"))
+
+    def enough(column, parts):
+        common = sum((F.least(F.col(column)[k], F.col(f"{column}_x")[k]) for k in range(1, parts)),
+                     F.least(F.col(column)[0], F.col(f"{column}_x")[0]))
+        return (100 + percent) * common >= percent * (F.col("n") + F.col("n_x"))
+
     # every shared bucket shows a pair of two parts once; the first of them speaks for all
     first = F.element_at(F.array_intersect("buckets", "buckets_x"), 1) == F.col("bucket")
     rest = strangers.join(split, "bucket").where(
         (F.col("part_x") != F.col("part")) & ((F.col("part") == F.col("main")) | (F.col("x") < F.col("rep")))
-        & size_ok(F.col("n"), F.col("n_x"), percent) & alike & enough & first).select(
+        & size_ok(F.col("n"), F.col("n_x"), percent) & enough("coarse", COARSE) & enough("held", PARTS) & alike & first).select(
         F.least("x", "rep").alias("a"), F.greatest("x", "rep").alias("b")).distinct()
     hopeful = materialize(likely(rest.join(tried, ["a", "b"], "left_anti")), "rest-likely")
     more = confirm_by_sets(hopeful, sets, percent)
