@@ -17,7 +17,9 @@ from typing import Iterable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from curio.functions.tokens import shift_pairs
 from curio.operators._util import broadcast_if_small, collect_bounded
+from curio.operators.scan import RunningSum, segmented_scan
 
 
 def checkpoint_schedule(spark: SparkSession, n_rows: int, batch_size: int, grad_accum: int,
@@ -88,7 +90,8 @@ def filter_consumed(df: DataFrame, consumed: DataFrame, id_col: str = "id") -> D
 
 def checkpoint_means(scored: DataFrame, membership: DataFrame, ckpts: DataFrame,
                      metrics: Sequence[str], id_col: str = "id") -> DataFrame:
-    """Mean of every metric per checkpoint over the consumed rows. A row
+    """D1 for any listing ``(ckpt, id)``; ``interval_means`` needs none. Mean of
+    every metric per checkpoint over the consumed rows. A row
     counts once per checkpoint; a checkpoint without rows gives nulls."""
     m = membership.select("ckpt", F.col("id").alias(id_col)).distinct()
     j = m.join(scored.select(id_col, *metrics), id_col)
@@ -98,6 +101,53 @@ def checkpoint_means(scored: DataFrame, membership: DataFrame, ckpts: DataFrame,
         .withColumn("n_rows", F.coalesce("n_rows", F.lit(0)).cast("bigint"))
 
 
+def consumed_intervals(ckpts: DataFrame, batch_size: int, grad_accum: int,
+                       include_prefetched: bool = True) -> DataFrame:
+    """``(ckpt, lo, hi)``: the positions ``lo <= pos < hi`` each checkpoint has consumed."""
+    batches = F.col("ckpt") * grad_accum + (1 if include_prefetched else 0)
+    return ckpts.select(F.col("ckpt").cast("bigint"), F.lit(0).cast("bigint").alias("lo"),
+                        (batches * batch_size).cast("bigint").alias("hi"))
+
+
+def interval_means(scored_positions: DataFrame, intervals: DataFrame, metrics: Sequence[str],
+                   pos_col: str = "pos") -> DataFrame:
+    """``(ckpt, n_rows, *metrics)``, the mean of every metric over the rows in the
+    position intervals ``(ckpt, lo, hi)`` of each checkpoint; a checkpoint may have
+    several, disjoint ones. No row is repeated per checkpoint: the cuts go among
+    the rows, one scan gives the sums of all that stands before each cut, and an
+    interval is the difference of two of them.
+
+    Nulls don't count; a NaN or infinite value makes the means that hold it NaN.
+    A checkpoint without rows has nulls and ``n_rows`` 0, one that has a null in
+    its interval is as if that interval weren't there."""
+    known = intervals.select(F.col("ckpt").cast("bigint").alias("ckpt"), F.col("lo").cast("bigint").alias("lo"),
+                             F.col("hi").cast("bigint").alias("hi"))
+    sums = ["n"] + [f"{v}{k}" for k in range(len(metrics)) for v in ("s", "c", "odd")]
+    whole = lambda c: F.coalesce(c.cast("bigint"), F.lit(0).cast("bigint"))
+    values = []
+    for k, m in enumerate(metrics):
+        v = F.col(f"`{m}`").cast("double")
+        odd = F.isnan(v) | (F.abs(v) == F.lit(float("inf")))
+        values += [F.when(v.isNull() | odd, 0.0).otherwise(v).alias(f"s{k}"), whole(v.isNotNull()).alias(f"c{k}"),
+                   whole(odd).alias(f"odd{k}")]
+    rows = scored_positions.where(F.col(pos_col).isNotNull()).select(
+        F.col(pos_col).cast("bigint").alias("at"), F.lit(1).alias("row"), F.lit(1).cast("bigint").alias("n"), *values)
+    cuts = known.select(F.explode(F.array("lo", "hi")).alias("at")).where("at is not null").distinct()
+    none = [F.lit(0.0 if c.startswith("s") else 0).cast("double" if c.startswith("s") else "bigint").alias(c) for c in sums]
+    both = rows.unionByName(cuts.select("at", F.lit(0).alias("row"), *none))
+    # a cut stands before the rows of its own position
+    before = segmented_scan(both, [], [F.col("at").asc(), F.col("row").asc()],
+                            {f"b_{c}": RunningSum(c) for c in sums}).where("row = 0").select(
+        "at", F.struct(*[F.col(f"b_{c}").alias(c) for c in sums]).alias("sums"))
+    ends = known.join(before.select(F.col("at").alias("lo"), F.col("sums").alias("a")), "lo", "left").join(
+        before.select(F.col("at").alias("hi"), F.col("sums").alias("z")), "hi", "left")
+    part = lambda c: F.sum(F.when(F.col("hi") > F.col("lo"), F.col(f"z.{c}") - F.col(f"a.{c}")))
+    per = ends.groupBy("ckpt").agg(*[part(c).alias(c) for c in sums])
+    out = [F.when(F.col(f"odd{k}") > 0, F.lit(float("nan"))).when(
+        F.col(f"c{k}") > 0, F.col(f"s{k}") / F.col(f"c{k}")).alias(m) for k, m in enumerate(metrics)]
+    return per.select("ckpt", F.coalesce("n", F.lit(0)).cast("bigint").alias("n_rows"), *out)
+
+
 MAX_LITERAL_BLOCKS = 100_000
 
 
@@ -170,12 +220,6 @@ def cumulative_checkpoint_means(scored_positions: DataFrame, ckpts: DataFrame,
     return run.select(*out)
 
 
-def shift_pairs(tokens: Column) -> tuple[Column, Column]:
-    """``x = t[:-1]``, ``y = t[1:]`` (empty for fewer than 2 tokens)."""
-    n = F.greatest(F.size(tokens) - 1, F.lit(0))
-    return F.slice(tokens, 1, n), F.slice(tokens, 2, n)
-
-
 def collect_batches(rows: DataFrame, batch_col: str = "batch_no", pos_col: str = "pos",
                     fields: Iterable[str] = ()) -> DataFrame:
     """The rows of each batch stacked in position order. A group holds at

@@ -53,13 +53,31 @@ VOCAB_SCHEMA = "token_id int, piece string, score float, n_bytes int"
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
-def word_frequencies(df: DataFrame, text: str = "text") -> DataFrame:
+def word_frequencies(df: DataFrame, text: str = "text", partitions: int | None = None) -> DataFrame:
     """``(word, n)`` over whitespace words (a frequent word is combined
-    map-side before the shuffle)."""
+    map-side before the shuffle). ``partitions``: spread the texts over that many
+    tasks first, for an input that the scan can't split."""
+    if partitions is not None:
+        df = df.select(text).repartition(partitions)
     return df.select(F.explode(words(text)).alias("word")).groupBy("word").agg(
         F.count(F.lit(1)).alias("n"))
 
 
+def vocab_stats(tokens: DataFrame, vocab: DataFrame, ids_col: str = "tokens") -> DataFrame:
+    """``(token_id, piece, n_bytes, n_occurrences, vocab_size, max_piece_bytes)`` of every
+    piece of ``vocab`` (``token_id``, ``piece``); a piece that no row of ``tokens``
+    holds occurs 0 times, ids that are no piece are left out. Bytes are those of the
+    shown piece in UTF-8 (the space mark counts as one space)."""
+    n_bytes = F.octet_length(F.replace("piece", F.lit(SPACE_MARK), F.lit(" "))).cast("bigint")
+    pieces = vocab.select("token_id", "piece", n_bytes.alias("n_bytes"))
+    # one row: the size of the vocabulary and its longest piece
+    size, longest = pieces.agg(F.count(F.lit(1)), F.max("n_bytes")).first()
+    used = tokens.select(F.explode(ids_col).alias("token_id")).groupBy("token_id").agg(F.count(F.lit(1)).alias("n"))
+    return pieces.join(used, "token_id", "left").select(
+        "token_id", "piece", "n_bytes", F.coalesce("n", F.lit(0)).cast("bigint").alias("n_occurrences"),
+        F.lit(size).cast("bigint").alias("vocab_size"), F.lit(longest).cast("bigint").alias("max_piece_bytes"))
+
+
 _PAIR = 32                    # bits of a pair's right symbol
 
 

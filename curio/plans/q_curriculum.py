@@ -5,12 +5,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from curio.functions.metrics import score_texts
 from curio.operators import curves as cv, lineage as ln, order as od
+from curio.operators.flows import evaluate_checkpoints
 from curio.operators.positions import asc, desc, assign_positions
 from curio.plans import sql as S
 from curio.plans.flagship import (BATCH_SIZE as B, EVAL_INTERVAL as STEP, FLAGSHIP_METRICS,
-                                  GRAD_ACCUM as G, curriculum_means, flagship, scored_documents)
+                                  GRAD_ACCUM as G, curriculum_means, flagship, ordered_train,
+                                  scored_documents)
 from curio.plans.registry import query
 from curio.sources import table
 
@@ -157,11 +158,8 @@ FROM ck LEFT JOIN mem ON mem.ckpt = ck.ckpt LEFT JOIN sc ON sc.id = mem.id GROUP
 
 @query("checkpoint_means", _MEANS_SQL)
 def q_checkpoint_means(spark, sf):
-    s = scored(spark, sf)
-    p = _identity_positions(spark, sf)
-    ck = _ckpts(spark, p.count())
-    mem = ln.checkpoint_membership(p, ck, B, G, STEP)
-    return ln.checkpoint_means(s, mem, ck, list(M))
+    p = assign_positions(scored(spark, sf).select("id", *M), [], "id", "pos")
+    return ln.interval_means(p, ln.consumed_intervals(_ckpts(spark, p.count()), B, G), list(M))
 
 
 @query("cumulative_checkpoint_means", _MEANS_SQL)
@@ -247,12 +245,10 @@ def _input_output_tables(spark, sf):
     """Input side: cumulative means of the consumed documents in ascending
     grade order. Output side: the assistant replies of ``conversations``
     scored per checkpoint (the k-th reply stands for checkpoint k*STEP)."""
-    inp = curriculum_means(spark, scored_documents(spark, sf), asc(FK)).drop("n_rows")
-    conv = table(spark, sf, "conversations").filter(F.col("role") == "assistant")
-    outs = score_texts(conv.select("conv_id", "turn", "text"), "text", metrics=M)
-    outs = outs.withColumn("ckpt", ((F.floor(F.col("turn") / 2) + 1) * STEP).cast("bigint"))
-    out = outs.groupBy("ckpt").agg(*[F.avg(m).alias(m) for m in M])
-    return {"input": inp, "output": out}
+    ordered, n = ordered_train(scored_documents(spark, sf), asc(FK))
+    conv = table(spark, sf, "conversations").filter(F.col("role") == "assistant").select(
+        ((F.floor(F.col("turn") / 2) + 1) * STEP).cast("bigint").alias("ckpt"), "text")
+    return evaluate_checkpoints(conv, ordered, _ckpts(spark, n), M, B, G, STEP)
 
 
 _OUT_SQL = f"""

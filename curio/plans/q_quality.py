@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from curio.functions import tokens as tk
 from curio.functions.text import words
 from curio.operators import quality as ql
+from curio.operators.order import assign_dense_ids
 from curio.operators.tokenizer import (SPACE_MARK, decode_tokens, encode_texts, train_bpe_vocab,
-                                      word_frequencies)
+                                      vocab_stats, word_frequencies)
 from curio.plans import sql as S
 from curio.plans.registry import query
 from curio.sources import table
@@ -153,10 +154,25 @@ def q_vocab_stats(spark, sf):
         F.count(F.lit(1)).alias("n_occurrences"))
 
 
+@query("vocab_stats_pieces", f"""
+WITH w AS (SELECT DISTINCT u.w AS piece FROM documents, LATERAL (SELECT unnest({S.words('text')}) AS w) u),
+u AS (SELECT u.w AS piece, count(*) AS n FROM benchmark, LATERAL (SELECT unnest({S.words('text')}) AS w) u GROUP BY 1),
+p AS (SELECT piece, strlen(replace(piece, '{SPACE_MARK}', ' ')) AS n_bytes FROM w)
+SELECT p.piece, p.n_bytes, coalesce(u.n, 0) AS n_occurrences, (SELECT count(*) FROM p) AS vocab_size,
+       (SELECT max(n_bytes) FROM p) AS max_piece_bytes FROM p LEFT JOIN u ON u.piece = p.piece""")
+def q_vocab_stats_pieces(spark, sf):
+    """The words of ``documents`` as a vocabulary, and how often each occurs in ``benchmark``."""
+    w = word_frequencies(table(spark, sf, "documents")).select(F.col("word").alias("piece"))
+    vocab = assign_dense_ids(w, [], "piece", "token_id")
+    used = table(spark, sf, "benchmark").select(F.explode(words("text")).alias("piece"))
+    tokens = used.join(vocab, "piece").select(F.array("token_id").alias("tokens"))
+    return vocab_stats(tokens, vocab).drop("token_id")
+
+
 @query("word_frequencies", f"""
 SELECT u.w AS word, count(*) AS n FROM documents, LATERAL (SELECT unnest({S.words('text')}) AS w) u GROUP BY 1""")
 def q_word_frequencies(spark, sf):
-    return word_frequencies(table(spark, sf, "documents"), "text")
+    return word_frequencies(table(spark, sf, "documents"), "text", spark.sparkContext.defaultParallelism)
 
 
 BPE_MERGES = 8000

@@ -88,9 +88,14 @@ def read_run(spark: SparkSession, path: str, run: str, run_col: str = "run") ->
     return spark.read.parquet(path).filter(F.col(run_col) == F.lit(run))
 
 
-def export_text_corpus(df: DataFrame, path: str, text: str = "text") -> None:
+def export_text_corpus(df: DataFrame, path: str, text: str = "text",
+                       max_shards: int | None = None, shard: str = "shard") -> None:
     """A5: stripped texts, one per line (embedded newlines make more lines,
-    as the vocabulary trainer expects)."""
+    as the vocabulary trainer expects). With ``max_shards`` the texts of that many
+    shards, the first in the order of their names."""
+    if max_shards is not None:
+        first = df.select(shard).where(F.col(shard).isNotNull()).distinct().orderBy(shard).limit(max_shards)
+        df = df.join(first, shard, "left_semi")
     df.select(strip(text).alias("value")).write.mode("overwrite").text(path)
 
 
