@@ -6,6 +6,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from curio.functions.timeutil import utc_instant
 from curio.plans import sql as S
 from curio.plans.q_trainlog import _EV
 from curio.plans.registry import query
@@ -75,3 +76,49 @@ def q_stream_ema(spark, sf):
     sink = scratch_path(spark, "ema-stream")
     st.run_available_now(e, sink, scratch_path(spark, "ckpt-ema"))
     return spark.read.parquet(sink)
+
+
+DELAY = "1 day"
+
+
+def _runs_of_arrivals(spark, sf, name, columns, build):
+    """The events in order of arrival, a hash of their id deciding by how many
+    hours (under a day) each comes late, in ``N_FILES`` appends; after each the same
+    job runs on what is new, as a scheduled job does. ``build``: stream -> stream."""
+    ev = table(spark, sf, "events").select("event_id", "ts", *columns)
+    hours = F.pmod(F.hash("event_id"), F.lit(24))
+    arrival = F.unix_micros(utc_instant(F.col("ts"), ev.schema["ts"].dataType)) + hours * 3_600_000_000
+    ev = ev.withColumn("arrival", arrival)
+    src, sink, state = (scratch_path(spark, f"{name}-{x}") for x in ("src", "sink", "state"))
+    cuts = [None] + sorted(set(ev.approxQuantile("arrival", [i / N_FILES for i in range(1, N_FILES)], 0.0))) + [None]
+    for lo, hi in zip(cuts[:-1], cuts[1:]):
+        part = ev if lo is None else ev.where(F.col("arrival") > lo)
+        part = part if hi is None else part.where(F.col("arrival") <= hi)
+        part.write.mode("append").parquet(src)
+        st.run_available_now(build(st.read_stream(spark, src, ev.schema)), sink, state)
+    return spark.read.parquet(sink)
+
+
+@query("windowed_metrics_append", """
+SELECT CAST(epoch(time_bucket(INTERVAL 1 DAY, ts)) AS BIGINT) AS window_start, event_type,
+       round(avg(value), 6) AS mean_value, count(*) AS n FROM events
+WHERE time_bucket(INTERVAL 1 DAY, ts) + INTERVAL 1 DAY <= (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 1 DAY FROM events)
+GROUP BY 1, 2""")
+def q_windowed_metrics_append(spark, sf):
+    """Append mode over rows out of order: each window once, when the watermark
+    has passed its end; the windows it hasn't passed are still state."""
+    out = _runs_of_arrivals(spark, sf, "late-windows", ("event_type", "value"), lambda s: st.windowed_metrics(
+        s, "ts", ["event_type"], "value", "1 day", watermark=DELAY))
+    return out.select(F.unix_seconds("window_start").alias("window_start"), "event_type", "mean_value", "n")
+
+
+@query("stream_ema_late", f"""WITH RECURSIVE {_EV},
+r AS (SELECT run, iter, loss AS e FROM ev WHERE iter = 5
+      UNION ALL
+      SELECT ev.run, ev.iter, 0.9 * r.e + 0.1 * ev.loss FROM r JOIN ev ON ev.run = r.run AND ev.iter = r.iter + 1)
+SELECT ev.run, ev.event_id, ev.iter, round(r.e, 6) AS ema FROM ev LEFT JOIN r ON ev.run = r.run AND ev.iter = r.iter
+WHERE ev.ts <= (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 1 DAY FROM events)""")
+def q_stream_ema_late(spark, sf):
+    """The mean over rows that come out of order, up to the last watermark."""
+    return _runs_of_arrivals(spark, sf, "late-log", (F.col("user_id").alias("run"), "value"), lambda s: st.stream_ema(
+        s, "run", "ts", "event_id", "value", delay=DELAY)).select("run", "event_id", "iter", "ema")

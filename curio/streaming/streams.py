@@ -7,7 +7,8 @@
   watermark are dropped and, in append mode, a window is emitted once it is
   final.
 * ``stream_ema`` (J3): the training-loop EMA carried across micro-batches in
-  per-run state (``applyInPandasWithState``): state is two numbers per run.
+  per-run state (``applyInPandasWithState``): two numbers per run and, where rows may
+  come out of order, those that the watermark hasn't passed.
 
 ``run_available_now`` drives a query over everything present in the source
 (``trigger(availableNow=True)``) to a Parquet sink with its checkpoint, which
@@ -56,28 +57,72 @@ def windowed_metrics(stream: DataFrame, ts: str, keys: Sequence[str], value: str
         "mean_value", "n")
 
 
+def _steps(values, it: int, e: float | None, start: int, decay: float, weight: float):
+    """``(iters, emas, it, e)`` after the values of a run in their order."""
+    iters, emas = [], []
+    for x in values:
+        if it >= start and x == x:
+            e = x if e is None else decay * e + weight * x
+        iters.append(it)
+        emas.append(e)
+        it += 1
+    return iters, emas, it, e
+
+
+def _held_ema(stream: DataFrame, run: str, ts: str, id_col: str, value: str, delay: str,
+              decay: float, start: int, weight: float) -> DataFrame:
+    """Rows wait in the run's state until the watermark has passed their time;
+    from then on none can come before them (an earlier row would be late, and Spark
+    drops it), so their place in the run is final."""
+    kind = {c: stream.schema[c].dataType.simpleString() for c in (run, id_col)}
+    rows = stream.select(F.col(run), F.col(id_col), F.col(value).cast("double").alias("__x"),
+                         utc_instant(F.col(ts), stream.schema[ts].dataType).alias("__ts")) \
+        .where("__ts is not null").withColumn("__at", F.unix_micros("__ts")).withWatermark("__ts", delay)
+
+    def update(key, batches: Iterator[pd.DataFrame], state: GroupState):
+        it, e, started, at, ids, xs = state.get if state.exists else (0, 0.0, False, [], [], [])
+        held = pd.DataFrame({"at": pd.Series(at, dtype="int64"), "id": pd.Series(ids, dtype=object), "x": pd.Series(xs, dtype="float64")})
+        if not state.hasTimedOut:
+            new = [pd.DataFrame({"at": b["__at"], "id": b[id_col].astype(object), "x": b["__x"].astype("float64")}) for b in batches]
+            held = pd.concat([held, *new], ignore_index=True)
+        held = held.sort_values(["at", "id"], kind="stable")
+        passed = state.getCurrentWatermarkMs()
+        ready = (held["at"] <= passed * 1000) & (passed > 0)
+        now, later = held[ready], held[~ready]
+        iters, emas, it, e = _steps(now["x"].tolist(), it, e if started else None, start, decay, weight)
+        state.update((it, 0.0 if e is None else e, e is not None, later["at"].tolist(), later["id"].tolist(), later["x"].tolist()))
+        if len(later):
+            # fires once the watermark is beyond it: as soon as the first row may go
+            state.setTimeoutTimestamp(max(-(-int(later["at"].iloc[0]) // 1000) - 1, passed, 1))
+        yield pd.DataFrame({run: [key[0]] * len(iters), id_col: now["id"].tolist(), "iter": iters, "ema": emas})
+
+    return rows.groupBy(run).applyInPandasWithState(
+        update, f"`{run}` {kind[run]}, `{id_col}` {kind[id_col]}, iter long, ema double",
+        f"iter long, ema double, started boolean, at array<long>, ids array<{kind[id_col]}>, xs array<double>",
+        "append", GroupStateTimeout.EventTimeTimeout).select(run, "iter", "ema", id_col)
+
+
 def stream_ema(stream: DataFrame, run: str, ts: str, id_col: str, value: str,
                decay: float = EMA_DECAY, start: int = EMA_START,
-               weight: float = EMA_WEIGHT) -> DataFrame:
+               weight: float = EMA_WEIGHT, delay: str | None = None) -> DataFrame:
     """``(run, iter, ema)`` per incoming row; ``iter`` counts the run's rows
-    in (ts, id) order across micro-batches. Rows are expected in order across
-    batches (a training log is appended in order)."""
+    in (ts, id) order across micro-batches. A null or NaN value leaves the mean as it is.
+
+    With ``delay`` rows may come out of order: a row is given out, with its
+    ``id_col``, once the watermark (the latest time seen, less ``delay``) has passed it, and rows
+    that come later than that are dropped. What the watermark hasn't passed stays
+    in the run's state, which holds two numbers and the rows of the last ``delay``. Rows
+    without a time are left out. Without ``delay`` rows are expected in order across
+    batches (a training log is appended in order) and come out at once."""
+    if delay is not None:
+        return _held_ema(stream, run, ts, id_col, value, delay, decay, start, weight)
     rtype = stream.schema[run].dataType.simpleString()
 
     def update(key, batches: Iterator[pd.DataFrame], state: GroupState):
         pdf = pd.concat(list(batches), ignore_index=True).sort_values([ts, id_col])
         it, e, started = state.get if state.exists else (0, 0.0, False)
-        iters, emas = [], []
-        for x in pdf[value].to_numpy():
-            if it >= start:
-                e = x if not started else decay * e + weight * x
-                started = True
-                emas.append(e)
-            else:
-                emas.append(None)
-            iters.append(it)
-            it += 1
-        state.update((it, float(e), bool(started)))
+        iters, emas, it, e = _steps(pdf[value].astype("float64").tolist(), it, e if started else None, start, decay, weight)
+        state.update((it, 0.0 if e is None else e, e is not None))
         yield pd.DataFrame({run: [key[0]] * len(iters), "iter": iters, "ema": emas})
 
     return stream.groupBy(run).applyInPandasWithState(

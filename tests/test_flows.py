@@ -153,3 +153,25 @@ def test_bpe_several_pairs_per_round_round_trips(spark):
     assert len(merged) >= 6
     dec = {r["doc_id"]: r["text"] for r in decode_tokens(encode_texts(spark, docs, vocab), vocab).collect()}
     assert dec == {0: "low lower lowest newer wider", 1: "new newest low"}
+
+
+def test_stream_ema_holds_rows_until_the_watermark(spark):
+    t0 = dt.datetime(2024, 1, 1)
+    at = lambda m: t0 + dt.timedelta(minutes=m)
+    schema = "ts timestamp, run string, id long, v double"
+    # (minute, id, value): 3 and 5 come a batch late, 6 ties with 7, 1 comes too late, 9 has no time
+    batches = [[(at(2), "a", 2, 2.0), (at(8), "a", 8, None), (at(6), "a", 7, 7.0), (at(1), "b", 1, 1.0), (None, "a", 9, 9.0)],
+               [(at(3), "a", 3, 3.0), (at(6), "a", 6, 6.0), (at(5), "a", 5, 5.0), (at(40), "a", 40, 4.0)],
+               [(at(4), "a", 4, 100.0), (at(90), "b", 90, 1.0)]]
+    src, sink, ck = (scratch_path(spark, f"ema-{x}") for x in ("src", "sink", "ck"))
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
+        e = st.stream_ema(st.read_stream(spark, src, spark.createDataFrame([], schema).schema), "run", "ts", "id", "v", start=1, delay="10 minutes")
+        st.run_available_now(e, sink, ck)
+    got = sorted((r["run"], r["iter"], r["id"], r["ema"]) for r in spark.read.parquet(sink).collect())
+    exp, e = [], None
+    for i, (k, v) in enumerate([(2, 2.0), (3, 3.0), (5, 5.0), (6, 6.0), (7, 7.0), (8, None), (40, 4.0)]):
+        if i >= 1 and v is not None:
+            e = v if e is None else 0.9 * e + 0.1 * v
+        exp.append(("a", i, k, None if e is None else pytest.approx(e)))
+    assert got == exp + [("b", 0, 1, None)]          # b's row of minute 90 is still held
