@@ -15,36 +15,25 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from curio.functions.text import strip
+from curio.sources.json_ranges import RANGE_BYTES, read_elements
 
-STORY_ARRAY = T.ArrayType(T.StructType([T.StructField("story", T.StringType())]))
-
-
-def list_files(spark: SparkSession, directory: str, glob: str) -> list[str]:
-    """Sorted file paths under ``directory`` matching ``glob`` (names only:
-    the binary-file source does not read contents when only the path is
-    selected)."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", glob) \
-        .option("recursiveFileLookup", "true").load(directory).select("path")
-    return sorted(r["path"] for r in files.collect())
+STORY = T.StructType([T.StructField("story", T.StringType())])
 
 
 def read_json_shards(spark: SparkSession, directory: str, max_shards: int | None = None,
-                     glob: str = "*.json") -> DataFrame:
+                     glob: str = "*.json", range_bytes: int = RANGE_BYTES) -> DataFrame:
     """A1: ``(shard, pos, story)`` from files that each hold one JSON array of
-    objects; shards in file-name order, ``pos`` = position in the array. One
-    file is one row before the explode, so a shard must fit one task (shards
-    are bounded files; many shards spread over the cluster). A broken shard fails the
-    read instead of vanishing."""
-    reader = spark.read.option("wholetext", "true").option("pathGlobFilter", glob) \
-        .option("recursiveFileLookup", "true")
-    raw = reader.text(directory).select("value", F.col("_metadata.file_path").alias("path"))
+    objects; ``pos`` = position in the array. Files are read by ranges of
+    ``range_bytes``, so many tasks share a large shard (see ``json_ranges``); with
+    ``max_shards`` only the first in file-name order. A broken shard fails the
+    read instead of vanishing; an object without a story gives null."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", glob) \
+        .option("recursiveFileLookup", "true").load(directory).select("path", "length")
     if max_shards is not None:
-        keep = list_files(spark, directory, glob)[:max_shards]
-        raw = raw.filter(F.col("path").isin(keep))
-    parsed = raw.select("path", F.from_json("value", STORY_ARRAY, {"mode": "FAILFAST"}).alias("arr"))
-    return parsed.select(F.col("path").alias("shard"),
-                         F.posexplode("arr").alias("pos", "obj")) \
-        .select("shard", F.col("pos").cast("int").alias("pos"), F.col("obj.story").alias("story"))
+        files = files.orderBy("path").limit(max_shards)
+    obj = F.from_json("element", STORY, {"mode": "FAILFAST"})
+    return read_elements(spark, files, range_bytes).select(
+        F.col("path").alias("shard"), F.col("pos").cast("int").alias("pos"), obj["story"].alias("story"))
 
 
 def write_json_shards(df: DataFrame, path: str, shard_col: str, order_col: str,
