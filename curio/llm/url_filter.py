@@ -6,8 +6,9 @@ take the verdict of their aliases. Aliases are urls
 
 * that the usual redirects join: scheme, a leading ``www.`` or ``m.``, the default
   port, fragment, tracking parameters, a trailing slash (``redirect_key``), and
-* that a page joins to its own by ``<link rel=canonical>`` or a meta refresh; these
-  edges between keys go through distributed connected components.
+* that a page joins to its own by ``<link rel=canonical>`` or a meta refresh, relative
+  targets and ``&amp;`` resolved; these edges between keys go through distributed
+  connected components.
 
 Within a class of aliases an explicit allow comes before a block: a url without a
 rule is allowed if some alias is explicitly allowed, else blocked if some alias is
@@ -33,6 +34,7 @@ TRACKING = r"[?&](?:utm_[a-z]+|ref|gclid|fbclid)=[^&#]*"
 CANONICAL = [r"""(?is)<link\b[^>]*\brel\s*=\s*["']?canonical\b[^>]*?\bhref\s*=\s*["']?([^"'\s>]+)""",
              r"""(?is)<link\b[^>]*\bhref\s*=\s*["']?([^"'\s>]+)[^>]*\brel\s*=\s*["']?canonical\b"""]
 REFRESH = r"""(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["']?refresh\b[^>]*?\burl\s*=\s*["']?([^"'\s>]+)"""
+AMPERSAND = r"(?i)&(?:amp|#0*38|#x0*26);"
 
 Rules = list[tuple[str, str, str]]
 
@@ -61,20 +63,39 @@ def redirect_key(url: Column) -> Column:
     return F.when(F.instr(url, "://") > 0, F.concat(host, path, query))
 
 
+def _without_dots(path: Column) -> Column:
+    """A path that begins with a slash, its ``.`` and ``..`` segments resolved."""
+    parts = F.split(path, "/")
+    up = lambda a: F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(1)))
+    walked = F.aggregate(F.slice(parts, 2, F.size(parts)), F.array(F.lit("")), lambda a, s: F.when(s == ".", a).when(
+        s == "..", up(a)).otherwise(F.concat(a, F.array(s))))
+    end = F.when(path.rlike(r"/\.\.?$"), F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
+    return F.when(F.instr(path, "/.") > 0, F.array_join(F.concat(walked, end), "/")).otherwise(path)
+
+
 def _absolute(link: Column, url: Column) -> Column:
-    scheme = F.regexp_extract(url, r"^([^:/?#]*):", 1)
-    return F.when(F.instr(link, "://") > 0, link).when(link.startswith("//"), F.concat(scheme, F.lit(":"), link)).when(
-        link.startswith("/"), F.concat(F.regexp_extract(url, r"^([^/?#]*://[^/?#]*)", 1), link))
+    """A link of the page ``url`` as a whole url; null for other schemes (mail, scripts)."""
+    bare = F.regexp_replace(link, r"(?s)#.*$", "")
+    path, query = F.regexp_extract(bare, r"(?s)^([^?]*)", 1), F.regexp_extract(bare, r"(?s)(\?.*)$", 1)
+    folder = F.regexp_replace(path_of(url), r"[^/]*$", "")
+    folder = F.when(folder == "", "/").otherwise(folder)
+    whole = F.when(path == "", path_of(url)).otherwise(
+        _without_dots(F.when(path.startswith("/"), path).otherwise(F.concat(folder, path))))
+    return F.when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*://"), link).when(
+        link.startswith("//"), F.concat(F.regexp_extract(url, r"^([^:/?#]*):", 1), F.lit(":"), link)).when(
+        link.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), F.lit(None).cast("string")).when(bare == "", url).otherwise(
+        F.concat(F.regexp_extract(url, r"^([^/?#]*://[^/?#]*)", 1), whole, query))
 
 
 def alias_links(pages: DataFrame) -> DataFrame:
-    """``(url, target)`` of canonical links and meta refreshes."""
+    """``(url, target)`` of all canonical links and meta refreshes of the pages."""
     html = F.coalesce(F.col("html"), F.lit(""))
     # plain searches first: most pages hold neither
     low = html.rlike(r"(?i)\bcanonical\b|http-equiv")
-    found = F.array(*[F.regexp_extract(html, p, 1) for p in (*CANONICAL, REFRESH)])
+    found = F.array_distinct(F.concat(*[F.regexp_extract_all(html, F.lit(p), 1) for p in (*CANONICAL, REFRESH)]))
     links = pages.where(low).select("url", F.explode(found).alias("link")).where("link <> ''")
-    return links.select("url", _absolute(F.col("link"), F.col("url")).alias("target")).where("target is not null and url is not null")
+    target = _absolute(F.regexp_replace("link", AMPERSAND, "&"), F.col("url"))
+    return links.select("url", target.alias("target")).where("target is not null and url is not null")
 
 
 def judge(pages: DataFrame, rules: Rules) -> DataFrame:

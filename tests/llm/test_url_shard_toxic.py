@@ -1,3 +1,7 @@
+import html as html_module
+import random
+import re
+import urllib.parse
 import zlib
 
 from curio.llm import sharding, toxicity, url_filter
@@ -40,6 +44,53 @@ def test_aliases(spark):
     assert url_filter.judge(spark.createDataFrame([], "page_id long, url string, html string"), URL_RULES).count() == 0
 
 
+def key_of(url):
+    host, path, *_ = rule_of(url)
+    if not url or "://" not in url:
+        return None
+    host = re.sub(r"^(?:www|m)\.", "", re.sub(r":(?:80|443)$", "", host))
+    query = re.search(r"://[^?#]*(\?[^#]*)", url)
+    return host + path.rstrip("/") + re.sub(r"^&", "?", re.sub(url_filter.TRACKING, "", query.group(1) if query else ""))
+
+
+def test_aliases_against_brute_force(spark):
+    rng = random.Random(11)
+    hosts = ["@a.org", "www.@a.org", "@b.net", "example.com", "www.example.com", "m.@c.io:443", "@d.io", "@d.io"]
+    paths = ["", "/", "/es/1", "/fr/x/", "/en/p.html", "/k/l/m", "/k/l/n?id=3&b=4", "/k?utm_source=z&id=1", "/q#f"]
+    links = ["n?id=3&amp;b=4", "?id=1", "../x", "./m", "../../../es/1", "/k/./l/../l/m", "//@b.net/es/1", "m", "#top", "mailto:x-y.z", "HTTPS://@d.io/q",
+             "https://@b.net/fr/x", "/en/p.html", "..", "x/../m", "?id=3&#38;b=4", "p?to=http://@b.net/es/1"]
+    forms = ['<link rel="canonical" href="%s">', "<LINK href='%s' rel=canonical>", '<meta http-equiv="refresh" content="0; url=%s">']
+    pages = []
+    for i in range(400):                    # four pages to a group of hosts, so that verdicts differ between classes
+        html = " ".join(rng.choice(forms) % rng.choice(links) for _ in range(rng.choice([0, 0, 0, 1, 2])))
+        url = rng.choice(["http", "https"]) + "://" + rng.choice(hosts) + rng.choice(paths) + rng.choice(["", "", f"&v={i}"])
+        pages.append((i, *(x.replace("@", f"g{i // 4}-") for x in (url, html))))
+    root, said = {}, {}
+
+    def find(k):
+        while root.setdefault(k, k) != k:
+            k = root[k]
+        return k
+
+    targets = []
+    for _, url, page in pages:
+        for m in re.finditer(r"""(?:href=|url=)["']?([^"'\s>]+)""", page):
+            target = urllib.parse.urljoin(url, html_module.unescape(m.group(1)))
+            targets.append(target)
+            if key_of(target) is not None:
+                root[find(key_of(url))] = find(key_of(target))
+    for url in [u for _, u, _ in pages] + targets:
+        if key_of(url) is not None and rule_of(url)[3]:
+            said.setdefault(find(key_of(url)), set()).add(rule_of(url)[3])
+    exp = {}
+    for i, url, _ in pages:
+        of_class = said.get(find(key_of(url)), set())
+        exp[i] = rule_of(url)[3] or ("block" if of_class == {"block"} else "allow")
+    got = {r.page_id: r.verdict for r in url_filter.judge(spark.createDataFrame(pages, "page_id long, url string, html string"), URL_RULES).collect()}
+    assert got == exp
+    assert any(exp[i] == "block" and rule_of(url)[3] is None for i, url, _ in pages)
+
+
 def shards(rows, n):
     rows = sorted(rows)
     total, before, out = sum(r[2] for r in rows), 0, []
