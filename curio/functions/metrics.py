@@ -30,6 +30,10 @@ METRIC_COLUMNS = (
 )
 # ---------------------------------------------------------------------------
 
+SENTIMENT_COLUMNS = ("subjectivity_score", "sentiment_score")
+# words array Column -> array<int> Column of their syllables
+SyllableCounter = Callable[[Column], Column]
+
 # name -> builder(text Column, words Column) -> Column
 _EXTRA_METRICS: dict[str, Callable[[Column, Column], Column]] = {}
 
@@ -55,10 +59,20 @@ def score_texts(df: DataFrame, text: str = "text", *,
                 terms: Iterable[str] = DEFAULT_FLAGGED_TERMS,
                 lexicon=None, easy_words: Iterable[str] = (),
                 round_outputs: bool = False,
-                metrics: Iterable[str] | None = None, balance: bool = True) -> DataFrame:
+                metrics: Iterable[str] | None = None, balance: bool = True,
+                key: str | None = None, syllables: SyllableCounter | None = None) -> DataFrame:
     """Add the metric columns to ``df``. A metric that cannot be computed for a
     row (null text, no words) is 0.0, as in the reference scorer. ``balance``
-    spreads a small input over all task slots (no-op on large inputs)."""
+    spreads a small input over all task slots (no-op on large inputs).
+
+    ``lexicon`` is a dict, looked up inside the row, or a table ``(word, polarity,
+    subjectivity)`` of any size, joined on the words; ``key`` then names a unique
+    column of ``df`` by which the means come back. ``syllables`` counts the syllables of
+    an array of words (``functions.hyphenation.syllable_counter``) in place of the vowel groups."""
+    if isinstance(lexicon, DataFrame):
+        return _scored_by_table(df, text, lexicon, key, metrics, reference=reference, terms=terms,
+                                easy_words=easy_words, round_outputs=round_outputs, balance=balance,
+                                syllables=syllables)
     if balance and not df.isStreaming:
         from curio.operators._util import spread_small_input
         df = spread_small_input(df)
@@ -82,7 +96,10 @@ def score_texts(df: DataFrame, text: str = "text", *,
         stage["__h"] = bleu.reference_hits(w, reference)
     if {"flesch_kincaid_grade", "gunning_fog"} & set(wanted):
         stage["__s"] = rd.sentence_count(t)
-        stage["__mk"] = rd.syllable_marks_joined(F.col("__lj"))
+        if syllables is None:
+            stage["__mk"] = rd.syllable_marks_joined(F.col("__lj"))
+        else:
+            stage["__sy"] = syllables(split_joined(F.col("__lj")))
     if "vocabulary_diversity" in wanted:
         stage["__d"] = F.size(F.array_distinct(w))
     if "profanity_check" in wanted:
@@ -97,11 +114,13 @@ def score_texts(df: DataFrame, text: str = "text", *,
     if "bleu_score" in wanted:
         st4["__m"] = bleu.match_counts(w, reference, F.col("__h"))
     if {"flesch_kincaid_grade", "gunning_fog"} & set(wanted):
-        st4["__syl"] = rd.syllable_total_joined(F.col("__mk"))
+        st4["__syl"] = rd.syllable_total_joined(F.col("__mk")) if syllables is None \
+            else rd.syllable_sum(F.col("__sy"))
     if "gunning_fog" in wanted:
         easy = sorted({e.lower() for e in easy_words})
         st4["__hard"] = rd.hard_word_count(split_joined(F.col("__lj")),
-                                           rd.syllable_array(F.col("__mk")), easy)
+                                           rd.syllable_array(F.col("__mk")) if syllables is None
+                                           else F.col("__sy"), easy)
     s2 = s3.withColumns(st4) if st4 else s3
 
     n = F.col("__n")
@@ -131,3 +150,19 @@ def score_texts(df: DataFrame, text: str = "text", *,
     out = {k: F.coalesce(v.cast("double"), F.lit(0.0)) for k, v in out.items()}
     tmp = [c for c in s2.columns if c.startswith("__")]
     return s2.withColumns(out).drop(*tmp)
+
+
+def _scored_by_table(df: DataFrame, text: str, lexicon: DataFrame, key: str | None,
+                     metrics: Iterable[str] | None, **options) -> DataFrame:
+    """``score_texts`` with the sentiment columns from a joined lexicon."""
+    from curio.operators.lexicon import lexicon_sentiment
+    wanted = tuple(metrics) if metrics is not None else registered_metrics()
+    joined = [c for c in wanted if c in SENTIMENT_COLUMNS]
+    scored = score_texts(df, text, metrics=[c for c in wanted if c not in joined], **options)
+    if not joined:
+        return scored
+    if key is None:
+        raise ValueError("a lexicon table needs key, a unique column of the texts")
+    means = lexicon_sentiment(df, lexicon, key, text).select(F.col(key).alias("__key"), *joined)
+    kept = [c for c in df.columns if c not in wanted]
+    return scored.drop(*joined).join(means, F.col(key).eqNullSafe(F.col("__key")), "left").select(*kept, *wanted)

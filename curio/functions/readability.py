@@ -1,7 +1,7 @@
 """Readability grades as native column expressions.
 
-Syllables come from a vowel-group rule instead of a hyphenation dictionary
-(which is not available offline): on the lower-cased word with non-letters
+Syllables come from a vowel-group rule, or in ``score_texts`` from a caller's
+hyphenation patterns (``functions.hyphenation``). The rule: on the lower-cased word with non-letters
 removed, ``syl = max(1, #vowel groups - silent final e)``; a word without
 letters has 0 syllables. Sentences are the chunks between runs of ``.!?``
 that hold more than two words, at least one per text.
@@ -62,6 +62,11 @@ def syllable_array(marks: Column) -> Column:
     return F.transform(split_joined(marks), F.length)
 
 
+def syllable_sum(counts: Column) -> Column:
+    """Total of an array of syllable counts."""
+    return F.aggregate(counts, F.lit(0).cast("bigint"), lambda a, n: a + n)
+
+
 def _syllables_of(text) -> tuple[Column, Column]:
     lj = letters_joined(joined_words(text))
     return split_joined(lj), syllable_marks_joined(lj)

@@ -1,9 +1,8 @@
 """Lexicon sentiment (polarity, subjectivity) as per-row expressions.
 
-The lexicon is a caller-supplied table ``(word, polarity, subjectivity)``. When
-it is small (checked against ``max_entries``) it is turned into a literal map
-and looked up inside the row: no explode, no join, no shuffle. Larger lexicons
-go through ``curio.operators.lexicon`` (explode + join).
+A lexicon given as a dict becomes a literal map and is looked up inside the row: no
+explode, no join, no shuffle. A lexicon given as a table ``(word, polarity,
+subjectivity)`` of any size is joined (``curio.operators.lexicon``).
 
 Rules: words are whitespace tokens, lower-cased with non-word characters
 removed; a word preceded by not / no / never has its polarity multiplied by
@@ -43,9 +42,6 @@ DEFAULT_LEXICON = {
     "und": (0.25, 0.1),
     "der": (0.05, 0.2),
 }
-# A Spark map lookup scans the keys, so the literal-map path is only for small
-# lexicons; larger ones use the explode + broadcast-join operator.
-MAX_MAP_ENTRIES = 256
 # ---------------------------------------------------------------------------
 
 
@@ -53,16 +49,13 @@ def clean_word(w: Column) -> Column:
     return F.regexp_replace(F.lower(w), NON_WORD_CHAR, "")
 
 
-def lexicon_map(lexicon: Mapping[str, tuple[float, float]] | DataFrame | None = None,
-                max_entries: int = MAX_MAP_ENTRIES) -> Column:
-    """Literal ``map<string, struct<pol, subj>>`` from a dict or a small table."""
+def lexicon_map(lexicon: Mapping[str, tuple[float, float]] | None = None) -> Column:
+    """Literal ``map<string, struct<pol, subj>>`` from a dict. A lookup scans the keys,
+    so many thousand entries are better joined."""
     if lexicon is None:
         lexicon = DEFAULT_LEXICON
     if isinstance(lexicon, DataFrame):
-        rows = lexicon.select("word", "polarity", "subjectivity").limit(max_entries + 1).collect()
-        if len(rows) > max_entries:  # checked bound, one job
-            raise ValueError("lexicon too large for a map lookup; use operators.lexicon")
-        lexicon = {r["word"]: (r["polarity"], r["subjectivity"]) for r in rows}
+        raise TypeError("a lexicon table is joined: operators.lexicon.lexicon_sentiment, score_texts")
     keys = sorted(lexicon)
     vals = [F.struct(F.lit(float(lexicon[k][0])).alias("pol"),
                      F.lit(float(lexicon[k][1])).alias("subj")) for k in keys]

@@ -1,9 +1,11 @@
 """C8 ``lexicon_join`` and the join form of the lexicon sentiment scores.
 
-Words are exploded with their position, cleaned, and joined to the lexicon.
-The lexicon is broadcast only after its row count is checked; beyond the bound
-the join is left to the optimizer. The per-row map lookup in
-``curio.functions.sentiment`` is the faster path for small lexicons.
+Words are exploded with their position, cleaned, and joined to the lexicon, by one
+route for every size of lexicon and text. A few words hold much of any corpus, so the
+join is split at them: a word with more than 1 / ``SHARES`` of all occurrences is
+frequent, of which there are fewer than ``SHARES`` whatever the corpus. These are
+broadcast with their scores; occurrences of all other words are joined by a shuffle in
+which no key holds more than that share.
 """
 
 from __future__ import annotations
@@ -14,9 +16,10 @@ from pyspark.sql import functions as F
 from curio.functions.sentiment import (DEFAULT_LEXICON, NEGATION_FACTOR, NEGATIONS,
                                        clean_word)
 from curio.functions.text import words
-from curio.operators._util import broadcast_if_small, spread_small_input
+from curio.operators._util import spread_small_input
 
 LEXICON_SCHEMA = "word string, polarity double, subjectivity double"
+SHARES = 10_000
 
 
 def lexicon_table(spark: SparkSession, lexicon: dict | None = None) -> DataFrame:
@@ -25,30 +28,42 @@ def lexicon_table(spark: SparkSession, lexicon: dict | None = None) -> DataFrame
     return spark.createDataFrame(rows, LEXICON_SCHEMA)
 
 
+def join_words(occurrences: DataFrame, entries: DataFrame, shares: int = SHARES) -> DataFrame:
+    """``occurrences`` joined with ``entries`` on ``word`` (inner), apart for
+    frequent and other words. The counts combine before their shuffle, and both of
+    their uses read the same shuffled rows."""
+    counts = occurrences.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    total = counts.agg(F.sum("n")).scalar()
+    frequent = counts.where(F.col("n") * shares > total).select("word")
+    return occurrences.join(F.broadcast(frequent.join(entries, "word")), "word").unionByName(
+        occurrences.join(F.broadcast(frequent), "word", "left_anti").join(entries, "word"))
+
+
 def lexicon_join(df: DataFrame, lexicon: DataFrame, key: str = "doc_id",
-                 text: str = "text") -> DataFrame:
+                 text: str = "text", shares: int = SHARES) -> DataFrame:
     """One row per matched word: ``(key, word_pos, word, polarity, subjectivity)``;
-    polarity carries the negation rule (previous word not/no/never)."""
+    polarity carries the negation rule (previous word not/no/never). Null and empty
+    texts match nothing; a word that the lexicon lists twice matches twice, the null
+    word never."""
     w = spread_small_input(df.select(key, text)).select(key, words(text).alias("w"))
     ex = w.select(key, F.posexplode("w").alias("word_pos", "raw"), "w")
     prev = F.when(F.col("word_pos") > 0, F.element_at("w", F.col("word_pos")))
     ex = ex.select(key, F.col("word_pos").cast("bigint").alias("word_pos"),
-                   clean_word(F.col("raw")).alias("word"), clean_word(prev).alias("prev"))
-    lex = broadcast_if_small(lexicon.select("word", "polarity", "subjectivity"))
-    j = ex.join(lex, "word")
-    neg = F.col("prev").isin(*NEGATIONS)
+                   clean_word(F.col("raw")).alias("word"),
+                   F.coalesce(clean_word(prev).isin(*NEGATIONS), F.lit(False)).alias("negated"))
+    j = join_words(ex, lexicon.select("word", "polarity", "subjectivity"), shares)
     return j.select(key, "word_pos", "word",
-                    (F.col("polarity") * F.when(neg, F.lit(NEGATION_FACTOR)).otherwise(1.0))
+                    (F.col("polarity") * F.when(F.col("negated"), F.lit(NEGATION_FACTOR)).otherwise(1.0))
                     .alias("polarity"), "subjectivity")
 
 
 def lexicon_sentiment(df: DataFrame, lexicon: DataFrame, key: str = "doc_id",
-                      text: str = "text") -> DataFrame:
+                      text: str = "text", shares: int = SHARES) -> DataFrame:
     """``(key, sentiment_score, subjectivity_score)`` for every row of ``df``
-    through the join route (for lexicons too large for a map lookup). The
-    matched words of one row sit in one partition after the explode, so the
-    aggregation combines map-side before its shuffle."""
-    m = lexicon_join(df, lexicon, key, text).groupBy(key).agg(
+    through the join route. The matched words of one row sit in one partition after
+    the explode, so the aggregation combines map-side before its shuffle. Rows that
+    share a key share the means over all their words; the null key matches nothing."""
+    m = lexicon_join(df, lexicon, key, text, shares).groupBy(key).agg(
         F.avg("polarity").alias("sentiment_score"),
         F.avg("subjectivity").alias("subjectivity_score"))
     return df.select(key).join(m, key, "left").select(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from curio.functions import bleu, readability as rd, sentiment as se, text as tx
+from curio.functions.hyphenation import syllable_counter
 from curio.functions.metrics import METRIC_COLUMNS, score_texts
 from curio.operators import lexicon as lexop
 from curio.plans import sql as S
@@ -205,3 +206,87 @@ def q_lexicon_sentiment(spark, sf):
     in-row map lookup (explode + size-checked broadcast join + aggregate)."""
     return lexop.lexicon_sentiment(docs(spark, sf).select("doc_id", "text"),
                                    lexop.lexicon_table(spark), key="doc_id")
+
+
+_VOCABULARY_SQL = f"""
+WITH vw AS (SELECT {S.words('text')} AS w FROM documents),
+vc AS (SELECT DISTINCT regexp_replace(lower(u.x), '[^\\p{{L}}\\p{{N}}_]', '', 'g') AS word
+       FROM vw, LATERAL (SELECT unnest(vw.w) AS x) u),
+lx AS (SELECT word, (length(word) % 7 - 3) / 4.0 AS polarity, (length(word) % 5) / 8.0 AS subjectivity
+       FROM vc WHERE length(word) % 3 > 0),
+{S.sentiment_ctes({"": (0, 0)}).split("sm AS (")[0]}
+sm AS (
+  SELECT sx.k, avg(lx.polarity * CASE WHEN sx.prev IN ('not', 'no', 'never') THEN -0.5 ELSE 1.0 END) AS pol,
+         avg(lx.subjectivity) AS subj
+  FROM sx JOIN lx ON sx.cw = lx.word GROUP BY sx.k)
+SELECT sw.k AS doc_id, round(coalesce(sm.pol, 0.0), 6) + 0.0 AS sentiment_score,
+       round(coalesce(sm.subj, 0.0), 6) AS subjectivity_score
+FROM sw LEFT JOIN sm ON sw.k = sm.k"""
+
+
+def vocabulary_lexicon(spark, sf):
+    """A stand-in lexicon as large as the corpus' vocabulary."""
+    w = docs(spark, sf).select(F.explode(tx.words("text")).alias("raw"))
+    v = w.select(se.clean_word(F.col("raw")).alias("word")).distinct()
+    n = F.length("word")
+    return v.where(n % 3 > 0).select("word", ((n % 7 - 3) / F.lit(4.0)).alias("polarity"),
+                                     ((n % 5) / F.lit(8.0)).alias("subjectivity"))
+
+
+@query("lexicon_sentiment_vocabulary", _VOCABULARY_SQL)
+def q_lexicon_sentiment_vocabulary(spark, sf):
+    """H7/H8 by ``score_texts`` with a lexicon table of tens of thousands of words."""
+    d = docs(spark, sf).select("doc_id", "text")
+    return score_texts(d, "text", lexicon=vocabulary_lexicon(spark, sf), key="doc_id",
+                       metrics=["sentiment_score", "subjectivity_score"]) \
+        .select("doc_id", "sentiment_score", "subjectivity_score")
+
+
+# Hyphenation patterns of the query, from a rule: a break before a consonant with a
+# vowel; none inside a stop and a liquid or a digraph, but before them; none before the
+# consonant of a silent end.
+_CONSONANTS = "bcdfghjklmnpqrstvwxz"
+HYPHEN_PATTERNS = tuple(
+    [f"1{c}{v}" for c in _CONSONANTS for v in "aeiouy"]
+    + [f"1{s}2{l}" for s in "bcdfgkpt" for l in "lr"]
+    + [f"1{d[0]}2{d[1]}" for d in ("ch", "gh", "ph", "sh", "th")]
+    + [f"2{c}e." for c in _CONSONANTS if c != "l"] + ["a1e2a", "i1a", "4ed."])
+
+
+def _hyphen_sql(patterns, left=2, right=2):
+    """Every substring of a dotted word joined with the patterns; highest level per place."""
+    import re
+    rows = ", ".join("({}, {})".format(S.q(re.sub(r"\d", "", p)),
+                                       [int(x or 0) for x in re.split(r"\D", p)]) for p in patterns)
+    longest = max(len(re.sub(r"\d", "", p)) for p in patterns)
+    return f"""
+hb AS (SELECT doc_id, text, {S.words('text')} AS w FROM documents),
+ho AS (SELECT doc_id, {S.letters('u.x')} AS lw FROM hb, LATERAL (SELECT unnest(hb.w) AS x) u),
+hd AS (SELECT DISTINCT lw, '.' || lw || '.' AS dotted FROM ho WHERE lw <> ''),
+hs AS (SELECT lw, a.a AS a, substr(dotted, a.a, l.l) AS part FROM hd,
+       LATERAL (SELECT unnest(range(1, length(dotted) + 1)) AS a) a,
+       (SELECT unnest(range(1, {longest + 1})) AS l) l WHERE a.a + l.l - 1 <= length(dotted)),
+hp(part, levels) AS (VALUES {rows}),
+hl AS (SELECT lw, a, unnest(levels) AS lev, unnest(range(len(levels))) AS j FROM hs JOIN hp USING (part)),
+hx AS (SELECT lw, a + j - 2 AS place, max(lev) AS lev FROM hl GROUP BY ALL),
+hy AS (SELECT hd.lw, 1 + count(hx.place) AS syl FROM hd LEFT JOIN hx ON hx.lw = hd.lw AND lev % 2 = 1
+       AND place BETWEEN {left} AND length(hd.lw) - {right} GROUP BY hd.lw),
+hn AS (SELECT doc_id, sum(syl) AS syl, count(DISTINCT CASE WHEN syl >= 3 THEN lw END) AS hard
+       FROM ho JOIN hy USING (lw) GROUP BY doc_id),
+ht AS (SELECT hb.doc_id, len(hb.w) AS n, {S.sentences('hb.text')} AS s, coalesce(hn.syl, 0) AS syl,
+       coalesce(hn.hard, 0) AS hard FROM hb LEFT JOIN hn ON hb.doc_id = hn.doc_id)"""
+
+
+@query("readability_hyphenated", f"""
+WITH {_hyphen_sql(HYPHEN_PATTERNS)}
+SELECT doc_id,
+       round(CASE WHEN n > 0 THEN 0.39::DOUBLE * n / s + 11.8::DOUBLE * syl / n - 15.59::DOUBLE ELSE 0.0 END, 6)
+         AS flesch_kincaid_grade,
+       round(CASE WHEN n > 0 THEN 0.4::DOUBLE * (n / s + 100.0::DOUBLE * hard / n) ELSE 0.0 END, 6) AS gunning_fog
+FROM ht""")
+def q_readability_hyphenated(spark, sf):
+    """H5/H6 with syllables by hyphenation patterns."""
+    d = docs(spark, sf).select("doc_id", "text")
+    names = ["flesch_kincaid_grade", "gunning_fog"]
+    return score_texts(d, "text", metrics=names, syllables=syllable_counter(HYPHEN_PATTERNS)) \
+        .select("doc_id", *names)
