@@ -14,13 +14,6 @@ def row_count_at_most(df: DataFrame, max_rows: int) -> bool:
     return df.limit(max_rows + 1).count() <= max_rows
 
 
-def collect_bounded(df: DataFrame, max_rows: int):
-    """All rows of ``df`` when there are at most ``max_rows`` of them, else
-    ``None`` -- the bound check and the collect in one job."""
-    rows = df.limit(max_rows + 1).collect()
-    return rows if len(rows) <= max_rows else None
-
-
 def broadcast_if_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
     """Broadcast hint only behind a checked row bound; otherwise leave the
     join strategy to the optimizer (sort-merge / shuffle hash, AQE).

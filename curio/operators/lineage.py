@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from curio.functions.tokens import shift_pairs
-from curio.operators._util import broadcast_if_small, collect_bounded
+from curio.operators._util import broadcast_if_small
 from curio.operators.scan import RunningSum, segmented_scan
 
 
@@ -148,47 +148,27 @@ def interval_means(scored_positions: DataFrame, intervals: DataFrame, metrics: S
     return per.select("ckpt", F.coalesce("n", F.lit(0)).cast("bigint").alias("n_rows"), *out)
 
 
-MAX_LITERAL_BLOCKS = 100_000
-
-
 def running_totals(df: DataFrame, order_col: str, value_cols: Sequence[str],
                    partition_cols: Sequence[str] = (), block: int = 100_000) -> DataFrame:
-    """Running sums of ``value_cols`` along ``order_col`` within
-    ``partition_cols``, in two levels so no single task sees all rows:
-    per-block totals (few rows) give each block an offset, each row adds its
-    block's offset to a running sum inside its block. ``order_col`` must be a
-    dense non-negative integer rank (e.g. a checkpoint index). Without
-    partition columns the block offsets are prefix sums of the (bounded,
-    checked) block totals, passed as literals -- no single-partition window."""
+    """Running sums of ``value_cols`` along ``order_col`` within ``partition_cols``, as
+    columns ``cum_*``, in two levels so no single task sees all rows: a running sum
+    inside each block of ``block`` ranks, and the sum of all blocks before it, by one
+    segmented scan over the block totals, whatever their number. ``order_col`` must be a
+    non-negative integer rank (e.g. a checkpoint index); ranks may be missing, and rows
+    without a rank or with a null partition key are left out. Null values add nothing."""
     pc = list(partition_cols)
-    b = F.floor(F.col(order_col) / F.lit(block)).cast("bigint")
-    withb = df.withColumn("__blk", b)
-    totals = withb.groupBy(*pc, "__blk").agg(*[F.sum(c).alias(f"__t_{c}") for c in value_cols])
-    wr = Window.partitionBy(*pc, "__blk").orderBy(order_col).rowsBetween(
-        Window.unboundedPreceding, 0)
-    inner = withb.select("*", *[F.sum(c).over(wr).alias(f"__r_{c}") for c in value_cols])
-    bounded = collect_bounded(totals, MAX_LITERAL_BLOCKS) if not pc else None
-    if bounded is not None:
-        rows = {int(r["__blk"]): r for r in bounded}
-        out = inner
-        if rows:
-            lo, hi = min(rows), max(rows)
-            for c in value_cols:
-                offs, run = [], 0
-                for blk in range(lo, hi + 1):      # dense: blocks of a dense rank
-                    offs.append(run)
-                    run = run + ((rows[blk][f"__t_{c}"] or 0) if blk in rows else 0)
-                arr = F.array(*[F.lit(o) for o in offs])
-                out = out.withColumn(f"cum_{c}", F.col(f"__r_{c}")
-                                     + F.element_at(arr, (F.col("__blk") - lo + 1).cast("int")))
-        return out.drop("__blk", *[f"__r_{c}" for c in value_cols])
-    wb = Window.partitionBy(*pc).orderBy("__blk").rowsBetween(Window.unboundedPreceding, -1)
-    offs = totals.select(*pc, "__blk", *[F.coalesce(F.sum(f"__t_{c}").over(wb), F.lit(0))
-                                         .alias(f"__o_{c}") for c in value_cols])
-    out = inner.join(offs, [*pc, "__blk"])
+    withb = df.withColumn("__blk", F.floor(F.col(order_col) / F.lit(block)).cast("bigint"))
+    totals = withb.where("__blk is not null").groupBy(*pc, "__blk").agg(
+        *[F.coalesce(F.sum(c), F.lit(0)).alias(f"__t_{c}") for c in value_cols])
+    # in what stands before a block its own total is taken off again, so whole numbers stay exact
+    before = segmented_scan(totals, pc, [F.col("__blk").asc()], {f"__o_{c}": RunningSum(f"__t_{c}") for c in value_cols})
+    offsets = before.select(*pc, "__blk", *[(F.col(f"__o_{c}") - F.col(f"__t_{c}")).alias(f"__o_{c}") for c in value_cols])
+    wr = Window.partitionBy(*pc, "__blk").orderBy(order_col).rowsBetween(Window.unboundedPreceding, 0)
+    inner = withb.select("*", *[F.coalesce(F.sum(c).over(wr), F.lit(0)).alias(f"__r_{c}") for c in value_cols])
+    out = inner.join(offsets, [*pc, "__blk"])
     for c in value_cols:
         out = out.withColumn(f"cum_{c}", F.col(f"__r_{c}") + F.col(f"__o_{c}"))
-    return out.drop("__blk", *[f"__{p}_{c}" for p in ("r", "o") for c in value_cols])
+    return out.select(*df.columns, *[f"cum_{c}" for c in value_cols])
 
 
 def cumulative_checkpoint_means(scored_positions: DataFrame, ckpts: DataFrame,
