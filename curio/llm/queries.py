@@ -109,6 +109,51 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+# A checksum by bytes from a table of 256, an order by id, cuts by the middle byte.
+ORACLE["op5_sharding"] = r"""
+WITH steps AS (SELECT list(list_reduce(list_concat([i::BIGINT], range(8)), lambda x, s: xor(x >> 1, 3988292384::BIGINT * (x & 1)))
+                 ORDER BY i) AS crcs FROM range(256) r(i)),
+sized AS (SELECT doc_id, (strlen(coalesce(text, '')) + 8)::BIGINT AS size, list_transform(
+            regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: ((strpos('0123456789ABCDEF', h[1]) - 1) * 16
+            + strpos('0123456789ABCDEF', h[2]) - 1)::BIGINT) AS bytes FROM documents),
+summed AS (SELECT doc_id, size, xor(4294967295::BIGINT, list_reduce(list_concat([4294967295::BIGINT], bytes), lambda c, x:
+             xor(c >> 8, crcs[(xor(c, x) & 255) + 1])))::BIGINT AS text_crc32 FROM sized, steps),
+placed AS (SELECT *, sum(size) OVER (ORDER BY doc_id, text_crc32, size ROWS UNBOUNDED PRECEDING) - size AS before,
+             sum(size) OVER () AS total FROM summed),
+cut AS (SELECT *, least(23, (2 * before + size) * 24 // (2 * total))::INT AS shard FROM placed)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard,
+       row_number() OVER (PARTITION BY shard ORDER BY doc_id, text_crc32, size) - 1 AS slot, NULL::INT AS grown_shard FROM cut"""
+
+# Links with a scheme only: relative targets, of which the given pages have none, are
+# held against a plain version in the tests.
+ORACLE["op6_url_filter"] = r"""
+WITH RECURSIVE rules(says, rhost, rpath) AS (VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'),
+  ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')),
+links AS (SELECT url, replace(unnest(list_concat(
+    regexp_extract_all(html, '(?is)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*?\bhref\s*=\s*["'']?([^"''\s>]+)', 1),
+    regexp_extract_all(html, '(?is)<link\b[^>]*\bhref\s*=\s*["'']?([^"''\s>]+)[^>]*\brel\s*=\s*["'']?canonical\b', 1),
+    regexp_extract_all(html, '(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*?\burl\s*=\s*["'']?([^"''\s>]+)', 1))),
+    '&amp;', '&') AS target FROM pages WHERE url IS NOT NULL),
+whole AS (SELECT url, target FROM links WHERE regexp_matches(target, '^[A-Za-z][A-Za-z0-9+.-]*://')),
+urls AS (SELECT url FROM pages UNION SELECT target FROM whole),
+cut AS (SELECT url, translate(regexp_extract(coalesce(url, ''), '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+          'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(coalesce(url, ''), '://[^/?#]*([^?#]*)', 1) AS path FROM urls),
+keyed AS (SELECT *, CASE WHEN contains(url, '://') THEN regexp_replace(regexp_replace(host, ':(80|443)$', ''), '^(www|m)\.', '')
+            || regexp_replace(path, '/+$', '') || regexp_replace(regexp_replace(regexp_extract(url, '://[^?#]*(\?[^#]*)', 1),
+            '[?&](utm_[a-z]+|ref|gclid|fbclid)=[^&#]*', '', 'g'), '^&', '?') END AS key FROM cut),
+ruled AS (SELECT url, host, path, key, arg_max(rhost || rpath, length(rhost || rpath)) AS rule,
+            arg_max(says, length(rhost || rpath)) AS own FROM keyed LEFT JOIN rules
+            ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath) GROUP BY ALL),
+edges AS (SELECT a.key AS a, b.key AS b FROM whole JOIN keyed a ON a.url = whole.url JOIN keyed b ON b.url = whole.target
+          WHERE a.key <> b.key),
+reach AS (SELECT DISTINCT key AS k, key AS node FROM keyed WHERE key IS NOT NULL
+          UNION SELECT reach.k, e.b FROM reach JOIN (SELECT a, b FROM edges UNION SELECT b, a FROM edges) e ON e.a = reach.node),
+blocked AS (SELECT k FROM reach JOIN ruled ON ruled.key = reach.node GROUP BY k
+            HAVING coalesce(bool_or(own = 'block'), false) AND NOT coalesce(bool_or(own = 'allow'), false))
+SELECT page_id, host, path, rule, coalesce(own, CASE WHEN k IS NULL THEN 'allow' ELSE 'block' END) AS verdict
+FROM pages JOIN ruled ON ruled.url IS NOT DISTINCT FROM pages.url LEFT JOIN blocked ON blocked.k = ruled.key"""
+
+
 SEPARATOR = 50256
 
 
