@@ -14,7 +14,7 @@ from typing import Iterable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from curio.functions.text import (WORD_SEP, WS_LIST, joined_words, split_joined, words,
+from curio.functions.text import (WORD_SEP, WS_LIST, bound, joined_words, split_joined, words,
                                   _col)
 
 # --- fixed values -----------------------------------------------------------
@@ -27,6 +27,11 @@ FOG_FACTOR = 0.4
 FOG_DIFFICULT_SYLLABLES = 3
 VOWEL_GROUP = "[aeiouy]+"
 SILENT_E = "[^aeiouyl]e$"
+# The parts of a word of letters, one of: a whole word without a counted vowel group
+# (consonants, perhaps with a silent e), a silent e, a vowel group, consonants. What
+# counts as a syllable has one letter in a capture group.
+SYLLABLE_PARTS = ("(?<![^ ])([^aeiouy ])[^aeiouy ]*+(?:(?<!l)e)?+(?![^ ])|(?<=[^aeiouyl ])e(?![^ ])"
+                  "|([aeiouy])[aeiouy]*+|[^aeiouy ]++")
 NON_LETTER = "[^a-z]"
 # Stands for a sentence terminator in the text-level sentence count; it is
 # itself a whitespace character, which the same ``translate`` maps to a space,
@@ -42,19 +47,17 @@ def letters_joined(joined: Column) -> Column:
 
 
 def syllable_marks_joined(lj: Column) -> Column:
-    """From ``letters_joined``: word i becomes one ``V`` per syllable, so its
-    length is its syllable count. A silent final e (after a consonant other
-    than l) is upper-cased so it no longer counts as a vowel; a word with
-    letters but no counted vowel group becomes a single ``V`` (at least one
-    syllable); a word without letters stays empty (0 syllables)."""
-    marked = F.regexp_replace(lj, f"([^aeiouyl{WORD_SEP}])e({WORD_SEP}|$)", "$1E$2")
-    lone = F.regexp_replace(marked, f"(?<=^|{WORD_SEP})[^aeiouy{WORD_SEP}]+(?={WORD_SEP}|$)", "V")
-    return F.regexp_replace(F.regexp_replace(lone, VOWEL_GROUP, "V"), f"[^V{WORD_SEP}]+", "")
+    """From ``letters_joined``: word i becomes one letter per syllable, so its
+    length is its syllable count, in one pass of ``SYLLABLE_PARTS``. A silent final
+    e (after a consonant other than l) is no vowel group; a word with letters but no
+    counted vowel group becomes a single letter (at least one syllable); a word
+    without letters stays empty (0 syllables)."""
+    return F.regexp_replace(lj, SYLLABLE_PARTS, "$1$2")
 
 
 def syllable_total_joined(marks: Column) -> Column:
     """Total syllables of a text from ``syllable_marks_joined``."""
-    return F.regexp_count(marks, F.lit("V")).cast("bigint")
+    return F.length(F.replace(marks, F.lit(WORD_SEP), F.lit(""))).cast("bigint")
 
 
 def syllable_array(marks: Column) -> Column:
@@ -67,9 +70,9 @@ def syllable_sum(counts: Column) -> Column:
     return F.aggregate(counts, F.lit(0).cast("bigint"), lambda a, n: a + n)
 
 
-def _syllables_of(text) -> tuple[Column, Column]:
-    lj = letters_joined(joined_words(text))
-    return split_joined(lj), syllable_marks_joined(lj)
+def _hard_words_of(joined: Column, easy_words: Iterable[str]) -> Column:
+    return bound(letters_joined(joined), lambda lj: hard_word_count(
+        split_joined(lj), bound(syllable_marks_joined(lj), syllable_array), easy_words))
 
 
 def letters(word: Column) -> Column:
@@ -88,8 +91,7 @@ def syllables(word) -> Column:
 
 
 def syllable_total(text) -> Column:
-    _, marks = _syllables_of(text)
-    return syllable_total_joined(marks)
+    return syllable_total_joined(syllable_marks_joined(letters_joined(joined_words(text))))
 
 
 def sentence_count(text) -> Column:
@@ -108,8 +110,7 @@ def sentence_count(text) -> Column:
 
 def difficult_words(text, easy_words: Iterable[str] = ()) -> Column:
     """Distinct lower-cased words with at least 3 syllables, not in ``easy_words``."""
-    lw, marks = _syllables_of(text)
-    return hard_word_count(lw, syllable_array(marks), easy_words)
+    return _hard_words_of(joined_words(text), easy_words)
 
 
 def hard_word_count(lw: Column, syl: Column, easy_words: Iterable[str] = ()) -> Column:
@@ -123,17 +124,21 @@ def hard_word_count(lw: Column, syl: Column, easy_words: Iterable[str] = ()) ->
 
 
 def flesch_kincaid_grade(text, round_outputs: bool = False) -> Column:
-    n_words = F.size(words(text))
-    grade = (F.lit(FK_WORDS_PER_SENTENCE) * n_words / sentence_count(text)
-             + F.lit(FK_SYLLABLES_PER_WORD) * syllable_total(text) / n_words
-             - F.lit(FK_OFFSET))
-    out = F.when(n_words > 0, grade).otherwise(F.lit(0.0))
+    def grade(joined: Column) -> Column:
+        total = syllable_total_joined(syllable_marks_joined(letters_joined(joined)))
+        return bound(F.size(split_joined(joined)), lambda n: F.when(
+            n > 0, F.lit(FK_WORDS_PER_SENTENCE) * n / sentence_count(text)
+            + F.lit(FK_SYLLABLES_PER_WORD) * total / n - F.lit(FK_OFFSET)).otherwise(F.lit(0.0)))
+
+    out = bound(joined_words(text), grade)
     return F.round(out, 1) if round_outputs else out
 
 
 def gunning_fog(text, easy_words: Iterable[str] = (), round_outputs: bool = False) -> Column:
-    n_words = F.size(words(text))
-    grade = F.lit(FOG_FACTOR) * (n_words / sentence_count(text)
-                                 + F.lit(100.0) * difficult_words(text, easy_words) / n_words)
-    out = F.when(n_words > 0, grade).otherwise(F.lit(0.0))
+    def grade(joined: Column) -> Column:
+        return bound(F.size(split_joined(joined)), lambda n: F.when(
+            n > 0, F.lit(FOG_FACTOR) * (n / sentence_count(text) + F.lit(100.0) * _hard_words_of(joined, easy_words) / n))
+            .otherwise(F.lit(0.0)))
+
+    out = bound(joined_words(text), grade)
     return F.round(out, 2) if round_outputs else out

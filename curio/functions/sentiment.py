@@ -16,7 +16,7 @@ from typing import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from curio.functions.text import WORD_SEP, words
+from curio.functions.text import WORD_SEP, bound, joined_words, split_joined
 
 # --- fixed values -----------------------------------------------------------
 NEGATIONS = ("not", "no", "never")
@@ -74,29 +74,36 @@ def matched_scores(w: Column, lex: Column, cw: Column | None = None) -> Column:
     negation rule applied to ``pol``. Each word is paired with its predecessor
     by ``zip_with`` (one pass), and looked up once. ``cw`` may pass the
     cleaned words (``split_joined(clean_joined(...))``)."""
-    cw = F.transform(w, clean_word) if cw is None else cw
+    return bound(F.transform(w, clean_word) if cw is None else cw, lambda c: _matched(c, lex))
+
+
+def _matched(cw: Column, lex: Column) -> Column:
     prev = F.concat(F.array(F.lit(None).cast("string")),
                     F.slice(cw, 1, F.greatest(F.size(cw) - 1, F.lit(0))))
     neg = F.array(*[F.lit(x) for x in NEGATIONS])
     looked = F.zip_with(cw, prev, lambda c, p: F.struct(
-        F.try_element_at(lex, c).alias("e"),
-        F.coalesce(F.array_contains(neg, p), F.lit(False)).alias("negated")))
+        F.try_element_at(lex, c).alias("e"), p.alias("prev")))
     hits = F.filter(looked, lambda s: s["e"].isNotNull())
+    negated = lambda s: F.coalesce(F.array_contains(neg, s["prev"]), F.lit(False))
     return F.transform(hits, lambda s: F.struct(
-        (s["e"]["pol"] * F.when(s["negated"], F.lit(NEGATION_FACTOR)).otherwise(F.lit(1.0)))
+        (s["e"]["pol"] * F.when(negated(s), F.lit(NEGATION_FACTOR)).otherwise(F.lit(1.0)))
         .alias("pol"), s["e"]["subj"].alias("subj")))
 
 
 def mean_of(scores: Column, field: str) -> Column:
-    total = F.aggregate(scores, F.lit(0.0), lambda acc, s: acc + s[field])
-    return F.when(F.size(scores) > 0, total / F.size(scores)).otherwise(F.lit(0.0))
+    return bound(scores, lambda found: F.when(
+        F.size(found) > 0, F.aggregate(found, F.lit(0.0), lambda acc, s: acc + s[field]) / F.size(found))
+        .otherwise(F.lit(0.0)))
+
+
+def _scores_of(text, lexicon, w: Column | None) -> Column:
+    cw = bound(clean_joined(joined_words(text)), split_joined) if w is None else F.transform(w, clean_word)
+    return matched_scores(w, lexicon_map(lexicon), cw)
 
 
 def sentiment_score(text, lexicon=None, w: Column | None = None) -> Column:
-    w = words(text) if w is None else w
-    return mean_of(matched_scores(w, lexicon_map(lexicon)), "pol")
+    return mean_of(_scores_of(text, lexicon, w), "pol")
 
 
 def subjectivity_score(text, lexicon=None, w: Column | None = None) -> Column:
-    w = words(text) if w is None else w
-    return mean_of(matched_scores(w, lexicon_map(lexicon)), "subj")
+    return mean_of(_scores_of(text, lexicon, w), "subj")

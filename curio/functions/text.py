@@ -48,11 +48,18 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def bound(value: Column, build) -> Column:
+    """``build(value)`` with ``value`` computed once per row, however often ``build``
+    uses it. Catalyst shares no subexpressions inside or across higher-order
+    functions, so a nested builder would otherwise repeat its input at each use."""
+    return F.element_at(F.transform(F.array(value), build), 1)
+
+
 def words(text) -> Column:
     """Whitespace tokens, no empty strings; null or empty text gives ``[]``
     (Python ``str.split()``). Whitespace is mapped to a space with
     ``translate`` and runs collapsed, then split on the space."""
-    return split_joined(joined_words(text))
+    return bound(joined_words(text), split_joined)
 
 
 def words_regex(text) -> Column:
@@ -88,9 +95,8 @@ def strip(text) -> Column:
 
 def vocabulary_diversity(text) -> Column:
     """distinct words / words, 0.0 when there are no words (case-sensitive)."""
-    w = words(text)
-    return F.when(F.size(w) > 0,
-                  F.size(F.array_distinct(w)) / F.size(w)).otherwise(F.lit(0.0))
+    return bound(words(text), lambda w: F.when(
+        F.size(w) > 0, F.size(F.array_distinct(w)) / F.size(w)).otherwise(F.lit(0.0)))
 
 
 def _phrase_pattern(terms: list[str]) -> str:
@@ -127,8 +133,8 @@ def flagged_term_count(text, terms: Iterable[str] = DEFAULT_FLAGGED_TERMS) -> Co
 
 def profanity_check(text, terms: Iterable[str] = DEFAULT_FLAGGED_TERMS) -> Column:
     """flagged-term matches / words, 0.0 when there are no words."""
-    n = F.size(words(text))
-    return F.when(n > 0, flagged_term_count(text, terms) / n).otherwise(F.lit(0.0))
+    return bound(F.size(words(text)), lambda n: F.when(
+        n > 0, flagged_term_count(text, terms) / n).otherwise(F.lit(0.0)))
 
 
 def create_global_id(shard, idx) -> Column:
