@@ -21,6 +21,10 @@ from curio.functions.tokens import shift_pairs
 from curio.operators._util import broadcast_if_small
 from curio.operators.scan import RunningSum, segmented_scan
 
+# Checkpoints of a row that stay together, and pairs of a row and a checkpoint a task makes.
+STRETCH = 256
+PAIRS_PER_TASK = 4_000_000
+
 
 def checkpoint_schedule(spark: SparkSession, n_rows: int, batch_size: int, grad_accum: int,
                         step: int, max_iter: int | None = None) -> DataFrame:
@@ -54,15 +58,21 @@ def checkpoint_membership(positions: DataFrame, ckpts: DataFrame, batch_size: in
     Each row's first checkpoint is a column expression, so the range join
     becomes an explode of ``sequence(first, last, step)`` -- linear in the
     output, no nested-loop join. (Output size is rows x checkpoints by
-    nature; E4 avoids materialising it.)"""
+    nature; E4 avoids materialising it.) Early rows have the most checkpoints and a
+    positions table has few splits, so a row is first cut into stretches of
+    ``STRETCH`` checkpoints and these are dealt out, to a task for every
+    ``PAIRS_PER_TASK`` pairs: tasks grow in number, not in length."""
     last = ckpts.agg(F.max("ckpt").alias("m")).collect()[0]["m"]
     if last is None:
         return positions.sparkSession.createDataFrame([], "ckpt bigint, id bigint")
     first = first_checkpoint(F.col(pos_col), batch_size, grad_accum, step, include_prefetched)
-    m = (positions.select(F.col(id_col).cast("bigint").alias("id"), first.alias("f"))
-         .filter(F.col("f") <= F.lit(last))
-         .select(F.explode(F.sequence("f", F.lit(last).cast("bigint"), F.lit(step).cast("bigint")))
-                 .alias("ckpt"), "id"))
+    end, span = F.lit(last).cast("bigint"), F.lit(STRETCH * step).cast("bigint")
+    rows = positions.select(F.col(id_col).cast("bigint").alias("id"), first.alias("f")).filter(F.col("f") <= end)
+    pairs = rows.agg(F.sum(F.floor((end - F.col("f")) / step) + 1)).first()[0] or 0
+    tasks = max(-(-pairs // PAIRS_PER_TASK), 1)
+    starts = rows.select(F.explode(F.sequence("f", end, span)).alias("f"), "id").repartition(tasks)
+    upto = F.least(F.col("f") + span - F.lit(step), end)
+    m = starts.select(F.explode(F.sequence("f", upto, F.lit(step).cast("bigint"))).alias("ckpt"), "id")
     return m.join(broadcast_if_small(ckpts.select(F.col("ckpt").cast("bigint"))), "ckpt",
                   "left_semi")
 
