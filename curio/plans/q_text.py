@@ -8,8 +8,10 @@ from curio.functions import bleu, readability as rd, sentiment as se, text as tx
 from curio.functions.hyphenation import syllable_counter
 from curio.functions.metrics import METRIC_COLUMNS, score_texts
 from curio.operators import lexicon as lexop
+from curio.operators._util import spread_small_input
 from curio.plans import sql as S
 from curio.plans.registry import query
+from curio.session import materialize
 from curio.sources import table
 
 # Flagged terms used by the queries: the default terms never occur in the
@@ -81,7 +83,7 @@ def q_fk(spark, sf):
 WITH {S.text_stats_cte()}
 SELECT doc_id, CAST(hard AS BIGINT) AS n_difficult, round({S.FOG}, 6) AS gunning_fog FROM st""")
 def q_fog(spark, sf):
-    d = docs(spark, sf)
+    d = spread_small_input(docs(spark, sf).select("doc_id", "text"))
     return d.select("doc_id", rd.difficult_words("text").alias("n_difficult"),
                     rd.gunning_fog("text").alias("gunning_fog"))
 
@@ -104,14 +106,16 @@ def q_score_texts(spark, sf):
 @query("sentiment_score", f"""
 WITH {S.sentiment_ctes(se.DEFAULT_LEXICON)} SELECT doc_id, round(sentiment_score, 6) + 0.0 AS sentiment_score FROM senti""")
 def q_sentiment(spark, sf):
-    return docs(spark, sf).select("doc_id", se.sentiment_score("text").alias("sentiment_score"))
+    d = spread_small_input(docs(spark, sf).select("doc_id", "text"))
+    return d.select("doc_id", se.sentiment_score("text").alias("sentiment_score"))
 
 
 @query("subjectivity_score", f"""
 WITH {S.sentiment_ctes(se.DEFAULT_LEXICON)}
 SELECT doc_id, round(subjectivity_score, 6) AS subjectivity_score FROM senti""")
 def q_subjectivity(spark, sf):
-    return docs(spark, sf).select("doc_id", se.subjectivity_score("text").alias("subjectivity_score"))
+    d = spread_small_input(docs(spark, sf).select("doc_id", "text"))
+    return d.select("doc_id", se.subjectivity_score("text").alias("subjectivity_score"))
 
 
 @query("lexicon_join", f"""
@@ -225,12 +229,14 @@ FROM sw LEFT JOIN sm ON sw.k = sm.k"""
 
 
 def vocabulary_lexicon(spark, sf):
-    """A stand-in lexicon as large as the corpus' vocabulary."""
-    w = docs(spark, sf).select(F.explode(tx.words("text")).alias("raw"))
-    v = w.select(se.clean_word(F.col("raw")).alias("word")).distinct()
+    """A stand-in lexicon as large as the corpus' vocabulary, written once: the
+    join reads it several times."""
+    d = spread_small_input(docs(spark, sf).select("text"))
+    cleaned = tx.bound(se.clean_joined(tx.joined_words("text")), tx.split_joined)
+    v = d.select(F.explode(cleaned).alias("word")).distinct()
     n = F.length("word")
-    return v.where(n % 3 > 0).select("word", ((n % 7 - 3) / F.lit(4.0)).alias("polarity"),
-                                     ((n % 5) / F.lit(8.0)).alias("subjectivity"))
+    return materialize(v.where(n % 3 > 0).select("word", ((n % 7 - 3) / F.lit(4.0)).alias("polarity"),
+                                                 ((n % 5) / F.lit(8.0)).alias("subjectivity")), "lexicon")
 
 
 @query("lexicon_sentiment_vocabulary", _VOCABULARY_SQL)
