@@ -17,7 +17,7 @@ from curio.operators.lineage import cumulative_checkpoint_means
 from curio.operators.order import assign_dense_ids
 from curio.operators.positions import asc
 from curio.operators.tokenizer import decode_tokens, encode_texts
-from curio.session import discard
+from curio.session import discard, materialize
 from curio.sources import io
 
 # --- fixed values -----------------------------------------------------------
@@ -33,13 +33,16 @@ def pretokenize(spark: SparkSession, directory: str, vocab: DataFrame, path: str
     encoded with a begin id, cut or padded with 0 to ``length`` (``None``: left
     as they are). Ids are dense from ``first_id`` in (shard name, place in shard)
     order. A null or empty story is its begin id alone. The stories are encoded
-    before they are ordered, so the range shuffle moves tokens, not text."""
+    before they are ordered, so the range shuffle moves tokens, not text; they are
+    written, as ordering reads its input twice."""
     stories = io.read_json_shards(spark, directory, max_shards, glob).select(
         F.struct("shard", "pos").alias("place"), strip("story").alias("story"))
     ids = F.col("ids") if length is None else pad_truncate("ids", length)
     rows = encode_texts(spark, stories, vocab, "place", "story").select(
         "place.shard", "place.pos", ids.alias("tokens"))
+    rows = materialize(rows, "encoded")
     dense = assign_dense_ids(rows, [asc("shard")], "pos")
+    discard(rows)
     io.write_table(dense.select((F.col("id") + F.lit(first_id)).cast("bigint").alias("id"), "tokens"), path, ())
     discard(dense)
     return io.read_scored_table(spark, path, TOKEN_SCHEMA)

@@ -32,11 +32,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from curio.operators.scan import RunningSum, RunningXor, segmented_scan
-from curio.session import materialize
+from curio.session import discard, materialize
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 RANGE_BYTES = 8 << 20
+# What a task reads: so many ranges (small files) or bytes, about.
+TASK_RANGES, TASK_BYTES = 512, 16 << 20
 QUOTE, BACKSLASH, COMMA = 34, 92, 44
 OPEN, CLOSE = b"[{", b"]}"
 WHITE = b" \t\n\r"
@@ -195,7 +197,12 @@ def read_elements(spark: SparkSession, files: DataFrame, range_bytes: int = RANG
     file of ``files`` (``path``, ``length``), with its place in the array."""
     last = F.greatest(F.ceil(F.col("length") / F.lit(range_bytes)) - 1, F.lit(0)).cast("bigint")
     ranges = files.select("path", "length", F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("k"))
-    ranges = ranges.repartition("path", "k")
+    # a range is a small row and much work: the number of tasks follows the bytes and the
+    # files, as adaptive execution would put all the rows into one
+    ranges = materialize(ranges.repartition("path", "k"), "json-files")
+    n, size = ranges.agg(F.count(F.lit(1)), F.sum(F.least(F.lit(range_bytes), F.col("length") - F.col("k") * range_bytes))).first()
+    slots = spark.sparkContext.defaultParallelism
+    tasks = max(min(n, 2 * slots), -(-n // TASK_RANGES), -(-(size or 0) // TASK_BYTES), 1)
 
     def summaries(batches):
         for batch in batches:
@@ -210,8 +217,9 @@ def read_elements(spark: SparkSession, files: DataFrame, range_bytes: int = RANG
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=names)
 
     # written once: a scan reads its input twice
-    known = materialize(ranges.mapInArrow(
+    known = materialize(ranges.repartition(tasks, "path", "k").mapInArrow(
         summaries, "path string, length long, k long, quotes long, depths array<long>, commas array<map<long,long>>"), "json-ranges")
+    discard(ranges)
     order = [F.col("k").asc()]
     # whether the range begins inside a string, then how deep, then behind how many commas
     inside = F.col("parity").bitwiseXOR(F.col("quotes"))
@@ -238,7 +246,7 @@ def read_elements(spark: SparkSession, files: DataFrame, range_bytes: int = RANG
                             pos, texts, held = [], [], 0
                     yield _rows(path, pos, texts)
 
-    return known.repartition("path", "k").mapInArrow(elements, "path string, pos long, element string")
+    return known.repartition(tasks, "path", "k").mapInArrow(elements, "path string, pos long, element string")
 
 
 def _rows(path: str, pos: list[int], texts: list[str]) -> pa.RecordBatch:
