@@ -13,6 +13,7 @@ from curio.plans.flagship import (BATCH_SIZE as B, EVAL_INTERVAL as STEP, FLAGSH
                                   GRAD_ACCUM as G, curriculum_means, flagship, ordered_train,
                                   scored_documents)
 from curio.plans.registry import query
+from curio.session import materialize
 from curio.sources import table
 
 M = FLAGSHIP_METRICS
@@ -210,7 +211,8 @@ def q_make_batches(spark, sf):
     s = scored(spark, sf).select("id", FK)
     d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"),
                                              _word_length_tokens().alias("tokens"))
-    p = assign_positions(d.join(s, "id"), [], "id", "pos")
+    # written, as ordering reads its input twice
+    p = assign_positions(materialize(d.join(s, "id"), "batch-rows"), [], "id", "pos")
     b = ln.make_batches(p, B, "tokens", [FK])
     r = F.col("rows")
     return b.select(
