@@ -16,6 +16,9 @@ from curio.streaming import streams as st
 
 FK, DIV = "flesch_kincaid_grade", "vocabulary_diversity"
 N_FILES = 4
+# Rank error of the cuts between appends: exact ones would hold every value on the
+# driver. Every row is in one append, wherever the cuts lie.
+CUT_ERROR = 0.001
 
 
 def _source(df, name, order_col, cluster_col=None):
@@ -26,7 +29,7 @@ def _source(df, name, order_col, cluster_col=None):
     per-key state."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    cuts = df.approxQuantile(order_col, [i / N_FILES for i in range(1, N_FILES)], 0.0)
+    cuts = df.approxQuantile(order_col, [i / N_FILES for i in range(1, N_FILES)], CUT_ERROR)
     bounds = [None] + sorted(set(cuts)) + [None]
     for lo, hi in zip(bounds[:-1], bounds[1:]):
         part = df
@@ -90,7 +93,7 @@ def _runs_of_arrivals(spark, sf, name, columns, build):
     arrival = F.unix_micros(utc_instant(F.col("ts"), ev.schema["ts"].dataType)) + hours * 3_600_000_000
     ev = ev.withColumn("arrival", arrival)
     src, sink, state = (scratch_path(spark, f"{name}-{x}") for x in ("src", "sink", "state"))
-    cuts = [None] + sorted(set(ev.approxQuantile("arrival", [i / N_FILES for i in range(1, N_FILES)], 0.0))) + [None]
+    cuts = [None] + sorted(set(ev.approxQuantile("arrival", [i / N_FILES for i in range(1, N_FILES)], CUT_ERROR))) + [None]
     for lo, hi in zip(cuts[:-1], cuts[1:]):
         part = ev if lo is None else ev.where(F.col("arrival") > lo)
         part = part if hi is None else part.where(F.col("arrival") <= hi)
