@@ -16,7 +16,7 @@
   a pair that begins where another ends is merged instead, as such pairs can't
   touch each other's counts. Both give the merges of plain one-at-a-time BPE.
 * ``encode_texts``: one Arrow pass with the vocabulary broadcast; joins are made
-  best score first from a heap over a linked list. No shuffle.
+  best score first, in long segments from a heap over a linked list.
 * ``decode_tokens``: the byte labels of the ids, read as UTF-8 with replacement.
 
 Conventions: a word is encoded with the whitespace marker U+2581 in front
@@ -28,11 +28,13 @@ back to their UTF-8 bytes.
 from __future__ import annotations
 
 import heapq
+import math
 import re
 import sys
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -109,21 +111,43 @@ def _pair_counts(words_now: DataFrame, apart) -> DataFrame:
         F.shiftright("code", _PAIR).cast("int").alias("a"), F.col("code").bitwiseAND((1 << _PAIR) - 1).cast("int").alias("b"), "n")
 
 
+def _lists(flat: np.ndarray, sizes: np.ndarray) -> pa.ListArray:
+    """Lists of the given sizes over the values ``flat``."""
+    ends = np.zeros(len(sizes) + 1, np.int32)
+    np.cumsum(sizes, out=ends[1:])
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.int32()))
+
+
+def _member(codes: np.ndarray, code: np.ndarray) -> np.ndarray:
+    """Which of ``code`` are among the sorted ``codes``."""
+    if not len(codes):
+        return np.zeros(len(code), bool)
+    return codes[np.minimum(np.searchsorted(codes, code), len(codes) - 1)] == code
+
+
+def _runs(flat: np.ndarray, joined: np.ndarray):
+    """Runs of symbols that the places ``joined`` tie to their right neighbours:
+    all their places, each run's symbols in bytes, and which of ``joined`` begin a run."""
+    inside = np.zeros(len(flat), bool)
+    inside[joined] = True
+    inside[joined + 1] = True
+    raw = flat[inside].astype(np.int32).tobytes()
+    first = np.flatnonzero(np.diff(joined, prepend=-2) != 1)
+    # a run of k ties has k + 1 symbols
+    ends = (np.cumsum(np.diff(np.append(first, len(joined))) + 1) * 4).tolist()
+    return inside, [raw[a:b] for a, b in zip([0, *ends], ends)], first
+
+
 def _segments(words_now: DataFrame, active) -> DataFrame:
     """``(segment, n)``: runs of symbols that active pairs join, in bytes."""
     def run(batches):
         codes = np.array(active.value, np.int64)
         for batch in batches:
             flat, _, at, code, n = _flat(batch)
-            hit = codes[np.minimum(np.searchsorted(codes, code), len(codes) - 1)] == code
-            joined = at[hit]
-            weight = n[hit]
-            first = np.flatnonzero(np.r_[True, np.diff(joined) != 1]) if len(joined) else np.empty(0, np.int64)
-            last = np.append(first[1:], len(joined)) - 1 if len(first) else first
-            symbols = flat.astype(np.int32)
+            hit = _member(codes, code)
+            _, keys, first = _runs(flat, at[hit])
             found: dict[bytes, int] = {}
-            for a, b, w in zip(joined[first].tolist(), joined[last].tolist(), weight[first].tolist()):
-                key = symbols[a:b + 2].tobytes()
+            for key, w in zip(keys, n[hit][first].tolist()):
                 found[key] = found.get(key, 0) + w
             yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.int64())],
                                              names=["segment", "n"])
@@ -150,13 +174,61 @@ def _merged(word: list[int], merges: dict) -> list[int]:
     return word
 
 
+def _gaps(merges: list[tuple]) -> np.ndarray:
+    """Codes of the adjacent symbols between which merges ``(a, b, symbol)`` can join
+    anything: the last symbols that ``a`` can be made of before the first ones
+    that ``b`` can be made of. Words never change across other gaps."""
+    made: dict[int, list] = {}
+    for a, b, symbol in merges:
+        made.setdefault(symbol, []).append((a, b))
+
+    def outer(symbol: int, side: int) -> set:
+        found, todo = {symbol}, [symbol]
+        while todo:
+            for pair in made.get(todo.pop(), ()):
+                if pair[side] not in found:
+                    found.add(pair[side])
+                    todo.append(pair[side])
+        return found
+
+    return np.array(sorted({x << _PAIR | y for a, b, _ in merges for x in outer(a, 1) for y in outer(b, 0)}), np.int64)
+
+
+class _Memo(dict):
+    """What ``make`` gives for a key, kept for a bounded number of keys."""
+
+    def __init__(self, make, most: int = 200_000):
+        super().__init__()
+        self.make, self.most = make, most
+
+    def __missing__(self, key):
+        if len(self) >= self.most:
+            self.clear()
+        got = self[key] = self.make(key)
+        return got
+
+
 def _apply(words_now: DataFrame, merges) -> DataFrame:
-    """The word table after a round's merges ``(a, b, symbol)``, in order."""
+    """The word table after a round's merges ``(a, b, symbol)``, in order. Only runs
+    of symbols that they can change are merged, equal ones once."""
     def run(batches):
         table = {(a, b): (rank, symbol, a, b) for rank, (a, b, symbol) in enumerate(merges.value)}
+        gaps = _gaps(merges.value)
+
+        def padded(key: bytes) -> bytes:
+            old = np.frombuffer(key, np.int32).tolist()
+            word = _merged(old, table)
+            return np.array(word + [-1] * (len(old) - len(word)), np.int32).tobytes()
+
+        memo = _Memo(padded)
         for batch in batches:
-            out = [_merged(w, table) for w in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.int32())), batch.column(1)], names=["syms", "n"])
+            flat, sizes, at, code, _ = _flat(batch)
+            inside, keys, _ = _runs(flat, at[_member(gaps, code)])
+            flat[inside] = np.frombuffer(b"".join(map(memo.__getitem__, keys)), np.int32)
+            left = flat >= 0
+            kept = np.r_[0, np.cumsum(left)]
+            ends = np.r_[0, np.cumsum(sizes)]
+            yield pa.RecordBatch.from_arrays([_lists(flat[left], np.diff(kept[ends])), batch.column(1)], names=["syms", "n"])
 
     return words_now.mapInArrow(run, "syms array<int>, n long")
 
@@ -243,9 +315,13 @@ def train_bpe_vocab(spark: SparkSession, texts: DataFrame, n_merges: int,
     plain = spark.sparkContext.broadcast(dict(symbol_of))
 
     def split(batches):
+        places = np.array(sorted(map(ord, plain.value)), np.uint32)
+        symbols = np.array([plain.value[chr(c)] for c in places.tolist()], np.int32)
         for batch in batches:
-            out = [[plain.value[c] for c in w] for w in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.int32())), batch.column(1)], names=["syms", "n"])
+            text = "".join(batch.column(0).to_pylist()).encode("utf-32-le")
+            flat = symbols[np.searchsorted(places, np.frombuffer(text, np.uint32))]
+            sizes = pc.utf8_length(batch.column(0)).to_numpy()
+            yield pa.RecordBatch.from_arrays([_lists(flat, sizes), batch.column(1)], names=["syms", "n"])
 
     now = materialize(wf.select(mark.alias("word"), "n").mapInArrow(split, "syms array<int>, n long"), "bpe-state")
     discard(wf)
@@ -320,6 +396,7 @@ class _Pieces:
     def __init__(self, rows):
         first = BYTE_OFFSET + 256
         self.entry = {p: (i, s) for i, p, s in rows if i >= first}
+        self.ranked = all(math.isfinite(s) for _, s in self.entry.values())
         size = max([first - 1, *(i for i, _, _ in rows)]) + 1
         self.label = [b""] * size
         for i, piece, _ in rows:
@@ -329,6 +406,31 @@ class _Pieces:
             self.label[BYTE_OFFSET + v] = bytes([v])
 
 
+_SHORT = 48                   # symbols up to which looking at all joins beats a heap
+
+
+def _merged_short(texts: list, ids: list[int], entry: dict) -> list[int]:
+    """The same joins in the same order from a plain list of their scores."""
+    never = math.inf
+
+    def offer(left: int):
+        a, b = texts[left], texts[left + 1]
+        hit = None if a is None or b is None else entry.get(a + b)
+        return never if hit is None else -hit[1]
+
+    ranks = [offer(k) for k in range(len(ids) - 1)]
+    while ranks and (best := min(ranks)) != never:
+        k = ranks.index(best)
+        texts[k] += texts[k + 1]
+        ids[k] = entry[texts[k]][0]
+        del texts[k + 1], ids[k + 1], ranks[k]
+        if k:
+            ranks[k - 1] = offer(k - 1)
+        if k < len(ranks):
+            ranks[k] = offer(k)
+    return ids
+
+
 def _merged_ids(segment: str, pieces: _Pieces) -> list[int]:
     """BPE of one segment. Symbols are a linked list; a heap holds the joins
     that the vocabulary knows, best score first, then leftmost. A join whose ends
@@ -348,6 +450,8 @@ def _merged_ids(segment: str, pieces: _Pieces) -> list[int]:
             texts.append(shown)
             ids.append(hit[0])
     n = len(ids)
+    if n <= _SHORT and pieces.ranked:
+        return _merged_short(texts, ids, entry)
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))
     heap: list[tuple] = []
 
@@ -396,22 +500,14 @@ def encode_texts(spark: SparkSession, docs: DataFrame, vocab: DataFrame, key: st
     schema = f"`{key}` {docs.schema[key].dataType.simpleString()}, ids array<int>"
 
     def run(batches):
-        memo: dict[str, list[int]] = {}
         pieces = _Pieces.of(plain.value)
+        memo = _Memo(lambda segment: np.array(_merged_ids(segment, pieces), np.int32).tobytes())
+        begin = np.array([1] if add_bos else [], np.int32).tobytes()
         for batch in batches:
-            out = []
-            for value in batch.column(1).to_pylist():
-                ids = [1] if add_bos else []
-                if value:
-                    for segment in _SEGMENT.findall(" " + value):
-                        got = memo.get(segment)
-                        if got is None:
-                            if len(memo) > 200_000:
-                                memo.clear()
-                            got = memo[segment] = _merged_ids(segment, pieces)
-                        ids += got
-                out.append(ids)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int32()))], names=[key, "ids"])
+            rows = [begin + b"".join(map(memo.__getitem__, _SEGMENT.findall(" " + value))) if value else begin
+                    for value in batch.column(1).to_pylist()]
+            ids = _lists(np.frombuffer(b"".join(rows), np.int32), np.fromiter(map(len, rows), np.int64, len(rows)) // 4)
+            yield pa.RecordBatch.from_arrays([batch.column(0), ids], names=[key, "ids"])
 
     return docs.select(key, text).mapInArrow(run, schema)
 
@@ -428,13 +524,20 @@ def decode_tokens(tokens: DataFrame, vocab: DataFrame, ids_col: str = "ids",
     at = tokens.columns.index(ids_col)
 
     def run(batches):
+        label = list(_Pieces.of(plain.value).label)
+        if not strip_pad:
+            label[0] = " \u2047 ".encode()
+        size = len(label)
+        labels = pa.array([*label, b""], pa.large_binary())     # the last one is that of an unknown id
         for batch in batches:
-            label = list(_Pieces.of(plain.value).label)
-            if not strip_pad:
-                label[0] = " \u2047 ".encode()
-            size = len(label)
-            texts = [None if ids is None else b"".join(label[i] for i in ids if i is not None and 0 <= i < size)
-                     .decode("utf-8", "replace").removeprefix(" ") for ids in batch.column(at).to_pylist()]
+            lists = batch.column(at)
+            ids = pc.fill_null(lists.flatten(), -1).to_numpy(zero_copy_only=False)
+            ends = np.zeros(len(lists) + 1, np.int64)
+            np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False), out=ends[1:])
+            shown = labels.take(pa.array(np.where((ids >= 0) & (ids < size), ids, size).astype(np.int64)))
+            joined = pc.binary_join(pa.LargeListArray.from_arrays(pa.array(ends), shown), pa.scalar(b"", pa.large_binary()))
+            texts = [None if none else b.decode("utf-8", "replace").removeprefix(" ")
+                     for none, b in zip(lists.is_null().to_pylist(), joined.to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in kept] + [pa.array(texts, pa.string())], names=schema.names)
 
     return tokens.mapInArrow(run, schema)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from curio.functions import tokens as tk
 from curio.functions.text import words
 from curio.operators import quality as ql
+from curio.operators._util import spread_small_input
 from curio.operators.order import assign_dense_ids
 from curio.operators.tokenizer import (SPACE_MARK, decode_tokens, encode_texts, train_bpe_vocab,
                                       vocab_stats, word_frequencies)
@@ -193,7 +194,7 @@ def q_encode_texts(spark, sf):
     """Whole texts in pieces of the trained vocabulary: the bytes of a text's
     pieces add up to the text and the space in front."""
     vocab = _vocab(spark, sf)
-    enc = encode_texts(spark, table(spark, sf, "documents"), vocab)
+    enc = encode_texts(spark, spread_small_input(table(spark, sf, "documents").select("doc_id", "text")), vocab)
     n_bytes = F.when(F.col("token_id") < 3, 0).when(F.col("token_id") < 259, 1).otherwise(
         F.octet_length(F.replace("piece", F.lit(SPACE_MARK), F.lit(" "))))
     # a model table: its size is that of the vocabulary
@@ -205,8 +206,8 @@ def q_encode_texts(spark, sf):
 @query("decode_tokens", "SELECT doc_id, true AS round_trip_ok FROM documents")
 def q_decode_tokens(spark, sf):
     """Exact round trip of every text with a vocabulary trained on other text."""
-    d = table(spark, sf, "documents")
+    d = table(spark, sf, "documents").select("doc_id", "text")
     v = train_bpe_vocab(spark, table(spark, sf, "benchmark"), BPE_MERGES)
-    dec = decode_tokens(encode_texts(spark, d, v), v, "ids", out="decoded")
-    return dec.join(d.select("doc_id", "text"), "doc_id").select(
+    dec = decode_tokens(encode_texts(spark, spread_small_input(d), v), v, "ids", out="decoded")
+    return dec.join(d, "doc_id").select(
         "doc_id", (F.col("text") == F.col("decoded")).alias("round_trip_ok"))
