@@ -396,7 +396,8 @@ class _Pieces:
     def __init__(self, rows):
         first = BYTE_OFFSET + 256
         self.entry = {p: (i, s) for i, p, s in rows if i >= first}
-        self.ranked = all(math.isfinite(s) for _, s in self.entry.values())
+        self.ranked = not any(math.isnan(s) for _, s in self.entry.values())
+        self._joins = None
         size = max([first - 1, *(i for i, _, _ in rows)]) + 1
         self.label = [b""] * size
         for i, piece, _ in rows:
@@ -405,30 +406,10 @@ class _Pieces:
         for v in range(256):
             self.label[BYTE_OFFSET + v] = bytes([v])
 
-
-_SHORT = 48                   # symbols up to which looking at all joins beats a heap
-
-
-def _merged_short(texts: list, ids: list[int], entry: dict) -> list[int]:
-    """The same joins in the same order from a plain list of their scores."""
-    never = math.inf
-
-    def offer(left: int):
-        a, b = texts[left], texts[left + 1]
-        hit = None if a is None or b is None else entry.get(a + b)
-        return never if hit is None else -hit[1]
-
-    ranks = [offer(k) for k in range(len(ids) - 1)]
-    while ranks and (best := min(ranks)) != never:
-        k = ranks.index(best)
-        texts[k] += texts[k + 1]
-        ids[k] = entry[texts[k]][0]
-        del texts[k + 1], ids[k + 1], ranks[k]
-        if k:
-            ranks[k - 1] = offer(k - 1)
-        if k < len(ranks):
-            ranks[k] = offer(k)
-    return ids
+    def joins(self) -> _Joins:
+        if self._joins is None:
+            self._joins = _Joins(self)
+        return self._joins
 
 
 def _merged_ids(segment: str, pieces: _Pieces) -> list[int]:
@@ -450,8 +431,6 @@ def _merged_ids(segment: str, pieces: _Pieces) -> list[int]:
             texts.append(shown)
             ids.append(hit[0])
     n = len(ids)
-    if n <= _SHORT and pieces.ranked:
-        return _merged_short(texts, ids, entry)
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))
     heap: list[tuple] = []
 
@@ -478,6 +457,94 @@ def _merged_ids(segment: str, pieces: _Pieces) -> list[int]:
     return [i for i in ids if i >= 0]
 
 
+_SHORT = 48                   # symbols up to which equally long segments are merged side by side
+_NEVER = np.iinfo(np.int32).max
+_CHUNK = 2_000_000            # characters of the texts that are split at once
+
+
+class _Joins:
+    """The pairs of pieces whose joined text is a piece, sorted by code, with the
+    rank of its score and its id; and the pieces that are one character."""
+
+    def __init__(self, pieces: _Pieces):
+        entry = pieces.entry
+        scores = np.array([score for _, score in entry.values()], float)
+        rank = dict(zip(entry, np.unique(-scores, return_inverse=True)[1].tolist()))
+        pairs = sorted((entry[p[:k]][0] << _PAIR | entry[p[k:]][0], rank[p], entry[p][0])
+                       for p in entry for k in range(1, len(p)) if p[:k] in entry and p[k:] in entry)
+        code, ranks, ids = zip(*pairs) if pairs else ((), (), ())
+        self.code, self.rank, self.id = np.array(code, np.int64), np.array(ranks, np.int32), np.array(ids, np.int32)
+        # a space is the space mark; a mark that stands in the text itself is bytes
+        chars = sorted((ord(" ") if p == SPACE_MARK else ord(p), i) for p, (i, _) in entry.items() if len(p) == 1 and p != " ")
+        self.char = np.array([c for c, _ in chars], np.int64)
+        self.char_id = np.array([i for _, i in chars], np.int32)
+
+    def symbols(self, segments: list[str]):
+        """Ids of the characters, or of the bytes of those that are no piece, one
+        segment after the other; how many each segment has."""
+        points = np.frombuffer("".join(segments).encode("utf-32-le"), np.uint32).astype(np.int64)
+        known = _member(self.char, points)
+        widths = np.where(known, 1, 1 + (points >= 0x80) + (points >= 0x800) + (points >= 0x10000))
+        ids = np.zeros(len(points), np.int32)
+        ids[known] = self.char_id[np.searchsorted(self.char, points[known])]
+        flat = np.repeat(ids, widths)
+        raw = "".join(map(chr, points[~known].tolist())).encode()
+        flat[np.repeat(~known, widths)] = np.frombuffer(raw, np.uint8).astype(np.int32) + BYTE_OFFSET
+        starts = np.cumsum([0, *map(len, segments)])[:-1]
+        return flat, np.add.reduceat(widths, starts)
+
+    def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        code = left.astype(np.int64) << _PAIR | right
+        hit = _member(self.code, code.ravel()).reshape(code.shape)
+        out = np.full(code.shape, _NEVER, np.int32)
+        out[hit] = self.rank[np.searchsorted(self.code, code[hit])]
+        return out
+
+    def merged(self, rows: np.ndarray):
+        """``(numbers of rows, their ids)`` of segments with equally many symbols: in
+        every step each row makes its best join, the leftmost of the best."""
+        at = np.arange(len(rows))
+        ranks = self.ranks(rows[:, :-1], rows[:, 1:])
+        while rows.shape[1] > 1 and len(rows):
+            k = ranks.argmin(axis=1)
+            go = ranks[np.arange(len(rows)), k] != _NEVER
+            yield at[~go], rows[~go]
+            at, rows, ranks, k = at[go], rows[go], ranks[go], k[go]
+            each = np.arange(len(rows))
+            joined = self.id[np.searchsorted(self.code, rows[each, k].astype(np.int64) << _PAIR | rows[each, k + 1])]
+            place = np.arange(rows.shape[1] - 1)[None, :]
+            rows = np.take_along_axis(rows, place + (place > k[:, None]), 1)
+            rows[each, k] = joined
+            place = place[:, :-1]
+            ranks = np.take_along_axis(ranks, place + (place >= k[:, None]), 1)
+            for near in (k - 1, k):
+                some = np.flatnonzero((near >= 0) & (near < ranks.shape[1]))
+                ranks[some, near[some]] = self.ranks(rows[some, near[some]], rows[some, near[some] + 1])
+        yield at, rows
+
+
+def _encoded(segments: list[str], pieces: _Pieces) -> dict[str, bytes]:
+    """The ids of each segment, as the bytes of 32-bit numbers; what ``_merged_ids``
+    gives, for short segments many at a time."""
+    if not segments:
+        return {}
+    if not pieces.ranked:
+        return {x: np.array(_merged_ids(x, pieces), np.int32).tobytes() for x in segments}
+    flat, sizes = pieces.joins().symbols(segments)
+    starts = np.cumsum(sizes) - sizes
+    order = np.argsort(sizes, kind="stable")
+    out: dict[str, bytes] = {}
+    for same in np.split(order, np.flatnonzero(np.diff(sizes[order])) + 1):
+        size = int(sizes[same[0]])
+        if size > _SHORT:
+            out.update((segments[k], np.array(_merged_ids(segments[k], pieces), np.int32).tobytes()) for k in same.tolist())
+            continue
+        for at, rows in pieces.joins().merged(flat[starts[same][:, None] + np.arange(size)]):
+            raw, step = rows.astype(np.int32).tobytes(), 4 * rows.shape[1]
+            out.update((segments[k], raw[step * i:step * (i + 1)]) for i, k in enumerate(same[at].tolist()))
+    return out
+
+
 # A space, then what is not white space; other white space stands alone. Pieces
 # never cross these segments.
 _SEGMENT = re.compile(r" ?\S+|\s")
@@ -501,11 +568,26 @@ def encode_texts(spark: SparkSession, docs: DataFrame, vocab: DataFrame, key: st
 
     def run(batches):
         pieces = _Pieces.of(plain.value)
-        memo = _Memo(lambda segment: np.array(_merged_ids(segment, pieces), np.int32).tobytes())
+        memo: dict[str, bytes] = {}
         begin = np.array([1] if add_bos else [], np.int32).tobytes()
+
+        def encoded(texts):
+            """The rows of some texts; a chunk of them has its new segments merged at once."""
+            if len(memo) > 200_000:
+                memo.clear()
+            split = [_SEGMENT.findall(" " + value) if value else () for value in texts]
+            memo.update(_encoded(list({x for found in split for x in found if x not in memo}), pieces))
+            return [begin + b"".join(map(memo.__getitem__, found)) for found in split]
+
         for batch in batches:
-            rows = [begin + b"".join(map(memo.__getitem__, _SEGMENT.findall(" " + value))) if value else begin
-                    for value in batch.column(1).to_pylist()]
+            rows, chunk, size = [], [], 0
+            for value in batch.column(1).to_pylist():
+                chunk.append(value)
+                size += len(value or "")
+                if size > _CHUNK:
+                    rows += encoded(chunk)
+                    chunk, size = [], 0
+            rows += encoded(chunk)
             ids = _lists(np.frombuffer(b"".join(rows), np.int32), np.fromiter(map(len, rows), np.int64, len(rows)) // 4)
             yield pa.RecordBatch.from_arrays([batch.column(0), ids], names=[key, "ids"])
 
