@@ -16,8 +16,8 @@ from curio.streaming import streams as st
 
 FK, DIV = "flesch_kincaid_grade", "vocabulary_diversity"
 N_FILES = 4
-# Rank error of the cuts between appends: exact ones would hold every value on the
-# driver. Every row is in one append, wherever the cuts lie.
+# Rank error of the cuts between arrivals: exact ones would hold every value on the
+# driver. No row comes later than the watermark, wherever the cuts lie.
 CUT_ERROR = 0.001
 
 
@@ -29,7 +29,7 @@ def _source(df, name, order_col, cluster_col=None):
     per-key state."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    cuts = df.approxQuantile(order_col, [i / N_FILES for i in range(1, N_FILES)], CUT_ERROR)
+    cuts = df.approxQuantile(order_col, [i / N_FILES for i in range(1, N_FILES)], 0.0)
     bounds = [None] + sorted(set(cuts)) + [None]
     for lo, hi in zip(bounds[:-1], bounds[1:]):
         part = df
