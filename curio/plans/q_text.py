@@ -31,8 +31,9 @@ def q_words(spark, sf):
     d = docs(spark, sf).select("doc_id", tx.words("text").alias("w"))
     return d.select("doc_id", F.size("w").alias("n_words"),
                     F.size(F.array_distinct("w")).alias("n_distinct"),
-                    F.element_at("w", 1).alias("first_word"),
-                    F.element_at("w", -1).alias("last_word"))
+                    # a text may have no words
+                    F.try_element_at("w", F.lit(1)).alias("first_word"),
+                    F.try_element_at("w", F.lit(-1)).alias("last_word"))
 
 
 @query("vocabulary_diversity", f"""
