@@ -37,7 +37,7 @@ def q_read_json_shards(spark, sf):
     path = scratch_path(spark, "json-shards")
     io.write_json_shards(_shards(spark, sf), path, "shard", "doc_id", ["story"])
     r = io.read_json_shards(spark, path, glob="*.txt")
-    return r.select(F.regexp_extract("shard", "shard=([^/]+)", 1).alias("shard"), "pos",
+    return r.select(F.regexp_extract("shard", r"shard=([^/]+)\.txt$", 1).alias("shard"), "pos",
                     F.md5("story").alias("story_md5"))
 
 

@@ -8,16 +8,25 @@ caller gives -- on a cluster a shared file system path, e.g. under
 
 from __future__ import annotations
 
+import sys
+import uuid
 from typing import Sequence
 
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from curio.functions.text import strip
-from curio.sources.json_ranges import RANGE_BYTES, read_elements
+from curio.sources.json_ranges import RANGE_BYTES, file_system, read_elements
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 STORY = T.StructType([T.StructField("story", T.StringType())])
+SPLITS_PER_TASK = 64
+NO_NAME = "__HIVE_DEFAULT_PARTITION__"
+UNSAFE = "\"#%'*/:=?\\\x7f{[]^"
 
 
 def read_json_shards(spark: SparkSession, directory: str, max_shards: int | None = None,
@@ -29,6 +38,8 @@ def read_json_shards(spark: SparkSession, directory: str, max_shards: int | None
     read instead of vanishing; an object without a story gives null."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob) \
         .option("recursiveFileLookup", "true").load(directory).select("path", "length")
+    # a task lists the files of many splits: Spark would start one for every 32 small files
+    files = files.coalesce(max(2 * spark.sparkContext.defaultParallelism, files.rdd.getNumPartitions() // SPLITS_PER_TASK))
     if max_shards is not None:
         files = files.orderBy("path").limit(max_shards)
     obj = F.from_json("element", STORY, {"mode": "FAILFAST"})
@@ -36,15 +47,48 @@ def read_json_shards(spark: SparkSession, directory: str, max_shards: int | None
         F.col("path").alias("shard"), F.col("pos").cast("int").alias("pos"), obj["story"].alias("story"))
 
 
+def _escaped(name: str) -> str:
+    """``name`` as Spark's writer names the folder of a partition."""
+    return "".join(f"%{ord(c):02X}" if c in UNSAFE or ord(c) < 32 else c for c in name)
+
+
 def write_json_shards(df: DataFrame, path: str, shard_col: str, order_col: str,
                       fields: Sequence[str]) -> None:
-    """Write each shard as one file holding a JSON array (shards are bounded
-    groups: the caller's shard key keeps them small)."""
+    """Write each shard as one file ``shard=NAME.txt`` holding a JSON array (shards
+    are bounded groups: the caller's shard key keeps them small); what was in
+    ``path`` goes. Tasks write the files themselves, all into one folder: a folder a
+    shard, as partitions would have, costs far more than its text to make, to commit
+    and to list. A shard without a name gets the one of Spark's null partition."""
+    spark = df.sparkSession
+    jvm = spark._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    store = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    store.delete(folder, True)
+    store.mkdirs(folder)
+    target = store.makeQualified(folder).toString().rstrip("/")
+    shard = F.col(shard_col).cast("string")
+    named = F.when(F.coalesce(shard, F.lit("")) == "", F.lit(NO_NAME)).otherwise(shard)
     arr = F.transform(F.sort_array(F.collect_list(F.struct(order_col, *fields))),
                       lambda s: F.struct(*[s[f].alias(f) for f in fields]))
-    shards = df.groupBy(shard_col).agg(F.to_json(arr).alias("value"))
-    shards.repartition(shard_col).write.mode("overwrite").partitionBy(shard_col) \
-        .option("compression", "none").text(path)
+    shards = df.groupBy(named.alias("name")).agg(F.to_json(arr).alias("value"))
+
+    def write(batches):
+        files, inner = file_system(target)
+        for batch in batches:
+            for name, value in zip(*batch.columns):
+                new, full = f"{inner}/.{uuid.uuid4().hex}", f"{inner}/shard={_escaped(name.as_py())}.txt"
+                with files.open_output_stream(new, compression=None) as out:
+                    out.write(value.as_py().encode("utf-8") + b"\n")
+                # whole or not at all; another attempt of the task has written the same
+                try:
+                    files.move(new, full)
+                except OSError:
+                    if not files.get_file_info(full).is_file:
+                        raise
+                    files.delete_file(new)
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
+
+    shards.mapInArrow(write, "n long").agg(F.sum("n")).collect()
 
 
 def read_scored_table(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:

@@ -15,6 +15,9 @@ elements came before. Each is an associative prefix over the ranges of a file:
 Escapes need no scan: whether the byte before a range is an escaping backslash is
 seen from the bytes before it.
 
+A file of one range begins outside a string at depth 0 behind no element, so it needs
+no scan and is read once.
+
 An array may be empty; a file of no bytes, which Spark's scan leaves out, has no elements. What is no single array (an open string or bracket at the
 end, something before or behind the array, two commas in a row, an element that is
 not one object) fails the read; an object that is no JSON fails where it is parsed.
@@ -32,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from curio.operators.scan import RunningSum, RunningXor, segmented_scan
-from curio.session import discard, materialize
+from curio.session import materialize
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -44,11 +47,16 @@ OPEN, CLOSE = b"[{", b"]}"
 WHITE = b" \t\n\r"
 
 
-def _open(path: str):
+def file_system(path: str):
+    """The pyarrow file system of a path as Spark names it, and the path in it."""
     from pyarrow import fs
     if "://" not in path or path.startswith("file:"):
-        return fs.LocalFileSystem().open_input_file("/" + path.removeprefix("file:").lstrip("/"))
-    store, inner = fs.FileSystem.from_uri(quote(path, safe=":/@="))
+        return fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")
+    return fs.FileSystem.from_uri(quote(path, safe=":/@="))
+
+
+def _open(path: str):
+    store, inner = file_system(path)
     return store.open_input_file(inner)
 
 
@@ -196,14 +204,39 @@ def read_elements(spark: SparkSession, files: DataFrame, range_bytes: int = RANG
     """``(path, pos, element)``: the JSON text of each element of the array in each
     file of ``files`` (``path``, ``length``), with its place in the array."""
     last = F.greatest(F.ceil(F.col("length") / F.lit(range_bytes)) - 1, F.lit(0)).cast("bigint")
-    ranges = files.select("path", "length", F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("k"))
     # a range is a small row and much work: the number of tasks follows the bytes and the
     # files, as adaptive execution would put all the rows into one
-    ranges = materialize(ranges.repartition("path", "k"), "json-files")
-    n, size = ranges.agg(F.count(F.lit(1)), F.sum(F.least(F.lit(range_bytes), F.col("length") - F.col("k") * range_bytes))).first()
+    ranges = materialize(files.select("path", "length", F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("k")), "json-files")
+    one = F.col("length") <= range_bytes
+    n, size, split = ranges.agg(F.count(F.lit(1)), F.sum(F.least(F.lit(range_bytes), F.col("length") - F.col("k") * range_bytes)),
+                                F.count(F.when(~one, 1))).first()
     slots = spark.sparkContext.defaultParallelism
     tasks = max(min(n, 2 * slots), -(-n // TASK_RANGES), -(-(size or 0) // TASK_BYTES), 1)
+    none = F.lit(0).cast("bigint")
+    known = ranges.where(one).select("path", "length", "k", none.alias("inside"), none.alias("depth"), none.alias("before"))
+    if split:
+        known = known.unionByName(_beginnings(ranges.where(~one), range_bytes, tasks))
+
+    def elements(batches):
+        for batch in batches:
+            for path, size, k, inside, depth, before in zip(*(c.to_pylist() for c in batch.columns)):
+                with _open(path) as file:
+                    pos, texts, held = [], [], 0
+                    for place, text in _Elements(file, path, k * range_bytes, min(size, (k + 1) * range_bytes), inside, depth, before):
+                        pos.append(place)
+                        texts.append(text)
+                        held += len(text)
+                        if held > 4 << 20:
+                            yield _rows(path, pos, texts)
+                            pos, texts, held = [], [], 0
+                    yield _rows(path, pos, texts)
 
+    return known.repartition(tasks, "path", "k").mapInArrow(elements, "path string, pos long, element string")
+
+
+def _beginnings(ranges: DataFrame, range_bytes: int, tasks: int) -> DataFrame:
+    """``ranges`` (``path``, ``length``, ``k``) with what is known where each begins:
+    whether it is ``inside`` a string, its ``depth``, and the elements ``before``."""
     def summaries(batches):
         for batch in batches:
             rows = []
@@ -219,7 +252,6 @@ def read_elements(spark: SparkSession, files: DataFrame, range_bytes: int = RANG
     # written once: a scan reads its input twice
     known = materialize(ranges.repartition(tasks, "path", "k").mapInArrow(
         summaries, "path string, length long, k long, quotes long, depths array<long>, commas array<map<long,long>>"), "json-ranges")
-    discard(ranges)
     order = [F.col("k").asc()]
     # whether the range begins inside a string, then how deep, then behind how many commas
     inside = F.col("parity").bitwiseXOR(F.col("quotes"))
@@ -230,23 +262,7 @@ def read_elements(spark: SparkSession, files: DataFrame, range_bytes: int = RANG
     here = F.coalesce(F.try_element_at("commas", F.lit(1) - F.col("depth")), F.lit(0)).cast("bigint")
     known = known.select("path", "length", "k", "inside", "depth", here.alias("here"))
     known = segmented_scan(known, ["path"], order, {"before": RunningSum("here")})
-    known = known.select("path", "length", "k", "inside", "depth", (F.col("before") - F.col("here")).alias("before"))
-
-    def elements(batches):
-        for batch in batches:
-            for path, size, k, inside, depth, before in zip(*(c.to_pylist() for c in batch.columns)):
-                with _open(path) as file:
-                    pos, texts, held = [], [], 0
-                    for place, text in _Elements(file, path, k * range_bytes, min(size, (k + 1) * range_bytes), inside, depth, before):
-                        pos.append(place)
-                        texts.append(text)
-                        held += len(text)
-                        if held > 4 << 20:
-                            yield _rows(path, pos, texts)
-                            pos, texts, held = [], [], 0
-                    yield _rows(path, pos, texts)
-
-    return known.repartition(tasks, "path", "k").mapInArrow(elements, "path string, pos long, element string")
+    return known.select("path", "length", "k", "inside", "depth", (F.col("before") - F.col("here")).alias("before"))
 
 
 def _rows(path: str, pos: list[int], texts: list[str]) -> pa.RecordBatch:

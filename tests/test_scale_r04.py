@@ -1,6 +1,11 @@
 """Texts without words, shards without a folder each, and the same results."""
 
+import os
+
+from pyspark.sql import functions as F
+
 from curio.plans import QUERIES
+from curio.sources import io, json_ranges
 
 
 def test_words_of_texts_without_any(spark, tmp_path):
@@ -8,3 +13,52 @@ def test_words_of_texts_without_any(spark, tmp_path):
         str(tmp_path / "documents.parquet"))
     got = sorted(map(tuple, QUERIES["words"](spark, str(tmp_path)).collect()), key=str)
     assert got == [(1, 3, 2, "a", "a"), (2, 0, 0, None, None), (3, 0, 0, None, None), (4, 0, 0, None, None), (None, 1, 1, "one", "one")]
+
+
+def _told(rows):
+    return sorted((r["shard"].rsplit("/", 1)[-1], r["pos"], r["story"]) for r in rows)
+
+
+def test_shards_are_files_of_one_folder(spark, tmp_path):
+    names = ["web_1", "web_10", "a/b: c=%é", "x.txt", "", None]
+    rows = [(n, k, None if k == 2 else f"{n} \"{k}\"\n[é,{{") for n in names for k in range(3)]
+    df = spark.createDataFrame(rows, "shard string, i int, story string")
+    for _ in range(2):      # the second time over the first
+        io.write_json_shards(df, str(tmp_path / "s"), "shard", "i", ["story"])
+        spark.range(1).write.mode("append").parquet(str(tmp_path / "s"))
+    shown = ["web_1", "web_10", "a%2Fb%3A c%3D%25é", "x.txt"]
+    seen = sorted(f for f in os.listdir(tmp_path / "s") if f.endswith(".txt"))
+    assert seen == sorted(f"shard={n}.txt" for n in [*shown, "__HIVE_DEFAULT_PARTITION__"])
+    assert not [f for f in os.listdir(tmp_path / "s") if os.path.isdir(tmp_path / "s" / f) or len(f) == 33]
+    got = _told(io.read_json_shards(spark, str(tmp_path / "s"), glob="*.txt").collect())
+    want = [(f"shard={m}.txt", k, None if k == 2 else f"{n} \"{k}\"\n[é,{{") for n, m in zip(names, shown) for k in range(3)]
+    assert [r for r in got if "HIVE" not in r[0]] == sorted(want)
+    # those without a name are one shard
+    unnamed = sorted((r[1], r[2]) for r in got if "HIVE" in r[0])
+    assert [p for p, _ in unnamed] == list(range(6)) and [t is None for _, t in unnamed] == [False] * 4 + [True] * 2
+    assert sorted(t for _, t in unnamed[:2]) == [' "0"\n[é,{', 'None "0"\n[é,{']
+    io.write_json_shards(df.limit(0), str(tmp_path / "s"), "shard", "i", ["story"])
+    assert io.read_json_shards(spark, str(tmp_path / "s"), glob="*.txt").collect() == []
+
+
+def test_shards_of_one_range_are_read_once_and_listed_by_few_tasks(spark, tmp_path, monkeypatch):
+    n = 60
+    io.write_json_shards(spark.range(2 * n).select((F.col("id") % n).alias("shard"), "id", F.concat(F.lit("story "), "id").alias("story")),
+                         str(tmp_path), "shard", "id", ["story"])
+    tasks, read, scan = [], io.read_elements, json_ranges.segmented_scan
+    scans = []
+    monkeypatch.setattr(io, "read_elements", lambda s, files, size: (tasks.append(files.rdd.getNumPartitions()), read(s, files, size))[1])
+    monkeypatch.setattr(json_ranges, "segmented_scan", lambda *a: (scans.append(a), scan(*a))[1])
+    spark.conf.set("spark.sql.files.openCostInBytes", str(128 << 20))       # a split for each file
+    try:
+        got = _told(io.read_json_shards(spark, str(tmp_path), glob="*.txt").collect())
+        assert got == sorted((f"shard={k}.txt", p, f"story {k + p * n}") for k in range(n) for p in range(2))
+        assert not scans and tasks[0] == 2 * spark.sparkContext.defaultParallelism < n
+        # one longer shard brings the scans, for its own ranges only
+        io.write_json_shards(spark.range(300).select(F.lit("long").alias("shard"), "id", F.lit("[,").alias("story")),
+                             str(tmp_path / "more"), "shard", "id", ["story"])
+        assert _told(io.read_json_shards(spark, str(tmp_path), glob="*.txt", range_bytes=200).collect()) == sorted(
+            [*got, *[("shard=long.txt", k, "[,") for k in range(300)]])
+        assert len(scans) == 3 and {r["path"].rsplit("/", 1)[-1] for r in scans[0][0].collect()} == {"shard=long.txt"}
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
