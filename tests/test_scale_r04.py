@@ -1,9 +1,12 @@
 """Texts without words, shards without a folder each, and the same results."""
 
 import os
+import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
+from curio.llm import banding, substring_dedup
 from curio.plans import QUERIES
 from curio.sources import io, json_ranges
 
@@ -62,3 +65,43 @@ def test_shards_of_one_range_are_read_once_and_listed_by_few_tasks(spark, tmp_pa
         assert len(scans) == 3 and {r["path"].rsplit("/", 1)[-1] for r in scans[0][0].collect()} == {"shard=long.txt"}
     finally:
         spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_crowded_buckets_are_compared_by_blocks(spark, monkeypatch):
+    """Paragraphs that share a third of their shingles meet in buckets and are no repeats; some others are."""
+    rng = random.Random(3)
+    fixed = [f"fix{k}" for k in range(25)]
+    texts = [" ".join(fixed + [f"w{rng.randrange(10 ** 9)}" for _ in range(25)]) for _ in range(300)]
+    texts += [" ".join(t.split()[:-2] + ["other", "end"]) for t in texts[:40]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    told = lambda: sorted(map(tuple, substring_dedup.repeated_paragraphs(docs).drop("text_key").collect()))
+    calls, alike = [], banding._alike_in_heavy
+    monkeypatch.setattr(banding, "_alike_in_heavy", lambda rows, *a: (calls.append(rows.agg(F.min("size")).first()[0]), alike(rows, *a))[1])
+    monkeypatch.setattr(banding, "HEAVY", 10 ** 9)
+    want = told()
+    assert not calls and len(want) == 80 and sum(r[-1] for r in want) == 40
+    monkeypatch.setattr(banding, "HEAVY", 20)
+    monkeypatch.setattr(banding, "BLOCK", 7)
+    assert told() == want and len(calls) == 1 and calls[0] > 20
+
+
+def test_blocks_find_each_pair_that_may_be_alike(spark):
+    rng = np.random.default_rng(5)
+    marks = rng.integers(0, 3, (90, 20))
+    n, held = rng.integers(20, 60, 90), rng.integers(0, 3, (90, 32))
+    part, bucket = rng.integers(0, 30, 90), rng.integers(0, 2, 90)
+    rows = spark.createDataFrame(
+        [(int(bucket[k]), int((bucket == bucket[k]).sum()), 0, k, int(n[k]), int(part[k]), m.tolist(), held[k].tolist())
+         for k, m in enumerate(banding.packed_marks(marks))],
+        "bucket long, size long, main long, rep long, n long, part long, marks array<long>, held array<long>")
+    want = {(a, b) for a in range(90) for b in range(a + 1, 90)
+            if bucket[a] == bucket[b] and part[a] != part[b] and 100 * min(n[a], n[b]) >= 50 * max(n[a], n[b])
+            and (marks[a] == marks[b]).sum() >= 8 and 150 * np.minimum(held[a], held[b]).sum() >= 50 * (n[a] + n[b])}
+    old = banding.BLOCK
+    try:
+        for banding.BLOCK in (8, 2048):
+            got = banding._alike_in_heavy(rows, 5, 50, 20, 8)
+            assert {tuple(r) for r in got.collect()} == want and 20 < len(want) < 2000
+            assert got.rdd.getNumPartitions() > 1
+    finally:
+        banding.BLOCK = old
