@@ -105,3 +105,26 @@ def test_blocks_find_each_pair_that_may_be_alike(spark):
             assert got.rdd.getNumPartitions() > 1
     finally:
         banding.BLOCK = old
+
+
+def _corpus(spark, tmp_path, monkeypatch):
+    """Documents whose shards' names continue one another, and the folders that queries write shards to."""
+    texts = ["The little house stood there. It was beautiful!", None, "", "one two two", "  A dog, a cat.\n", "word " * 300]
+    spark.createDataFrame([(k, texts[k % 6], ("web", "books")[k % 2]) for k in range(0, 1300, 13)],
+                          "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(0, "the little house and the dog")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    paths, write = [], io.write_json_shards
+    monkeypatch.setattr(io, "write_json_shards", lambda df, path, *a: (paths.append(path), write(df, path, *a))[1])
+    docs = sorted((f"{('web', 'books')[k % 2]}_{k // 100}/", k, texts[k % 6] or "") for k in range(0, 1300, 13))
+    return docs, paths
+
+
+def _folders(paths):
+    return [f for path in paths for f in os.scandir(path.removeprefix("file:")) if f.is_dir()]
+
+
+def test_pretokenize_makes_no_folder_a_shard(spark, tmp_path, monkeypatch):
+    docs, paths = _corpus(spark, tmp_path, monkeypatch)
+    got = sorted(map(tuple, QUERIES["pretokenize"](spark, str(tmp_path)).select("id", "head").collect()))
+    assert got == [(k, text.strip()[:30]) for k, (_, _, text) in enumerate(docs)]
+    assert len(paths) == 1 and not _folders(paths)
