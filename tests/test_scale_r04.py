@@ -128,3 +128,12 @@ def test_pretokenize_makes_no_folder_a_shard(spark, tmp_path, monkeypatch):
     got = sorted(map(tuple, QUERIES["pretokenize"](spark, str(tmp_path)).select("id", "head").collect()))
     assert got == [(k, text.strip()[:30]) for k, (_, _, text) in enumerate(docs)]
     assert len(paths) == 1 and not _folders(paths)
+
+
+def test_compute_metadata_makes_no_folder_a_shard(spark, tmp_path, monkeypatch):
+    docs, paths = _corpus(spark, tmp_path, monkeypatch)
+    got = sorted(map(tuple, QUERIES["compute_metadata"](spark, str(tmp_path)).select("id", "vocabulary_diversity").collect()))
+    words = [text.split() for _, _, text in docs]
+    assert [k for k, _ in got] == list(range(len(docs)))
+    assert [d for _, d in got] == [round(len(set(w)) / len(w), 6) if w else 0.0 for w in words]
+    assert len(paths) == 1 and not _folders(paths)
